@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import decode, encode
+from meterlake.llm.labelled import held_out
+from meterlake.llm.language_id import identify_languages
+from meterlake.llm.quality_classifier import score_quality
 from meterlake.llm.quality_rules import judge_quality
 from meterlake.llm.topk_search import top_k
 from meterlake.llm.url_filters import judge_urls
@@ -22,6 +25,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return identify_languages(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
@@ -42,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op7_topk_search, op8_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op6_quality_classifier, op7_topk_search, op8_quality_rules, op10_bpe)}
 
 
 OP7_SQL = """

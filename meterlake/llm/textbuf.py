@@ -39,6 +39,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range: a polynomial in the byte codes, from running sums."""
+    n = len(buf)
+    part = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * _power("up", _BASE, n), dtype=np.uint64)])
+    return mix((part[ends] - part[starts]) * _power("down", _BACK, n + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 class Texts:
     """Some texts: ``buf`` their bytes, ``off`` the n + 1 offsets. Null texts are empty."""
 
@@ -66,11 +73,8 @@ class Texts:
         total = np.concatenate([[0], np.cumsum(values)])
         return total[self.first[1:]] - total[self.first[:-1]]
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, code: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hash of the bytes (or of their ``code``) of each range."""
-        n = len(self.buf)
-        part = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTE[self.buf] if code is None else code) * _power("up", _BASE, n), dtype=np.uint64)])
-        return mix((part[ends] - part[starts]) * _power("down", _BACK, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return range_hashes(self.buf, starts, ends)
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
