@@ -13,6 +13,7 @@ from meterlake.llm.labelled import held_out
 from meterlake.llm.language_id import identify_languages
 from meterlake.llm.quality_classifier import score_quality
 from meterlake.llm.quality_rules import judge_quality
+from meterlake.llm.simhash_dedup import near_duplicates
 from meterlake.llm.topk_search import top_k
 from meterlake.llm.url_filters import judge_urls
 
@@ -42,6 +43,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     decoded = decode(encode(_read(spark, sf_dir, "documents"), path), path)
@@ -54,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op6_quality_classifier, op7_topk_search, op8_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe)}
 
 
 OP7_SQL = """
