@@ -13,6 +13,7 @@ from meterlake.llm.labelled import held_out
 from meterlake.llm.language_id import identify_languages
 from meterlake.llm.quality_classifier import score_quality
 from meterlake.llm.quality_rules import judge_quality
+from meterlake.llm.secret_scan import joined, scan_secrets
 from meterlake.llm.simhash_dedup import near_duplicates
 from meterlake.llm.topk_search import top_k
 from meterlake.llm.url_filters import judge_urls
@@ -31,6 +32,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    scanned = scan_secrets(_read(spark, sf_dir, "documents"))
+    return scanned.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -59,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op5_secret_scan, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe)}
 
 
 OP7_SQL = """
