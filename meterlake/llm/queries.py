@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.bpe import decode, encode
+from meterlake.llm.bpe import encode
 from meterlake.llm.labelled import held_out
 from meterlake.llm.language_id import identify_languages
 from meterlake.llm.quality_classifier import score_quality
@@ -58,8 +58,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = decode(encode(_read(spark, sf_dir, "documents"), path), path)
-    return decoded.select(
+    return encode(_read(spark, sf_dir, "documents"), path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import gc
+import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 from meterlake.llm.textbuf import SLICE_BYTES
 
+#: Pre-tokens that a worker remembers; with more it starts anew.
+MEMO_PRE_TOKENS = 600_000
+
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in order, of about ``limit`` bytes each; null texts are empty. A text is never cut."""
@@ -44,7 +51,9 @@ class WordTokens:
             self._clear()
             new = list(set(words))
         if new:
+            gc.disable()  # a great many small lists, none of them in a cycle
             ids = self.encode_words(new)
+            gc.enable()
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
@@ -65,3 +74,61 @@ class WordTokens:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[code] - (ends - size), size) + np.arange(total)]
         return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+
+
+def _byte_characters() -> dict[int, str]:
+    """For ASCII and Latin-1 letters: the characters that stand for their UTF-8 bytes in a byte-level vocabulary.
+
+    Printable bytes stand for themselves; the rest are numbered from 256 on.
+    """
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    of_byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+#: Words that normalizing only lower-cases, and what the splitter then finds in them; a test holds both against the library.
+PLAIN = re.compile(r"[!-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+_BYTES = _byte_characters()
+
+
+class PreTokens:
+    """Ids of words through their pre-tokens, which ``encode_pre_tokens`` encodes; the library normalizes and splits."""
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def pre_tokens(self, word: str) -> list[str | int]:
+        """The word's pre-tokens in byte characters; the id where it holds a special token."""
+        if PLAIN.fullmatch(word):
+            found = PLAIN_SPLIT.findall(word.lower())
+            return found if word.isascii() else [p.translate(_BYTES) for p in found]
+        parts = self.at_special.split(word) if self.at_special else [word]
+        normalize, split = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
+        return [x for part in parts if part for x in ([self.special[part]] if part in self.special else (p for p, _ in split(normalize(part))))]
+
+    def encode_pre_tokens(self, pre_tokens: list[str]) -> list[tuple[int, ...]]:
+        """By the library's own model."""
+        tokenize = self.library.model.tokenize
+        return [tuple([t.id for t in tokenize(p)]) for p in pre_tokens]
+
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        split = [self.pre_tokens(w) for w in words]
+        distinct = {p for parts in split for p in parts if isinstance(p, str)}
+        new = list(distinct.difference(self.memo))
+        if len(self.memo) + len(new) > MEMO_PRE_TOKENS:
+            self.memo.clear()
+            new = list(distinct)
+        self.memo.update(zip(new, self.encode_pre_tokens(new), strict=True))
+        ids_of = self.memo
+        return [ids_of[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else tuple([i for p in parts for i in ((p,) if isinstance(p, int) else ids_of[p])]) for parts in split]
+
+
+@cache
+def library_words(path: str) -> WordTokens:
+    """The library's ids; one for each Python worker."""
+    return WordTokens(PreTokens(path).encode_words)

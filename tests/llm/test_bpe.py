@@ -11,12 +11,13 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_ids_and_decoded_text_are_the_librarys(spark, odd_docs):
     library = Tokenizer.from_file(PATH)
-    got = decode(encode(odd_docs, PATH, keep=("doc_id", "text")), PATH, keep=("text", "ids")).collect()
+    encoded = encode(odd_docs, PATH, keep=("doc_id", "text"), decoded=True)
+    got = decode(encoded, PATH, keep=("text", "ids", "decoded")).toDF("text", "ids", "at_once", "decoded").collect()
     assert len(got) == odd_docs.count()
     for row in got:
         ids = library.encode(row.text or "", add_special_tokens=False).ids
         assert row.ids == ids
-        assert row.decoded == library.decode(ids, skip_special_tokens=False)
+        assert row.decoded == row.at_once == library.decode(ids, skip_special_tokens=False)
 
 
 def test_query_digests(spark, sf):
@@ -31,3 +32,22 @@ def test_query_digests(spark, sf):
 
 def test_empty_table(spark, odd_docs):
     assert encode(odd_docs.limit(0), PATH).count() == 0
+
+
+def test_unknown_and_null_ids_decode_to_nothing(spark):
+    rows = spark.createDataFrame([(1, [320, 99999, None, -5, 321]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in decode(rows, PATH).collect()} == {1: "a</w> b</w>", 2: "", 3: ""}
+
+
+def test_plain_words_split_as_the_library_splits_them():
+    import itertools
+
+    from meterlake.llm.word_tokens import PLAIN, PreTokens
+
+    own, library = PreTokens(PATH), Tokenizer.from_file(PATH)
+    characters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if chr(c) not in "<×÷"]
+    words = ["".join(x) for x in itertools.product(characters, repeat=2)] + ["don'T!!x'll'S'é", "ÀÉÿß12ab''re'd"]
+    assert all(PLAIN.fullmatch(w) for w in words)
+    for w in words:
+        assert own.pre_tokens(w) == [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(w))]
+    assert own.encode_words(words[::7]) == [tuple(e.ids) for e in library.encode_batch(words[::7], add_special_tokens=False)]
