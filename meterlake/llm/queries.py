@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from meterlake.llm.bpe import encode
 from meterlake.llm.labelled import held_out
 from meterlake.llm.language_id import identify_languages
+from meterlake.llm.packing import pack_documents
 from meterlake.llm.quality_classifier import score_quality
 from meterlake.llm.quality_rules import judge_quality
 from meterlake.llm.secret_scan import joined, scan_secrets
 from meterlake.llm.simhash_dedup import near_duplicates
+from meterlake.llm.token_counts import count_tokens
 from meterlake.llm.topk_search import top_k
 from meterlake.llm.url_filters import judge_urls
 
@@ -23,10 +25,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return identify_languages(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -67,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op5_secret_scan, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_language_id, op5_secret_scan, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe)}
 
 
 OP7_SQL = """
