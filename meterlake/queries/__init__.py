@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from meterlake.queries import reports
+from meterlake.queries import reports, rollups, sequences
 from meterlake.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "reports"]
+__all__ = ["QUERIES", "SQL", "reports", "rollups", "sequences"]

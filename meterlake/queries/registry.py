@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], Dat
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded: sums of doubles depend on the order of rows."""
+    """Doubles rounded, as sums of doubles depend on the order of rows; a hair more, so that none lies on an edge."""
     from pyspark.sql import functions as F
 
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.round(F.col(c) + 1e-9, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

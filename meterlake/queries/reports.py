@@ -10,10 +10,19 @@ from meterlake.operators import metrics, statistics
 from meterlake.queries.bindings import AS_OF, BASE_CTE, END, METRICS_SQL, START, facts, sources
 from meterlake.queries.registry import query, rounded
 
-_FACTS = "canonical_request_key, session_id, project_name, project_path, api_key_prefix, request_base_url, source_label, tool, timestamp_sec, timestamp_ms, model, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, total_tokens, request_count, round(estimated_cost, 6) AS estimated_cost, coverage_origin, status_code, duration_ms, round(output_tokens_per_second, 4) AS output_tokens_per_second, ttft_ms"
+_FACTS = "canonical_request_key, session_id, project_name, project_path, api_key_prefix, request_base_url, source_label, tool, timestamp_sec, timestamp_ms, model, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, total_tokens, request_count, round(estimated_cost + 1e-9, 6) AS estimated_cost, coverage_origin, status_code, CAST(duration_ms AS DOUBLE) AS duration_ms, round(output_tokens_per_second, 4) AS output_tokens_per_second, CAST(ttft_ms AS DOUBLE) AS ttft_ms"
 _RANGE = f"timestamp_sec >= {START} AND timestamp_sec < {END}"
-_ROUND = "round(cost, 4) AS cost, round(rate_sum, 4) AS rate_sum, round(min_rate, 4) AS min_rate, round(max_rate, 4) AS max_rate"
-_M = "EXCLUDE (cost, rate_sum, min_rate, max_rate)"
+_ROUND = "CAST(min_ttft_ms AS DOUBLE) AS min_ttft_ms, CAST(max_ttft_ms AS DOUBLE) AS max_ttft_ms, round(cost + 1e-9, 4) AS cost, round(rate_sum, 4) AS rate_sum, round(min_rate, 4) AS min_rate, round(max_rate, 4) AS max_rate"
+_M = "EXCLUDE (cost, rate_sum, min_rate, max_rate, min_ttft_ms, max_ttft_ms)"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Rounded, and times that may be missing as doubles, which have one form of missing everywhere."""
+    return rows.withColumns({"estimated_cost": F.round(F.col("estimated_cost") + 1e-9, 6), "output_tokens_per_second": F.round("output_tokens_per_second", 4)} | {c: F.col(c).cast("double") for c in ("duration_ms", "ttft_ms")})
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("min_ttft_ms", "max_ttft_ms")})
 
 
 def in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,27 +31,27 @@ def in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE_CTE + f"SELECT {_FACTS} FROM facts")
 def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).withColumns({"estimated_cost": F.round("estimated_cost", 6), "output_tokens_per_second": F.round("output_tokens_per_second", 4)})
+    return _shown(facts(spark, sf_dir))
 
 
 @query(BASE_CTE + f"SELECT {_FACTS} FROM facts WHERE coverage_origin = 'local_only' OR status_code BETWEEN 200 AND 299")
 def merged_facts_without_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir, include_errors=False).withColumns({"estimated_cost": F.round("estimated_cost", 6), "output_tokens_per_second": F.round("output_tokens_per_second", 4)})
+    return _shown(facts(spark, sf_dir, include_errors=False))
 
 
 @query(BASE_CTE + f"SELECT * {_M}, {_ROUND} FROM (SELECT model, coverage_origin, {METRICS_SQL} FROM facts GROUP BY ALL)")
 def metrics_by_model_and_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.measured(facts(spark, sf_dir), "model", "coverage_origin"))
+    return rounded(_timed(metrics.measured(facts(spark, sf_dir), "model", "coverage_origin")))
 
 
 @query(BASE_CTE + f"SELECT * {_M}, {_ROUND} FROM (SELECT tool, {METRICS_SQL} FROM facts GROUP BY ALL)")
 def metrics_of_daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial metrics of each day add up to the whole."""
     daily = metrics.measured(facts(spark, sf_dir).withColumn("day", cal.business_date(F.col("timestamp_sec"))), "day", "tool")
-    return rounded(metrics.remeasured(daily, "tool"))
+    return rounded(_timed(metrics.remeasured(daily, "tool")))
 
 
-_TOTALS = "requests, local_requests, proxy_requests, total_tokens, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, round(cost, 4) AS cost, success_requests, client_errors + server_errors AS error_requests"
+_TOTALS = "requests, local_requests, proxy_requests, total_tokens, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, round(cost + 1e-9, 4) AS cost, success_requests, client_errors + server_errors AS error_requests"
 
 
 @query(BASE_CTE + f"SELECT {_TOTALS} FROM (SELECT {METRICS_SQL} FROM facts WHERE {_RANGE})")
@@ -53,7 +62,7 @@ def statistics_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODEL_TABLE = f"""m AS (SELECT model, {METRICS_SQL} FROM facts WHERE {_RANGE} GROUP BY model)"""
 
 
-@query(BASE_CTE + f", {_MODEL_TABLE} SELECT model, requests, total_tokens, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, round(cost, 4) AS cost, round(100.0 * total_tokens / sum(total_tokens) OVER (), 4) AS percent, success_requests, client_errors + server_errors AS error_requests, round(rate_sum / nullif(rate_count, 0), 4) AS avg_rate, round(ttft_sum / nullif(ttft_count, 0), 4) AS avg_ttft_ms FROM m")
+@query(BASE_CTE + f", {_MODEL_TABLE} SELECT model, requests, total_tokens, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, round(cost + 1e-9, 4) AS cost, round(100.0 * total_tokens / sum(total_tokens) OVER (), 4) AS percent, success_requests, client_errors + server_errors AS error_requests, round(rate_sum / nullif(rate_count, 0), 4) AS avg_rate, round(ttft_sum / nullif(ttft_count, 0), 4) AS avg_ttft_ms FROM m")
 def statistics_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.model_table(in_range(spark, sf_dir)))
 
@@ -63,7 +72,7 @@ def model_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.status_histogram(in_range(spark, sf_dir), "model")
 
 
-_TREND = "coalesce(requests, 0) AS requests, coalesce(total_tokens, 0) AS total_tokens, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens, coalesce(cache_create_tokens, 0) AS cache_create_tokens, coalesce(cache_read_tokens, 0) AS cache_read_tokens, round(coalesce(cost, 0), 4) AS cost"
+_TREND = "coalesce(requests, 0) AS requests, coalesce(total_tokens, 0) AS total_tokens, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens, coalesce(cache_create_tokens, 0) AS cache_create_tokens, coalesce(cache_read_tokens, 0) AS cache_read_tokens, round(coalesce(cost, 0) + 1e-9, 4) AS cost"
 
 
 @query(BASE_CTE + f", m AS (SELECT timestamp_sec // 3600 * 3600 AS bucket_start, {METRICS_SQL} FROM facts WHERE {_RANGE} GROUP BY 1) SELECT s.bucket_start, strftime(make_timestamp(s.bucket_start * 1000000), '%m-%d %H:00') AS label, {_TREND} FROM (SELECT unnest(generate_series(CAST({START} AS BIGINT), {END - 1}, 3600)) AS bucket_start) s LEFT JOIN m USING (bucket_start)")
@@ -116,7 +125,7 @@ def _daily(by: str = "") -> str:
     kinds = {"": "true", "visible_": "(status_code IS NULL OR status_code < 300)", "success_": "status_code < 400"}
     cols = [f"CAST(coalesce(sum(request_count) FILTER ({c}), 0) AS BIGINT) AS {k}requests" for k, c in kinds.items()]
     cols += [f"CAST(coalesce(sum({t}) FILTER ({c}), 0) AS BIGINT) AS {k}{t}" for k, c in kinds.items() for t in ("total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")]
-    cols += [f"round(coalesce(sum(estimated_cost) FILTER ({c}), 0), 4) AS {k}cost" for k, c in kinds.items()]
+    cols += [f"round(coalesce(sum(estimated_cost) FILTER ({c}), 0) + 1e-9, 4) AS {k}cost" for k, c in kinds.items()]
     parts = {"client_errors": "status_code BETWEEN 400 AND 499", "server_errors": "status_code >= 500", "proxy_backed": "coverage_origin <> 'local_only'", "local_only": "coverage_origin = 'local_only'", "overlap": "coverage_origin = 'merged_proxy_preferred'"}
     cols += [f"CAST(coalesce(sum(request_count) FILTER ({c}), 0) AS BIGINT) AS {k}" for k, c in parts.items()]
     if not by:
@@ -142,7 +151,7 @@ WINDOWS = {w: cal.window_start(w, AS_OF) for w in ("5h", "24h", "7d", "30d", "to
 _WINDOWS = ", ".join(f"('{w}', {s})" for w, s in WINDOWS.items())
 
 
-@query(BASE_CTE + f", w(win, since) AS (VALUES {_WINDOWS}) SELECT win AS \"window\", {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('requests', 'total_tokens', 'input_tokens', 'output_tokens', 'cache_create_tokens', 'cache_read_tokens', 'success_requests', 'client_errors', 'server_errors'))}, round(coalesce(cost, 0), 4) AS cost, round(rate_sum / nullif(rate_count, 0), 4) AS avg_rate FROM w LEFT JOIN (SELECT win, {METRICS_SQL} FROM w JOIN facts ON timestamp_sec >= since AND timestamp_sec <= {AS_OF} GROUP BY win) USING (win)")
+@query(BASE_CTE + f", w(win, since) AS (VALUES {_WINDOWS}) SELECT win AS \"window\", {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('requests', 'total_tokens', 'input_tokens', 'output_tokens', 'cache_create_tokens', 'cache_read_tokens', 'success_requests', 'client_errors', 'server_errors'))}, round(coalesce(cost, 0) + 1e-9, 4) AS cost, round(rate_sum / nullif(rate_count, 0), 4) AS avg_rate FROM w LEFT JOIN (SELECT win, {METRICS_SQL} FROM w JOIN facts ON timestamp_sec >= since AND timestamp_sec <= {AS_OF} GROUP BY win) USING (win)")
 def window_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.window_usage(facts(spark, sf_dir).where(F.col("timestamp_sec") <= AS_OF), WINDOWS))
 
@@ -153,7 +162,7 @@ def model_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranking(by: str, table: str = "facts") -> str:
-    return f", m AS (SELECT {by}, {METRICS_SQL} FROM {table} GROUP BY ALL) SELECT {by}, requests, total_tokens, round(cost, 4) AS cost, round(CASE WHEN sum(cost) OVER () > 0 THEN 100 * cost / sum(cost) OVER () ELSE 100.0 * total_tokens / sum(total_tokens) OVER () END, 4) AS percent, CASE WHEN status_facts > 0 THEN success_requests END AS success_requests, CASE WHEN status_facts > 0 THEN client_errors + server_errors END AS error_requests, round(rate_sum / nullif(rate_count, 0), 4) AS avg_rate, round(ttft_sum / nullif(ttft_count, 0), 4) AS avg_ttft_ms, last_seen_ms FROM m"
+    return f", m AS (SELECT {by}, {METRICS_SQL} FROM {table} GROUP BY ALL) SELECT {by}, requests, total_tokens, round(cost + 1e-9, 4) AS cost, round(CASE WHEN sum(cost) OVER () > 0 THEN 100 * cost / sum(cost) OVER () ELSE 100.0 * total_tokens / sum(total_tokens) OVER () END, 4) AS percent, CASE WHEN status_facts > 0 THEN success_requests END AS success_requests, CASE WHEN status_facts > 0 THEN client_errors + server_errors END AS error_requests, round(rate_sum / nullif(rate_count, 0), 4) AS avg_rate, round(ttft_sum / nullif(ttft_count, 0), 4) AS avg_ttft_ms, last_seen_ms FROM m"
 
 
 @query(BASE_CTE + _ranking("model"))
@@ -196,6 +205,6 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.coverage(facts(spark, sf_dir))
 
 
-@query(BASE_CTE + "SELECT * FROM (SELECT canonical_request_key, timestamp_ms, model, tool, total_tokens, round(estimated_cost, 6) AS estimated_cost, status_code FROM facts ORDER BY timestamp_ms DESC, canonical_request_key LIMIT 30 OFFSET 60)")
+@query(BASE_CTE + "SELECT * FROM (SELECT canonical_request_key, timestamp_ms, model, tool, total_tokens, round(estimated_cost + 1e-9, 6) AS estimated_cost, status_code FROM facts ORDER BY timestamp_ms DESC, canonical_request_key LIMIT 30 OFFSET 60)")
 def recent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).select("canonical_request_key", "timestamp_ms", "model", "tool", "total_tokens", F.round("estimated_cost", 6).alias("estimated_cost"), "status_code").orderBy(F.desc("timestamp_ms"), "canonical_request_key").offset(60).limit(30)
+    return facts(spark, sf_dir).select("canonical_request_key", "timestamp_ms", "model", "tool", "total_tokens", F.round(F.col("estimated_cost") + 1e-9, 6).alias("estimated_cost"), "status_code").orderBy(F.desc("timestamp_ms"), "canonical_request_key").offset(60).limit(30)
