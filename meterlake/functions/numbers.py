@@ -102,7 +102,8 @@ def shortened(text: Column, n: int) -> Column:
 def first_number(json: Column, paths: Sequence[str]) -> Column:
     """The first path that holds a number (or text of one); negatives are 0, fractions are cut; null without any."""
     found = [F.get_json_object(json, p).try_cast("double") for p in paths]
-    return F.greatest(F.coalesce(*found), F.lit(0.0)).cast("long")
+    value = F.coalesce(*found)
+    return F.when(value < 0, 0.0).otherwise(value).cast("long")
 
 
 def first_time(json: Column, paths: Sequence[str]) -> Column:

@@ -27,7 +27,11 @@ def _tier(name: Column | str, used: Column, quota: Column, resets: Column | None
 
 def _windowed(body: Column) -> Column:
     """limits[]: a window in some unit, a limit and what remains; and usage at the top as the weekly window."""
-    parsed = F.from_json(body, "usage struct<limit:double,remaining:double,resetTime:string>, limits array<struct<window:struct<duration:long,timeUnit:string>,detail:struct<limit:double,remaining:double,resetTime:string>>>")
+    parsed = F.from_json(body, "usage struct<limit:string,remaining:string,resetTime:string>, limits array<struct<window:struct<duration:long,timeUnit:string>,detail:struct<limit:string,remaining:string,resetTime:string>>>")
+
+    def number(c: Column) -> Column:
+        return c.try_cast("double")  # some services quote their numbers
+
     unit = {"TIME_UNIT_MINUTE": 60, "TIME_UNIT_HOUR": 3600, "TIME_UNIT_DAY": 86_400}
 
     def seconds(w: Column) -> Column:
@@ -36,8 +40,8 @@ def _windowed(body: Column) -> Column:
             out = F.when(w["timeUnit"] == name, n).otherwise(out)
         return w["duration"] * out
 
-    each = F.transform(F.coalesce(parsed["limits"], F.array().cast("array<struct<window:struct<duration:long,timeUnit:string>,detail:struct<limit:double,remaining:double,resetTime:string>>>")), lambda x: _tier(window_name(seconds(x["window"])), x["detail"]["limit"] - x["detail"]["remaining"], x["detail"]["limit"], x["detail"]["resetTime"]))
-    weekly = F.when(parsed["usage"].isNotNull(), F.array(_tier("weekly_limit", parsed["usage"]["limit"] - parsed["usage"]["remaining"], parsed["usage"]["limit"], parsed["usage"]["resetTime"]))).otherwise(F.array().cast(_TIERS))
+    each = F.transform(F.coalesce(parsed["limits"], F.array().cast("array<struct<window:struct<duration:long,timeUnit:string>,detail:struct<limit:string,remaining:string,resetTime:string>>>")), lambda x: _tier(window_name(seconds(x["window"])), number(x["detail"]["limit"]) - number(x["detail"]["remaining"]), number(x["detail"]["limit"]), x["detail"]["resetTime"]))
+    weekly = F.when(parsed["usage"].isNotNull(), F.array(_tier("weekly_limit", number(parsed["usage"]["limit"]) - number(parsed["usage"]["remaining"]), number(parsed["usage"]["limit"]), parsed["usage"]["resetTime"]))).otherwise(F.array().cast(_TIERS))
     return F.concat(each.cast(_TIERS), weekly.cast(_TIERS))
 
 

@@ -1,0 +1 @@
+"""Live capture with Structured Streaming."""
