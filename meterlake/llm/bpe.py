@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.word_tokens import PreTokens, WordTokens, text_slices
+from meterlake.llm.word_tokens import PreTokens, WordTokens, break_slices
 
 #: Pre-tokens indexed at a time.
 INDEX_WORDS = 5_000
@@ -144,7 +144,7 @@ class TokenTexts:
 @cache
 def _words(path: str) -> WordTokens:
     """One for each Python worker."""
-    return WordTokens(PairIndexBpe(path).encode_words)
+    return WordTokens(PairIndexBpe(path))
 
 
 @cache
@@ -164,10 +164,10 @@ def _encoder(path: str, n: int, decoded: bool) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for batch in batches:
-            for row, texts in text_slices(batch.column(n)):
+            for row, texts in break_slices(batch.column(n)):
                 ids, off = words.encode(texts)
                 new = {"ids": _lists(ids, off)} | ({"decoded": _texts(path).decode(ids, off)} if decoded else {})
-                yield _other_columns(batch.slice(row, len(texts)).select(range(n)), new)
+                yield _other_columns(batch.slice(row, texts.n).select(range(n)), new)
 
     return run
 

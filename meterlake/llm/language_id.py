@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.labelled import held_out
-from meterlake.llm.textbuf import Texts, slices
+from meterlake.llm.textbuf import Texts, kept_with_text, slices
 
 #: Hash cells of the model; a model has this many numbers for each language.
 CELLS = 1 << 15
@@ -201,13 +201,12 @@ def _has_letter(t: Texts) -> np.ndarray:
     return found
 
 
-def _labeller(model: LanguageModel, n: int, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _labeller(model: LanguageModel, n: int, text_at: int, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.names)
         names = np.array([*model.names, UNKNOWN], object)
         for batch in batches:
-            raw = batch.column(n)
-            for row, t in slices(pc.utf8_lower(raw)):
+            for row, t in slices(pc.utf8_lower(batch.column(text_at))):
                 scores, size = _word_scores(t, model)
                 label = _viterbi(scores, t.first) if k else np.zeros(len(size), np.int64)
                 share = np.stack([t.per_word_text(size * (label == i)) for i in range(k)], 1) if k else np.zeros((t.n, 0))
@@ -238,8 +237,8 @@ def identify_languages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), mod
     rows are labelled alike; an empty table gives none; other columns don't matter.
     """
     model = model or fit_languages(docs, key=key, text=text, lang=lang)
-    inner = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").alias("_text"))
+    inner, at = kept_with_text(docs, keep, text)
     schema = [*(f"_k{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(keep))), "_pred string", "_score double"]
     schema += ["_spans array<struct<first_word:int,n_words:int,lang:string>>"] * spans
-    out = inner.mapInArrow(_labeller(model, len(keep), spans), ", ".join(schema))
+    out = inner.mapInArrow(_labeller(model, len(keep), at, spans), ", ".join(schema))
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"), *[F.col("_spans").alias("spans")] * spans)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm.scratch import table
-from meterlake.llm.word_tokens import library_words, text_slices
+from meterlake.llm.word_tokens import break_slices, library_words
 
 WINDOW = 4096
 END_ID = 2
@@ -41,17 +41,17 @@ def _tokenizer(path: str, n: int, end_id: int, window: int) -> Callable[[Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = library_words(path)
         for batch in batches:
-            for row, texts in text_slices(batch.column(n)):
+            for row, texts in break_slices(batch.column(n)):
                 ids, off = words.encode(texts)
                 sizes, full, rest, crc = [], [], [], []
-                for i in range(len(texts)):
+                for i in range(texts.n):
                     own = np.append(ids[off[i] : off[i + 1]], end_id).astype("<u4")
                     cut = len(own) // window * window
                     sizes.append(len(own))
                     full.append([zlib.crc32(own[j : j + window].tobytes()) for j in range(0, cut, window)])
                     rest.append(own[cut:].astype("<u2" if own.max() < 1 << 16 else "<u4").tobytes())
                     crc.append(zlib.crc32(own[cut:].tobytes()))
-                kept = batch.slice(row, len(texts)).select(range(n))
+                kept = batch.slice(row, texts.n).select(range(n))
                 new = {"doc_tokens": pa.array(sizes, pa.int64()), "full": pa.array(full, pa.list_(pa.int64())), "rest": pa.array(rest, pa.binary()), "rest_crc": pa.array(crc, pa.int64())}
                 yield pa.RecordBatch.from_arrays([*kept.columns, *new.values()], [*kept.schema.names, *new])
 

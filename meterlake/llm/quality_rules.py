@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.labelled import labelled_sample
-from meterlake.llm.textbuf import Texts, mix, slices
+from meterlake.llm.textbuf import Texts, kept_with_text, mix, slices
 
 #: Hash cells: half for words, half for runs of four bytes.
 CELLS = 1 << 14
@@ -171,10 +171,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, k
     return (slope * w).astype(np.float32), slope * b + shift
 
 
-def _scorer(weights: np.ndarray, shift: float, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(weights: np.ndarray, shift: float, n: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, t in slices(batch.column(n)):
+            for row, t in slices(batch.column(at)):
                 words = t.word_hashes()
                 facts = text_facts(t, words)
                 z = linear_scores(t, words, weights) + shift
@@ -191,9 +191,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("
     texts have no words and fail. Repeated rows are judged alike; an empty table gives none; other columns don't matter.
     """
     weights, shift = model or fit_quality(docs, labels, key=key, text=text)
-    inner = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").cast("binary").alias("_text"))
+    inner, at = kept_with_text(docs, keep, text)
     facts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = ", ".join([*(f"_k{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(keep))), *(f"{f} long" for f in facts), "_p double"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = inner.mapInArrow(_scorer(weights, shift, len(keep)), schema)
+    judged = inner.mapInArrow(_scorer(weights, shift, len(keep), at), schema)
     return judged.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *facts, failed.alias("base_failed"), F.col("_p").alias("probability"), (~failed & (F.col("_p") >= keep_from)).alias("kept"))

@@ -9,15 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Text bytes in a slice; a single longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CODES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -39,19 +41,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each range: a polynomial in the byte codes, from running sums."""
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each range: a polynomial in the byte codes, from running sums. ``which``: one of two that are independent."""
     n = len(buf)
-    part = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * _power("up", _BASE, n), dtype=np.uint64)])
+    part = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[which][buf] * _power("up", _BASE, n), dtype=np.uint64)])
     return mix((part[ends] - part[starts]) * _power("down", _BACK, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 class Texts:
-    """Some texts: ``buf`` their bytes, ``off`` the n + 1 offsets. Null texts are empty."""
+    """Some texts: ``buf`` their bytes, ``off`` the n + 1 offsets. Null texts are empty. Words are runs without ``space``."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE):
         self.buf, self.off, self.n = buf, off, len(off) - 1
-        word = ~SPACE[buf]
+        word = ~space[buf]
         before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
         before[1:], after[:-1] = word[:-1], word[1:]
         before[off[:-1][off[:-1] < len(buf)]] = False
@@ -79,11 +81,27 @@ class Texts:
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
 
-    def word_bytes(self, i: int) -> bytes:
-        return self.buf[self.starts[i] : self.ends[i]].tobytes()
+    def distinct_words(self) -> tuple[list[str], np.ndarray]:
+        """The distinct words, and for each word its place among them."""
+        return distinct_ranges(self.buf, self.starts, self.ends)
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
+def distinct_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct texts of the ranges, and for each range its place among them.
+
+    Texts count as equal if two independent 64-bit hashes agree; where only one does, they are compared themselves.
+    """
+    _, first, place = np.unique(range_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    other = range_hashes(buf, starts, ends, 1)
+    raw = buf.tobytes()
+    if (other != other[first][place]).any():
+        words = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        return [w.decode() for w in known], np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return [raw[i:j].decode() for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], place
+
+
+def slices(column: pa.Array, limit: int = SLICE_BYTES, space: np.ndarray = SPACE) -> Iterator[tuple[int, Texts]]:
     """(first row, Texts) over a string or binary column, in order."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -93,5 +111,14 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Te
     row = 0
     while row < len(column):
         to = max(row + 1, int(np.searchsorted(off, off[row] + limit, "right")) - 1)
-        yield row, Texts(raw[off[row] : off[to]], off[row : to + 1] - off[row])
+        yield row, Texts(raw[off[row] : off[to]], off[row : to + 1] - off[row], space)
         row = to
+
+
+def kept_with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, int]:
+    """The kept columns as _k0, _k1 ..., and the text as _text unless it is one of them; and the place of the text."""
+    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    own = docs.schema[text].dataType.typeName() == "string"
+    if text in keep and own:
+        return docs.select(*kept), keep.index(text)
+    return docs.select(*kept, F.col(text).cast("string").alias("_text")), len(keep)

@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.word_tokens import text_slices
+from meterlake.llm.textbuf import slices
 
 #: Stands for the white space before a pre-token.
 MARK = "▁"
@@ -90,18 +90,16 @@ def _counter(path: str, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = _model(path)
         for batch in batches:
-            for row, texts in text_slices(batch.column(n)):
-                split = [[w.decode() for w in t.encode().split()] for t in texts]
-                new = {w for words in split for w in words}.difference(known)
+            for row, t in slices(batch.column(n)):
+                words, place = t.distinct_words()
+                new = [w for w in words if w not in known]
                 if len(known) + len(new) > MEMO_WORDS:
                     known.clear()
-                    new = {w for words in split for w in words}
-                fresh = list(new)
-                known.update(zip(fresh, trie.counts([MARK + w for w in fresh]), strict=True))
-                sizes = pa.array(np.array([len(words) for words in split], np.int64))
-                tokens = pa.array(np.array([sum(map(known.__getitem__, words)) for words in split], np.int64))
-                kept = batch.slice(row, len(texts)).select(range(n))
-                yield pa.RecordBatch.from_arrays([*kept.columns, sizes, tokens], [*kept.schema.names, "n_pre_tokens", "n_tokens"])
+                    new = words
+                known.update(zip(new, trie.counts([MARK + w for w in new]), strict=True))
+                counts = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                kept = batch.slice(row, t.n).select(range(n))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(t.n_words), pa.array(t.per_word_text(counts[place]))], [*kept.schema.names, "n_pre_tokens", "n_tokens"])
 
     return run
 

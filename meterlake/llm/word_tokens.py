@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
@@ -12,10 +12,13 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from meterlake.llm.textbuf import SLICE_BYTES
+from meterlake.llm.textbuf import SLICE_BYTES, Texts, distinct_ranges, slices
 
-#: Pre-tokens that a worker remembers; with more it starts anew.
-MEMO_PRE_TOKENS = 600_000
+#: What no token of the vocabulary crosses: space and line feed.
+BREAK = np.zeros(256, bool)
+BREAK[[0x20, 0x0A]] = True
+#: Words and parts of words that a worker remembers; with more it starts anew.
+MEMO_UNITS = 800_000
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
@@ -30,50 +33,71 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = to
 
 
+#: Classes of bytes in plain words: letters, digits, and other visible characters.
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[[ord(c) for c in "<'"]] = 0
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def _units(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, words before each text's units) of what can be encoded by itself.
+
+    Plain words (ASCII and Latin-1 letters, digits, other visible ASCII but apostrophes and ``<``) are lower-cased and cut into
+    runs of letters, single digits and runs of the rest, just as the vocabulary's splitter cuts them. Other words stay whole.
+    """
+    buf, kind, lower = t.buf, _CLASS[t.buf], _LOWER[t.buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3) if len(buf) else np.zeros(0, np.int64)
+    second = buf[lead + 1]
+    latin = lead[(second & 0xC0 == 0x80) & (second != 0x97) & (second != 0xB7)]
+    kind[latin] = kind[latin + 1] = _LETTER
+    upper = latin[buf[latin + 1] < 0x9F] + 1
+    lower[upper] += 0x20
+    odd = np.concatenate([[0], np.cumsum((kind == 0) & t.word)])
+    plain = odd[t.ends] == odd[t.starts]
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[t.starts[plain]] += 1
+    inside[t.ends[plain]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    cut = np.zeros(len(buf), bool)
+    cut[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    # a letter of two bytes is never cut in the middle, and a digit ends before what follows it
+    cut[t.starts] = True
+    cut &= t.word
+    starts = np.flatnonzero(cut)
+    word = np.searchsorted(t.starts, starts, "right") - 1
+    ends = np.minimum(np.append(starts[1:], len(buf)), t.ends[word])
+    return np.where(inside, lower, buf), starts, ends, np.searchsorted(starts, t.off)
+
+
 class WordTokens:
     """Encodes texts by their words: runs without space and line feed, which no token of the vocabulary crosses.
 
-    ``encode_words`` gives the ids of each of some distinct words. Words are remembered, in this process alone, until
-    there are more than ``limit``; then the memory starts anew.
+    Distinct words and parts of plain words are encoded once; ``PreTokens`` remembers them.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 500_000):
-        self.encode_words, self.limit = encode_words, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.known))
-        if new and len(self.known) + len(new) > self.limit and self.known:
-            self._clear()
-            new = list(set(words))
-        if new:
-            gc.disable()  # a great many small lists, none of them in a cycle
-            ids = self.encode_words(new)
-            gc.enable()
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the offsets of each text in it."""
-        words, counts = [], np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            own = text.replace("\n", " ").split(" ")
-            words += own
-            counts[i + 1] = len(own)
-        self._learn(words)
-        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.size[code]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[code] - (ends - size), size) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+    def __init__(self, pre_tokens: PreTokens):
+        self.pre_tokens = pre_tokens
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and the offsets of each text in it. The texts' words are those between BREAKs."""
+        units, place = distinct_ranges(*(found := _units(texts))[:3])
+        gc.disable()  # a great many small lists, none of them in a cycle
+        ids = self.pre_tokens.encode_units(units)
+        gc.enable()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, first = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
+        size = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return flat[np.repeat(first[place] - ends[:-1], size) + np.arange(ends[-1])], ends[found[3]]
+
+
+def break_slices(column: pa.Array) -> Iterator[tuple[int, Texts]]:
+    return slices(column, SLICE_BYTES, BREAK)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -87,10 +111,9 @@ def _byte_characters() -> dict[int, str]:
     return {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-#: Words that normalizing only lower-cases, and what the splitter then finds in them; a test holds both against the library.
-PLAIN = re.compile(r"[!-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 _BYTES = _byte_characters()
+#: What ``_units`` makes of plain words; anything else is a whole word.
+PLAIN_UNIT = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
 
 class PreTokens:
@@ -104,9 +127,6 @@ class PreTokens:
 
     def pre_tokens(self, word: str) -> list[str | int]:
         """The word's pre-tokens in byte characters; the id where it holds a special token."""
-        if PLAIN.fullmatch(word):
-            found = PLAIN_SPLIT.findall(word.lower())
-            return found if word.isascii() else [p.translate(_BYTES) for p in found]
         parts = self.at_special.split(word) if self.at_special else [word]
         normalize, split = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         return [x for part in parts if part for x in ([self.special[part]] if part in self.special else (p for p, _ in split(normalize(part))))]
@@ -116,19 +136,25 @@ class PreTokens:
         tokenize = self.library.model.tokenize
         return [tuple([t.id for t in tokenize(p)]) for p in pre_tokens]
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        split = [self.pre_tokens(w) for w in words]
-        distinct = {p for parts in split for p in parts if isinstance(p, str)}
-        new = list(distinct.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_PRE_TOKENS:
-            self.memo.clear()
-            new = list(distinct)
-        self.memo.update(zip(new, self.encode_pre_tokens(new), strict=True))
-        ids_of = self.memo
-        return [ids_of[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else tuple([i for p in parts for i in ((p,) if isinstance(p, int) else ids_of[p])]) for parts in split]
+    def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
+        """Ids of parts of plain words, which are pre-tokens already, and of other words."""
+        memo = self.memo
+        new = [u for u in units if u not in memo]
+        if len(memo) + len(new) > MEMO_UNITS:
+            memo.clear()
+            new = units
+        whole = PLAIN_UNIT.fullmatch
+        ready = [u for u in new if whole(u)]
+        memo.update(zip(ready, self.encode_pre_tokens([u if u.isascii() else u.translate(_BYTES) for u in ready]), strict=True))
+        rest = [u for u in new if u not in memo]
+        split = [self.pre_tokens(u) for u in rest]
+        parts = list({p for found in split for p in found if isinstance(p, str)})
+        ids_of = dict(zip(parts, self.encode_pre_tokens(parts), strict=True))
+        memo.update((u, tuple([i for p in found for i in ((p,) if isinstance(p, int) else ids_of[p])])) for u, found in zip(rest, split, strict=True))
+        return [memo[u] for u in units]
 
 
 @cache
 def library_words(path: str) -> WordTokens:
     """The library's ids; one for each Python worker."""
-    return WordTokens(PreTokens(path).encode_words)
+    return WordTokens(PreTokens(path))

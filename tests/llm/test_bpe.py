@@ -4,7 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from meterlake.llm import queries
-from meterlake.llm.bpe import decode, encode
+from meterlake.llm.bpe import _words, decode, encode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,15 +39,19 @@ def test_unknown_and_null_ids_decode_to_nothing(spark):
     assert {r.doc_id: r.decoded for r in decode(rows, PATH).collect()} == {1: "a</w> b</w>", 2: "", 3: ""}
 
 
-def test_plain_words_split_as_the_library_splits_them():
+def test_words_encode_as_the_library_encodes_them():
     import itertools
 
-    from meterlake.llm.word_tokens import PLAIN, PreTokens
+    import pyarrow as pa
 
-    own, library = PreTokens(PATH), Tokenizer.from_file(PATH)
-    characters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if chr(c) not in "<×÷"]
-    words = ["".join(x) for x in itertools.product(characters, repeat=2)] + ["don'T!!x'll'S'é", "ÀÉÿß12ab''re'd"]
-    assert all(PLAIN.fullmatch(w) for w in words)
-    for w in words:
-        assert own.pre_tokens(w) == [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(w))]
-    assert own.encode_words(words[::7]) == [tuple(e.ids) for e in library.encode_batch(words[::7], add_special_tokens=False)]
+    from meterlake.llm.word_tokens import break_slices, library_words
+
+    library = Tokenizer.from_file(PATH)
+    characters = [chr(c) for c in (*range(1, 0x7F), *range(0xC0, 0x100), 0x100, 0x178, 0x301, 0x3A3, 0x2028, 0x4E00, 0x1F600)]
+    texts = [" ".join(a + "".join(x) for x in itertools.product(characters, repeat=1)) for a in characters]
+    texts += ["".join(x) for x in itertools.product("aÉ1×'<sÿ. ", repeat=4)][::7] + ["don'T!!x'll'S'é", "ÀÉÿß12ab''re'd", "<|endoftext|>é1!", "a\u0301b"]
+    for encoder in (library_words(PATH), _words(PATH)):
+        for row, t in break_slices(pa.array(texts)):
+            ids, off = encoder.encode(t)
+            for i in range(t.n):
+                assert ids[off[i] : off[i + 1]].tolist() == library.encode(texts[row + i], add_special_tokens=False).ids, repr(texts[row + i])
