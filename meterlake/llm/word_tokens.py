@@ -18,7 +18,7 @@ from meterlake.llm.textbuf import SLICE_BYTES, Texts, distinct_ranges, slices
 BREAK = np.zeros(256, bool)
 BREAK[[0x20, 0x0A]] = True
 #: Words and parts of words that a worker remembers; with more it starts anew.
-MEMO_UNITS = 800_000
+MEMO_UNITS = 300_000
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
