@@ -25,6 +25,8 @@ FIT_DOCS = 1500
 KEEP_FROM = 0.5
 #: Base rules
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
+#: Rows of the sample that the fit sums over at a time.
+FIT_BLOCK = 128
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SCALE = 30.0
@@ -110,23 +112,49 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w, g = words[t.first[i] : t.first[i + 1]], grams[start[i] : end[i]]
                 count = np.bincount(w, minlength=CELLS) / max(len(w), 1) + np.bincount(g, minlength=CELLS) / max(len(g), 1)
                 at = np.flatnonzero(count)
-                cells.append(at.astype(np.int32).tobytes())
+                cells.append(at.astype(np.int16).tobytes())
                 values.append((_SCALE * count[at]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_pydict({"label": labels[row : row + t.n], "cells": cells, "values": values})
 
 
-def _fit_logistic(at: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 120, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+Blocks = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _blocks(cells: list[np.ndarray], values: list[np.ndarray], which: np.ndarray) -> Blocks:
+    """(cells, values, number of cells of each row) of FIT_BLOCK rows at a time, so that sums over them need little memory."""
+    out = []
+    for i in range(0, len(which), FIT_BLOCK):
+        some = which[i : i + FIT_BLOCK]
+        out.append((np.concatenate([cells[j] for j in some]), np.concatenate([values[j] for j in some]), np.array([len(cells[j]) for j in some])))
+    return out
+
+
+def _row_sums(blocks: Blocks, of) -> np.ndarray:
+    """Sum over each row of ``of(cells, values)``."""
+    return np.concatenate([np.bincount(np.repeat(np.arange(len(size)), size), of(at, value), minlength=len(size)) for at, value, size in blocks])
+
+
+def _cell_sums(blocks: Blocks, r: np.ndarray) -> np.ndarray:
+    """Sum over each cell of its values times their rows' ``r``."""
+    out, first = np.zeros(CELLS), 0
+    for at, value, size in blocks:
+        out += np.bincount(at, value * np.repeat(r[first : first + len(size)], size), minlength=CELLS)
+        first += len(size)
+    return out
+
+
+def _fit_logistic(blocks: Blocks, y: np.ndarray, steps: int = 120, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps; classes weigh alike."""
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(CELLS), 0.0
     w0, b0 = w, b
-    norm = np.bincount(row, value**2, minlength=len(y)).max(initial=1e-9) + 1
+    norm = _row_sums(blocks, lambda at, value: value.astype(float) ** 2).max(initial=1e-9) + 1
     for k in range(steps):
         ahead, ahead_b = w + k / (k + 3) * (w - w0), b + k / (k + 3) * (b - b0)
-        z = np.bincount(row, value * ahead[at], minlength=len(y)) + ahead_b
+        z = _row_sums(blocks, lambda at, value, ahead=ahead: value * ahead[at]) + ahead_b
         r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         w0, b0 = w, b
-        w, b = ahead - 4 / norm * (np.bincount(at, value * r[row], minlength=CELLS) + ridge * ahead), ahead_b - 4 / norm * r.sum()
+        w, b = ahead - 4 / norm * (_cell_sums(blocks, r) + ridge * ahead), ahead_b - 4 / norm * r.sum()
     return w, b
 
 
@@ -153,19 +181,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, k
     y = rows.column("label").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return np.zeros(CELLS, np.float32), 30.0 * (2 * y.mean() - 1) if len(y) else 0.0
-    cells, values = ([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()] for name, kind in (("cells", np.int32), ("values", np.float32)))
-    order = np.argsort([zlib.crc32(c) for c in cells], kind="stable")  # as it comes, whatever order rows arrive in
+    cells, values = ([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()] for name, kind in (("cells", np.int16), ("values", np.float32)))
+    del rows
+    order = np.argsort([zlib.crc32(c.astype(np.int32).tobytes()) for c in cells], kind="stable")  # as it comes, whatever order rows arrive in
     fit, rest = order[len(order) // 4 :], order[: len(order) // 4]
     if len(set(y[fit].tolist())) < 2 or len(set(y[rest].tolist())) < 2:
         fit = rest = order
-
-    def flat(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = [len(cells[i]) for i in which]
-        return np.concatenate([cells[i] for i in which]).astype(np.int64), np.concatenate([values[i] for i in which]).astype(float), np.repeat(np.arange(len(which)), size)
-
-    w, b = _fit_logistic(*flat(fit), y[fit])
-    at, value, row = flat(rest)
-    z = np.bincount(row, value * w[at], minlength=len(rest)) + b
+    w, b = _fit_logistic(_blocks(cells, values, fit), y[fit])
+    z = _row_sums(_blocks(cells, values, rest), lambda at, value: value * w[at]) + b
     prior = {c: counts[c] / sum(counts.values()) / max((y[rest] == c).mean(), 1e-9) for c in (0, 1)}
     slope, shift = _calibrate(z, y[rest], np.where(y[rest] == 1, prior[1], prior[0]))
     return (slope * w).astype(np.float32), slope * b + shift
