@@ -163,10 +163,10 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), distan
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest key (nulls last).
 
-    Rows are told apart by their place in the input, so that repeated rows count as copies too: ``docs`` must be a
-    stored table, or at least give the same rows in the same order when read again.
+    Rows are told apart by their place in the input, so that repeated rows count as copies too. Places are stored with
+    the rows, once: numbering anew could give other rows the same places if the input is split in another way.
     """
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    placed = table(docs.withColumn("_place", F.monotonically_increasing_id()), "placed")
     order = placed.select("_place", F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "_place").alias("_order"), F.col(text).alias("_text"))
     groups = near_duplicates(order, ("_place", "_order"), distance, "_order", "_text")
     first = groups.where(F.col("_order") == F.col("component_id")).select("_place")

@@ -5,6 +5,7 @@ import xxhash
 
 from meterlake.llm import queries
 from meterlake.llm.components import connected_components
+from meterlake.llm.scratch import table
 from meterlake.llm.simhash_dedup import _forest, link_fingerprints, near_duplicates, one_of_each
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,3 +74,28 @@ def test_odd_rows(spark, odd_docs):
     assert kept.columns == odd_docs.columns
     assert kept.count() == len({r.component_id for r in rows if r.doc_id is not None}) + len({r.fingerprint for r in rows if r.doc_id is None})
     assert near_duplicates(odd_docs.limit(0)).count() == 0
+
+
+def test_places_are_read_not_numbered_again(spark, tmp_path, monkeypatch):
+    from meterlake.llm import simhash_dedup
+
+    path = str(tmp_path / "docs")
+    rows = [(i, f"text number {i // 2} stands alone with words {'abcdefghij'[i // 2 % 10] * 9} {i // 2 * 7919}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(16).write.parquet(path)
+    size = "spark.sql.files.maxPartitionBytes"
+    before, found = spark.conf.get(size), simhash_dedup.near_duplicates
+
+    def split_anew(*args):
+        groups = table(found(*args), "groups")
+        spark.conf.set(size, "1k")
+        return groups
+
+    docs = spark.read.parquet(path)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    monkeypatch.setattr(simhash_dedup, "near_duplicates", split_anew)
+    try:
+        kept = sorted(r.doc_id for r in one_of_each(docs).collect())
+    finally:
+        spark.conf.set(size, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert kept == list(range(0, 400, 2))
