@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.llm.jaccard_dedup import one_of_each_alike
 from meterlake.llm.language_id import UNKNOWN, identify_languages
 from meterlake.llm.packing import pack_documents
 from meterlake.llm.quality_rules import judge_quality
@@ -34,8 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    return one_of_each(docs).select(docs.columns)
+    """One document of each group of near-duplicates: that with the smallest id.
+
+    Close fingerprints go first; what is left is compared by its sets of five-word shingles.
+    """
+    return one_of_each_alike(one_of_each(docs)).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,19 +31,25 @@ SEED = 42
 SMALL = 128
 
 
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
-    """Bits set in over half of the XXH64 of the text's shingles, repeats included; 0 for no words."""
+def shingle_digests(text: bytes, words: int) -> list[int]:
+    """XXH64 of each of the text's shingles, in order; of all its words if there are no more than ``words``, and none for no words."""
     joined = b" ".join(text.lower().split())
     if not joined:
-        return 0
+        return []
     gap = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
     if len(gap) + 1 <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        starts = [0, *(gap[: len(gap) + 1 - words] + 1).tolist()]
-        ends = [*gap[words - 1 :].tolist(), len(joined)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    starts = [0, *(gap[: len(gap) + 1 - words] + 1).tolist()]
+    ends = [*gap[words - 1 :].tolist(), len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)]
+
+
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
+    """Bits set in over half of the XXH64 of the text's shingles, repeats included; 0 for no words."""
+    hashes = shingle_digests(text, words)
+    if not hashes:
+        return 0
     count = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[i : i + (1 << 16)], "<u8")
