@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,22 +15,55 @@ NEAR_SECONDS, BEST_SECONDS, CLEAR_SECONDS = 30, 5, 10
 _TOKENS = ("input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")
 
 
-def _assigned(_, proxy: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
-    """Proxy records in the order of time; a local record that is taken is gone."""
-    free = local.sort_values(["at", "request_key"]).reset_index(drop=True)
-    taken = pd.Series(False, index=free.index)
-    out = []
-    for row in proxy.sort_values(["at", "row"]).itertuples():
-        gap = (free["at"] - row.at).abs()
-        near = gap[~taken & (gap <= NEAR_SECONDS)].sort_values(kind="stable")
-        clear = len(near) == 1 or (len(near) > 1 and near.iloc[0] <= BEST_SECONDS and near.iloc[1] - near.iloc[0] >= CLEAR_SECONDS)
-        if clear:
-            taken[near.index[0]] = True
-            best = free.loc[near.index[0]]
-            out.append((row.row, best["request_key"], best["session_id"], "known"))
+_RESULT = "row string, request_key string, session_id string, state string"
+_SCHEMA = pa.schema([(c, pa.string()) for c in ("row", "request_key", "session_id", "state")])
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (group, at, local, name, session_id) in the order of group and time; only those within NEAR_SECONDS are held.
+
+    A proxy record is settled once no local one near it can follow; a local record that is taken is gone.
+    """
+    waiting, free, out, now = deque(), deque(), [], None
+
+    def settle(until: int | None) -> None:
+        while waiting and (until is None or waiting[0][0] + NEAR_SECONDS < until):
+            at, row = waiting.popleft()
+            while free and free[0][0] < at - NEAR_SECONDS:
+                free.popleft()
+            near = sorted(((abs(x[0] - at), i) for i, x in enumerate(free) if not x[3] and abs(x[0] - at) <= NEAR_SECONDS))
+            if len(near) == 1 or (len(near) > 1 and near[0][0] <= BEST_SECONDS and near[1][0] - near[0][0] >= CLEAR_SECONDS):
+                best = free[near[0][1]]
+                best[3] = True
+                out.append((row, best[1], best[2], "known"))
+            else:
+                out.append((row, None, None, "ambiguous" if near else "unmatched"))
+
+    for batch in _and_end(batches):
+        if batch is None:
+            settle(None)
         else:
-            out.append((row.row, None, None, "ambiguous" if len(near) else "unmatched"))
-    return pd.DataFrame(out, columns=["row", "request_key", "session_id", "state"])
+            columns = [c.to_pylist() for c in batch.columns]
+            for *group, at, is_local, name, session in zip(*columns, strict=True):
+                if group != now:
+                    settle(None)
+                    free.clear()
+                    now = group
+                settle(at)
+                if is_local:
+                    least = (waiting[0][0] if waiting else at) - NEAR_SECONDS
+                    while free and free[0][0] < least:
+                        free.popleft()
+                    free.append([at, name, session, False])
+                else:
+                    waiting.append((at, name))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], schema=_SCHEMA)
+        out.clear()
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def match_records(proxy: DataFrame, local: DataFrame, row: str = "message_id") -> DataFrame:
@@ -36,7 +72,8 @@ def match_records(proxy: DataFrame, local: DataFrame, row: str = "message_id") -
     Records match if all token counts and the model agree and they lie within 30 seconds: a single one is taken, and of
     several the nearest if it is within 5 seconds and clearly nearer than the next. What is taken depends on the order
     of records, within a group that shares counts, model and a run of times: records further apart than 30 seconds
-    from all before them open a new run, so that a group is a burst of identical requests and never a whole key.
+    from all before them open a new run. A run may be as long as its key: it is streamed in the order of time, and only
+    the records within 30 seconds are held. One run is still one task's work.
     """
     key = [F.col(c) for c in _TOKENS]
     p = proxy.select(F.col(row).cast("string").alias("row"), F.expr("CASE WHEN request_end_time > 0 THEN request_end_time ELSE timestamp END div 1000").alias("at"), *key, base_model(F.col("model")).alias("m"))
@@ -48,6 +85,7 @@ def match_records(proxy: DataFrame, local: DataFrame, row: str = "message_id") -
     runs = times.withColumn("_open", opens).withColumn("run", F.sum("_open").over(order)).drop("_open")
     keys = [*group, "run"]
     timed = [*group, "at"]
-    left, right = p.join(runs, timed), free.join(runs.toDF(*(f"_{c}" for c in runs.columns)), [F.col(c) == F.col(f"_{c}") for c in timed])
-    right = right.select(*free.columns, F.col("_run").alias("run2"))
-    return left.groupBy(*keys).cogroup(right.groupBy(*group, "run2")).applyInPandas(_assigned, "row string, request_key string, session_id string, state string").where("row IS NOT NULL")
+    left = p.join(runs, timed).select(*keys, "at", F.lit(False).alias("local"), F.col("row").alias("name"), F.lit(None).cast("string").alias("session_id"))
+    right = free.join(runs, timed).select(*keys, "at", F.lit(True).alias("local"), F.col("request_key").cast("string").alias("name"), F.col("session_id").cast("string").alias("session_id"))
+    both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "at", F.col("name").asc_nulls_last())
+    return both.mapInArrow(_assigned, _RESULT).where("row IS NOT NULL")

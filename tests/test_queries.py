@@ -65,3 +65,25 @@ def test_matching_is_a_replay(spark):
     assert got == want
     assert {s for _, s in want.values()} == {"known", "ambiguous", "unmatched"} or len(want) == 120
     assert match_records(p.where(F.lit(False)), mine).count() == 0
+
+
+def test_matching_holds_only_the_window():
+    """A run without gaps is settled as it streams by, long before its end."""
+    import pyarrow as pa
+
+    from meterlake.operators.reconcile import _assigned
+
+    read = []
+
+    def batches():
+        for i in range(500):
+            read.append(i)
+            rows = [(0, i * 20, True, f"k{i:04}", "s"), (0, i * 20 + 1, False, f"p{i:04}", None)]
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns], ["run", "at", "local", "name", "session_id"])
+
+    settled = 0
+    for out in _assigned(batches()):
+        settled += len(out)
+        assert settled >= len(read) - 3
+    assert settled == 500
