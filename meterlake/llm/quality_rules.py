@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.labelled import labelled_sample
-from meterlake.llm.textbuf import Texts, kept_with_text, mix, slices
+from meterlake.llm.textbuf import Texts, kept_with_text, mix, range_codes, slices
 
 #: Hash cells: half for words, half for runs of four bytes.
 CELLS = 1 << 14
@@ -41,38 +41,51 @@ def _dup_lines(t: Texts) -> np.ndarray:
     has = np.searchsorted(t.starts, end) > np.searchsorted(t.starts, start)
     start, end = start[has], end[has]
     doc = np.searchsorted(t.off, start, "right") - 1
-    first = np.unique(t.hashes(start, end) ^ mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    same = doc * len(start) + range_codes(t.buf, start, end)
+    first = np.unique(same, return_index=True)[1]
     return np.bincount(doc, minlength=t.n) - np.bincount(doc[first], minlength=t.n)
 
 
-def _repeat_words(t: Texts, words: np.ndarray) -> np.ndarray:
+def _repeat_words(t: Texts) -> np.ndarray:
+    """Words in windows that their text holds twice or more. Hashes find the windows to compare, the words decide."""
+    words = t.word_codes().astype(np.int64)
     n = len(words) - WINDOW + 1
     if n <= 0:
         return np.zeros(t.n, np.int64)
-    h = np.zeros(n, np.uint64)
+    h, codes = np.zeros(n, np.uint64), mix(words.astype(np.uint64) + np.uint64(1))
     for j in range(WINDOW):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
     inside = np.flatnonzero(t.doc[:n] == t.doc[WINDOW - 1 :])
     key = mix(h[inside] ^ mix(t.doc[inside].astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    again = np.zeros(len(key), bool)
-    again[order[1:][same]] = again[order[:-1][same]] = True
+    at = inside[_often(key)]
+    # exact groups among those: one number for text and words so far, word by word
+    group, size = t.doc[at], len(words) + 1
+    for j in range(WINDOW):
+        group = np.unique(group * size + words[at + j], return_inverse=True)[1]
+    at = at[_often(group)]
     cover = np.zeros(len(words) + 1, np.int64)
-    at = inside[again]
     np.add.at(cover, at, 1)
     np.add.at(cover, at + WINDOW, -1)
     return t.per_word_text(np.cumsum(cover[:-1]) > 0)
 
 
-def text_facts(t: Texts, words: np.ndarray) -> dict[str, np.ndarray]:
-    """The counted facts of each text; equal lines and windows are found by 64-bit hashes."""
+def _often(key: np.ndarray) -> np.ndarray:
+    """Which keys occur twice or more."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    again = np.zeros(len(key), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return again
+
+
+def text_facts(t: Texts) -> dict[str, np.ndarray]:
+    """The counted facts of each text."""
     return {
         "n_words": t.n_words,
         "word_chars": t.per_text(t.word & ((t.buf & 0xC0) != 0x80)),
         "n_symbols": t.per_text(_SYMBOL[t.buf]),
         "n_dup_lines": _dup_lines(t),
-        "n_repeat_words": _repeat_words(t, words),
+        "n_repeat_words": _repeat_words(t),
     }
 
 
@@ -199,7 +212,7 @@ def _scorer(weights: np.ndarray, shift: float, n: int, at: int) -> Callable[[Ite
         for batch in batches:
             for row, t in slices(batch.column(at)):
                 words = t.word_hashes()
-                facts = text_facts(t, words)
+                facts = text_facts(t)
                 z = linear_scores(t, words, weights) + shift
                 kept = batch.slice(row, t.n).select(range(n))
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v.astype(np.int64)) for v in facts.values()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*kept.schema.names, *facts, "_p"])

@@ -19,7 +19,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CODES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -41,10 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of the bytes of each range: a polynomial in the byte codes, from running sums. ``which``: one of two that are independent."""
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range: a polynomial in the byte codes, from running sums.
+
+    For hashed features alone: texts can be made whose hashes collide, so that equal hashes don't prove equal ranges.
+    """
     n = len(buf)
-    part = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[which][buf] * _power("up", _BASE, n), dtype=np.uint64)])
+    part = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[buf] * _power("up", _BASE, n), dtype=np.uint64)])
     return mix((part[ends] - part[starts]) * _power("down", _BACK, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -85,20 +88,30 @@ class Texts:
         """The distinct words, and for each word its place among them."""
         return distinct_ranges(self.buf, self.starts, self.ends)
 
+    def word_codes(self) -> np.ndarray:
+        """A number for each word; words have the same one if, and only if, they are equal."""
+        return range_codes(self.buf, self.starts, self.ends)
+
+
+def _encoded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The ranges (in order, none into another) dictionary-encoded by their bytes themselves."""
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]).dictionary_encode()
+
 
 def distinct_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The distinct texts of the ranges, and for each range its place among them.
+    """The distinct texts of the ranges (in order, none into another), and for each range its place among them."""
+    found = _encoded(buf, starts, ends)
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
 
-    Texts count as equal if two independent 64-bit hashes agree; where only one does, they are compared themselves.
-    """
-    _, first, place = np.unique(range_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-    other = range_hashes(buf, starts, ends, 1)
-    raw = buf.tobytes()
-    if (other != other[first][place]).any():
-        words = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        return [w.decode() for w in known], np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return [raw[i:j].decode() for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], place
+
+def range_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As ``Texts.word_codes``, for any ranges that are in order and don't reach into one another."""
+    return _encoded(buf, starts, ends).indices.to_numpy()
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES, space: np.ndarray = SPACE) -> Iterator[tuple[int, Texts]]:

@@ -27,3 +27,10 @@ def odd_docs(spark):
         (8, "deadbeefdeadbeef0123 token: \"Zx9Kq2Lm8Pw4Rt7Yv1Bn\"", "en", "s", 9, 1, "x"),
     ]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label int, ids string")
+
+
+@pytest.fixture(scope="session")
+def twins():
+    """Two words of 1,024 letters that every polynomial hash modulo 2 ** 64 takes for one."""
+    even = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    return even, even.translate(str.maketrans("ab", "ba"))

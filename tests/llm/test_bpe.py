@@ -55,3 +55,11 @@ def test_words_encode_as_the_library_encodes_them():
             ids, off = encoder.encode(t)
             for i in range(t.n):
                 assert ids[off[i] : off[i + 1]].tolist() == library.encode(texts[row + i], add_special_tokens=False).ids, repr(texts[row + i])
+
+
+def test_words_of_equal_hashes_are_told_apart(spark, twins):
+    library = Tokenizer.from_file(PATH)
+    texts = {1: " ".join(twins), 2: twins[1], 3: twins[0]}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for r in encode(rows, PATH).collect():
+        assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids

@@ -68,3 +68,9 @@ def test_least_squares_and_counts():
     histogram = rng.integers(0, 1000, 64)
     counts = solve_counts(histogram, combos)
     assert (combos @ counts <= histogram).all() and (combos @ counts).sum() > 0.5 * histogram.sum()
+
+
+def test_words_of_equal_hashes_are_told_apart(spark, twins):
+    texts = {1: " ".join(twins), 2: twins[1], 3: twins[0]}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    verify(pack_documents(rows, PATH).collect(), texts, padding=1.0)

@@ -40,3 +40,13 @@ def test_odd_rows(spark, odd_docs):
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(r.text)
     assert judge_quality(odd_docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_lines_and_windows_of_equal_hashes_are_told_apart(spark, twins):
+    a, b = twins
+    words = "one two three four five six seven".split()
+    texts = [f"{a}\n{b}\n{a}", f"{a}\n{b}", " ".join([*words, a, *words, b]), " ".join([*words, a, *words, a, b]), "\n".join([a, " ", "", b, a + " ", a])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for r in judge_quality(rows, labels).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(texts[r.doc_id]), r.doc_id

@@ -1,7 +1,9 @@
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from meterlake.llm import queries
+from meterlake.llm.textbuf import slices
 from meterlake.llm.token_counts import MARK, UNKNOWN_PENALTY, UnigramTrie, count_tokens
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,3 +52,15 @@ def test_odd_rows(spark, odd_docs):
     assert count_tokens(odd_docs.limit(0), PATH).count() == 0
     assert UnigramTrie({"a": -1.0, MARK: -1.0}).counts([MARK + "aé", "", MARK]) == [4, 0, 1]
     assert UNKNOWN_PENALTY > 0
+
+
+def test_words_of_equal_hashes_are_told_apart(spark, twins):
+    trie = UnigramTrie.from_file(PATH)
+    a, b = twins
+    rows = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b} {a[:-1]}x")], "doc_id long, text string")
+    want = {1: plain(MARK + a, trie), 2: plain(MARK + b, trie)}
+    want[3] = want[1] + want[2] + plain(MARK + a[:-1] + "x", trie)
+    assert {r.doc_id: r.n_tokens for r in count_tokens(rows.coalesce(1), PATH).collect()} == want
+    t = next(slices(pa.array([f"{a} {b} {a}"])))[1]
+    words, place = t.distinct_words()
+    assert words == [a, b] and place.tolist() == [0, 1, 0]
