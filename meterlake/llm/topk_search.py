@@ -21,11 +21,16 @@ from meterlake.llm.scratch import table
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 BINS = 4096
+#: Bits of the parts that components are cut into where 64 bits don't hold a product, and how many sums of theirs a float holds.
+LIMB, LIMB_DIMS = 22, 256
 _PACKED = "part long, dim long, ids binary, lows binary, cells binary"
 
 
 def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, cells): floor(scale * x) of every component. Vectors that are null or hold null or non-finite components, and rows without a key, are left out."""
+    """(key, cells): floor(scale * x) of every component, at most the greatest or least 64-bit integer.
+
+    Vectors that are null or hold null or non-finite components, and rows without a key, are left out.
+    """
     sound = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("cells"))
 
@@ -39,7 +44,9 @@ def _pack(rows: int):
             nonlocal part
             ids, lows, cells = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
             part += 1
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "dim": pa.array([dim], pa.int64()), "ids": [ids.tobytes()], "lows": [lows.tobytes()], "cells": [cells.tobytes()]})
+            least, most = int(cells.min(initial=0)), int(cells.max(initial=0))
+            kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "dim": pa.array([dim], pa.int64()), "ids": [ids.tobytes()], "lows": [lows.tobytes()], "cells": [cells.astype(kind).tobytes()]})
 
         for batch in batches:
             cells = batch.column("cells")
@@ -61,32 +68,61 @@ def _pack(rows: int):
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products: floats where they can hold every sum, else 64-bit integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    return (q.astype(float) @ c.astype(float).T).astype(np.int64) if most < 2**53 else q @ c.T
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
-    """(query ids, lows, candidate ids, scores, which pairs count, each query's k-th best here) of each pair of blocks."""
+    """Exact integer products, at most the greatest or least 64-bit integer: in floats where they hold every sum, else in 64 bits, else in limbs."""
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(1, q.shape[1])
+    if most < 2**53:
+        kind = np.float32 if most < 2**24 else np.float64
+        return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
+    return q.astype(np.int64) @ c.astype(np.int64).T if most < 2**62 else _wide_scores(q.astype(np.int64), c.astype(np.int64))
+
+
+def _wide_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products whose sums may leave 64 bits: sums of products of limbs are exact in floats, and carries join them."""
+    low = np.int64((1 << LIMB) - 1)
+    limbs = [[x & low, x >> LIMB & low, x >> 2 * LIMB] for x in (q, c)]
+    sums = [np.zeros((len(q), len(c)), np.int64) for _ in range(5)]
+    for i, a in enumerate(limbs[0]):
+        for j, b in enumerate(limbs[1]):
+            for d in range(0, q.shape[1], LIMB_DIMS):
+                sums[i + j] += (a[:, d : d + LIMB_DIMS].astype(float) @ b[:, d : d + LIMB_DIMS].T.astype(float)).astype(np.int64)
+    for i in range(4):
+        sums[i + 1] += sums[i] >> LIMB
+        sums[i] &= low
+    # the sum over 2 ** 44, cut off where it is far out of range; the two lowest limbs only add to it
+    high = (np.clip(sums[4], -2, 1) << 2 * LIMB) + (sums[3] << LIMB) + sums[2]
+    most = np.int64(1 << 63 - 2 * LIMB)
+    inside = (np.clip(high, -most, most - 1) << 2 * LIMB) + (sums[1] << LIMB) + sums[0]
+    return np.where(high >= most, np.iinfo(np.int64).max, np.where(high < -most, np.iinfo(np.int64).min, inside))
+
+
+def _matrix(cells: bytes, rows: int, dim: int) -> np.ndarray:
+    kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[len(cells) // (rows * dim)] if dim else np.int8
+    return np.frombuffer(cells, kind).reshape(rows, dim)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(query ids, lows, candidate ids, scores, which pairs count) of each pair of blocks."""
     for batch in batches:
         for q_ids, q_lows, q_cells, c_ids, c_cells, dim in zip(*(batch.column(n).to_pylist() for n in ("q_ids", "q_lows", "q_cells", "ids", "cells", "dim")), strict=True):
-            q, c = (np.frombuffer(x, np.int64).reshape(-1, dim) if dim else np.zeros((len(i) // 8, 0), np.int64) for x, i in ((q_cells, q_ids), (c_cells, c_ids)))
             qi, ci, lows = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64), np.frombuffer(q_lows, np.int64)
-            yield qi, lows, ci, _scores(q, c), qi[:, None] != ci[None, :]
+            yield qi, lows, ci, _scores(_matrix(q_cells, len(qi), dim), _matrix(c_cells, len(ci), dim)), qi[:, None] != ci[None, :]
 
 
 def _counted(k: int, width: int, span: int):
     """Histogram pass: of scores in [low, low + span), counts by bin of ``width``, from each block's own k-th best up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, lows, _, s, use in _pairs(batches, k):
-            bins = (s - lows[:, None]) // width
-            use = use & (bins >= 0) & (s < lows[:, None] + span)
+        places = span // width + 2
+        for qi, lows, _, s, use in _pairs(batches):
+            # unsigned, as a difference may take all of 64 bits; scores below wrap to differences beyond the span
+            over = s.view(np.uint64) - lows.view(np.uint64)[:, None]
+            bins = (over // np.uint64(width)).astype(np.int64)
+            use = use & (over <= np.uint64(span - 1))
             ranked = np.where(use, bins, -1)
             kth = np.partition(ranked, ranked.shape[1] - k, axis=1)[:, ranked.shape[1] - k] if ranked.shape[1] > k else np.zeros(len(qi), np.int64)
             row, col = np.nonzero(use & (bins >= kth[:, None]))
-            cell, count = np.unique(row * (span // width + 2) + bins[row, col], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"query_id": qi[cell // (span // width + 2)], "bin": cell % (span // width + 2), "n": count.astype(np.int64)})
+            cell, count = np.unique(row * places + bins[row, col], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"query_id": qi[cell // places], "bin": cell % places, "n": count.astype(np.int64)})
 
     return run
 
@@ -95,7 +131,7 @@ def _chosen(k: int):
     """Last pass: everything over the k-th value ``low``, and the k smallest ids of those that tie with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, lows, ci, s, use in _pairs(batches, k):
+        for qi, lows, ci, s, use in _pairs(batches):
             order = np.argsort(ci, kind="stable")
             s, use, ci = s[:, order], use[:, order], ci[order]
             tie = use & (s == lows[:, None])
@@ -110,8 +146,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
 
     Score: inner product of floor(scale * x) as integers; ties go to the smaller key; fewer rows than ``k`` are all
     returned. Vectors are compared with those of their own length. Rows of one key never find each other; as queries,
-    repeated rows of one key count once (the least vector). Integer products are exact up to 64 bits. Unsound vectors
-    (see ``quantised``) take no part; empty tables give no rows; other columns are ignored.
+    repeated rows of one key count once (the least vector). Scores are exact; those that 64 bits don't hold are the
+    greatest or least 64-bit integer, and tie as such. Unsound vectors (see ``quantised``) take no part; empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     cells = quantised(vectors, scale, key, vector).withColumn("low", F.lit(0).cast("long"))
@@ -121,8 +157,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
     bound, n, n_queries = cells.agg(F.max(F.aggregate("cells", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     if slots is None:
         slots = max(1, min(-(-n // BLOCK_ROWS), max(spark.sparkContext.defaultParallelism, -(-n // (64 * BLOCK_ROWS)))))
-    low = -int(min((bound or 0.0) + 1, 2.0**62))
-    span = -2 * low + 1
+    # no product exceeds the largest squared length
+    low = -int(min((bound or 0.0) * (1 + 1e-9) + 1, 2.0**63))
+    span = min(-2 * low + 1, 1 << 64)
 
     def meet(state: DataFrame, run, schema: str) -> DataFrame:
         """Every block of queries with its state against every block of candidates, slot by slot."""
@@ -140,7 +177,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
         reached = bins.join(need, "query_id").withColumn("seen", F.sum("n").over(down)).withColumn("last", F.min("bin").over(Window.partitionBy("query_id")))
         # the highest bin by which enough are seen; with too few rows in all, the lowest bin
         reached = reached.where((F.col("seen") >= F.col("need")) | (F.col("bin") == F.col("last"))).groupBy("query_id").agg(F.max_by(F.struct("bin", "seen", "n", "low", "need"), "bin").alias("x"))
-        need = table(reached.select("query_id", (F.col("x.low") + F.col("x.bin") * width).alias("low"), (F.col("x.need") - (F.col("x.seen") - F.col("x.n"))).alias("need")), "bounds")
+        half = width // 2  # in two steps, neither of which leaves 64 bits
+        need = table(reached.select("query_id", (F.col("x.low") + F.col("x.bin") * half + F.col("x.bin") * (width - half)).alias("low"), (F.col("x.need") - (F.col("x.seen") - F.col("x.n"))).alias("need")), "bounds")
         state = queries.join(need.select(F.col("query_id").alias("vec_id"), "low"), "vec_id")
         span = width
     found = meet(state, _chosen(k), "query_id long, vec_id long, score long")
