@@ -8,8 +8,10 @@ taken without stepping through the words; all other texts are stepped through to
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,20 +67,29 @@ def _cells(t: Texts, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, (g * np.uint32(0x9E3779B1) >> np.uint32(33 - CELLS.bit_length())).astype(np.int64)
 
 
-def _scripts(t: Texts, letters: np.ndarray) -> np.ndarray:
+def _points(t: Texts, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the characters outside ASCII, and their code points."""
+    lead = np.flatnonzero(letters >= 0xC0)
+    b = np.concatenate([t.buf, np.zeros(3, np.uint8)]).astype(np.int64)
+    first, second, third, fourth = (b[lead + i] for i in range(4))
+    tail = ((second & 63) << 12) | ((third & 63) << 6) | (fourth & 63)
+    return lead, np.where(first < 0xE0, ((first & 31) << 6) | (second & 63), np.where(first < 0xF0, ((first & 15) << 12) | ((second & 63) << 6) | (third & 63), ((first & 7) << 18) | tail))
+
+
+def _scripts(letters: np.ndarray, lead: np.ndarray, point: np.ndarray) -> np.ndarray:
     """Script of each byte that begins a letter (0: common or none)."""
     out = np.zeros(len(letters), np.int64)
     out[(letters >= 97) & (letters < 123)] = 1
-    lead = np.flatnonzero(letters >= 0xC0)
-    if len(lead):
-        b = np.concatenate([t.buf, np.zeros(3, np.uint8)]).astype(np.int64)
-        first, second, third, fourth = (b[lead + i] for i in range(4))
-        tail = ((second & 63) << 12) | ((third & 63) << 6) | (fourth & 63)
-        point = np.where(first < 0xE0, ((first & 31) << 6) | (second & 63), np.where(first < 0xF0, ((first & 15) << 12) | ((second & 63) << 6) | (third & 63), ((first & 7) << 18) | tail))
-        out[lead] = np.array(SCRIPT_CODES)[np.searchsorted(SCRIPT_STARTS, point, "right") - 1]
+    out[lead] = np.array(SCRIPT_CODES)[np.searchsorted(SCRIPT_STARTS, point, "right") - 1]
     return out
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    """For every code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 def _counter(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of cells (and, at CELLS + script, of scripts) by language, once for each task."""
 
@@ -91,7 +102,7 @@ def _counter(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for row, t in slices(pc.utf8_lower(batch.column("_text"))):
                 letters = _letters(t)
                 where, cell = _cells(t, letters)
-                script = _scripts(t, letters)
+                script = _scripts(letters, *_points(t, letters))
                 lang = np.array(langs[row : row + t.n])
                 doc = np.searchsorted(t.off, np.arange(len(letters)), "right") - 1
                 for k in np.unique(lang):
@@ -130,12 +141,13 @@ def _word_scores(t: Texts, model: LanguageModel) -> tuple[np.ndarray, np.ndarray
     """Scores of each word for each language, and the letters (code points) of each word."""
     letters = _letters(t)
     where, cell = _cells(t, letters)
-    script = _scripts(t, letters)
+    lead, point = _points(t, letters)
+    script = _scripts(letters, lead, point)
     word = np.searchsorted(t.starts, where, "right") - 1
     n, k = len(t.starts), len(model.names)
     scores = np.stack([np.bincount(word, model.table[cell, i], minlength=n) for i in range(k)], 1) if k else np.zeros((n, 0))
-    lead = where[(letters[where] & 0xC0) != 0x80]
-    size = np.bincount(np.searchsorted(t.starts, lead, "right") - 1, minlength=n)
+    own = np.concatenate([np.flatnonzero((letters >= 97) & (letters < 123)), lead[_is_letter()[point]]])
+    size = np.bincount(np.searchsorted(t.starts, own, "right") - 1, minlength=n)
     foreign = np.flatnonzero(script > 1)
     if k and len(foreign) or (k and not model.writes[1].all()):
         used = np.flatnonzero(script > 0)
@@ -192,15 +204,6 @@ def _viterbi(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     return label
 
 
-def _has_letter(t: Texts) -> np.ndarray:
-    ascii_letter = np.zeros(256, bool)
-    ascii_letter[65:91] = ascii_letter[97:123] = True
-    found = t.per_text(ascii_letter[t.buf]) > 0
-    for i in np.flatnonzero(~found & (t.per_text(t.buf >= 128) > 0)):
-        found[i] = any(c.isalpha() for c in t.buf[t.off[i] : t.off[i + 1]].tobytes().decode("utf-8", "replace"))
-    return found
-
-
 def _labeller(model: LanguageModel, n: int, text_at: int, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.names)
@@ -211,7 +214,7 @@ def _labeller(model: LanguageModel, n: int, text_at: int, spans: bool) -> Callab
                 label = _viterbi(scores, t.first) if k else np.zeros(len(size), np.int64)
                 share = np.stack([t.per_word_text(size * (label == i)) for i in range(k)], 1) if k else np.zeros((t.n, 0))
                 letters = t.per_word_text(size)
-                has = _has_letter(t) & (k > 0)
+                has = (letters > 0) & (k > 0)
                 best = np.where(has, share.argmax(axis=1), k) if k else np.full(t.n, k)
                 score = np.where(has, share[np.arange(t.n), np.minimum(best, k - 1)] / np.maximum(letters, 1), 0.0) if k else np.zeros(t.n)
                 kept = batch.slice(row, t.n).select(range(n))

@@ -95,7 +95,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_neighbours(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, key: str = "doc_id", text: str = "text", label: str = "quality") -> NeighbourModel:
     """Latent vectors of about ``per_class`` labelled documents of each class, none of them held out."""
     sample, counts = labelled_sample(docs, labels, label, per_class, key, text)
-    rows = sample.mapInArrow(_sampled, "label int, cells binary, counts binary").limit(2 * per_class + 500).toArrow()
+    rows = sample.mapInArrow(_sampled, "label int, cells binary, counts binary").toArrow()
     y = rows.column("label").to_numpy().astype(np.float32)
     x = np.zeros((len(y), CELLS), np.float32)
     for i, (a, c) in enumerate(zip(rows.column("cells").to_pylist(), rows.column("counts").to_pylist(), strict=True)):

@@ -190,7 +190,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, k
     of both classes there is nothing to learn: every text gets the probability of the one class, or 1/2.
     """
     sample, counts = labelled_sample(docs, labels, "quality", per_class, key, text)
-    rows = sample.mapInArrow(_features, "label int, cells binary, values binary").limit(2 * per_class + 500).toArrow()
+    rows = sample.mapInArrow(_features, "label int, cells binary, values binary").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return np.zeros(CELLS, np.float32), 30.0 * (2 * y.mean() - 1) if len(y) else 0.0

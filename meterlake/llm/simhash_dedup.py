@@ -1,11 +1,12 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``DISTANCE`` bits differ in at most as many bytes, so that they share at
-least 8 - DISTANCE of their eight positional bytes: the guaranteed minimum. The index has a posting for each choice of
-that many byte positions with the bytes found there, and a pair meets in a posting only if its tally of shared bytes
-reaches the minimum. The bytes left open bound a posting's fingerprints (two bytes: 65,536), however large a group of
-copies is, because equal fingerprints were merged before. Inside a posting, differences are verified bit by bit, and a posting
-gives the links of a spanning forest, fewer than it has members, never all pairs.
+least 8 - DISTANCE of their eight positional bytes: the guaranteed minimum. Postings of single bytes would each hold a
+256th of all fingerprints. The index therefore has a posting for each choice of that many positions with the bytes found
+there: whatever reaches the minimum meets in one, and nothing else does. The bytes left open bound a posting's
+fingerprints (two bytes: 65,536), however large a group of copies is, because equal fingerprints were merged before. In
+a posting, shared positional bytes are tallied per pair, pairs that reach the minimum are verified bit by bit, and the
+posting gives the links of a spanning forest, fewer than it has members, never all pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from meterlake.llm.word_tokens import text_slices
 DISTANCE = 2
 SHINGLE_WORDS = 3
 SEED = 42
+#: Fingerprints that stand for more than one of so many rows are looked up in a broadcast table, which holds fewer than this.
+HEAVY = 1000
 #: Postings of up to this size compare all their members; larger ones look up each member's neighbours.
 SMALL = 128
 
@@ -75,12 +78,18 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     return inner.mapInArrow(_fingerprinter(len(keep)), schema).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_print").alias("fingerprint"))
 
 
+def _near(difference: np.ndarray, distance: int) -> np.ndarray:
+    """Whether pairs share enough positional bytes, by tally, and then differ in few enough bits."""
+    shared = sum(((difference >> np.uint64(8 * i)) & np.uint64(0xFF)) == 0 for i in range(8))
+    return (shared >= 8 - distance) & (np.bitwise_count(difference) <= distance)
+
+
 def _forest(members: np.ndarray, free: int, distance: int) -> np.ndarray:
     """For each of a posting's distinct fingerprints the place of the first that it is linked to, directly or through others."""
     n = len(members)
     label = np.arange(n)
     if n <= SMALL:
-        near = np.bitwise_count(members[:, None] ^ members[None, :]) <= distance
+        near = _near(members[:, None] ^ members[None, :], distance)
         while True:
             low = np.where(near, label[None, :], n).min(axis=1)
             if (low == label).all():
@@ -121,7 +130,7 @@ def _links(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 start, end = start[:-1], end[:-1]
             pair = np.flatnonzero(end - start == 2)
             a, b = prints[start[pair]].view(np.uint64), prints[start[pair] + 1].view(np.uint64)
-            ok = np.bitwise_count(a ^ b) <= distance
+            ok = _near(a ^ b, distance)
             src, dst = [prints[start[pair] + 1][ok]], [prints[start[pair]][ok]]
             for i in np.flatnonzero(end - start > 2):
                 own = prints[start[i] : end[i]]
@@ -157,13 +166,18 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), distan
     other columns don't matter. ``key`` must be one of ``keep``.
     """
     found = table(fingerprints(docs, keep, text), "fingerprints")
-    distinct = found.groupBy("fingerprint").agg(F.min(key).alias("_low"))
+    distinct = found.groupBy("fingerprint").agg(F.min(key).alias("_low"), F.count("*").alias("_n"))
     members = connected_components(link_fingerprints(distinct.select("fingerprint"), distance)).withColumnRenamed("node", "fingerprint")
     chained = distinct.join(members, "fingerprint")
     lowest = chained.groupBy("component").agg(F.min("_low").alias("_least"))
-    by_print = distinct.join(chained.join(lowest, "component").select("fingerprint", "_least"), "fingerprint", "left").select("fingerprint", F.coalesce("_least", "_low").alias("component_id"))
+    by_print = distinct.join(chained.join(lowest, "component").select("fingerprint", "_least"), "fingerprint", "left").select("fingerprint", "_n", F.coalesce("_least", "_low").alias("component_id"))
+    by_print = table(by_print, "components")
     hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
-    return found.join(by_print, "fingerprint").select(*keep, hexed.alias("fingerprint"), "component_id")
+    # a fingerprint of very many rows is looked up where they are, not gathered in one task
+    most = F.lit(found.count() / HEAVY)
+    heavy = F.broadcast(by_print.where(F.col("_n") > most).drop("_n"))
+    few = found.join(heavy.select("fingerprint"), "fingerprint", "left_anti").join(by_print.where(F.col("_n") <= most).drop("_n"), "fingerprint")
+    return found.join(heavy, "fingerprint").unionByName(few).select(*keep, hexed.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,10 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from meterlake.llm import queries
-from meterlake.llm.language_id import SWITCH, _viterbi, fit_languages, identify_languages
-from meterlake.llm.quality_classifier import score_quality
+from meterlake.llm.labelled import labelled_sample
+from meterlake.llm.language_id import CELLS, SWITCH, _viterbi, _word_scores, fit_languages, identify_languages
+from meterlake.llm.quality_classifier import BLOCK, NEIGHBOURS, SHARPNESS, _blocks, _votes, fit_neighbours, score_quality
+from meterlake.llm.textbuf import slices
 
 
 def held(doc_id):
@@ -68,3 +71,64 @@ def test_odd_rows_of_quality(spark, odd_docs):
     assert all(r.score == 0 for r in got if not (r.text or "").strip())
     assert score_quality(odd_docs, labels.limit(0)).where("score NOT IN (0, 0.5)").count() == 0
     assert score_quality(odd_docs.limit(0), labels).count() == 0
+
+
+def test_word_scores_are_sums_over_their_letters(spark, sf):
+    """Scores and letters of each word, byte by byte."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit_languages(docs)
+    texts = ["été — ça! x—y 12 don't", "der straße…", "", "日本 a", *(r.text.lower()[:400] for r in docs.orderBy("doc_id").limit(20).collect())]
+    for row, t in slices(pa.array(texts)):
+        scores, sizes = _word_scores(t, model)
+        at = 0
+        for i in range(t.n):
+            text = texts[row + i].encode()
+            shown = [b if 97 <= b < 123 or b >= 128 else 32 for b in text]
+            padded = [32, *shown, 32, 32]
+            place = 0
+            for word in text.split():
+                place = text.index(word, place)
+                own = [k for k in range(place, place + len(word)) if shown[k] != 32]
+                cells = [(sum(padded[k + j] << 8 * j for j in range(4)) * 0x9E3779B1 % (1 << 32)) >> 33 - CELLS.bit_length() for k in own]
+                assert np.allclose(scores[at], model.table[cells].sum(axis=0), atol=1e-3) or (scores[at] < -1e5).any()
+                assert sizes[at] == sum(c.isalpha() for c in word.decode())
+                place, at = place + len(word), at + 1
+        assert at == len(scores)
+
+
+def test_dashes_are_no_letters(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    french = docs.where("lang = 'fr' AND n_chars > 3000").orderBy("doc_id").first().text[:1500]
+    rows = spark.createDataFrame([(1, french), (2, french + " —" * 2000), (3, "— … 12 😀")], "doc_id long, text string")
+    one, two, three = identify_languages(rows, model=fit_languages(docs)).orderBy("doc_id").collect()
+    assert (one.lang_pred, two.lang_pred, three.lang_pred) == ("fr", "fr", "und") and abs(one.score - two.score) < 0.02 and three.score == 0
+
+
+def test_votes_against_all_cosines(spark, sf):
+    """The nearest labelled vectors vote, each by a power of its cosine."""
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = fit_neighbours(docs, labels)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(BLOCK + 40).collect()]
+    got = np.concatenate([_votes(x, model) for _, t in slices(pa.array(texts)) for _, _, x in _blocks(t)])
+    counts = np.concatenate([x for _, t in slices(pa.array(texts)) for _, _, x in _blocks(t)])
+    assert len(got) == len(texts)
+    for x, score in zip(counts.astype(float), got, strict=True):
+        latent = (x * model.idf) @ model.axes.astype(float)
+        cosines = [float(v @ latent / max(np.linalg.norm(latent), 1e-12)) for v in model.vectors.astype(float)]
+        near = sorted(range(len(cosines)), key=lambda i: -cosines[i])
+        cut = cosines[near[NEIGHBOURS - 1]]
+        if cut - cosines[near[NEIGHBOURS]] < 1e-4:
+            continue  # which of two alike is the last to vote depends on rounding
+        votes = [(max(cosines[i], 1e-3) ** SHARPNESS * model.weights[i], model.labels[i]) for i in near[:NEIGHBOURS]]
+        assert abs(score - sum(w for w, y in votes if y == 1) / sum(w for w, _ in votes)) < 1e-3
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40} {i // 400}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(500)] + [(3, 0)], "doc_id long, quality int")
+    sample, counts = labelled_sample(docs, labels, "quality", 7)
+    rows = sample.collect()
+    again = labelled_sample(docs.repartition(7), labels.repartition(3), "quality", 7)[0].collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert 0 < len(rows) <= 14 and len({r._text.split()[1] for r in rows}) == len(rows)
+    assert sum(counts.values()) == sum(not held(i % 50) for i in range(500)) + (not held(3))

@@ -1,8 +1,12 @@
+import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from meterlake.llm import queries
-from meterlake.llm.quality_rules import judge_quality
+from meterlake.llm.quality_rules import CELLS, fit_quality, judge_quality
+from meterlake.llm.textbuf import range_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,3 +54,20 @@ def test_lines_and_windows_of_equal_hashes_are_told_apart(spark, twins):
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     for r in judge_quality(rows, labels).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(texts[r.doc_id]), r.doc_id
+
+
+def test_probabilities_against_plain_sums(spark, sf):
+    """Mean weight of the words plus mean weight of all runs of four bytes, through the calibrated sigmoid."""
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    weights, shift = model = fit_quality(docs, labels)
+    some = docs.orderBy("doc_id").limit(120)
+    got = {r.doc_id: r.probability for r in judge_quality(some, labels, model=model).collect()}
+    for r in some.collect():
+        text = (r.text or "").encode()
+        words = [m.encode() for m in WORD.findall(r.text or "")]
+        cell = lambda w: int(range_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) % (CELLS // 2)
+        by_word = [float(weights[cell(w)]) for w in words]
+        grams = [int.from_bytes(text[i : i + 4], "little") * 0x9E3779B1 % (1 << 32) >> 33 - CELLS.bit_length() + 1 for i in range(len(text) - 3)]
+        by_gram = [float(weights[g + CELLS // 2]) for g in grams]
+        z = 30 * (sum(by_word) / max(len(by_word), 1) + sum(by_gram) / max(len(by_gram), 1)) + shift
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-5

@@ -99,3 +99,15 @@ def test_places_are_read_not_numbered_again(spark, tmp_path, monkeypatch):
         spark.conf.set(size, before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert kept == list(range(0, 400, 2))
+
+
+def test_a_third_of_all_rows_of_one_fingerprint(spark):
+    """Fingerprints of many rows take the broadcast way, the rest the other."""
+    rows = [(i, "one text that is copied very often") for i in range(700)] + [(700 + i, f"text {i // 2} of its own, twice {i // 2 * 7919} over") for i in range(1500)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: brute_print(t) for i, t in rows}
+    group, least = brute_groups(prints.values()), {}
+    for i, p in sorted(prints.items()):
+        least.setdefault(id(group[p]), i)
+    assert got == {i: least[id(group[p])] for i, p in prints.items()}
+    assert {got[i] for i in range(700)} == {0}

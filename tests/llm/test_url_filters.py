@@ -1,4 +1,6 @@
-from meterlake.llm.url_filters import judge_urls
+import random
+
+from meterlake.llm.url_filters import RULES, judge_urls
 
 SCHEMA = "page_id long, url string, html string, verdict int, host string"
 LINK = '<html><head><link rel="canonical" href="{}"></head>'
@@ -27,3 +29,40 @@ def test_decisions_follow_links_and_allow_goes_first(spark):
     assert verdicts == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow", 7: "allow", 8: "block", 9: "allow", 10: "allow"}
     assert {r.page_id: (r.host, r.path) for r in got if r.page_id > 8} == {9: ("", ""), 10: ("", "")}
     assert judge_urls(pages.limit(0)).count() == 0
+
+
+def plain_rule(host, path):
+    fits = [(len(h + p), v, h + p) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_random_links_against_a_plain_walk(spark):
+    rng = random.Random(8)
+    names = [f"{h}{p}{i}" for h in ("a.com", "www.example.com", "b.net", "example.net", "c.org", "d.io") for p in ("/en/", "/de/", "/es/", "/x/") for i in (7, 8, 9)]
+    urls = ["http://" + n for n in names]
+    rows, links = [], []
+    for i, u in enumerate(urls):
+        to = rng.sample(urls, rng.choice([0, 0, 1, 1, 2]))
+        links += [(i, urls.index(t)) for t in to]
+        rows.append((i, u, "".join(LINK.format(t) for t in to), 0, "x"))
+    rows += [(1000 + i, u, None, None, None) for i, u in enumerate(urls[:9])]
+    long = "http://long.com/x/" + "y" * 300_000
+    rows.append((2000, long, LINK.format("http://c.org/es/7"), 0, "x"))
+    log = [(rng.choice(urls), rng.choice(urls)) for _ in range(12)] + [("http://unseen.io/", urls[3]), (long, "http://c.org/es/7")]
+    links += [(urls.index(a), urls.index(b)) for a, b in log if a in urls and b in urls]
+    group = {i: {i} for i in range(len(urls))}
+    for a, b in links:
+        if group[a] is not group[b]:
+            merged = group[a] | group[b]
+            group.update(dict.fromkeys(merged, merged))
+    split = lambda n: (n.partition("/")[0], "/" + n.partition("/")[2])
+    own = {i: plain_rule(*split(n)) for i, n in enumerate(names)}
+    shared = {i: "allow" if any(own[j][0] == "allow" for j in g) else "block" if any(own[j][0] == "block" for j in g) else "allow" for i, g in group.items()}
+    want = {i: (own[i][1], own[i][0] or shared[i]) for i in range(len(urls))}
+    want |= {1000 + i: want[i] for i in range(9)}
+    end = names.index("c.org/es/7")
+    pages = spark.createDataFrame(rows, SCHEMA)
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, redirects=spark.createDataFrame(log, "src string, dst string")).collect()}
+    assert got.pop(2000) == (None, shared[end])
+    assert got == want
+    assert {v for _, v in want.values()} == {"allow", "block"} and any(r is None and v == "block" for r, v in want.values())
