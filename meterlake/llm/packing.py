@@ -7,13 +7,14 @@ As lengths are counted in classes, a window of classes leaves a small gap. The d
 a share held back for it, are laid end to end and cut to fill the gaps exactly; what is left over is cut into
 full windows, and the very end into windows whose lengths are powers of two, which need no padding.
 
-Only the histogram reaches the driver. Who goes where follows from running numbers, which are counted in slots of
-bounded size, so that no task sees a whole length class.
+Only the histogram reaches the driver. Who goes where follows from running numbers, which are counted in slots whose size
+and number grow with the square root of the rows, so that no task sees a whole length class.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,8 +32,6 @@ END_ID = 2
 CLASSES = 64
 #: Most lengths in an enumerated combination; windows of one repeated class may have more.
 DEPTH = 3
-#: Rows numbered together in one task, about.
-SLOT_ROWS = 100_000
 #: Tokens of the line of gaps whose cuts are found together.
 LINE_BLOCK = 65_536
 
@@ -102,8 +101,8 @@ def solve_counts(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
 
 def _numbered(rows: DataFrame, row: str, by: str | None, **values: Column) -> DataFrame:
     """``rows`` with the running sums of ``values`` before each row (within each value of ``by``, if given), in an order that depends on the data alone."""
-    n = rows.count()
-    slots = max(1, -(-n // SLOT_ROWS))
+    # as many slots as rows in each, about: neither those in a slot nor the slots' totals are many
+    slots = max(1, math.isqrt(rows.count()))
     groups = [by] if by else []
     dealt = rows.withColumns({"_slot": F.pmod(F.xxhash64(row), F.lit(slots)).cast("int")} | {f"_v_{k}": v for k, v in values.items()})
     ahead = Window.partitionBy("_slot", *groups).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
