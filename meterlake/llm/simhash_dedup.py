@@ -16,48 +16,25 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.components import connected_components
+from meterlake.llm.heavy import looked_up
 from meterlake.llm.scratch import table
+from meterlake.llm.shingles import digests_of, fingerprint_of, joined_words
 from meterlake.llm.word_tokens import text_slices
 
 #: Differing bits up to which fingerprints are linked.
 DISTANCE = 2
 SHINGLE_WORDS = 3
-SEED = 42
-#: Fingerprints that stand for more than one of so many rows are looked up in a broadcast table, which holds fewer than this.
-HEAVY = 1000
 #: Postings of up to this size compare all their members; larger ones look up each member's neighbours.
 SMALL = 128
 
 
-def shingle_digests(text: bytes, words: int) -> list[int]:
-    """XXH64 of each of the text's shingles, in order; of all its words if there are no more than ``words``, and none for no words."""
-    joined = b" ".join(text.lower().split())
-    if not joined:
-        return []
-    gap = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
-    if len(gap) + 1 <= words:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    starts = [0, *(gap[: len(gap) + 1 - words] + 1).tolist()]
-    ends = [*gap[words - 1 :].tolist(), len(joined)]
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)]
-
-
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     """Bits set in over half of the XXH64 of the text's shingles, repeats included; 0 for no words."""
-    hashes = shingle_digests(text, words)
-    if not hashes:
-        return 0
-    count = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], "<u8")
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+    return fingerprint_of(digests_of(joined_words(text), words))
 
 
 def _fingerprinter(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -173,11 +150,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), distan
     by_print = distinct.join(chained.join(lowest, "component").select("fingerprint", "_least"), "fingerprint", "left").select("fingerprint", "_n", F.coalesce("_least", "_low").alias("component_id"))
     by_print = table(by_print, "components")
     hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
-    # a fingerprint of very many rows is looked up where they are, not gathered in one task
-    most = F.lit(found.count() / HEAVY)
-    heavy = F.broadcast(by_print.where(F.col("_n") > most).drop("_n"))
-    few = found.join(heavy.select("fingerprint"), "fingerprint", "left_anti").join(by_print.where(F.col("_n") <= most).drop("_n"), "fingerprint")
-    return found.join(heavy, "fingerprint").unionByName(few).select(*keep, hexed.alias("fingerprint"), "component_id")
+    return looked_up(found, by_print, "fingerprint").select(*keep, hexed.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:

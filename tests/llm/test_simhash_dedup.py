@@ -11,11 +11,11 @@ from meterlake.llm.simhash_dedup import _forest, link_fingerprints, near_duplica
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_print(text):
+def brute_print(text, n=3):
     words = WORD.findall(re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or [" ".join(words)]
     hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
