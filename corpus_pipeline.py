@@ -16,7 +16,6 @@ from meterlake.llm.packing import pack_documents
 from meterlake.llm.quality_rules import judge_quality
 from meterlake.llm.scratch import table
 from meterlake.llm.secret_scan import redact_secrets
-from meterlake.llm.simhash_dedup import one_of_each
 
 #: A text is rejected if the language of most of its letters has less than this share of them.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -37,9 +36,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id.
 
-    Close fingerprints go first; what is left is compared by its sets of five-word shingles.
+    Close fingerprints are linked, and so are sets of five-word shingles of a similarity of 0.8 or more.
     """
-    return one_of_each_alike(one_of_each(docs)).select(docs.columns)
+    return one_of_each_alike(docs).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
