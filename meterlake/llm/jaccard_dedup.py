@@ -35,7 +35,7 @@ BANDS, ROWS = 25, 5
 #: Bands of the first comparison.
 FIRST_BANDS = 5
 #: Texts, and shingles, in a block, about; a longer text has more.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 21
+BLOCK_ROWS, BLOCK_SHINGLES = 64, 1 << 20
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Sides of a pair of blocks; within BOTH all texts are compared, else those of different sides.
 _LEFT, _RIGHT, _BOTH = 0, 1, 2
