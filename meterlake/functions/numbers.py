@@ -75,16 +75,24 @@ def heat_level(value: Column, most: Column) -> Column:
     return F.when((value <= 0) | (most <= 0), 0).when(r < 0.25, 1).when(r < 0.5, 2).when(r < 0.75, 3).otherwise(4)
 
 
+def _one_decimal(n: Column, size: int, mark: str) -> Column:
+    """A whole number of so many to one, with one decimal, halves up: in whole numbers, so that it depends on no float's last bit."""
+    n = n.cast("long") + size // 20
+    tenths = (n - F.pmod(n, F.lit(size // 10))) / (size // 10)
+    tenths = tenths.cast("long")
+    return F.concat(((tenths - F.pmod(tenths, F.lit(10))) / 10).cast("long").cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(mark))
+
+
 def short_number(n: Column) -> Column:
     """Thousands, millions and billions with one decimal and K, M, B."""
-    out = F.format_string("%d", n.cast("long"))
+    out = n.cast("long").cast("string")
     for size, mark in ((1_000, "K"), (1_000_000, "M"), (1_000_000_000, "B")):
-        out = F.when(n >= size, F.format_string(f"%.1f{mark}", n / float(size))).otherwise(out)
+        out = F.when(n >= size, _one_decimal(n, size, mark)).otherwise(out)
     return out
 
 
 def short_duration(ms: Column) -> Column:
-    return F.when(ms >= 1000, F.format_string("%.1fs", ms / 1000.0)).otherwise(F.format_string("%dms", ms.cast("long")))
+    return F.when(ms >= 1000, _one_decimal(ms, 1000, "s")).otherwise(F.concat(ms.cast("long").cast("string"), F.lit("ms")))
 
 
 def converted(usd: Column, rates: dict[str, float], currency: Column) -> Column:

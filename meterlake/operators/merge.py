@@ -42,11 +42,22 @@ def local_observations(local: DataFrame, remote: DataFrame | None = None) -> Dat
     return first_per_key(own, F.col("_origin"), F.col("timestamp"), *(F.col(c) for c in ("session_id", "model", "total_tokens"))).drop("_origin")
 
 
+def message_sessions(messages: DataFrame) -> DataFrame:
+    """(message_id, session_id): of a message's records (message_id, session_id, timestamp) the last that names a session; of equal times the greater name."""
+    known = messages.where(~is_blank(F.col("message_id")) & ~is_blank(F.col("session_id")))
+    return known.groupBy("message_id").agg(F.max_by("session_id", F.struct("timestamp", "session_id")).alias("session_id"))
+
+
+def with_messages(records: DataFrame, ids: DataFrame, key: str = "message_id") -> DataFrame:
+    """The records, however many, of a list of ids."""
+    return records.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def proxy_observations(proxy: DataFrame, messages: DataFrame | None = None) -> DataFrame:
-    """Proxy rows, keyed; of one key the latest stays. ``messages`` (message_id, session_id) fills blank sessions."""
+    """Proxy rows, keyed; of one key the latest stays. ``messages`` (message_id, session_id, timestamp) fills blank sessions."""
     own = keyed_proxy(proxy)
     if messages is not None:
-        known = messages.where(~is_blank(F.col("message_id")) & ~is_blank(F.col("session_id"))).groupBy("message_id").agg(F.max("session_id").alias("_session"))
+        known = message_sessions(messages).withColumnRenamed("session_id", "_session")
         own = own.join(known, "message_id", "left").withColumn("session_id", F.when(is_blank(F.col("session_id")), F.col("_session")).otherwise(F.col("session_id"))).drop("_session")
     return first_per_key(own, F.desc("timestamp"), F.desc("duration_ms"), F.desc("output_tokens"))
 
@@ -66,7 +77,7 @@ def merge_facts(
     ``chosen`` restricts proxy rows (by source, say) as visibility does: rows left out still keep local twins out.
     A source filter has no local rows: pass ``keep_local_only=False``.
     """
-    p_all = proxy_observations(proxy, local.select("message_id", "session_id"))
+    p_all = proxy_observations(proxy, local.select("message_id", "session_id", "timestamp"))
     visible = F.lit(True) if include_errors else F.col("status_code").between(200, 299)
     p = p_all.withColumn("_seen", F.coalesce(visible & (chosen if chosen is not None else F.lit(True)), F.lit(False)))
     ours = local_observations(local, remote)

@@ -59,11 +59,26 @@ _ADDED = ("requests", "local_requests", "proxy_requests", "input_tokens", "outpu
 
 def remeasured(metrics: DataFrame, *by: str) -> DataFrame:
     """Metrics of metrics: the same as measuring the facts below them at once."""
-    return metrics.groupBy(*by).agg(
+    return metrics.groupBy(*by).agg(*added_up())
+
+
+def added_up() -> list[Column]:
+    """Aggregates over metrics."""
+    return [
         *(_sum(F.col(c), otherwise=0.0 if c in ("cost", "rate_sum") else 0).alias(c) for c in _ADDED),
         *(F.min(c).alias(c) for c in ("min_rate", "min_ttft_ms")),
         *(F.max(c).alias(c) for c in ("max_rate", "max_ttft_ms", "last_seen_ms")),
-    )
+    ]
+
+
+def is_measured(rows: DataFrame) -> bool:
+    """Whether rows are metrics already (of cells, say) and not facts."""
+    return "rate_count" in rows.columns
+
+
+def measures(rows: DataFrame, *by: str) -> DataFrame:
+    """Metrics of facts, or of metrics that were stored before."""
+    return remeasured(rows, *by) if is_measured(rows) else measured(rows, *by)
 
 
 def averages() -> list[Column]:
@@ -73,12 +88,13 @@ def averages() -> list[Column]:
 
 def status_histogram(facts: DataFrame, *by: str) -> DataFrame:
     """(by, status_code, requests); rows without a status don't count."""
-    return facts.where("status_code IS NOT NULL").groupBy(*by, "status_code").agg(F.sum(_weight()).alias("requests"))
+    n = F.col("requests") if is_measured(facts) else _weight()
+    return facts.where("status_code IS NOT NULL").groupBy(*by, "status_code").agg(F.sum(n).alias("requests"))
 
 
 def status_block(facts: DataFrame) -> DataFrame:
     """One row: successes, errors by class and the success rate in percent of those."""
-    m = measured(facts)
+    m = measures(facts)
     errors = F.col("client_errors") + F.col("server_errors")
     return m.select("success_requests", "client_errors", "server_errors", errors.alias("error_requests"), percent(F.col("success_requests"), F.col("success_requests") + errors).alias("success_rate"))
 
@@ -91,7 +107,7 @@ def capabilities(facts: DataFrame) -> DataFrame:
 
 def coverage(facts: DataFrame, weighted: bool = False) -> DataFrame:
     """One row: facts (or, weighted, requests) with and without the proxy, and whether both kinds occur."""
-    n = _weight() if weighted else F.lit(1)
+    n = F.col("requests" if weighted else "facts") if is_measured(facts) else _weight() if weighted else F.lit(1)
     local, merged = F.col("coverage_origin") == LOCAL_ONLY, F.col("coverage_origin") == MERGED
     out = facts.agg(_sum(n).alias("total"), _sum(n, ~local).alias("proxy_backed"), _sum(n, local).alias("local_only"), _sum(n, merged).alias("overlap"))
     return out.withColumn("is_partial", (F.col("proxy_backed") > 0) & (F.col("local_only") > 0))

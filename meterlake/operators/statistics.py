@@ -1,4 +1,8 @@
-"""The statistics report: totals, trend, models, performance and insights of a time range."""
+"""The statistics report: totals, trend, models, performance and insights of a time range.
+
+Every function takes facts, or ``cells`` of them: metrics by bucket, model, status and coverage, from which all of the report
+follows without going over the facts again.
+"""
 
 from __future__ import annotations
 
@@ -7,47 +11,58 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import bucket_label, bucket_spine, bucket_start
 from meterlake.functions.numbers import percent
-from meterlake.operators.metrics import averages, measured, ranked_shares
+from meterlake.operators.metrics import added_up, averages, fact_metrics, measured, measures, ranked_shares
 
 METRIC = {"tokens": "total_tokens", "cost": "cost", "requests": "requests"}
 TREND_MODELS, DISTRIBUTION_MODELS, INSIGHTS = 6, 5, 4
 
 
+def cells(facts: DataFrame, step: int, tz: str = "UTC") -> DataFrame:
+    """Metrics, and the number of facts, by bucket, model, status and coverage: a report's whole input, whatever the number of facts."""
+    return _bucketed(facts, step, tz).groupBy("bucket_start", "model", "status_code", "coverage_origin").agg(*fact_metrics(), F.count("*").alias("facts"))
+
+
+def _bucketed(rows: DataFrame, step: int, tz: str) -> DataFrame:
+    return rows if "bucket_start" in rows.columns else rows.withColumn("bucket_start", bucket_start(F.col("timestamp_sec"), step, tz))
+
+
 def totals(facts: DataFrame) -> DataFrame:
-    m = measured(facts)
+    m = measures(facts)
     return m.select("requests", "local_requests", "proxy_requests", "total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "cost", "success_requests", (F.col("client_errors") + F.col("server_errors")).alias("error_requests"))
 
 
 def model_table(facts: DataFrame) -> DataFrame:
     """Models by tokens, with their percent of all tokens."""
-    m = ranked_shares(measured(facts, "model"))
+    m = ranked_shares(measures(facts, "model"))
     return m.select("model", "requests", "total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "cost", "percent", "success_requests", (F.col("client_errors") + F.col("server_errors")).alias("error_requests"), *averages()).orderBy(F.desc("total_tokens"), "model")
 
 
-def trend(facts: DataFrame, start: int, end: int, step: int, tz: str = "UTC", *by: str) -> DataFrame:
-    """Every bucket of the range in order, zeros where nothing happened; with ``by``, for each of its values that occurs."""
-    found = measured(facts.withColumn("bucket_start", bucket_start(F.col("timestamp_sec"), step, tz)), "bucket_start", *by)
-    spine = bucket_spine(facts.sparkSession, start, end, step, tz)
-    if by:
-        # groups are few (ranked models), and so are buckets: a small table of every pair
-        spine = spine.join(F.broadcast(found.select(*by).distinct()), F.lit(True))
-    counted = ("requests", "total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "cost")
-    filled = spine.join(found, ["bucket_start", *by], "left").fillna(0, list(counted))
-    return filled.select("bucket_start", bucket_label(F.col("bucket_start"), step, tz).alias("label"), *by, *counted).orderBy("bucket_start", *by)
+_COUNTED = ("requests", "total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "cost")
 
 
-def top_models(facts: DataFrame, n: int = TREND_MODELS) -> DataFrame:
-    return measured(facts, "model").orderBy(F.desc("total_tokens"), "model").limit(n).select("model")
+def trend(facts: DataFrame, start: int, end: int, step: int, tz: str = "UTC") -> DataFrame:
+    """Every bucket of the range in order, zeros where nothing happened."""
+    found = measures(_bucketed(facts, step, tz), "bucket_start")
+    filled = bucket_spine(facts.sparkSession, start, end, step, tz).join(found, "bucket_start", "left").fillna(0, list(_COUNTED))
+    return filled.select("bucket_start", bucket_label(F.col("bucket_start"), step, tz).alias("label"), *_COUNTED).orderBy("bucket_start")
 
 
 def model_trends(facts: DataFrame, start: int, end: int, step: int, tz: str = "UTC", n: int = TREND_MODELS) -> DataFrame:
-    """Trends of the ``n`` models of most tokens: ranked first, then only theirs are bucketed."""
-    return trend(facts.join(F.broadcast(top_models(facts, n)), "model", "left_semi"), start, end, step, tz, "model")
+    """Trends of the ``n`` models of most tokens, every bucket of the range for each.
+
+    A model's buckets, as many as the range has at most, lie in a map while the models are ranked.
+    """
+    found = measures(_bucketed(facts, step, tz), "bucket_start", "model")
+    at = F.map_from_entries(F.collect_list(F.struct("bucket_start", F.struct(*_COUNTED))))
+    best = found.groupBy("model").agg(F.sum("total_tokens").alias("_all"), at.alias("_at")).orderBy(F.desc("_all"), "model").limit(n)
+    pairs = best.join(F.broadcast(bucket_spine(facts.sparkSession, start, end, step, tz)), F.lit(True)).withColumn("_m", F.try_element_at("_at", F.col("bucket_start")))
+    filled = pairs.select("bucket_start", bucket_label(F.col("bucket_start"), step, tz).alias("label"), "model", *(F.col(f"_m.{c}").alias(c) for c in _COUNTED))
+    return filled.fillna(0, list(_COUNTED)).orderBy("bucket_start", "model")
 
 
 def performance(facts: DataFrame) -> DataFrame:
     """One row: sample-weighted means, the fastest model by rate, the slowest by first token, and the number of samples."""
-    by_model = measured(facts, "model").select("model", *averages(), "rate_sum", "rate_count", "ttft_sum", "ttft_count")
+    by_model = measures(facts, "model").select("model", *averages(), "rate_sum", "rate_count", "ttft_sum", "ttft_count")
     out = by_model.agg(
         F.coalesce(F.try_divide(F.sum("rate_sum"), F.sum("rate_count")), F.lit(0.0)).alias("avg_rate"),
         F.coalesce(F.try_divide(F.sum("ttft_sum").cast("double"), F.sum("ttft_count")), F.lit(0.0)).alias("avg_ttft_ms"),
@@ -63,28 +78,42 @@ def mean_of_model_means(by_model: DataFrame) -> DataFrame:
     return by_model.agg(F.avg("avg_rate").alias("avg_rate"), F.avg("avg_ttft_ms").alias("avg_ttft_ms"))
 
 
-def insights(facts: DataFrame, start: int, end: int, step: int, metric: str = "tokens", tz: str = "UTC") -> DataFrame:
+def insights(facts: DataFrame, step: int, metric: str = "tokens", tz: str = "UTC") -> DataFrame:
     """At most four rows (kind, level, value, model, date): peak bucket, top model, errors, slowest model."""
     value = METRIC[metric]
     shown = F.format_string("%.4f", value) if metric == "cost" else F.col(value).cast("string")
-    none = F.lit(None).cast("string")
-
-    def row(place: int, kind: str, level: str, text: Column, model: Column, date: Column) -> list[Column]:
-        return [F.lit(place).alias("place"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), text.alias("value"), model.alias("model"), date.alias("date")]
+    # buckets, models and the whole, in one pass over the cells
+    found = measures(_bucketed(facts, step, tz), "bucket_start", "model")
+    sets = found.groupingSets([["bucket_start"], ["model"], []], "bucket_start", "model").agg(F.grouping_id().alias("_g"), *added_up())
+    bucket, model, whole = F.col("_g") == 1, F.col("_g") == 2, F.col("_g") == 3
+    ttft = F.try_divide(F.col("ttft_sum").cast("double"), F.col("ttft_count"))
+    one = sets.groupBy().agg(
+        F.max_by(F.struct(shown.alias("shown"), bucket_label(F.col("bucket_start"), step, tz).alias("label")), F.when(bucket & (F.col(value) > 0), F.struct(value, "bucket_start"))).alias("peak"),
+        F.min_by(F.struct("model", "total_tokens"), F.when(model, F.struct(-F.col("total_tokens"), "model"))).alias("best"),
+        F.max(F.when(whole, F.col("total_tokens"))).alias("total"),
+        F.max(F.when(whole, F.col("client_errors") + F.col("server_errors"))).alias("errors"),
+        F.max_by("model", F.when(model & ttft.isNotNull(), F.struct(ttft, "model"))).alias("slowest"),
+        F.max(F.when(whole, ttft)).alias("ttft"),
+    )
 
-    peak = trend(facts, start, end, step, tz).groupBy().agg(F.max_by(F.struct(shown.alias("shown"), "label", F.col(value).cast("double").alias("v")), F.struct(value, "bucket_start")).alias("x")).where("x.v > 0")
-    best = model_table(facts).limit(1)
-    block = totals(facts).where("error_requests > 0")
-    slow = performance(facts).where("slowest_model IS NOT NULL")
-    out = peak.select(*row(1, "peak", "info", F.col("x.shown"), none, F.col("x.label")))
-    out = out.unionByName(best.select(*row(2, "topModel", "info", F.format_string("%.1f", "percent"), F.col("model"), none)))
-    out = out.unionByName(block.select(*row(3, "errors", "warning", F.col("error_requests").cast("string"), none, none)))
-    return out.unionByName(slow.select(*row(4, "slowestModel", "info", F.format_string("%.0f", "avg_ttft_ms"), F.col("slowest_model"), none))).orderBy("place").limit(INSIGHTS)
+    def row(place: int, kind: str, level: str, when: Column, text: Column, model: Column | None = None, date: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.when(when, F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), text.alias("value"), (none if model is None else model).alias("model"), (none if date is None else date).alias("date")))
+
+    rows = F.array_compact(
+        F.array(
+            row(1, "peak", "info", F.col("peak").isNotNull(), F.col("peak.shown"), date=F.col("peak.label")),
+            row(2, "topModel", "info", F.col("best").isNotNull(), F.format_string("%.1f", percent(F.col("best.total_tokens"), F.col("total"))), F.col("best.model")),
+            row(3, "errors", "warning", F.col("errors") > 0, F.col("errors").cast("string")),
+            row(4, "slowestModel", "info", F.col("slowest").isNotNull(), F.format_string("%.0f", "ttft"), F.col("slowest")),
+        )
+    )
+    return one.select(F.explode(rows).alias("x")).select("x.*").orderBy("place").limit(INSIGHTS)
 
 
 def distribution(facts: DataFrame, n: int = DISTRIBUTION_MODELS) -> DataFrame:
     """The ``n`` models of most tokens with their percent of all models' tokens; what can't be named is left out."""
-    named = measured(facts.where("model <> 'unknown'"), "model").select("model", "total_tokens", "requests")
+    named = measures(facts.where("model <> 'unknown'"), "model").select("model", "total_tokens", "requests")
     return ranked_shares(named).orderBy(F.desc("total_tokens"), "model").limit(n)
 
 

@@ -65,7 +65,8 @@ class Usage:
         return found.where(tool_in(F.col("tool"), c.tool) & chosen)
 
     def statistics_summary(self, c: Context, start: int, end: int, step: int = cal.HOUR, metric: str = "tokens") -> dict[str, DataFrame]:
-        f = self.facts(c, start, end)
+        """All parts of the report, from one small frame of cells that is held while they are shown."""
+        f = statistics.cells(self.facts(c, start, end), step, c.tz).persist()
         return {
             "totals": statistics.totals(f),
             "trend": statistics.trend(f, start, end, step, c.tz),
@@ -75,7 +76,7 @@ class Usage:
             "performance": statistics.performance(f),
             "status": metrics.status_block(f),
             "coverage": metrics.coverage(f),
-            "insights": statistics.insights(f, start, end, step, metric, c.tz),
+            "insights": statistics.insights(f, step, metric, c.tz),
         }
 
     def daily_models(self, c: Context, today: str) -> DataFrame | None:

@@ -1,7 +1,7 @@
 """The supplied tables read as usage telemetry, and the same projections as SQL.
 
-``events`` plays both observers: the proxy misses every fifth event, the transcripts every third, so that all
-kinds of coverage occur. ``customer`` and ``orders`` play sessions and projects, ``conversations`` transcripts.
+``events`` plays both observers: the proxy misses every fifth event, the transcripts every third but for those that the
+proxy misses too, so that all kinds of coverage occur and every event is seen by one of them. ``customer`` and ``orders`` play sessions and projects, ``conversations`` transcripts.
 """
 
 from __future__ import annotations
@@ -69,6 +69,9 @@ _LOCAL = """
 """
 
 
+_SEEN_LOCALLY = "event_id % 3 <> 0 OR event_id % 5 = 0"
+
+
 def _columns(text: str) -> list[str]:
     """Top-level items of a select list."""
     out, depth, item = [], 0, ""
@@ -87,7 +90,7 @@ def proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where("event_id % 3 <> 0").selectExpr(*_columns(_LOCAL.format(div="div", late=0)))
+    return _events(spark, sf_dir).where(_SEEN_LOCALLY).selectExpr(*_columns(_LOCAL.format(div="div", late=0)))
 
 
 def remote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +140,7 @@ WITH ev AS (
     CASE user_id % 4 WHEN 0 THEN 'claude_code' WHEN 1 THEN 'codex' WHEN 2 THEN 'qoder_ide' ELSE 'qoder_cli' END AS tool
   FROM events
 ), proxy AS (SELECT {_duck(_PROXY)} FROM ev WHERE event_id % 5 <> 0),
-local AS (SELECT {_duck(_LOCAL.format(div="//", late=0))} FROM ev WHERE event_id % 3 <> 0),
+local AS (SELECT {_duck(_LOCAL.format(div="//", late=0))} FROM ev WHERE {_SEEN_LOCALLY}),
 remote AS (SELECT {_duck(_LOCAL.format(div="//", late=100))} FROM ev WHERE event_id % 7 = 0),
 sessions AS (SELECT {_duck(_SESSIONS.format(models="['view', c_mktsegment]"))} FROM customer),
 {PRICES_CTE},
@@ -173,7 +176,7 @@ best AS (
       ELSE coalesce(l.explicit_estimated_cost, (l.input_tokens * b.p.i + l.output_tokens * b.p.o + l.cache_create_tokens * b.p.w + l.cache_read_tokens * b.p.r) / CAST(1000000 AS DOUBLE), 0) END AS estimated_cost,
     CASE WHEN l.k IS NULL THEN 'proxy_only' WHEN p.k IS NULL THEN 'local_only' ELSE 'merged_proxy_preferred' END AS coverage_origin,
     CASE WHEN p.k IS NULL THEN 200 ELSE p.status_code END AS status_code, p.duration_ms, p.output_tokens_per_second, p.ttft_ms, p.api_key_prefix, p.request_base_url, p.k IS NOT NULL AS seen
-  FROM pk p FULL OUTER JOIN lk l ON p.k = l.k LEFT JOIN best b ON b.model = l.model LEFT JOIN (SELECT message_id, max(session_id) AS session_id FROM local GROUP BY 1) m ON m.message_id = p.message_id
+  FROM pk p FULL OUTER JOIN lk l ON p.k = l.k LEFT JOIN best b ON b.model = l.model LEFT JOIN (SELECT message_id, arg_max(session_id, struct_pack(t := timestamp, s := session_id)) AS session_id FROM local GROUP BY 1) m ON m.message_id = p.message_id
 ), facts AS (
   SELECT m.* EXCLUDE (raw_model, seen), coalesce(m.input_tokens + m.output_tokens + m.cache_create_tokens + m.cache_read_tokens, 0) AS total_tokens,
     CASE WHEN lower(trim(raw_model)) IN ('', 'unknown', 'custom_model') THEN CASE m.tool WHEN 'qoder_ide' THEN 'Qoder IDE' WHEN 'qoder_cli' THEN 'Qoder CLI' ELSE 'unknown' END ELSE trim(raw_model) END AS model,

@@ -118,7 +118,7 @@ UNION ALL SELECT 3, 'errors', 'warning', CAST(CAST(sum(client_errors + server_er
 UNION ALL SELECT 4, 'slowestModel', 'info', printf('%.0f', avg_ttft_ms), slowest_model, NULL FROM p"""
 )
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.insights(in_range(spark, sf_dir), START, END, cal.DAY)
+    return statistics.insights(in_range(spark, sf_dir), cal.DAY)
 
 
 def _daily(by: str = "") -> str:

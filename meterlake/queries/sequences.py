@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import keys, models, numbers
 from meterlake.operators import filters, maintenance, presentation, sequences
+from meterlake.operators.merge import message_sessions, with_messages
 from meterlake.operators.statistics import model_table, trend
 from meterlake.queries.bindings import BASE_CTE, END, METRICS_SQL, SOURCES, START, facts, local, proxy, read, remote, sessions
 from meterlake.queries.registry import query, rounded
@@ -82,10 +83,10 @@ def coerced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", numbers.first_number(doc, ["$.k", "$.kk"]).alias("k"), numbers.first_time(doc, ["$.timestamp", "$.created", "$.time"]).alias("at"))
 
 
-@query("SELECT o_orderkey, i, (t // n) + CASE WHEN i < t % n THEN 1 ELSE 0 END AS part, CASE WHEN n <= 1 THEN 1000 ELSE 1000 + 9000 * i // (n - 1) END AS at FROM (SELECT o_orderkey, n, t, unnest(generate_series(0, n - 1)) AS i FROM (SELECT o_orderkey, o_custkey % 5 + 1 AS n, CAST(floor(o_totalprice) AS BIGINT) AS t FROM orders WHERE o_orderkey % 10 = 0))")
+@query("SELECT o_orderkey, i, (t // n) + CASE WHEN i < t % n THEN 1 ELSE 0 END AS part, CASE WHEN n <= 1 THEN 1000 ELSE 1000 + 9000 * i // (n - 1) END AS at FROM (SELECT o_orderkey, n, t, unnest(generate_series(0, n - 1)) AS i FROM (SELECT o_orderkey, o_custkey % 5 + 1 AS n, CAST(floor(o_totalprice) AS BIGINT) AS t FROM orders))")
 def spread_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, t, i = F.col("n"), F.col("t"), F.col("i").cast("long")
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_custkey") % 5 + 1).alias("n"), F.floor("o_totalprice").cast("long").alias("t"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5 + 1).alias("n"), F.floor("o_totalprice").cast("long").alias("t"))
     return o.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).select("o_orderkey", "i", numbers.share_of(t, i, n).alias("part"), numbers.spread_between(F.lit(1000).cast("long"), F.lit(10_000).cast("long"), i, n).alias("at"))
 
 
@@ -96,12 +97,12 @@ def cache_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(proxy(spark, sf_dir).where("input_tokens > 0").select("message_id", a["input"].alias("clamped_input"), a["cache_read"].alias("clamped_read"), b["input"].alias("plain_input"), b["cache_read"].alias("plain_read"), numbers.cache_hit_percent(i, c, r).alias("hit"), presentation.display_input(i, r).alias("display")))
 
 
-@query(BASE_CTE + "SELECT message_id, round(estimated_cost * 0.9 + 1e-9, 4) AS eur, round(estimated_cost + 1e-9, 4) AS xyz, round(estimated_cost * input_tokens / nullif(input_tokens + output_tokens, 0) + 1e-9, 4) AS input_cost, CASE WHEN status_code BETWEEN 200 AND 299 THEN '2xx' WHEN status_code BETWEEN 400 AND 499 THEN '4xx' WHEN status_code >= 500 THEN '5xx' ELSE 'other' END AS class, CASE WHEN input_tokens >= 1000 THEN printf('%.1fK', input_tokens / 1000.0) ELSE CAST(input_tokens AS VARCHAR) END AS shown, CASE WHEN duration_ms >= 1000 THEN printf('%.1fs', duration_ms / 1000.0) ELSE concat(duration_ms, 'ms') END AS took FROM proxy WHERE input_tokens + output_tokens > 0 AND duration_ms % 100 <> 51")
+@query(BASE_CTE + "SELECT message_id, round(estimated_cost * 0.9 + 1e-9, 4) AS eur, round(estimated_cost + 1e-9, 4) AS xyz, round(estimated_cost * input_tokens / nullif(input_tokens + output_tokens, 0) + 1e-9, 4) AS input_cost, CASE WHEN status_code BETWEEN 200 AND 299 THEN '2xx' WHEN status_code BETWEEN 400 AND 499 THEN '4xx' WHEN status_code >= 500 THEN '5xx' ELSE 'other' END AS class, CASE WHEN n >= 1000000000 THEN concat((n + 50000000) // 1000000000, '.', (n + 50000000) // 100000000 % 10, 'B') WHEN n >= 1000000 THEN concat((n + 50000) // 1000000, '.', (n + 50000) // 100000 % 10, 'M') WHEN n >= 1000 THEN concat((n + 50) // 1000, '.', (n + 50) // 100 % 10, 'K') ELSE CAST(n AS VARCHAR) END AS shown, CASE WHEN ms >= 1000 THEN concat((ms + 50) // 1000, '.', (ms + 50) // 100 % 10, 's') ELSE concat(ms, 'ms') END AS took FROM (SELECT *, input_tokens * output_tokens * event_id AS n, duration_ms * 5 AS ms FROM proxy) WHERE input_tokens + output_tokens > 0")
 def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = proxy(spark, sf_dir).where("input_tokens + output_tokens > 0 AND duration_ms % 100 <> 51")
+    p = proxy(spark, sf_dir).where("input_tokens + output_tokens > 0")
     usd, i, o = F.col("estimated_cost"), F.col("input_tokens"), F.col("output_tokens")
     rates = {"USD": 1.0, "EUR": 0.9}
-    return rounded(p.select("message_id", numbers.converted(usd, rates, F.lit("EUR")).alias("eur"), numbers.converted(usd, rates, F.lit("XYZ")).alias("xyz"), numbers.split_cost(usd, i, o)["input_cost"].alias("input_cost"), numbers.status_class(F.col("status_code")).alias("class"), numbers.short_number(i).alias("shown"), numbers.short_duration(F.col("duration_ms")).alias("took")))
+    return rounded(p.select("message_id", numbers.converted(usd, rates, F.lit("EUR")).alias("eur"), numbers.converted(usd, rates, F.lit("XYZ")).alias("xyz"), numbers.split_cost(usd, i, o)["input_cost"].alias("input_cost"), numbers.status_class(F.col("status_code")).alias("class"), numbers.short_number(i * o * F.col("event_id")).alias("shown"), numbers.short_duration(F.col("duration_ms") * 5).alias("took")))
 
 
 # cumulative counters of each conversation, made from lengths; every fifth total is missing, and turn 7 begins anew
@@ -182,11 +183,18 @@ def without_fork_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.without_fork_replays(m, known).select("message_id", "session_id", "time_created")
 
 
-@query(f"WITH m AS ({_MESSAGES}) SELECT message_id, session_id FROM m WHERE event_id < 500")
+@query(f"WITH m AS ({_MESSAGES}) SELECT message_id, session_id FROM m WHERE event_id % 4000 < 500")
 def records_by_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a list of ids."""
-    m = _messages(spark, sf_dir)
-    return m.where("event_id < 4000").join(m.where("event_id < 500").select("message_id").distinct(), "message_id", "left_semi").select("message_id", "session_id")
+    """Records of a list of ids, wherever in the table they are."""
+    ids = spark.range(500).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("message_id"))
+    return with_messages(_messages(spark, sf_dir), ids).select("message_id", "session_id")
+
+
+@query(f"WITH m AS ({_MESSAGES}) SELECT message_id, arg_max(session_id, struct_pack(t := source_rank, s := session_id)) AS session_id FROM m WHERE session_id <> 's7' GROUP BY 1")
+def filled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sessions that a message was seen in, the last; some records name none, and many share a time."""
+    seen = _messages(spark, sf_dir).select("message_id", F.when(F.col("session_id") == "s7", " ").otherwise(F.col("session_id")).alias("session_id"), F.col("source_rank").alias("timestamp"))
+    return message_sessions(seen)
 
 
 @query(BASE_CTE + "SELECT 'proxy' AS rows, count(*) AS n, max(timestamp) AS max_ts, max(event_id) AS max_version FROM proxy UNION ALL SELECT 'local', count(*), max(timestamp), max(event_id) FROM local")

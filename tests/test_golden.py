@@ -53,11 +53,11 @@ def test_first_tokens_need_a_rate(spark):
 def test_counter_deltas(spark):
     c = "struct<input:long,output:long,cache_create:long,cache_read:long>"
     events = spark.createDataFrame(
-        [("f", 1, (100, 30, 0, 40), None), ("f", 2, (160, 55, 0, 50), None), ("f", 3, None, (1, 1, 0, 0)), ("f", 4, (30, 4, 0, 5), None), ("g", 1, (9, 9, 0, 0), (4, 4, 0, 1))],
+        [("f", 1, (500, 41, 0, 120), None), ("f", 2, (540, 60, 0, 130), None), ("f", 3, None, (2, 1, 0, 0)), ("f", 4, (18, 3, 0, 6), None), ("g", 1, (8, 7, 0, 0), (5, 2, 0, 2))],
         f"file string, n int, total {c}, last {c}",
     )
     got = [tuple(r.delta) for r in sequences.counter_deltas(events, "file", ["n"]).orderBy("file", "n").collect()]
-    assert got == [(60, 30, 0, 40), (50, 25, 0, 10), (1, 1, 0, 0), (25, 4, 0, 5), (3, 4, 0, 1)]
+    assert got == [(380, 41, 0, 120), (30, 19, 0, 10), (2, 1, 0, 0), (12, 3, 0, 6), (3, 2, 0, 2)]
 
 
 @pytest.mark.parametrize(
