@@ -56,6 +56,12 @@ def host_label(url: Column, official: str = "__official_api__") -> Column:
     return F.when(is_blank(url), official).otherwise(F.element_at(F.split(rest, "/"), 1))
 
 
+def decoded_project(folder: Column) -> Column:
+    """Project of a folder name that stands for a path with ``-`` between its parts: the last part, null without any."""
+    last = F.regexp_extract(folder, r"([^-]+)-*$", 1)
+    return F.when(last != "", last)
+
+
 def project_name(path: Column) -> Column:
     """Last part of a path with slashes of either kind that isn't empty."""
     parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda x: F.trim(x) != "")

@@ -89,9 +89,16 @@ def counts_tokens(*tokens: Column) -> Column:
     return total > 0
 
 
+#: How texts begin that a tool writes in the user's name (fixed values).
+SYSTEM_PREFIXES = ("# AGENTS.md", "<environment_context>")
+
+
 def is_system_text(text: Column) -> Column:
-    """Text that a tool wrote in the user's name."""
-    return is_blank(text) | F.trim(text).rlike(r"^(<|# AGENTS\.md|Caveat:|\[Request interrupted)")
+    """Text that a tool wrote in the user's name, or none at all."""
+    out = is_blank(text)
+    for p in SYSTEM_PREFIXES:
+        out = out | F.regexp_replace(text, r"^\s+", "").startswith(p)
+    return out
 
 
 def without_orphans(rows: DataFrame, owners: DataFrame, on: str) -> DataFrame:

@@ -118,6 +118,58 @@ def seeded(outbox: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return outbox.unionByName(facts.join(outbox.select(key), key, "left_anti").select(outbox.columns))
 
 
+_OUTBOX = ("event_id", "payload", "queued_at", "batched_seq", "uploaded_at")
+
+
+def enqueued(outbox: DataFrame, events: DataFrame, at: int) -> DataFrame:
+    """The outbox (event_id, payload, queued_at, batched_seq, uploaded_at) with events (event_id, payload); one that is there already is queued anew."""
+    kept = outbox.join(events.select("event_id"), "event_id", "left_anti").select(*_OUTBOX)
+    none = F.lit(None).cast("long")
+    return kept.unionByName(events.groupBy("event_id").agg(F.max("payload").alias("payload")).select("event_id", "payload", F.lit(at).cast("long").alias("queued_at"), none.alias("batched_seq"), none.alias("uploaded_at")))
+
+
+def reserved(outbox: DataFrame, seq: int, limit: int) -> DataFrame:
+    """The ``limit`` events that have waited longest are put in batch ``seq``."""
+    waiting = outbox.where("batched_seq IS NULL AND uploaded_at IS NULL").orderBy("queued_at", "event_id").limit(limit).select("event_id", F.lit(True).alias("_taken"))
+    return outbox.join(F.broadcast(waiting), "event_id", "left").withColumn("batched_seq", F.when(F.col("_taken"), F.lit(seq).cast("long")).otherwise(F.col("batched_seq"))).select(*_OUTBOX)
+
+
+def released(outbox: DataFrame, seq: int) -> DataFrame:
+    """A batch that could not be sent: its events wait again."""
+    return outbox.withColumn("batched_seq", F.when((F.col("batched_seq") == seq) & F.col("uploaded_at").isNull(), None).otherwise(F.col("batched_seq")))
+
+
+def marked_uploaded(outbox: DataFrame, seq: int, at: int) -> DataFrame:
+    return outbox.withColumn("uploaded_at", F.when((F.col("batched_seq") == seq) & F.col("uploaded_at").isNull(), F.lit(at).cast("long")).otherwise(F.col("uploaded_at")))
+
+
+def without_uploaded(outbox: DataFrame, before: int) -> DataFrame:
+    return outbox.where(F.col("uploaded_at").isNull() | (F.col("uploaded_at") >= before))
+
+
+def synced_facts(stored: DataFrame, parsed: DataFrame, dirty: DataFrame, key: str = "dedupe_key") -> DataFrame:
+    """Stored facts after the dirty sessions (session_id) were parsed anew: their facts replace stored ones of the same key.
+
+    Facts of a dirty session that it no longer has stay, marked as absent. Both kinds get the next version; the facts of other
+    sessions are as they were. Facts have source_file_present and sync_version beside their values; ``parsed`` needs neither.
+    """
+    present, version = "source_file_present", "sync_version"
+    values = [c for c in stored.columns if c not in (key, present, version)]
+    old = stored.join(dirty.select("session_id").distinct(), "session_id", "left_semi").select(key, F.struct(*values).alias("_old"), F.col(version).alias("_v"))
+    new = parsed.select(key, F.struct(*values).alias("_new"))
+    both = old.join(new, key, "full_outer")
+    done = both.select(key, F.coalesce("_new", "_old").alias("x"), F.col("_new").isNotNull().alias(present), (F.coalesce("_v", F.lit(0)) + 1).alias(version)).select(key, "x.*", present, version)
+    rest = stored.join(dirty.select("session_id").distinct(), "session_id", "left_anti")
+    moved = rest.join(new.select(key), key, "left_anti")  # a key that another session has now leaves its old one
+    return moved.unionByName(done.select(stored.columns))
+
+
+def touched_days(before: DataFrame, after: DataFrame, day: Column, key: str = "dedupe_key", version: str = "sync_version") -> DataFrame:
+    """(day): days whose facts are new, gone, or of another version."""
+    a, b = (d.select(key, version, day.alias("day")) for d in (before, after))
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select("day").distinct()
+
+
 def proxy_days(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Proxy records by UTC day: the daily rollup, and with ``by`` that of models."""
     day = F.timestamp_millis("timestamp").cast("date").cast("string").alias("day")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.keys import is_blank
 from meterlake.functions.numbers import minus, without_cache
+from meterlake.operators.filters import is_system_text
 
 COUNTERS = ("input", "output", "cache_create", "cache_read")
 
@@ -77,8 +78,8 @@ def id_conflicts(messages: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def topic_and_last_prompt(turns: DataFrame, by: str, ts: str, text: str, is_user: Column) -> DataFrame:
-    """First and last user text of each session."""
-    own = F.when(is_user, F.struct(ts, text))
+    """First and last text of each session that the user wrote: what a tool writes in the user's name doesn't count."""
+    own = F.when(is_user & ~is_system_text(F.col(text)), F.struct(ts, text))
     return turns.groupBy(by).agg(F.min(own)[text].alias("topic"), F.max(own)[text].alias("last_prompt"))
 
 

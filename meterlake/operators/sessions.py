@@ -118,18 +118,26 @@ def _in_session(seconds: Column, grace: int) -> Column:
 def session_candidates(requests: DataFrame, sessions: DataFrame, row: str, seconds: str, model: str = "model", grace: int = MATCH_SECONDS, hours: int = 6) -> DataFrame:
     """(row, session_id) for each session of the same model (or of none) whose time the request falls in.
 
-    Sessions are dealt to the slots of ``hours`` that they touch, so that the join is by slot and model, not of all pairs.
+    Sessions are dealt to the slots of ``hours`` that they touch (shorter ones without a model), so that the join is by slot and
+    model, not of all pairs.
     """
-    step = hours * 3600
     start = F.when(F.col("start_time") > 0, F.col("start_time")).otherwise(F.col("last_modified") - 15) - grace
     end = F.greatest(F.greatest("end_time", "last_modified"), start + 15 + grace) + grace
-    named = F.when(F.size("models") > 0, F.transform("models", lambda m: model_id(m))).otherwise(F.array(F.lit(None).cast("string")))
-    slots = F.sequence(F.floor(start / step), F.floor(end / step))
-    offered = sessions.where(~is_blank(F.col("session_id"))).withColumn("_slot", F.explode(slots)).withColumn("_model", F.explode(F.array_distinct(named)))
-    asked = requests.select(row, F.col(seconds).alias("_at"), model_id(F.col(model)).alias("_name"), F.floor(F.col(seconds) / step).alias("_slot"))
-    with_model = asked.join(offered.where("_model IS NOT NULL"), ["_slot"]).where(F.col("_name") == F.col("_model"))
-    without = asked.join(offered.where("_model IS NULL"), ["_slot"])
-    return with_model.unionByName(without).where(_in_session(F.col("_at"), grace)).select(row, "session_id").distinct()
+    known = sessions.where(~is_blank(F.col("session_id")))
+    asked = requests.select(row, F.col(seconds).alias("_at"), model_id(F.col(model)).alias("_name"))
+
+    def slots(step: int) -> Column:
+        return F.explode(F.sequence(F.floor(start / step), F.floor(end / step)))
+
+    def at(step: int) -> Column:
+        return F.floor(F.col("_at") / step)
+
+    coarse, fine = hours * 3600, max(60, hours * 150)
+    named = known.where(F.size("models") > 0).withColumn("_slot", slots(coarse)).withColumn("_name", F.explode(F.array_distinct(F.transform("models", lambda m: model_id(m)))))
+    # sessions without a model meet requests of all models: in slots so short that few sessions share one
+    bare = known.where(~(F.coalesce(F.size("models"), F.lit(0)) > 0)).withColumn("_slot", slots(fine))
+    met = [asked.withColumn("_slot", at(coarse)).join(named, ["_slot", "_name"]), asked.withColumn("_slot", at(fine)).join(bare, "_slot")]
+    return met[0].where(_in_session(F.col("_at"), grace)).select(row, "session_id").unionByName(met[1].where(_in_session(F.col("_at"), grace)).select(row, "session_id")).distinct()
 
 
 def resolved_sessions(requests: DataFrame, sessions: DataFrame, row: str, seconds: str, model: str = "model") -> DataFrame:

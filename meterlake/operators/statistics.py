@@ -17,9 +17,9 @@ METRIC = {"tokens": "total_tokens", "cost": "cost", "requests": "requests"}
 TREND_MODELS, DISTRIBUTION_MODELS, INSIGHTS = 6, 5, 4
 
 
-def cells(facts: DataFrame, step: int, tz: str = "UTC") -> DataFrame:
+def cells(facts: DataFrame, step: int, tz: str = "UTC", *by: str) -> DataFrame:
     """Metrics, and the number of facts, by bucket, model, status and coverage: a report's whole input, whatever the number of facts."""
-    return _bucketed(facts, step, tz).groupBy("bucket_start", "model", "status_code", "coverage_origin").agg(*fact_metrics(), F.count("*").alias("facts"))
+    return _bucketed(facts, step, tz).groupBy(*by, "bucket_start", "model", "status_code", "coverage_origin").agg(*fact_metrics(), F.count("*").alias("facts"))
 
 
 def _bucketed(rows: DataFrame, step: int, tz: str) -> DataFrame:
@@ -161,16 +161,53 @@ def overall_rate(facts: DataFrame) -> DataFrame:
     return m.select(F.col("rate_count").alias("requests"), "rate_tokens", "rate_ms", rate.alias("avg_rate"), F.when(some, F.col("ttft_count")).otherwise(0).alias("ttft_requests"), F.when(some, ttft).otherwise(0.0).alias("avg_ttft_ms"))
 
 
+_WINDOW = ("requests", "total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "cost", "success_requests", "client_errors", "server_errors")
+
+
+def _every_window(found: DataFrame, windows: dict[str, int]) -> DataFrame:
+    every = found.sparkSession.createDataFrame([(n,) for n in windows], "window string")
+    return F.broadcast(every).join(found, "window", "left").fillna(0, list(_WINDOW))
+
+
+def windowed(facts: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """Each fact once for every window that it lies in."""
+    names = F.array(*(F.struct(F.lit(n).alias("window"), F.lit(s).cast("long").alias("since")) for n, s in windows.items()))
+    inside = facts.where(F.col("timestamp_sec") >= min(windows.values()))
+    return inside.withColumn("window", F.explode(F.transform(F.filter(names, lambda x: x["since"] <= F.col("timestamp_sec")), lambda x: x["window"])))
+
+
+def usage_of_windows(rows: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """(window, metrics) of facts or cells that say which window they count in."""
+    return _every_window(measures(rows, "window").select("window", *_WINDOW, F.try_divide("rate_sum", "rate_count").alias("avg_rate")), windows)
+
+
 def window_usage(facts: DataFrame, windows: dict[str, int]) -> DataFrame:
     """(window, metrics) of each named window that begins at the given second: one pass, each fact in every window it belongs to."""
-    names = F.array(*(F.struct(F.lit(n).alias("window"), F.lit(s).cast("long").alias("since")) for n, s in windows.items()))
-    inside = facts.where(F.col("timestamp_sec") >= min(windows.values())).withColumn("_w", F.explode(F.filter(names, lambda x: x["since"] <= F.col("timestamp_sec"))))
-    found = measured(inside.withColumn("window", F.col("_w.window")), "window").select("window", "requests", "total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "cost", "success_requests", "client_errors", "server_errors", F.try_divide("rate_sum", "rate_count").alias("avg_rate"))
-    every = facts.sparkSession.createDataFrame([(n,) for n in windows], "window string")
-    return F.broadcast(every).join(found, "window", "left").fillna(0, [c for c in found.columns if c not in ("window", "avg_rate")])
+    return usage_of_windows(windowed(facts, windows), windows)
+
+
+def window_models(rows: DataFrame) -> DataFrame:
+    """Requests, tokens and cost of each window by model."""
+    return measures(rows, "window", "model").select("window", "model", "requests", "total_tokens", "cost").orderBy("window", F.desc("total_tokens"), "model")
 
 
 def ratio_rate(facts: DataFrame) -> DataFrame:
     """The window's rate as all tokens over all time, and requests by status class."""
     rated = (F.col("duration_ms") > 0) & (F.col("output_tokens") > 0)
     return facts.where(rated).agg(F.count("*").alias("requests"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("rate_tokens"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("rate_ms"), F.coalesce(F.try_divide(F.sum("output_tokens") * 1000.0, F.sum("duration_ms")), F.lit(0.0)).alias("tokens_per_second"))
+
+
+def with_tool_profile(ranking: DataFrame, profiles: DataFrame) -> DataFrame:
+    """A ranking by tool with the label and icon of the tool's profile (tool, display_name, icon), of repeated ones the first by name; without one the label is the tool, or ``__unknown__``."""
+    shown = profiles.groupBy("tool").agg(F.min(F.struct("display_name", "icon")).alias("_p"))
+    own = F.when(F.trim("tool") == "", "__unknown__").otherwise(F.col("tool"))
+    return ranking.join(F.broadcast(shown), "tool", "left").select(*ranking.columns, F.coalesce("_p.display_name", own).alias("label"), F.col("_p.icon").alias("icon"))
+
+
+def window_requests(records: DataFrame, since_ms: int, until_ms: int) -> DataFrame:
+    """One row of a proxy window: requests, tokens and cost of all records, and of those below 300 alone."""
+    inside = records.where((F.col("timestamp") >= since_ms) & (F.col("timestamp") < until_ms))
+    tokens = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens")
+    kinds = {"": F.lit(True), "visible_": F.col("status_code") < 300}
+    sums = [F.coalesce(F.sum(F.when(when, value)), F.lit(zero)).alias(f"{k}{name}") for k, when in kinds.items() for name, value, zero in (("requests", F.lit(1).cast("long"), 0), ("total_tokens", tokens, 0), ("cost", F.col("estimated_cost"), 0.0))]
+    return inside.agg(*sums)

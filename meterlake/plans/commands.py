@@ -12,7 +12,7 @@ from meterlake.operators import activity, maintenance, metrics, pricing, statist
 from meterlake.operators import sessions as S
 from meterlake.operators.filters import UNKNOWN_SOURCE, in_range, price_matches, repriced, source_filter, tool_in, visible_in_store
 from meterlake.operators.merge import merge_facts
-from meterlake.plans.materialize import DayStore, can_use_summaries
+from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies
 
 WINDOWS = ("5h", "24h", "7d", "30d", "today", "current_month")
 
@@ -29,6 +29,13 @@ class Context:
     sources: tuple[dict, ...] = field(default=())
     include_errors: bool = True
 
+    def day_of(self, seconds: int) -> str:
+        """Business date of a second."""
+        return str((cal.datetime.fromtimestamp(seconds, cal.ZoneInfo(self.tz)).replace(tzinfo=None) - cal.timedelta(hours=self.boundary)).date())
+
+    def today(self) -> str:
+        return self.day_of(self.as_of)
+
     def since(self, window: str) -> int:
         return cal.window_start(window, self.as_of, self.tz, self.boundary)
 
@@ -52,10 +59,7 @@ class Usage:
 
         proxy, local, remote = cut(self.proxy, 1000), cut(self.local, 1), cut(self.remote, 1)
         if self.store is not None:
-            today = str(cal.datetime.fromtimestamp(c.as_of - c.boundary * 3600, cal.ZoneInfo(c.tz)).date())
-            first = cal.business_day_bounds(cal.date.fromisoformat(today), c.tz, c.boundary)[0]
-            hot = merge_facts(self.proxy.where(F.col("timestamp") >= first * 1000), self.local.where(F.col("timestamp") >= first), None if self.remote is None else self.remote.where(F.col("timestamp") >= first), self.sessions, self.prices, True)
-            found = self.store.facts(hot, today)
+            found = self.store.facts(self._hot(c), c.today(), None if start is None else c.day_of(start))
             found = found if start is None else found.where(in_range(F.col("timestamp_sec"), start, end))
         else:
             found = merge_facts(proxy, local, remote, self.sessions, self.prices, True)
@@ -64,9 +68,35 @@ class Usage:
             found = found.where(visible_in_store(F.col("status_code")))
         return found.where(tool_in(F.col("tool"), c.tool) & chosen)
 
+    def _hot(self, c: Context) -> DataFrame:
+        """All facts since the business day began."""
+        first = cal.business_day_bounds(cal.date.fromisoformat(c.today()), c.tz, c.boundary)[0]
+        return self.merged(first)
+
+    def merged(self, start: int, end: int | None = None) -> DataFrame:
+        """Facts merged from inputs of a range of seconds: what a store builds days from."""
+
+        def cut(rows: DataFrame | None, unit: int) -> DataFrame | None:
+            return rows if rows is None else rows.where(in_range(F.col("timestamp"), start * unit, None if end is None else end * unit))
+
+        return merge_facts(cut(self.proxy, 1000), cut(self.local, 1), cut(self.remote, 1), self.sessions, self.prices, True)
+
+    def refresh_store(self, c: Context) -> list[str]:
+        """Builds the finished days that are missing or out of date, and gives them."""
+        depends = day_dependencies(self.proxy, self.local, self.remote, c.tz, c.boundary, self.sessions, self.prices)
+        return self.store.refresh(self.merged, depends, c.today())
+
+    def _cells(self, c: Context, start: int, end: int, step: int) -> DataFrame:
+        """The report's cells: from stored days where they answer it, else from facts."""
+        whole = c.boundary == 0 and cal.business_day_bounds(cal.date.fromisoformat(c.day_of(start)), c.tz)[0] == start and (end > c.as_of or cal.business_day_bounds(cal.date.fromisoformat(c.day_of(end)), c.tz)[0] == end)
+        if self.store is None or not whole or not can_use_summaries(step, c.tool, c.source):
+            return statistics.cells(self.facts(c, start, end), step, c.tz)
+        found = self.store.cells(self._hot(c), c.today(), c.day_of(start)).where(in_range(F.col("bucket_start"), start, end))
+        return found if c.include_errors else found.where(visible_in_store(F.col("status_code")))
+
     def statistics_summary(self, c: Context, start: int, end: int, step: int = cal.HOUR, metric: str = "tokens") -> dict[str, DataFrame]:
         """All parts of the report, from one small frame of cells that is held while they are shown."""
-        f = statistics.cells(self.facts(c, start, end), step, c.tz).persist()
+        f = self._cells(c, start, end, step).persist()
         return {
             "totals": statistics.totals(f),
             "trend": statistics.trend(f, start, end, step, c.tz),
@@ -79,20 +109,30 @@ class Usage:
             "insights": statistics.insights(f, step, metric, c.tz),
         }
 
-    def daily_models(self, c: Context, today: str) -> DataFrame | None:
+    def daily_models(self, c: Context) -> DataFrame | None:
         """Day and model metrics from the store, if the report may use them."""
         if self.store is None or not can_use_summaries(cal.DAY, c.tool, c.source):
             return None
-        return self.store.model_days(merge_facts(self.proxy, self.local, self.remote, self.sessions, self.prices, True), today)
+        return self.store.model_days(self._hot(c), c.today())
+
+    def _windows(self, c: Context, facts: DataFrame) -> DataFrame:
+        """Facts or, where stored days answer the report, cells, with the window that they count in."""
+        since = {w: c.since(w) for w in WINDOWS}
+        if self.store is None or not can_use_summaries(cal.DAY, c.tool, c.source):
+            return statistics.windowed(facts, since)
+        found = self.store.window_cells(self._hot(c), since, c.as_of, c.today())
+        return found if c.include_errors else found.where(visible_in_store(F.col("status_code")))
 
     def refresh_bundle(self, c: Context, window: str = "24h") -> dict[str, DataFrame]:
         f = self.facts(c, c.since("30d") if window != "current_month" else min(c.since("30d"), c.since(window)), c.as_of + 1)
         inside = f.where(F.col("timestamp_sec") >= c.since(window))
-        return {"windows": statistics.window_usage(f, {w: c.since(w) for w in WINDOWS}), "distribution": statistics.distribution(inside), "status": metrics.status_block(inside), "coverage": metrics.coverage(inside, weighted=True), "survival": survival.survival(f, c.as_of)}
+        windows = self._windows(c, f)
+        return {"windows": statistics.usage_of_windows(windows, {w: c.since(w) for w in WINDOWS}), "window_models": statistics.window_models(windows), "distribution": statistics.distribution(inside), "status": metrics.status_block(inside), "coverage": metrics.coverage(inside, weighted=True), "survival": survival.survival(f, c.as_of)}
 
-    def overview_breakdown(self, c: Context, window: str, sources: DataFrame) -> dict[str, DataFrame]:
+    def overview_breakdown(self, c: Context, window: str, sources: DataFrame, tools: DataFrame | None = None) -> dict[str, DataFrame]:
         f = self.facts(c, c.since(window), c.as_of + 1)
-        return {"source": statistics.ranking(statistics.with_source(f, sources), "source_key", "source_name"), "tool": statistics.ranking(f, "tool"), "model": statistics.ranking(f, "model")}
+        by_tool = statistics.ranking(f, "tool")
+        return {"source": statistics.ranking(statistics.with_source(f, sources), "source_key", "source_name"), "tool": by_tool if tools is None else statistics.with_tool_profile(by_tool, tools), "model": statistics.ranking(f, "model")}
 
     def window_rate_summary(self, c: Context, window: str) -> dict[str, DataFrame]:
         f = self.facts(c, c.since(window), c.as_of + 1)

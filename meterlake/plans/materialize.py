@@ -2,94 +2,216 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from meterlake.functions.calendar import business_date
-from meterlake.operators.metrics import daily_summary, measured
+from meterlake.functions.calendar import DAY, business_date, business_day_bounds
+from meterlake.operators.metrics import added_up, daily_summary, measures
+from meterlake.operators.statistics import cells
+from meterlake.plans import folders
 
-FACTS, DAYS, MODELS, STATE = "facts", "daily", "daily_models", "state"
+FACTS, DAYS, CELLS, STATE = "facts", "daily", "cells", "state"
+_STATE = "local_date string, fingerprint string, version long, mode string"
 
 
-def day_dependencies(proxy: DataFrame, local: DataFrame, remote: DataFrame | None = None, tz: str = "UTC", boundary: int = 0) -> DataFrame:
-    """(local_date, fingerprint): number, latest time and token sum of each input by day. Equal fingerprints: nothing to do."""
+def _content(rows: DataFrame) -> Column:
+    """A sum over rows, in whatever order, that changes with any of their values."""
+    return F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))
 
-    def of(rows: DataFrame, seconds, name: str) -> DataFrame:
-        sums = F.sum(F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens"))
-        own = rows.groupBy(business_date(seconds, tz, boundary).cast("string").alias("local_date")).agg(F.count("*").alias("n"), F.max("timestamp").alias("t"), sums.alias("s"))
-        return own.select("local_date", F.lit(name).alias("side"), "n", "t", "s")
 
-    parts = of(proxy, F.expr("timestamp div 1000"), "proxy").unionByName(of(local, F.col("timestamp"), "local"))
-    if remote is not None:
-        parts = parts.unionByName(of(remote, F.col("timestamp"), "remote"))
-    item = F.struct("side", "n", "t", "s")
-    return parts.groupBy("local_date").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(item))), 256).alias("fingerprint"))
+def day_dependencies(proxy: DataFrame, local: DataFrame, remote: DataFrame | None = None, tz: str = "UTC", boundary: int = 0, sessions: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
+    """(local_date, fingerprint): number and content of each input by day, of the sessions seen on it, and of all prices.
+
+    Equal fingerprints: nothing to do. Any value that changes in an input row, in a session of the day or in a price makes
+    another fingerprint.
+    """
+
+    def of(rows: DataFrame, seconds: Column, name: str) -> DataFrame:
+        day = business_date(seconds, tz, boundary).cast("string").alias("local_date")
+        return rows.groupBy(day).agg(F.count("*").alias("n"), _content(rows).alias("s")).select("local_date", F.lit(name).alias("side"), "n", "s")
+
+    sides = [("proxy", proxy, F.expr("timestamp div 1000")), ("local", local, F.col("timestamp"))] + ([] if remote is None else [("remote", remote, F.col("timestamp"))])
+    parts = of(sides[0][1], sides[0][2], "proxy")
+    for name, rows, seconds in sides[1:]:
+        parts = parts.unionByName(of(rows, seconds, name))
+    if sessions is not None:
+        meta = sessions.groupBy("session_id").agg(_content(sessions).alias("_s"))
+        seen = None
+        for _, rows, seconds in sides:
+            own = rows.select(business_date(seconds, tz, boundary).cast("string").alias("local_date"), "session_id")
+            seen = own if seen is None else seen.unionByName(own)
+        met = seen.distinct().join(meta, "session_id")
+        parts = parts.unionByName(met.groupBy("local_date").agg(F.count("*").alias("n"), F.sum("_s").cast("decimal(38,0)").alias("s")).select("local_date", F.lit("sessions").alias("side"), "n", "s"))
+    days = parts.groupBy("local_date").agg(F.to_json(F.array_sort(F.collect_list(F.struct("side", "n", "s")))).alias("_own"))
+    if prices is None:
+        return days.select("local_date", F.sha2("_own", 256).alias("fingerprint"))
+    at = prices.agg(F.count("*").alias("_n"), _content(prices).alias("_p"))
+    return days.join(F.broadcast(at), F.lit(True)).select("local_date", F.sha2(F.concat_ws("|", "_own", "_n", F.col("_p").cast("string")), 256).alias("fingerprint"))
 
 
 class DayStore:
-    """Days as partitions of Parquet tables under one folder: facts, daily and daily model summaries, and the state that they were built from.
+    """Finished days under one folder: facts, daily summaries, and cells (metrics by day, model, status and coverage).
 
-    Data is written before the state, and every write replaces whole days, so that a run that ends early is repeated, not repaired.
+    A day's rows lie in a partition named by the day and a version. The state, one row a day, says which version counts. It
+    is written last, whole, under the next number, so that readers see a refresh entirely or not at all; what an
+    interrupted one leaves behind is not named by any state and goes with the next ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, path: str, tz: str = "UTC", boundary: int = 0):
         self.spark, self.path, self.tz, self.boundary = spark, path.rstrip("/"), tz, boundary
-
-    def read(self, table: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{table}").withColumn("local_date", F.col("local_date").cast("string"))
-        except AnalysisException:
+        self.mode = f"{tz}/{boundary}"
+
+    def _versions(self) -> list[int]:
+        return folders.complete(self.spark, f"{self.path}/{STATE}", "v=")
+
+    def state(self) -> DataFrame:
+        """(local_date, fingerprint, version, mode); days that were built in another time zone or with another boundary don't count."""
+        found = self._versions()
+        if not found:
+            return self.spark.createDataFrame([], _STATE)
+        return self.spark.read.schema(_STATE).parquet(f"{self.path}/{STATE}/v={found[-1]:012d}").where(F.col("mode") == self.mode)
+
+    def _put(self, state: DataFrame) -> None:
+        n = (self._versions() or [0])[-1] + 1
+        state.select(*(c.split()[0] for c in _STATE.split(", "))).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{STATE}/v={n:012d}")
+        for old in self._versions()[:-2]:
+            folders.remove(self.spark, f"{self.path}/{STATE}/v={old:012d}")
+
+    def _parts(self, days: Callable[[str], bool] = lambda day: True) -> list[str]:
+        """Partitions that count: as many as there are days, whatever they hold."""
+        return [f"{r.local_date}.{r.version}" for r in self.state().collect() if days(r.local_date)]
+
+    def read(self, table: str, first: str | None = None, before: str | None = None) -> DataFrame | None:
+        """Rows of the stored days from ``first`` to ``before``, exclusive; only those partitions are read. None if nothing is stored."""
+        parts = self._parts(lambda day: (first is None or day >= first) and (before is None or day < before))
+        if not folders.exists(self.spark, f"{self.path}/{table}"):
             return None
-
-    def _replace(self, rows: DataFrame, table: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date").parquet(f"{self.path}/{table}")
+        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("part").isin(parts) if parts else F.lit(False)).drop("part")
 
     def stale(self, dependencies: DataFrame, today: str) -> DataFrame:
         """Finished days whose stored fingerprint is missing or different."""
-        due = dependencies.where(F.col("local_date") < today)
-        state = self.read(STATE)
-        return due if state is None else due.join(state.select("local_date", "fingerprint"), ["local_date", "fingerprint"], "left_anti")
-
-    def refresh(self, build: Callable[[], DataFrame], dependencies: DataFrame, today: str) -> None:
-        """Rebuilds all stale days in one job. ``build`` gives unfiltered facts, so that one store serves every filter."""
-        due = self.stale(dependencies, today)
-        dated = build().withColumn("local_date", business_date(F.col("timestamp_sec"), self.tz, self.boundary).cast("string"))
-        self._replace(dated.join(due.select("local_date"), "local_date", "left_semi"), FACTS)
-        days = due.select("local_date")
-        fresh = self.read(FACTS)
-        if fresh is None:
-            return
-        fresh = fresh.join(days, "local_date", "left_semi")
-        self._replace(daily_summary(fresh), DAYS)
-        self._replace(measured(fresh, "local_date", "model"), MODELS)
-        self._replace(due, STATE)
-
-    def invalidate(self, days: list[str], today: str) -> None:
-        """Forgets the state of days (never of today): the next refresh builds them anew."""
-        state = self.read(STATE)
+        return dependencies.where(F.col("local_date") < today).join(self.state().select("local_date", "fingerprint"), ["local_date", "fingerprint"], "left_anti")
+
+    def refresh(self, build: Callable[[int, int], DataFrame], dependencies: DataFrame, today: str) -> list[str]:
+        """Rebuilds the stale days, forgets those without any input, and gives both.
+
+        ``build(start, end)`` gives unfiltered facts, so that one store serves every filter, of at least the seconds from
+        ``start`` to ``end``: the stale days and one on either side, as the two observers' times of a request may differ.
+        """
+        known = {r.local_date: r for r in self.state().collect()}
+        current = {r.local_date: r.fingerprint for r in dependencies.where(F.col("local_date") < today).collect()}
+        due = sorted(d for d, f in current.items() if d not in known or known[d].fingerprint != f)
+        gone = sorted(d for d in known if d < today and d not in current)
+        if not due and not gone:
+            return []
+        version = (self._versions() or [0])[-1] + 1
+        if due:
+            one = timedelta(days=1)
+            start = business_day_bounds(date.fromisoformat(due[0]) - one, self.tz, self.boundary)[0]
+            end = business_day_bounds(date.fromisoformat(due[-1]) + one, self.tz, self.boundary)[1]
+            part = F.concat_ws(".", "local_date", F.lit(version))
+            dated = self.dated(build(start, end)).where(F.col("local_date").isin(due)).withColumn("part", part)
+            self._write(dated, FACTS)
+            fresh = self.spark.read.parquet(f"{self.path}/{FACTS}").where(F.col("part").isin([f"{d}.{version}" for d in due]))
+            self._write(daily_summary(fresh).withColumn("part", part), DAYS)
+            self._write(self.cells_of(fresh).withColumn("part", part), CELLS)
+        kept = [(d, r.fingerprint, r.version, self.mode) for d, r in known.items() if d not in due and d not in gone]
+        self._put(self.spark.createDataFrame(kept + [(d, current[d], version, self.mode) for d in due], _STATE))
+        return due + gone
+
+    def _write(self, rows: DataFrame, table: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{table}")
+
+    def dated(self, facts: DataFrame) -> DataFrame:
+        return facts.withColumn("local_date", business_date(F.col("timestamp_sec"), self.tz, self.boundary).cast("string"))
+
+    def cells_of(self, dated: DataFrame) -> DataFrame:
+        return cells(dated, DAY, self.tz, "local_date")
+
+    def invalidate(self, days: Sequence[str], today: str) -> None:
+        """Forgets the fingerprints of days (never of today): the next refresh builds them anew; until then they are read as they are."""
         gone = [d for d in days if d != today]
-        if state is not None and gone:
-            self._replace(state.where(F.col("local_date").isin(gone)).withColumn("fingerprint", F.lit("")), STATE)
+        if gone and self._versions():
+            self._put(self.state().withColumn("fingerprint", F.when(F.col("local_date").isin(gone), "").otherwise(F.col("fingerprint"))))
+
+    def clear(self) -> None:
+        """Forgets all days."""
+        self._put(self.spark.createDataFrame([], _STATE))
+
+    def rebuild(self, build: Callable[[int, int], DataFrame], dependencies: DataFrame, today: str) -> list[str]:
+        """All days anew, whatever is stored."""
+        self.clear()
+        done = self.refresh(build, dependencies, today)
+        self.vacuum()
+        return done
+
+    def vacuum(self) -> None:
+        """Removes what no state names any more. Nobody may be reading or refreshing."""
+        live = {f"part={p}" for p in self._parts()}
+        for table in (FACTS, DAYS, CELLS):
+            for name in folders.children(self.spark, f"{self.path}/{table}"):
+                if name.startswith("part=") and name not in live:
+                    folders.remove(self.spark, f"{self.path}/{table}/{name}")
+
+    def _with_live(self, table: str, live: DataFrame, today: str, first: str | None) -> DataFrame:
+        live = live.where(F.col("local_date") >= today)
+        cold = self.read(table, first, today)
+        return live if cold is None else cold.select(live.columns).unionByName(live)
 
     def facts(self, hot: DataFrame, today: str, first: str | None = None) -> DataFrame:
-        """Stored days and the live one. Days are partitions: only those of the range are read."""
-        cold = self.read(FACTS)
-        live = hot.withColumn("local_date", business_date(F.col("timestamp_sec"), self.tz, self.boundary).cast("string")).where(F.col("local_date") >= today)
-        if cold is None:
-            return live
-        cold = cold.where(F.col("local_date") < today) if first is None else cold.where((F.col("local_date") >= first) & (F.col("local_date") < today))
-        return cold.select(live.columns).unionByName(live)
+        """Stored days from ``first`` on and the live one."""
+        return self._with_live(FACTS, self.dated(hot), today, first)
+
+    def cells(self, hot: DataFrame, today: str, first: str | None = None) -> DataFrame:
+        """Cells of stored days from ``first`` on, and of the live one."""
+        return self._with_live(CELLS, self.cells_of(self.dated(hot)), today, first)
 
     def model_days(self, hot: DataFrame, today: str) -> DataFrame:
-        """Metrics by day and model: stored ones, and those of the live day."""
-        live = measured(hot.withColumn("local_date", business_date(F.col("timestamp_sec"), self.tz, self.boundary).cast("string")).where(F.col("local_date") >= today), "local_date", "model")
-        cold = self.read(MODELS)
-        return live if cold is None else cold.where(F.col("local_date") < today).select(live.columns).unionByName(live)
+        """Metrics by day and model, with a map of requests by status: stored ones, and those of the live day."""
+        return model_days(self.cells(hot, today))
+
+    def window_cells(self, hot: DataFrame, windows: dict[str, int], as_of: int, today: str) -> DataFrame:
+        """Cells with the ``window`` that they count in, for windows that begin at a second and end at ``as_of``.
+
+        Whole days come from the stored cells; of a window's first day, if it begins within it, and of the live one, facts
+        are measured.
+        """
+        bounds = {w: self._first_whole_day(s) for w, s in windows.items()}
+        days = F.array(*(F.struct(F.lit(w).alias("window"), F.lit(d).alias("first")) for w, (d, _) in bounds.items()))
+        live = self.dated(hot).where((F.col("local_date") >= today) & (F.col("timestamp_sec") <= as_of))
+        edge = self.read(FACTS, min((e for _, e in bounds.values() if e), default="9999"), today)
+        parts = [] if edge is None else [edge.where((F.col("local_date") == e) & (F.col("timestamp_sec") >= windows[w])).withColumn("window", F.lit(w)) for w, (_, e) in bounds.items() if e and e < today]
+        inside = F.array(*(F.struct(F.lit(w).alias("window"), F.lit(s).cast("long").alias("since")) for w, s in windows.items()))
+        some = live.withColumn("window", F.explode(F.transform(F.filter(inside, lambda x: x["since"] <= F.col("timestamp_sec")), lambda x: x["window"])))
+        for p in parts:
+            some = some.unionByName(p.select(some.columns))
+        measured = cells(some, DAY, self.tz, "window")
+        cold = self.read(CELLS, min(d for d, _ in bounds.values()), today)
+        if cold is None:
+            return measured
+        whole = cold.withColumn("window", F.explode(F.transform(F.filter(days, lambda x: x["first"] <= F.col("local_date")), lambda x: x["window"])))
+        return whole.select(measured.columns).unionByName(measured)
+
+    def _first_whole_day(self, since: int) -> tuple[str, str | None]:
+        """The first business day that begins at or behind a second, and the day before it if the second lies within that."""
+        from datetime import datetime
+        from zoneinfo import ZoneInfo
+
+        day = (datetime.fromtimestamp(since, ZoneInfo(self.tz)).replace(tzinfo=None) - timedelta(hours=self.boundary)).date()
+        begins = business_day_bounds(day, self.tz, self.boundary)[0]
+        return (str(day), None) if begins >= since else (str(day + timedelta(days=1)), str(day))
+
+
+def model_days(day_cells: DataFrame) -> DataFrame:
+    """Cells gathered by day and model; a day and model has few statuses, which lie in a map."""
+    by_status = measures(day_cells, "local_date", "model", "status_code")
+    counts = F.map_from_entries(F.collect_list(F.when(F.col("status_code").isNotNull(), F.struct("status_code", "requests"))))
+    return by_status.groupBy("local_date", "model").agg(*added_up(), counts.alias("status_counts"))
 
 
 def can_use_summaries(step: int, tool: str | None, source: str | None) -> bool:
     """Daily summaries answer whole-day buckets without filters; all else needs facts."""
-    return step == 86_400 and not (tool or "").strip() and not source
+    return step == DAY and not (tool or "").strip() and not source

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from meterlake.operators.filters import after_key
+from meterlake.operators.maintenance import changed_keys
 from meterlake.operators.pricing import newest_prices
-from meterlake.sources import transcripts
+from meterlake.plans import folders
+from meterlake.sources import files, transcripts
 
 _MODEL = "struct<id:string,name:string,cost:struct<input:double,output:double,cache_read:double,cache_write:double>,last_updated:string>"
 
@@ -74,6 +77,41 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, partiti
     return spark.read.format("sqlite").schema(schema).option("path", path).option("dbtable", table).option("numPartitions", partitions).load()
 
 
+class KeysetReader:
+    """Rows of a growing table (time, row) that were not read before; how far that was lies in a folder and outlives the session.
+
+    Rows that are changed or removed in place are not seen so: every ``full_every`` commits all rows are read again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, time: str = "time_created", row: str = "rowid", full_every: int = 50):
+        self.spark, self.path, self.time, self.row, self.full_every = spark, path.rstrip("/"), time, row, full_every
+
+    def _commits(self) -> list[int]:
+        return folders.complete(self.spark, self.path, "n=")
+
+    def last(self) -> tuple[int, int] | None:
+        """(time, row) of the last row that was committed, or none if all have to be read."""
+        done = self._commits()
+        if not done or done[-1] % self.full_every == 0:
+            return None
+        found = self.spark.read.schema("t long, r long").json(f"{self.path}/n={done[-1]:012d}").first()
+        return None if found is None else (found.t, found.r)
+
+    def new(self, rows: DataFrame) -> DataFrame:
+        at = self.last()
+        return rows if at is None else rows.where(after_key(F.col(self.time), F.col(self.row), *at))
+
+    def commit(self, rows: DataFrame) -> None:
+        """``rows``: what was read; its last row is where the next reading begins."""
+        before = self.last()
+        top = rows.agg(F.max(F.struct(F.col(self.time).cast("long").alias("t"), F.col(self.row).cast("long").alias("r"))).alias("x")).first().x
+        at = max(x for x in (before, None if top is None else (top.t, top.r), (0, 0)) if x is not None)
+        n = (self._commits() or [0])[-1] + 1
+        self.spark.createDataFrame([at], "t long, r long").coalesce(1).write.mode("overwrite").json(f"{self.path}/n={n:012d}")
+        for old in self._commits()[:-2]:
+            folders.remove(self.spark, f"{self.path}/n={old:012d}")
+
+
 def schema_mode(columns: Sequence[str]) -> str:
     """What a foreign message table can give: full, message_only or incompatible."""
     have = set(columns)
@@ -95,6 +133,26 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+#: Foreign tables as LOCAL requests
+TABLES: dict[str, Callable[..., DataFrame]] = {"opencode": transcripts.database_messages, "hermes": transcripts.session_totals, "qoder_ide": transcripts.editor_messages}
+
+
+def changed_files(spark: SparkSession, path: str, cached: DataFrame, glob: str = "*.jsonl") -> tuple[list[str], list[str], DataFrame]:
+    """(paths that are new or differ, paths that are gone, fingerprints now). ``cached``: fingerprints of the last scan.
+
+    Only file sizes and times are looked at. The lists are as long as what has changed.
+    """
+    now = files.listed(spark, path, glob)
+    change = changed_keys(cached, now, "path", "fingerprint").collect()
+    return sorted(r.path for r in change if r.change != "removed"), sorted(r.path for r in change if r.change == "removed"), now
+
+
+def read_changed(spark: SparkSession, tool: str, path: str, cached: DataFrame, glob: str = "*.jsonl") -> tuple[DataFrame | None, list[str], DataFrame]:
+    """(LOCAL requests of the changed files alone, paths that are gone, fingerprints now); no requests if nothing has changed."""
+    dirty, gone, now = changed_files(spark, path, cached, glob)
+    return (READERS[tool](spark, dirty) if dirty else None), gone, now
+
+
 def read_tools(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """LOCAL requests of several tools, each from its root."""
     frames = [READERS[tool](spark, path) for tool, path in roots.items()]

@@ -26,6 +26,12 @@ def documents(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.js
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.unix_timestamp("_metadata.file_modification_time").alias("modified"), F.col("value").alias("body"))
 
 
+def listed(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.jsonl") -> DataFrame:
+    """(path, fingerprint) of files, without opening any."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths if isinstance(paths, str) else list(paths))
+    return found.select("path", F.xxhash64("length", F.unix_timestamp("modificationTime")).alias("fingerprint"))
+
+
 def fingerprints(rows: DataFrame) -> DataFrame:
     """(path, fingerprint) of the files that rows come from: size and time."""
     return rows.groupBy("path").agg(F.xxhash64(F.max("size"), F.max("modified")).alias("fingerprint"))

@@ -57,8 +57,10 @@ nested_usage = F.udf(_nested_usage, T.StringType(), useArrow=True)
 def assistant_lines(spark: SparkSession, path: str, tool: str = "claude_code") -> DataFrame:
     """JSON lines with an assistant message and its usage; of one message's versions the largest. Subagents' files belong to their session."""
     at = lines(spark, path).where(_json("$.type") == "assistant")
-    usage = F.coalesce(_json("$.message.usage"), _json("$.usage"), nested_usage(F.col("line")))
-    rows = at.withColumn("usage", usage).select(
+    placed = at.withColumn("usage", F.coalesce(_json("$.message.usage"), _json("$.usage")))
+    # only lines without a usage where it should be are searched in Python
+    deep = placed.where("usage IS NULL").withColumn("usage", nested_usage(F.col("line")))
+    rows = placed.where("usage IS NOT NULL").unionByName(deep).select(
         root_session(F.col("path")).alias("session_id"),
         F.coalesce(_json("$.message.id"), _json("$.uuid"), F.lit("")).alias("message_id"),
         F.coalesce(_json("$.message.model"), _json("$.model"), F.lit("")).alias("model"),

@@ -72,6 +72,15 @@ def recent_unique(records: DataFrame, key: str = "storage_dedupe_key", delay: st
     return records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def recent_largest(records: DataFrame, key: str = "storage_dedupe_key", delay: str = "10 minutes", event_time: str = "event_time", window: str = "1 day") -> DataFrame:
+    """For update mode: of one key's records in a window the one of most tokens so far, then the latest. A larger one that comes later replaces it."""
+    total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens")
+    others = [c for c in records.columns if c != key]
+    timed = records.withWatermark(event_time, delay)
+    best = F.max_by(F.struct(*others), F.struct(total, event_time))
+    return timed.groupBy(key, F.window(event_time, window).alias("_w")).agg(best.alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in others))
+
+
 def largest_per_key(records: DataFrame, key: str = "storage_dedupe_key") -> DataFrame:
     """Of one key's records the one of most tokens, then the latest: later, larger records replace earlier ones."""
     total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens")

@@ -2,48 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from meterlake.operators.maintenance import latest_versions
+from meterlake.plans import folders
 
 DAY_MS = 86_400_000
+KEY_BUCKETS = 64
 
 
 class RecordStore:
-    """Records partitioned by UTC day; a record replaces the stored one of its key if it has at least as many tokens."""
+    """Records partitioned by UTC day; a record replaces the stored one of its key, whatever its day, if it has at least as many tokens.
+
+    Beside them lies a log of (key, day), dealt by a hash of the key, which says where a key is stored. It is narrow, only
+    grows by keys that are new or have moved, and is searched for a batch's keys alone.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "storage_dedupe_key"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.keys = f"{self.path}__keys"
 
     def read(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path).withColumn("day", F.col("day").cast("string"))
-        except AnalysisException:
+        if not folders.exists(self.spark, self.path):
             return None
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path).withColumn("day", F.col("day").cast("string"))
+
+    def _days_of(self, keys: DataFrame) -> list[str]:
+        """Days that the keys may be stored on: one for each key, or several if it has moved."""
+        if not folders.exists(self.spark, self.keys):
+            return []
+        buckets = [r[0] for r in keys.select("bucket").distinct().collect()]
+        log = self.spark.read.schema("key string, day string, bucket int").parquet(self.keys).where(F.col("bucket").isin(buckets))
+        return [r[0] for r in log.join(keys.select("key"), "key", "left_semi").select("day").distinct().collect()]
 
     def upsert(self, batch: DataFrame, batch_id: int = 0, on_days: Callable[[list[str]], None] | None = None) -> None:
-        """For ``foreachBatch``: rewrites only the days that the batch touches, so that a repeated batch changes nothing.
+        """For ``foreachBatch``: rewrites only the days of the batch and of what it replaces, so that a repeated batch changes nothing.
 
-        ``on_days`` gets the days touched (as many as the batch spans): what was derived from them is out of date.
+        ``on_days`` gets the days touched: what was derived from them is out of date. Columns that are new are added.
         """
         new = batch.withColumn("day", F.timestamp_millis("timestamp").cast("date").cast("string")).withColumn("_new", F.lit(1)).persist()
+        aside = f"{self.path}__batch_{batch_id}"
         try:
-            days = [r[0] for r in new.select("day").distinct().collect()]
+            own = F.col(self.key).cast("string")
+            keys = new.select(own.alias("key"), F.pmod(F.xxhash64(own), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")).distinct()
+            days = {r[0] for r in new.select("day").distinct().collect()}
             if not days:
                 return
+            days |= set(self._days_of(keys))
             stored = self.read()
-            both = new if stored is None else new.unionByName(stored.where(F.col("day").isin(days)).withColumn("_new", F.lit(0)), allowMissingColumns=True)
+            both = new if stored is None else new.unionByName(stored.where(F.col("day").isin(sorted(days))).withColumn("_new", F.lit(0)), allowMissingColumns=True)
             total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens")
-            order = Window.partitionBy("day", self.key).orderBy(F.desc(total), F.desc("_new"), F.desc("timestamp"))
+            order = Window.partitionBy(self.key).orderBy(F.desc(total), F.desc("_new"), F.desc("timestamp"))
             kept = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
             # the days are read and replaced: what replaces them is written aside first
-            aside = f"{self.path}__batch_{batch_id}"
             kept.write.mode("overwrite").partitionBy("day").parquet(aside)
-            self.spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+            done = self.spark.read.option("mergeSchema", "true").parquet(aside).withColumn("day", F.col("day").cast("string"))
+            done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+            left = {n.removeprefix("day=") for n in folders.children(self.spark, aside) if n.startswith("day=")}
+            for day in days - left:  # all that was there has moved
+                folders.remove(self.spark, f"{self.path}/day={day}")
+            placed = done.select(F.col(self.key).cast("string").alias("key"), "day").join(keys, "key")
+            placed.select("key", "day", "bucket").write.mode("append").partitionBy("bucket").parquet(self.keys)
         finally:
             new.unpersist()
+            folders.remove(self.spark, aside)
         if on_days:
             on_days(sorted(days))
 
@@ -53,28 +78,56 @@ class RecordStore:
 
 
 class ChangeFeed:
-    """Batches of changes under one folder, numbered without gaps, with snapshots."""
+    """Batches of changes under one folder, numbered without gaps, and snapshots of what they add up to.
+
+    A batch is the partition of its number. Every ``snapshot_every`` batches a snapshot is made of the one before it and the
+    batches since; batches more than ``keep`` before it, and older snapshots, go.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], snapshot_every: int = 100, keep: int = 20):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
+        self.snapshot_every, self.keep = snapshot_every, keep
+
+    def _numbers(self, kind: str) -> list[int]:
+        return folders.complete(self.spark, f"{self.path}/{kind}", "seq=")
 
-    def __init__(self, spark: SparkSession, path: str, snapshot_every: int = 100):
-        self.spark, self.path, self.snapshot_every = spark, path.rstrip("/"), snapshot_every
+    def snapshot(self) -> int:
+        """Number of the latest snapshot, 0 without any."""
+        return (self._numbers("snapshots") or [0])[-1]
 
     def publish(self, rows: DataFrame, seq: int) -> None:
-        """A batch is its number's folder, written as a whole: publishing it again replaces it."""
-        rows.withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").json(f"{self.path}/batches/{seq:012d}")
-        if seq and seq % self.snapshot_every == 0:
-            self.all(rows.schema.simpleString()).write.mode("overwrite").json(f"{self.path}/snapshots/{seq:012d}")
-
-    def all(self, schema: str) -> DataFrame:
-        inner = schema.removeprefix("struct<").removesuffix(">").replace(":", " ")
-        return self.spark.read.schema(f"{inner}, seq long").json(f"{self.path}/batches/*")
-
-    def apply(self, schema: str, keys: list[str], after: int = 0) -> DataFrame:
-        """The latest row of each key from the unbroken run of batches behind ``after``."""
-        from meterlake.operators.maintenance import latest_versions
-
-        rows = self.all(schema).where(F.col("seq") > after)
-        seqs = rows.select("seq").distinct()
-        # batches are numbered on from ``after``: the run ends before the first number that is missing
-        place = Window.partitionBy().orderBy("seq")
-        run = seqs.withColumn("_gap", F.col("seq") - F.row_number().over(place) - after).where("_gap = 0").drop("_gap")
-        return latest_versions(rows.join(F.broadcast(run), "seq", "left_semi"), keys, "seq")
+        """A batch is written as a whole: publishing it again replaces it."""
+        rows.write.mode("overwrite").json(f"{self.path}/batches/seq={seq:012d}")
+        if self.cursor(self.snapshot()) - self.snapshot() >= self.snapshot_every:
+            self._snap()
+
+    def _snap(self) -> None:
+        at = self.cursor(self.snapshot())
+        self._rows(self.snapshot(), True).write.mode("overwrite").json(f"{self.path}/snapshots/seq={at:012d}")
+        for kind, least in (("batches", max(at - self.keep, 0)), ("snapshots", at)):
+            for n in self._numbers(kind):
+                if n < least:
+                    folders.remove(self.spark, f"{self.path}/{kind}/seq={n:012d}")
+
+    def cursor(self, after: int = 0) -> int:
+        """How far a reader that has applied ``after`` gets: past the latest snapshot, and on to the first batch that is missing."""
+        at, have = max(after, self.snapshot()), set(self._numbers("batches"))
+        while at + 1 in have:
+            at += 1
+        return at
+
+    def _rows(self, after: int, whole: bool) -> DataFrame:
+        """(columns, version): the latest row of each key of the batches behind ``after``, and, for ``whole``, of the snapshot."""
+        snapshot = self.snapshot()
+        rows = self.spark.createDataFrame([], f"{self.schema}, version long")
+        if whole and snapshot:
+            rows = self.spark.read.schema(f"{self.schema}, version long").json(f"{self.path}/snapshots/seq={snapshot:012d}")
+        behind = range(max(after, snapshot) + 1, self.cursor(after) + 1)
+        if behind:
+            read = self.spark.read.option("basePath", f"{self.path}/batches").schema(f"{self.schema}, seq long")
+            rows = rows.unionByName(read.json([f"{self.path}/batches/seq={n:012d}" for n in behind]).withColumnRenamed("seq", "version"))
+        return latest_versions(rows, self.keys, "version")
+
+    def apply(self, after: int = 0) -> DataFrame:
+        """The latest row of each key from what a reader at ``after`` has not seen; one behind the snapshot gets all of it."""
+        return self._rows(after, after < self.snapshot()).drop("version")

@@ -4,11 +4,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from meterlake.functions.calendar import epoch
+from meterlake.operators import maintenance as M
 from meterlake.plans.commands import Context, Usage
 from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies
 from meterlake.queries import bindings as B
 from meterlake.streaming.blocks import live_blocks
-from meterlake.streaming.capture import EVENTS, captured, folded, hourly_windows, recent_unique
+from meterlake.streaming.capture import EVENTS, captured, folded, hourly_windows, recent_largest, recent_unique
 from meterlake.streaming.ingest import ChangeFeed, RecordStore
 
 SF = "/root/testdata/sf0.001"
@@ -65,40 +67,147 @@ def test_live_blocks(spark, tmp_path):
     assert got == {"s": (6 * 3600, 7), "t": (50, 1)}
 
 
+B_DAY = epoch(2024, 1, 5)
+RECORD = "storage_dedupe_key string, timestamp long, input_tokens long, output_tokens long, cache_create_tokens long, cache_read_tokens long"
+
+
 def test_record_store(spark, tmp_path):
-    schema = "storage_dedupe_key string, timestamp long, input_tokens long, output_tokens long, cache_create_tokens long, cache_read_tokens long"
     store = RecordStore(spark, str(tmp_path / "r"))
     touched = []
-    store.upsert(spark.createDataFrame([("a", 1000, 5, 0, 0, 0), ("b", 86_400_000, 5, 0, 0, 0)], schema), 0, touched.extend)
-    store.upsert(spark.createDataFrame([("a", 1500, 9, 0, 0, 0), ("b", 86_400_001, 1, 0, 0, 0)], schema), 1, touched.extend)
+    store.upsert(spark.createDataFrame([("a", 1000, 5, 0, 0, 0), ("b", 86_400_000, 5, 0, 0, 0)], RECORD), 0, touched.extend)
+    store.upsert(spark.createDataFrame([("a", 1500, 9, 0, 0, 0), ("b", 86_400_001, 1, 0, 0, 0)], RECORD), 1, touched.extend)
     assert {r.storage_dedupe_key: r.input_tokens for r in store.read().collect()} == {"a": 9, "b": 5}
     assert touched == ["1970-01-01", "1970-01-02"] * 2
 
 
+def test_records_replace_their_key_across_days(spark, tmp_path):
+    """A larger record after midnight replaces the one before it, whose day may be empty then; a smaller one changes nothing."""
+    store, days = RecordStore(spark, str(tmp_path / "r")), DayStore(spark, str(tmp_path / "d"))
+    days._put(spark.createDataFrame([(d, "x", 1, days.mode) for d in ("1970-01-01", "1970-01-02", "1970-01-04")], "local_date string, fingerprint string, version long, mode string"))
+    touched = []
+
+    def on_days(found):
+        touched.append(found)
+        days.invalidate(found, "1970-01-05")
+
+    one = lambda *rows: spark.createDataFrame(list(rows), RECORD)
+    for i, batch in enumerate([one(("k", 86_399_000, 5, 0, 0, 0)), one(("k", 86_401_000, 9, 0, 0, 0), ("l", 1, 1, 0, 0, 0)), one(("k", 10, 1, 0, 0, 0)), one(("k", 86_401_000, 9, 0, 0, 0)), one(("l", 3 * 86_400_000, 2, 0, 0, 0))]):
+        for _ in range(2):  # a repeated batch changes nothing
+            store.upsert(batch, i, on_days)
+    assert sorted((r.storage_dedupe_key, r.input_tokens, r.day) for r in store.read().collect()) == [("k", 9, "1970-01-02"), ("l", 2, "1970-01-04")]
+    assert not (tmp_path / "r/day=1970-01-01").exists() and not list(tmp_path.glob("r__batch*"))
+    assert ["1970-01-01", "1970-01-02"] in touched and touched[-1][-1] == "1970-01-04"
+    assert {r.fingerprint for r in days.state().collect()} == {""}
+
+
+def test_a_larger_record_replaces_one_on_the_stream(spark, tmp_path):
+    rows = [("k", 1000, 5, 0, 0, 0), ("k", 2000, 9, 0, 0, 0), ("k", 3000, 1, 0, 0, 0), ("l", 1, 1, 0, 0, 0)]
+    spark.createDataFrame(rows, RECORD).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(RECORD).json(str(tmp_path / "in")).withColumn("event_time", F.timestamp_millis("timestamp"))
+    assert {r.storage_dedupe_key: r.input_tokens for r in run(recent_largest(stream), "largest").collect()} == {"k": 9, "l": 1}
+
+
 def test_change_feed(spark, tmp_path):
-    feed = ChangeFeed(spark, str(tmp_path / "feed"), snapshot_every=2)
-    for seq, v in ((1, 10), (2, 20), (4, 40)):
-        feed.publish(spark.createDataFrame([("k", v)], "key string, v long"), seq)
-    assert [(r.key, r.v) for r in feed.apply("key string, v long", ["key"]).collect()] == [("k", 20)]
-    assert (tmp_path / "feed/snapshots/000000000002").exists()
+    feed = ChangeFeed(spark, str(tmp_path / "feed"), "key string, v long", ["key"], snapshot_every=2, keep=1)
+    put = lambda seq, *rows: feed.publish(spark.createDataFrame(list(rows), "key string, v long"), seq)
+    got = lambda after=0: sorted((r.key, r.v) for r in feed.apply(after).collect())
+    assert got() == [] and feed.cursor() == 0
+    put(1, ("k", 10), ("only", 1))
+    assert got() == [("k", 10), ("only", 1)]
+    put(2, ("k", 20))
+    put(4, ("k", 40))
+    # the run ends before the batch that is missing; the snapshot holds what came before
+    assert feed.snapshot() == 2 and feed.cursor() == 2 and got() == [("k", 20), ("only", 1)] and got(2) == []
+    put(3, ("n", 3))
+    assert feed.snapshot() == 4 and feed.cursor(1) == 4
+    # a reader that lags behind the snapshot starts over from it, though its batches are gone
+    assert got(1) == got(3) == [("k", 40), ("n", 3), ("only", 1)]
+    assert sorted(x.name for x in (tmp_path / "feed/batches").iterdir()) == ["seq=000000000003", "seq=000000000004"]
+    assert [x.name for x in (tmp_path / "feed/snapshots").iterdir()] == ["seq=000000000004"]
+    put(5, ("k", 50), ("k5", 5))
+    put(5, ("k", 51))
+    assert got(4) == [("k", 51)]
+
+
+def test_outbox(spark):
+    box = spark.createDataFrame([], "event_id string, payload string, queued_at long, batched_seq long, uploaded_at long")
+    box = M.enqueued(box, spark.createDataFrame([("a", "1"), ("b", "1")], "event_id string, payload string"), 10)
+    box = M.enqueued(box, spark.createDataFrame([("c", "1")], "event_id string, payload string"), 20)
+    state = lambda d: {r.event_id: (r.payload, r.batched_seq, r.uploaded_at) for r in d.collect()}
+    box = M.reserved(box, 1, 2)
+    assert state(box) == {"a": ("1", 1, None), "b": ("1", 1, None), "c": ("1", None, None)}
+    assert state(M.reserved(box, 2, 9))["c"] == ("1", 2, None) and state(M.reserved(box, 2, 9))["a"] == ("1", 1, None)
+    assert state(M.released(box, 1))["a"] == ("1", None, None)
+    sent = M.marked_uploaded(box, 1, 30)
+    assert state(sent)["b"] == ("1", 1, 30) and state(M.released(sent, 1))["b"] == ("1", 1, 30)
+    again = M.enqueued(sent, spark.createDataFrame([("a", "2")], "event_id string, payload string"), 40)
+    assert state(again)["a"] == ("2", None, None)
+    assert set(state(M.without_uploaded(again, 31))) == {"a", "c"}
+
+
+def test_dirty_sessions_are_upserted(spark):
+    schema = "dedupe_key string, session_id string, timestamp long, v int, source_file_present boolean, sync_version long"
+    stored = spark.createDataFrame([("a", "s", 0, 1, True, 1), ("b", "s", 86_400, 1, True, 1), ("c", "t", 0, 1, True, 4), ("d", "u", 5, 1, True, 2)], schema)
+    parsed = spark.createDataFrame([("a", "s", 0, 2), ("n", "s", 9, 1), ("d", "s", 5, 3)], "dedupe_key string, session_id string, timestamp long, v int")
+    dirty = spark.createDataFrame([("s",)], "session_id string")
+    after = M.synced_facts(stored, parsed, dirty)
+    assert sorted(map(tuple, after.collect())) == [("a", "s", 0, 2, True, 2), ("b", "s", 86_400, 1, False, 2), ("c", "t", 0, 1, True, 4), ("d", "s", 5, 3, True, 1), ("n", "s", 9, 1, True, 1)]
+    days = M.touched_days(stored, after, F.timestamp_seconds("timestamp").cast("date").cast("string"))
+    assert sorted(r.day for r in days.collect()) == ["1970-01-01", "1970-01-02"]
 
 
 def test_day_store(spark, tmp_path):
-    f = B.facts(spark, SF)
-    deps = day_dependencies(B.proxy(spark, SF), B.local(spark, SF), B.remote(spark, SF))
+    p, mine, other, known, prices = B.proxy(spark, SF), B.local(spark, SF), B.remote(spark, SF), B.sessions(spark, SF), B.prices(spark)
+    c = Context(epoch(2024, 1, 20, 12), sources=tuple(B.SOURCES))
     store, today = DayStore(spark, str(tmp_path / "days")), "2024-01-20"
+    usage = Usage(p, mine, known, prices, other, store)
+    f = B.facts(spark, SF)
+    deps = day_dependencies(p, mine, other, sessions=known, prices=prices)
     assert store.stale(deps, today).count() == deps.where("local_date < '2024-01-20'").count() > 0
-    store.refresh(lambda: f, deps, today)
-    assert store.stale(deps, today).count() == 0
+    assert len(usage.refresh_store(c)) == 19 and usage.refresh_store(c) == [] and store.stale(deps, today).count() == 0
     both = store.facts(f, today)
-    assert both.count() == f.count() and both.agg(F.sum("total_tokens")).first()[0] == f.agg(F.sum("total_tokens")).first()[0]
+    total = lambda d: tuple(d.agg(F.count("*"), F.sum("total_tokens"), F.sum(F.xxhash64("canonical_request_key", "status_code").cast("decimal(38,0)"))).first())
+    assert total(both) == total(f)
+    assert store.facts(f, today, "2024-01-18").where("local_date < '2024-01-18'").count() == 0
+    # any value that changes makes its day stale: a model, a status, a session's folder; a price makes all
+    day = lambda **kw: sorted(r.local_date for r in store.stale(day_dependencies(kw.get("p", p), kw.get("l", mine), other, sessions=kw.get("s", known), prices=kw.get("r", prices)), today).collect())
+    first = p.orderBy("timestamp").first()
+    assert day(p=p.withColumn("status_code", F.when(F.col("event_id") == first.event_id, 418).otherwise(F.col("status_code")))) == ["2024-01-01"]
+    assert day(p=p.withColumn("model", F.when(F.col("event_id") == first.event_id, "other").otherwise(F.col("model")))) == ["2024-01-01"]
+    once = spark.createDataFrame([("lone",)], "session_id string")
+    rare = lambda d, u: d.withColumn("session_id", F.when(F.col("timestamp").between(B_DAY * u, (B_DAY + 86_399) * u), "lone").otherwise(F.col("session_id")))
+    with_meta = [day_dependencies(rare(p, 1000), rare(mine, 1), other, sessions=once.withColumn("cwd", F.lit(x))) for x in ("/here", "/moved")]
+    assert [r.local_date for r in with_meta[0].exceptAll(with_meta[1]).collect()] == ["2024-01-05"]
+    assert len(day(r=prices.withColumn("input_price", F.col("input_price") + 1))) == 19
+    # a day whose rows have all gone is forgotten
+    late = Usage(*(x.where(F.col("timestamp") >= epoch(2024, 1, 3) * u) for x, u in ((p, 1000), (mine, 1))), known, prices, other.where(F.col("timestamp") >= epoch(2024, 1, 3)), store)
+    assert {"2024-01-01", "2024-01-02"} <= set(late.refresh_store(c)) and store.read("facts").where("local_date < '2024-01-03'").count() == 0
+    assert usage.refresh_store(c)[:2] == ["2024-01-01", "2024-01-02"]
     store.invalidate(["2024-01-03", today], today)
-    assert [r.local_date for r in store.stale(deps, today).collect()] == ["2024-01-03"]
-    changed = day_dependencies(B.proxy(spark, SF).where("event_id <> 1"), B.local(spark, SF), B.remote(spark, SF))
-    assert store.stale(changed, today).count() == 2
+    assert day() == ["2024-01-03"] and total(store.facts(f, today)) == total(f)
+    store.vacuum()
+    assert total(store.facts(f, today)) == total(f)
+    # another boundary: nothing that is stored counts
+    assert DayStore(spark, store.path, boundary=4).state().count() == 0
+    assert len(store.rebuild(usage.merged, deps, today)) == 19 and total(store.facts(f, today)) == total(f)
     assert [can_use_summaries(86_400, None, None), can_use_summaries(3600, None, None), can_use_summaries(86_400, "codex", None)] == [True, False, False]
 
 
+def test_reports_from_stored_days(spark, tmp_path):
+    """What a store answers is what facts answer."""
+    args = B.proxy(spark, SF), B.local(spark, SF), B.sessions(spark, SF), B.prices(spark), B.remote(spark, SF)
+    plain, stored = Usage(*args), Usage(*args, DayStore(spark, str(tmp_path / "days")))
+    c = Context(B.AS_OF, sources=tuple(B.SOURCES))
+    stored.refresh_store(c)
+    shown = lambda d: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.collect())
+    for some in (c, Context(B.AS_OF, include_errors=False)):
+        a, b = (u.statistics_summary(some, B.START, B.END, 86_400) for u in (plain, stored))
+        assert all(shown(a[k]) == shown(b[k]) for k in a)
+        a, b = (u.refresh_bundle(some) for u in (plain, stored))
+        assert shown(a["windows"]) == shown(b["windows"]) and shown(a["window_models"]) == shown(b["window_models"])
+    assert stored.daily_models(c).where("size(status_counts) > 1").count() > 0
+
+
 def test_commands(spark):
     usage = Usage(B.proxy(spark, SF), B.local(spark, SF), B.sessions(spark, SF), B.prices(spark), B.remote(spark, SF))
     c = Context(B.AS_OF, sources=tuple(B.SOURCES))
