@@ -71,7 +71,8 @@ class Usage:
     def _hot(self, c: Context) -> DataFrame:
         """All facts since the business day began."""
         first = cal.business_day_bounds(cal.date.fromisoformat(c.today()), c.tz, c.boundary)[0]
-        return self.merged(first)
+        # from a day before on: the two observers' times of a request may lie on either side of midnight
+        return self.merged(first - cal.DAY).where(F.col("timestamp_sec") >= first)
 
     def merged(self, start: int, end: int | None = None) -> DataFrame:
         """Facts merged from inputs of a range of seconds: what a store builds days from."""

@@ -26,6 +26,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, place = _place(spark, path)
+    fs.rename(place, _place(spark, to)[1])
+
+
 def complete(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """Numbers behind ``prefix`` of the folders that were written to the end, in order."""
     found = [int(n.removeprefix(prefix)) for n in children(spark, path) if n.startswith(prefix)]

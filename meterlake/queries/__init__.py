@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from meterlake.queries import reports, rollups, sequences, stored
+from meterlake.queries import reports, rollups, sequences, stored, transcripts
 from meterlake.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "reports", "rollups", "sequences", "stored"]
+__all__ = ["QUERIES", "SQL", "reports", "rollups", "sequences", "stored", "transcripts"]

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from meterlake.functions.keys import storage_key
 from meterlake.functions.numbers import first_number, window_name
 from meterlake.operators.quota import lowest_remaining, relay_tiers
-from meterlake.plans.materialize import DayStore, day_dependencies
-from meterlake.queries.bindings import _PROXY, BASE_CTE, METRICS_SQL, _columns, facts, local, proxy, read, remote
-from meterlake.queries.registry import query, rounded
+from meterlake.operators import statistics
+from meterlake.plans.commands import Context, Usage
+from meterlake.plans.materialize import DayStore
+from meterlake.queries.bindings import _PROXY, AS_OF, BASE_CTE, END, METRICS_SQL, START, _columns, facts, local, prices, proxy, read, remote, sessions
+from meterlake.queries.registry import SQL, query, rounded
+from meterlake.queries.reports import _WINDOWS, WINDOWS
 from meterlake.sources.transcripts import nested_usage
 from meterlake.streaming.capture import folded, largest_per_key, session_totals
 from meterlake.streaming.ingest import RecordStore
@@ -29,26 +32,63 @@ _ROUND = "CAST(min_ttft_ms AS DOUBLE) AS min_ttft_ms, CAST(max_ttft_ms AS DOUBLE
 @query(BASE_CTE + f"SELECT * EXCLUDE (cost, rate_sum, min_rate, max_rate, min_ttft_ms, max_ttft_ms), {_ROUND} FROM (SELECT strftime(make_timestamp(timestamp_sec * 1000000), '%Y-%m-%d') AS local_date, model, {METRICS_SQL} FROM facts GROUP BY ALL)")
 def materialized_model_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished days from the store, the last one live: as if all were computed at once."""
-    today, f = "2024-01-30", facts(spark, sf_dir)
-    store = DayStore(spark, _folder(spark, "days"))
-    store.refresh(lambda: f, day_dependencies(proxy(spark, sf_dir), local(spark, sf_dir), remote(spark, sf_dir)), today)
-    days = store.model_days(f, today)
+    usage, c = _stored_usage(spark, sf_dir)
+    days = usage.daily_models(c).drop("status_counts")
     return rounded(days.withColumns({c: F.col(c).cast("double") for c in ("min_ttft_ms", "max_ttft_ms")}))
 
 
-@query(BASE_CTE + "SELECT client_tool, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM proxy GROUP BY 1")
+def _stored_usage(spark: SparkSession, sf_dir: str) -> tuple[Usage, Context]:
+    """All finished days in a new store."""
+    usage, c = Usage(proxy(spark, sf_dir), local(spark, sf_dir), sessions(spark, sf_dir), prices(spark), remote(spark, sf_dir), DayStore(spark, _folder(spark, "days"))), Context(AS_OF)
+    usage.refresh_store(c)
+    return usage, c
+
+
+@query(BASE_CTE + "SELECT strftime(make_timestamp(timestamp_sec * 1000000), '%Y-%m-%d') AS local_date, model, CAST(status_code AS INTEGER) AS status_code, CAST(sum(request_count) AS BIGINT) AS requests FROM facts WHERE status_code IS NOT NULL GROUP BY ALL")
+def materialized_status_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each day and model by status, out of the map that is kept."""
+    usage, c = _stored_usage(spark, sf_dir)
+    return usage.daily_models(c).select("local_date", "model", F.explode("status_counts").alias("status_code", "requests"))
+
+
+@query(SQL["window_usage"])
+def window_usage_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows from stored days, the facts of the days that they begin in, and the live day."""
+    usage, c = _stored_usage(spark, sf_dir)
+    return rounded(usage.refresh_bundle(c)["windows"])
+
+
+@query(BASE_CTE + f", w(win, since) AS (VALUES {_WINDOWS}) SELECT win AS \"window\", model, CAST(sum(request_count) AS BIGINT) AS requests, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(estimated_cost) + 1e-9, 4) AS cost FROM w JOIN facts ON timestamp_sec >= since AND timestamp_sec <= {AS_OF} GROUP BY ALL")
+def window_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.window_models(statistics.windowed(facts(spark, sf_dir).where(F.col("timestamp_sec") <= AS_OF), WINDOWS)))
+
+
+@query(BASE_CTE + f"SELECT count(*) AS requests, CAST(sum(input_tokens + output_tokens + cache_create_tokens + cache_read_tokens) AS BIGINT) AS total_tokens, round(sum(estimated_cost) + 1e-9, 4) AS cost, count(*) FILTER (status_code < 300) AS visible_requests, CAST(sum(input_tokens + output_tokens + cache_create_tokens + cache_read_tokens) FILTER (status_code < 300) AS BIGINT) AS visible_total_tokens, round(sum(estimated_cost) FILTER (status_code < 300) + 1e-9, 4) AS visible_cost FROM proxy WHERE timestamp >= {START * 1000} AND timestamp < {END * 1000}")
+def proxy_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of the proxy's records with errors and without."""
+    return rounded(statistics.window_requests(proxy(spark, sf_dir), START * 1000, END * 1000))
+
+
+@query(BASE_CTE + "SELECT tool, CAST(sum(request_count) AS BIGINT) AS requests, CASE tool WHEN 'codex' THEN 'Codex CLI' ELSE tool END AS label, CASE tool WHEN 'codex' THEN 'icon-c' WHEN 'qoder_ide' THEN 'icon-q' END AS icon FROM facts GROUP BY tool")
+def tools_with_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = spark.createDataFrame([("codex", "Codex CLI", "icon-c"), ("qoder_ide", None, "icon-q"), ("unused", "Unused", None)], "tool string, display_name string, icon string")
+    return statistics.with_tool_profile(statistics.ranking(facts(spark, sf_dir), "tool"), profiles).select("tool", "requests", "label", "icon")
+
+
+@query(BASE_CTE + "SELECT client_tool, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, min(timestamp) AS first_ms, max(timestamp) AS last_ms FROM proxy GROUP BY 1")
 def streamed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that arrive as a stream, each twice, end up in the store once."""
+    """Records that arrive as two streams, smaller ones a day later first, end up in the store once, on the larger one's day."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     ev = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").where("event_id % 5 <> 0")
     own = ev.select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.get_json_object("props", "$.k").cast("long").alias("kk"), F.floor("value").cast("long").alias("v"), F.expr("CASE user_id % 4 WHEN 0 THEN 'claude_code' WHEN 1 THEN 'codex' WHEN 2 THEN 'qoder_ide' ELSE 'qoder_cli' END").alias("tool"))
-    rows = own.selectExpr(*_columns(_PROXY)).withColumn("input_tokens", F.explode(F.array("input_tokens", F.greatest(F.col("input_tokens") - 1, F.lit(0)))))
-    none = F.lit(0)
+    rows, none = own.selectExpr(*_columns(_PROXY)), F.lit(0)
     keyed = rows.withColumn("storage_dedupe_key", storage_key(F.col("client_tool"), F.col("message_id"), F.col("session_id"), F.col("request_start_time"), F.col("timestamp"), F.col("model"), none))
+    smaller = keyed.withColumns({"input_tokens": F.greatest(F.col("input_tokens") - 1, F.lit(0)), "timestamp": F.col("timestamp") + 86_400_000})
     folder = _folder(spark, "records")
     store = RecordStore(spark, folder)
-    store.start(keyed, f"{folder}__checkpoint").awaitTermination()
-    return store.read().groupBy("client_tool").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    for i, stream in enumerate((smaller, keyed)):
+        store.start(stream, f"{folder}__checkpoint_{i}").awaitTermination()
+    return store.read().groupBy("client_tool").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
 
 
 @query("SELECT l_orderkey, l_linenumber, max(l_partkey) AS input_tokens FROM lineitem GROUP BY ALL")
