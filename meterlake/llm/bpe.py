@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding of whole texts with a public vocabulary, by a pair occurrence index.
 
-A partition's distinct pre-tokens lie in one linked sequence of symbols. An index maps each mergeable pair to all its
-positions. The lowest active rank is applied to all its positions at once, and only the lists of the neighbouring pairs
+A partition's texts are read in slices of bounded size; the distinct pre-tokens that the worker does not remember,
+INDEX_WORDS at a time, lie in one linked sequence of symbols. An index maps each mergeable pair to all its positions. The lowest active rank is applied to all its positions at once, and only the lists of the neighbouring pairs
 that a merge makes are updated; pairs that a merge has destroyed are recognised when their turn comes.
 """
 

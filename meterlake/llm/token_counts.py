@@ -1,6 +1,7 @@
 """Token counts under a unigram vocabulary by trie-shared dynamic programming.
 
-The distinct pre-tokens of a partition's texts go into a trie. Walking it, the best score of each prefix (over all ways to
+A partition's texts are read in slices of bounded size; the distinct pre-tokens of a slice that the worker does not
+remember go into a trie. Walking it, the best score of each prefix (over all ways to
 split it into pieces of the vocabulary) is computed once, however many pre-tokens share the prefix; a terminal stores
 the number of pieces of its best split. A text's count is the sum over its pre-tokens.
 """
