@@ -224,6 +224,16 @@ def orphan_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(own, "total").join(n(orphans, "orphans")).join(n(kept, "kept")).join(n(left, "sessions"))
 
 
+@query(BASE_CTE + "SELECT dirty, source_file_present, sync_version, count(*) AS requests, CAST(sum(input_tokens + CASE WHEN dirty AND source_file_present THEN 1 ELSE 0 END) AS BIGINT) AS input_tokens FROM (SELECT input_tokens, user_id % 3 = 0 AS dirty, NOT (user_id % 3 = 0 AND event_id % 10 = 1) AS source_file_present, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END AS sync_version FROM (SELECT input_tokens, event_id, CAST(substr(session_id, 2) AS BIGINT) AS user_id FROM local)) GROUP BY ALL")
+def synced_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some sessions parsed anew: their requests are replaced, those that they lack now are marked, all others are as they were."""
+    stored = local(spark, sf_dir).select("event_id", "session_id", "input_tokens", F.lit(True).alias("source_file_present"), F.lit(1).alias("sync_version"))
+    dirty = F.substring("session_id", 2, 20).cast("long") % 3 == 0
+    parsed = stored.where(dirty & (F.col("event_id") % 10 != 1)).withColumn("input_tokens", F.col("input_tokens") + 1)
+    after = maintenance.synced_facts(stored, parsed, stored.where(dirty).select("session_id"), "event_id")
+    return after.groupBy(dirty.alias("dirty"), "source_file_present", "sync_version").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"))
+
+
 @query("SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 'new' WHEN p_partkey % 7 = 0 THEN 'removed' ELSE 'dirty' END AS change FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 7 <> 0 OR p_partkey % 7 = 0 AND p_partkey % 5 <> 0 OR p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_size > 25")
 def changed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("f"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.plans import folders
-from meterlake.queries.bindings import read
+from meterlake.queries.bindings import END, read
 from meterlake.queries.registry import query
 from meterlake.queries.stored import _folder
 from meterlake.sources import transcripts
+from meterlake.sources.registry import SOURCES, KeysetCheckpoint, ScanCache
 
 _SHOWN = ("message_id", "model", "timestamp", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "total_tokens")
 #: One request for each turn that is not the user's.
@@ -93,3 +94,43 @@ def exported_editor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = F.format_string('{"promptTokens":%d,"cachedTokens":%d,"completionTokens":%d}', "n", F.expr("n div 4"), F.col("n") % 6)
     rows = t.select(_id().alias("id"), F.col("conv_id").cast("string").alias("session_id"), F.lit("assistant").alias("role"), (F.col("at") * 1000).alias("created"), info.alias("token_info"), F.lit('{"model":"q"}').alias("model_info"))
     return transcripts.editor_messages(known, rows).select("message_id", "timestamp", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS requests, CAST(sum(n) - least(sum(n), sum(n // 4)) AS BIGINT) AS input_tokens, CAST(sum(n % 6) AS BIGINT) AS output_tokens, CAST(least(sum(n), sum(n // 4)) AS BIGINT) AS cache_read_tokens, min(ts) AS first FROM ({_TURNS}) GROUP BY conv_id HAVING min(n) > 3")
+def read_shutdown_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals that a session ends with, dealt out to its requests: none is lost, and the first is where the session begins."""
+    t = _turns(spark, sf_dir)
+    start = t.select("conv_id", "turn", F.format_string('{"sessionId":"%d","timestamp":%d,"type":"assistant.message","data":{"outputTokens":1}}', "conv_id", "at").alias("line"))
+    sums = t.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"), F.max("at").alias("at"), F.count("*").alias("k"), F.min("n").alias("least"), F.sum("n").alias("n"), F.sum(F.expr("n div 4")).alias("c"), F.sum(F.col("n") % 6).alias("o"))
+    end = F.format_string('{"sessionId":"%d","timestamp":%d,"type":"session.shutdown","data":{"modelMetrics":{"m":{"requests":{"count":%d},"usage":{"inputTokens":%d,"outputTokens":%d,"cacheReadTokens":%d,"cacheWriteTokens":0}}}}}', "conv_id", "at", "k", "n", "o", "c")
+    # a request of no tokens at all is none: sessions with turns as short as that stay out
+    long = sums.where("least > 3")
+    lines = start.join(long.select("conv_id"), "conv_id", "left_semi").unionByName(long.select("conv_id", "turn", end.alias("line")))
+    found = transcripts.shutdown_totals(spark, _files(spark, lines, ".jsonl"))
+    return found.groupBy("session_id").agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens")), F.min("timestamp").alias("first"))
+
+
+@query(f"SELECT CAST(conv_id % 4 AS VARCHAR) AS model, count(*) AS requests, CAST(sum(n + CASE WHEN conv_id % 4 = 1 THEN 2 ELSE 0 END) AS BIGINT) AS input_tokens FROM ({_TURNS}) WHERE conv_id % 4 <> 2 AND n > 0 GROUP BY 1")
+def rescanned_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that stay, that come in another version, that go, and that are new, after a second look at a source."""
+    t = _turns(spark, sf_dir)
+
+    def folder(which: int, more: int = 0) -> str:
+        line = F.format_string('{"type":"assistant","timestamp":%d,"message":{"id":"%d","model":"%d","usage":{"input_tokens":%d,"output_tokens":0}}}', "at", "id", F.col("conv_id") % 4, F.col("n") + F.when(F.col("n") > 0, more).otherwise(0))
+        return _files(spark, t.where(F.col("conv_id") % 4 == which).select("conv_id", "turn", line.alias("line")), ".jsonl")
+
+    same, old, gone, changed, new = folder(0), folder(1), folder(2), folder(1, 2), folder(3)
+    cache = ScanCache(spark, _folder(spark, "scans"), SOURCES["claude_code"])
+    cache.refresh([same, old, gone])
+    cache.refresh([same, changed, new])
+    return cache.read().groupBy("model").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query(f"SELECT event_id FROM events WHERE epoch_ms(ts) >= {END * 1000}")
+def rows_behind_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of which what was there on a day has been read: the rows that have come since."""
+    table = read(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    at = KeysetCheckpoint(spark, _folder(spark, "checkpoint"), "ms", "event_id")
+    before, _ = at.unread(table.where(F.col("ms") < END * 1000))
+    at.advance(before)
+    return at.unread(table)[0].select("event_id")

@@ -46,6 +46,12 @@ def root_session(path: Column) -> Column:
     return F.when(path.rlike(r"[/\\]subagents[/\\]"), F.regexp_extract(path, r"([^/\\]+)[/\\]subagents[/\\]", 1)).otherwise(file_stem(path))
 
 
+def folder_project(path: Column) -> Column:
+    """Project of a file under ``projects/<working folder with dashes for slashes>``: the last part of that name."""
+    name = F.regexp_extract(F.translate(path, "\\", "/"), r"/projects/([^/]+)/", 1)
+    return F.try_element_at(F.filter(F.split(name, "-"), lambda x: x != ""), F.lit(-1))
+
+
 def wsl_distro(path: Column) -> Column:
     """Distribution of a UNC path into WSL, null elsewhere."""
     found = F.regexp_extract(F.translate(path, "\\", "/"), r"(?i)^//wsl(?:\$|\.localhost)/([^/]+)", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +56,7 @@ def _nested_usage(body: str | None) -> str | None:
 nested_usage = F.udf(_nested_usage, T.StringType(), useArrow=True)
 
 
-def assistant_lines(spark: SparkSession, path: str, tool: str = "claude_code") -> DataFrame:
+def assistant_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "claude_code") -> DataFrame:
     """JSON lines with an assistant message and its usage; of one message's versions the largest. Subagents' files belong to their session."""
     at = lines(spark, path).where(_json("$.type") == "assistant")
     placed = at.withColumn("usage", F.coalesce(_json("$.message.usage"), _json("$.usage")))
@@ -77,7 +79,7 @@ def assistant_lines(spark: SparkSession, path: str, tool: str = "claude_code") -
     return named.unionByName(unnamed)
 
 
-def rollout_lines(spark: SparkSession, path: str, tool: str = "codex") -> DataFrame:
+def rollout_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "codex") -> DataFrame:
     """Events with cumulative counters: deltas by file, the model carried from the last context, replays of a fork skipped."""
     raw = lines(spark, path).withColumns({"type": _json("$.type"), "ts": first_time(F.col("line"), ["$.timestamp"])})
     counter = lambda at: F.when(_json(at).isNotNull(), F.struct(*(F.coalesce(first_number(_json(at), [f"$.{k}"]), F.lit(0)).alias(n) for n, k in (("input", "input_tokens"), ("output", "output_tokens"), ("cache_create", "cache_creation_input_tokens"), ("cache_read", "cached_input_tokens")))))
@@ -110,7 +112,7 @@ def rollout_lines(spark: SparkSession, path: str, tool: str = "codex") -> DataFr
     return _requests(indexed.withColumn("message_id", F.concat_ws(":", F.lit(tool), "session_id", F.col("event_index").cast("string"))), tool)
 
 
-def chat_documents(spark: SparkSession, path: str, tool: str = "gemini") -> DataFrame:
+def chat_documents(spark: SparkSession, path: str | Sequence[str], tool: str = "gemini") -> DataFrame:
     """Documents with a list of messages; cached tokens are part of the input, thoughts and tool tokens of the output."""
     messages = F.from_json(_json("$.messages", "body"), "array<string>")
     each = documents(spark, path).select("path", _json("$.sessionId", "body").alias("session"), F.posexplode(messages).alias("line_no", "line"))
@@ -130,7 +132,7 @@ def chat_documents(spark: SparkSession, path: str, tool: str = "gemini") -> Data
     return keep_largest(found.where(~is_blank(F.col("message_id"))), ["session_id", "message_id"]).unionByName(found.where(is_blank(F.col("message_id"))))
 
 
-def shutdown_totals(spark: SparkSession, path: str, tool: str = "copilot_cli") -> DataFrame:
+def shutdown_totals(spark: SparkSession, path: str | Sequence[str], tool: str = "copilot_cli") -> DataFrame:
     """Sessions that end with totals by model: the totals are spread evenly over their requests and over the session's time; without an end, one request for each assistant event."""
     at = lines(spark, path).withColumns({"session_id": F.coalesce(_json("$.sessionId"), root_session(F.col("path"))), "ts": first_time(F.col("line"), ["$.timestamp"]), "type": _json("$.type")})
     span = at.groupBy("session_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
@@ -156,7 +158,7 @@ def shutdown_totals(spark: SparkSession, path: str, tool: str = "copilot_cli") -
     return _requests(spread.unionByName(single), tool)
 
 
-def agent_lines(spark: SparkSession, path: str, tool: str = "openclaw") -> DataFrame:
+def agent_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "openclaw") -> DataFrame:
     """Agent transcripts, archived ones too: input without what was cached, the model carried on, ids made from file and line."""
     at = lines(spark, path, glob="*.jsonl*")
     rows = at.withColumn("model", F.coalesce(_json("$.message.model"), _json("$.modelId"), F.lit("")))
@@ -179,7 +181,7 @@ def agent_lines(spark: SparkSession, path: str, tool: str = "openclaw") -> DataF
     )
 
 
-def log_lines(spark: SparkSession, path: str, tool: str = "qoder_work", marker: str = "stream_event") -> DataFrame:
+def log_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "qoder_work", marker: str = "stream_event") -> DataFrame:
     """Log text: after a marker, JSON between the first and the last brace; only final counts of a message matter. A leading [time] is the time."""
     at = lines(spark, path, glob="*.log", least_bytes=1).where(F.col("line").contains(marker) & F.col("line").contains("message_delta"))
     body = F.regexp_extract("line", marker + r"[^{]*(\{.*\})", 1)
@@ -221,7 +223,7 @@ def database_over_files(database: DataFrame, files: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_db")
 
 
-def message_documents(spark: SparkSession, path: str, tool: str = "opencode") -> DataFrame:
+def message_documents(spark: SparkSession, path: str | Sequence[str], tool: str = "opencode") -> DataFrame:
     """One JSON file for each message, in the shape of ``database_messages``."""
     docs = documents(spark, path).select(F.coalesce(_json("$.id", "body"), file_stem(F.col("path"))).alias("id"), F.coalesce(_json("$.sessionID", "body"), _json("$.session_id", "body")).alias("session_id"), F.coalesce(first_number(F.col("body"), ["$.time.created", "$.time_created"]), F.lit(0)).alias("time_created"), F.col("body").alias("data"))
     return database_messages(docs.where("session_id IS NOT NULL"), tool)
@@ -266,7 +268,7 @@ def editor_messages(sessions: DataFrame, messages: DataFrame, tool: str = "qoder
     )
 
 
-def transcript_sessions(spark: SparkSession, path: str, tool: str = "reasonix") -> DataFrame:
+def transcript_sessions(spark: SparkSession, path: str | Sequence[str], tool: str = "reasonix") -> DataFrame:
     """Sessions without requests: counts from a telemetry sidecar, else from a metadata one, else from assistant lines."""
     at = lines(spark, path, least_bytes=1)
     own = at.groupBy(file_stem(F.col("path")).alias("session_id")).agg(F.count_if(_json("$.role") == "assistant").alias("_lines"), F.max("modified").alias("last_modified"))
