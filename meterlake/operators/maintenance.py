@@ -77,6 +77,17 @@ def without(records: DataFrame, chosen: Column) -> DataFrame:
     return records.where(~F.coalesce(chosen, F.lit(False)))
 
 
+def devices(remote: DataFrame) -> DataFrame:
+    """Other devices (device_id) with the number and the time of what has come from them."""
+    return remote.groupBy("device_id").agg(F.count("*").alias("facts"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def without_device(remote: DataFrame, device: str | None, day: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, (day) of those that go) when a device's rows are dropped; those of all devices for None."""
+    gone = F.lit(True) if device is None else F.coalesce(F.col("device_id") == device, F.lit(False))
+    return remote.where(~gone), remote.where(gone).select(day.alias("day")).distinct()
+
+
 def merged_sources(sources: DataFrame, into: str, from_: str) -> DataFrame:
     """Two sources of one base url become one with the prefixes of both; sources of different urls stay as they are."""
     pair = sources.where(F.col("id").isin(into, from_))

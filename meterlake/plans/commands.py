@@ -11,7 +11,7 @@ from meterlake.functions import calendar as cal
 from meterlake.operators import activity, maintenance, metrics, pricing, statistics, survival
 from meterlake.operators import sessions as S
 from meterlake.operators.filters import UNKNOWN_SOURCE, in_range, price_matches, repriced, source_filter, tool_in, visible_in_store
-from meterlake.operators.merge import merge_facts
+from meterlake.operators.merge import merge_facts, message_sessions
 from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies
 
 WINDOWS = ("5h", "24h", "7d", "30d", "today", "current_month")
@@ -162,6 +162,22 @@ class Usage:
     def recent_requests(self, c: Context, limit: int = 30, offset: int = 0) -> DataFrame:
         return self.facts(c).orderBy(F.desc("timestamp_ms"), "canonical_request_key").offset(min(max(offset, 0), 200)).limit(min(max(limit, 1), 30))
 
+    def timeline(self, c: Context, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Facts of a range from the first to the last."""
+        return self.facts(c, start, end).orderBy("timestamp_ms", "canonical_request_key")
+
+    def session_of_message(self, message_id: str) -> DataFrame:
+        """(message_id, session_id) of one message; no row if nobody knows it."""
+        return message_sessions(self.local.where(F.col("message_id") == message_id))
+
+    def drop_device(self, c: Context, device: str | None) -> list[str]:
+        """Drops what has come from a device, or from all for None; gives the days that are to be built anew."""
+        self.remote, days = maintenance.without_device(self.remote, device, cal.business_date(F.col("timestamp"), c.tz, c.boundary).cast("string"))
+        touched = sorted(r.day for r in days.collect())
+        if self.store is not None:
+            self.store.invalidate(touched, c.today())
+        return touched
+
     def maintenance_stats(self, files: DataFrame) -> DataFrame:
         total, orphans = self.local.agg(F.count("*").alias("total")), maintenance.orphan_facts(self.local, self.sessions, files).agg(F.count("*").alias("orphans"))
         return total.join(orphans)

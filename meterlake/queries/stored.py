@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.keys import storage_key
 from meterlake.functions.numbers import first_number, window_name
 from meterlake.operators.quota import lowest_remaining, relay_tiers
-from meterlake.operators import statistics
+from meterlake.operators import maintenance, statistics
 from meterlake.plans.commands import Context, Usage
 from meterlake.plans.materialize import DayStore
 from meterlake.queries.bindings import _PROXY, AS_OF, BASE_CTE, END, METRICS_SQL, START, _columns, facts, local, prices, proxy, read, remote, sessions
@@ -69,6 +69,24 @@ def proxy_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.window_requests(proxy(spark, sf_dir), START * 1000, END * 1000))
 
 
+@query(BASE_CTE + f"SELECT timestamp_sec, tool, model, status_code, input_tokens FROM facts WHERE timestamp_sec >= {START} AND timestamp_sec < {END}")
+def facts_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a week, ordered by time, out of stored days."""
+    usage, c = _stored_usage(spark, sf_dir)
+    return usage.timeline(c, START, END).select("timestamp_sec", "tool", "model", "status_code", "input_tokens")
+
+
+@query(BASE_CTE + "SELECT strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d') AS day, count(*) FILTER (device = 1) AS gone, count(*) FILTER (device <> 1) AS stay FROM (SELECT timestamp, event_id % 3 AS device FROM remote) GROUP BY 1 HAVING count(*) FILTER (device = 1) > 0")
+def dropped_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that a device's rows leave, with what goes and what stays on them."""
+    day = F.timestamp_seconds("timestamp").cast("date").cast("string")
+    rows = remote(spark, sf_dir).withColumn("device_id", (F.col("event_id") % 3).cast("string"))
+    kept, days = maintenance.without_device(rows, "1", day)
+    before, after = (d.groupBy(day.alias("day")).agg(F.count("*").alias(n)) for d, n in ((rows, "all"), (kept, "stay")))
+    left = days.join(before, "day").join(after, "day", "left").withColumn("stay", F.coalesce("stay", F.lit(0)))
+    return left.select("day", (F.col("all") - F.col("stay")).alias("gone"), "stay")
+
+
 @query(BASE_CTE + "SELECT tool, CAST(sum(request_count) AS BIGINT) AS requests, CASE tool WHEN 'codex' THEN 'Codex CLI' ELSE tool END AS label, CASE tool WHEN 'codex' THEN 'icon-c' WHEN 'qoder_ide' THEN 'icon-q' END AS icon FROM facts GROUP BY tool")
 def tools_with_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = spark.createDataFrame([("codex", "Codex CLI", "icon-c"), ("qoder_ide", None, "icon-q"), ("unused", "Unused", None)], "tool string, display_name string, icon string")

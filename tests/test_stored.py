@@ -221,3 +221,24 @@ def test_commands(spark):
     assert 0 < usage.facts(only).count() < usage.facts(c).count()
     page, n = usage.search_prices("err")
     assert page.count() == n.first().total == 2
+
+
+def test_a_dropped_device_leaves_its_days_out_of_date(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from meterlake.operators.maintenance import devices
+    from meterlake.plans.commands import Context, Usage
+    from meterlake.schemas import LOCAL, PRICES, PROXY, SESSIONS
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    mine = [{"session_id": "s", "tool": "t", "message_id": str(i), "timestamp": B_DAY + i * 86_400, "model": "m", "input_tokens": 1, "output_tokens": 1, "cache_create_tokens": 0, "cache_read_tokens": 0, "total_tokens": 2, "request_count": 1, "device_id": d} for i, d in enumerate(("a", "b", "a"))]
+    remote = spark.createDataFrame(mine, StructType([*LOCAL.fields, StructField("device_id", StringType())]))
+    usage, c = Usage(none(PROXY), none(LOCAL), none(SESSIONS), none(PRICES), remote, DayStore(spark, str(tmp_path / "d"))), Context(B_DAY + 5 * 86_400)
+    assert {r.device_id: r.facts for r in devices(remote).collect()} == {"a": 2, "b": 1}
+    assert usage.refresh_store(c) == ["2024-01-05", "2024-01-06", "2024-01-07"]
+    assert [r.timestamp_sec for r in usage.timeline(c).collect()] == [B_DAY, B_DAY + 86_400, B_DAY + 2 * 86_400]
+    assert usage.drop_device(c, "a") == ["2024-01-05", "2024-01-07"]
+    assert usage.refresh_store(c) == ["2024-01-05", "2024-01-07"]
+    assert [r.timestamp_sec for r in usage.timeline(c).collect()] == [B_DAY + 86_400]
+    assert usage.drop_device(c, None) == ["2024-01-06"]
+    assert usage.session_of_message("1").count() == 0
