@@ -13,6 +13,7 @@ from meterlake.llm.fill_in_middle import fill_in_middle
 from meterlake.llm.labelled import held_out
 from meterlake.llm.language_id import identify_languages
 from meterlake.llm.packing import pack_documents
+from meterlake.llm.prefix_trie import conversation_trie
 from meterlake.llm.quality_classifier import score_quality
 from meterlake.llm.quality_rules import judge_quality
 from meterlake.llm.secret_scan import joined, scan_secrets
@@ -77,13 +78,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_read(spark, sf_dir, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_language_id, op5_secret_scan, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_language_id, op5_secret_scan, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe, op11_prefix_trie, op13_fill_in_middle)}
 
 
 OP7_SQL = """
@@ -117,6 +122,44 @@ WITH u AS (
 SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)
 """
 
+#: CRC-32 bit by bit: eight shifts for each character of the id.
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), g AS (
+  SELECT c.conv_id, t.i AS pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+), m AS (
+  SELECT c.conv_id, c.h, count(g.pos) AS n FROM c LEFT JOIN g USING (conv_id) GROUP BY ALL
+), r AS (
+  SELECT * FROM g UNION ALL SELECT t.conv_id, t.i - m.h + m.n, t.role, t.text FROM t JOIN m USING (conv_id) WHERE t.i > m.h
+), p AS (
+  SELECT conv_id, pos AS depth, strlen(text) AS n_bytes,
+         sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos)) AS node
+  FROM r
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c
+), q AS (
+  SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS ends FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+), n AS (
+  SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, any_value(n_bytes) AS n_bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM q GROUP BY node
+), k AS (
+  SELECT n.*, coalesce(x.n_children, 0) AS n_children FROM n LEFT JOIN (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY ALL) AS x USING (node)
+), s AS (
+  SELECT q.node, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, sum((k.n_convs - 1) * k.n_bytes) AS saved_tokens
+  FROM k JOIN q ON q.conv_id = k.conv_id AND q.depth <= k.depth GROUP BY q.node
+)
+SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN s USING (node) LEFT JOIN n AS u ON u.node = k.parent
+"""
+
 OP13_SQL = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
@@ -136,4 +179,4 @@ FROM s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op7_topk_search": OP7_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op2_url_filters": OP2_SQL, "op7_topk_search": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
