@@ -18,6 +18,7 @@ from meterlake.llm.quality_classifier import score_quality
 from meterlake.llm.quality_rules import judge_quality
 from meterlake.llm.secret_scan import joined, scan_secrets
 from meterlake.llm.simhash_dedup import near_duplicates
+from meterlake.llm.suffix_dedup import repeated_spans
 from meterlake.llm.token_counts import count_tokens
 from meterlake.llm.topk_search import top_k
 from meterlake.llm.url_filters import judge_urls
@@ -82,13 +83,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeated_spans(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_read(spark, sf_dir, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_language_id, op5_secret_scan, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe, op11_prefix_trie, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_language_id, op5_secret_scan, op6_quality_classifier, op7_topk_search, op8_quality_rules, op9_simhash_dedup, op10_bpe, op11_prefix_trie, op12_suffix_array_dedup, op13_fill_in_middle)}
 
 
 OP7_SQL = """
