@@ -23,7 +23,7 @@ from meterlake.llm.running import running_sums
 from meterlake.llm.scratch import table
 
 #: Members of a node of the lowest level; each level above has this many times as many.
-SHARD = 4096
+SHARD = 64
 #: Nodes that are laid out together, if one shard has no more.
 FOREST_NODES = 1 << 16
 #: Turns of a base conversation that another may take over, and how far base conversations lie apart.
