@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from meterlake.operators import activity, maintenance, metrics, pricing, statist
 from meterlake.operators import sessions as S
 from meterlake.operators.filters import UNKNOWN_SOURCE, in_range, price_matches, repriced, source_filter, tool_in, visible_in_store
 from meterlake.operators.merge import merge_facts, message_sessions
-from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies
+from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies, observations, ranges_of
 
 WINDOWS = ("5h", "24h", "7d", "30d", "today", "current_month")
 
@@ -59,7 +60,7 @@ class Usage:
 
         proxy, local, remote = cut(self.proxy, 1000), cut(self.local, 1), cut(self.remote, 1)
         if self.store is not None:
-            found = self.store.facts(self._hot(c), c.today(), None if start is None else c.day_of(start))
+            found = self.store.facts(self._hot(c), c.today(), None if start is None else c.day_of(start), self._day_after(c, end))
             found = found if start is None else found.where(in_range(F.col("timestamp_sec"), start, end))
         else:
             found = merge_facts(proxy, local, remote, self.sessions, self.prices, True)
@@ -68,31 +69,45 @@ class Usage:
             found = found.where(visible_in_store(F.col("status_code")))
         return found.where(tool_in(F.col("tool"), c.tool) & chosen)
 
+    @staticmethod
+    def _day_after(c: Context, end: int | None) -> str | None:
+        """The first business day of which nothing lies before ``end``."""
+        return None if end is None else str(cal.date.fromisoformat(c.day_of(end - 1)) + cal.timedelta(days=1))
+
     def _hot(self, c: Context) -> DataFrame:
         """All facts since the business day began."""
-        first = cal.business_day_bounds(cal.date.fromisoformat(c.today()), c.tz, c.boundary)[0]
-        # from a day before on: the two observers' times of a request may lie on either side of midnight
-        return self.merged(first - cal.DAY).where(F.col("timestamp_sec") >= first)
+        today = cal.date.fromisoformat(c.today())
+        first = cal.business_day_bounds(today, c.tz, c.boundary)[0]
+        # from a day before on, and from days that share requests with this one: observers may see a request on different days
+        before = {str(today - cal.timedelta(days=1)), *self.store.linked(c.today())}
+        *earlier, (start, end) = ranges_of(before | {str(today)}, c.tz, c.boundary)
+        return self.merged([*earlier, (start, None)]).where(F.col("timestamp_sec") >= first)
 
-    def merged(self, start: int, end: int | None = None) -> DataFrame:
-        """Facts merged from inputs of a range of seconds: what a store builds days from."""
+    def merged(self, ranges: Sequence[tuple[int, int | None]]) -> DataFrame:
+        """Facts merged from inputs of ranges of seconds: what a store builds days from."""
 
         def cut(rows: DataFrame | None, unit: int) -> DataFrame | None:
-            return rows if rows is None else rows.where(in_range(F.col("timestamp"), start * unit, None if end is None else end * unit))
+            if rows is None:
+                return None
+            inside = F.lit(False)
+            for start, end in ranges:
+                inside = inside | in_range(F.col("timestamp"), start * unit, None if end is None else end * unit)
+            return rows.where(inside)
 
         return merge_facts(cut(self.proxy, 1000), cut(self.local, 1), cut(self.remote, 1), self.sessions, self.prices, True)
 
     def refresh_store(self, c: Context) -> list[str]:
         """Builds the finished days that are missing or out of date, and gives them."""
         depends = day_dependencies(self.proxy, self.local, self.remote, c.tz, c.boundary, self.sessions, self.prices)
-        return self.store.refresh(self.merged, depends, c.today())
+        seen = observations(self.proxy, self.local, self.remote, c.tz, c.boundary)
+        return self.store.refresh(self.merged, depends, seen, c.today())
 
     def _cells(self, c: Context, start: int, end: int, step: int) -> DataFrame:
         """The report's cells: from stored days where they answer it, else from facts."""
         whole = c.boundary == 0 and cal.business_day_bounds(cal.date.fromisoformat(c.day_of(start)), c.tz)[0] == start and (end > c.as_of or cal.business_day_bounds(cal.date.fromisoformat(c.day_of(end)), c.tz)[0] == end)
         if self.store is None or not whole or not can_use_summaries(step, c.tool, c.source):
             return statistics.cells(self.facts(c, start, end), step, c.tz)
-        found = self.store.cells(self._hot(c), c.today(), c.day_of(start)).where(in_range(F.col("bucket_start"), start, end))
+        found = self.store.cells(self._hot(c), c.today(), c.day_of(start), self._day_after(c, end)).where(in_range(F.col("bucket_start"), start, end))
         return found if c.include_errors else found.where(visible_in_store(F.col("status_code")))
 
     def statistics_summary(self, c: Context, start: int, end: int, step: int = cal.HOUR, metric: str = "tokens") -> dict[str, DataFrame]:

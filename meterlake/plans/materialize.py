@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import DAY, business_date, business_day_bounds
+from meterlake.functions.keys import is_blank
+from meterlake.operators.merge import keyed_local, keyed_proxy
 from meterlake.operators.metrics import added_up, daily_summary, measures
 from meterlake.operators.statistics import cells
 from meterlake.plans import folders
 
-FACTS, DAYS, CELLS, STATE = "facts", "daily", "cells", "state"
+FACTS, DAYS, CELLS, SEEN, LINKS, STATE = "facts", "daily", "cells", "seen", "links", "state"
+#: Changes when partitions of another kind are needed: days that an older store holds are built anew.
+_LAYOUT = 2
+_SEEN, _LINKS = "local_date string, h long, part string", "local_date string, other string, part string"
 _STATE = "local_date string, fingerprint string, version long, mode string"
 
 
@@ -52,9 +57,40 @@ def day_dependencies(proxy: DataFrame, local: DataFrame, remote: DataFrame | Non
     return days.join(F.broadcast(at), F.lit(True)).select("local_date", F.sha2(F.concat_ws("|", "_own", "_n", F.col("_p").cast("string")), 256).alias("fingerprint"))
 
 
+def observations(proxy: DataFrame, local: DataFrame, remote: DataFrame | None = None, tz: str = "UTC", boundary: int = 0) -> DataFrame:
+    """(local_date, h): the hashed request keys and message ids that any side has on a day.
+
+    Requests with a key in common become one fact, and a message lends its session to records that lack one: days that
+    share a hash depend on each other. Hashes that collide only link days that need not be.
+    """
+    sides = [(keyed_proxy(proxy), F.expr("timestamp div 1000")), (keyed_local(local), F.col("timestamp"))] + ([] if remote is None else [(keyed_local(remote), F.col("timestamp"))])
+    out = None
+    for rows, seconds in sides:
+        message = F.when(~is_blank(F.col("message_id")), F.xxhash64(F.lit("message"), F.col("message_id")))
+        own = rows.select(business_date(seconds, tz, boundary).cast("string").alias("local_date"), F.explode(F.array_compact(F.array(F.xxhash64(F.lit("key"), F.col("k")), message))).alias("h"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def ranges_of(days: Sequence[str], tz: str = "UTC", boundary: int = 0) -> list[tuple[int, int]]:
+    """Seconds from the beginning of a day to the end of the last day that follows on it, for each run of days."""
+    out: list[tuple[int, int]] = []
+    for d in sorted(days):
+        start, end = business_day_bounds(date.fromisoformat(d), tz, boundary)
+        if out and out[-1][1] == start:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 class DayStore:
     """Finished days under one folder: facts, daily summaries, and cells (metrics by day, model, status and coverage).
 
+    Observers may see one request on different days. So the hashes of what was seen are kept by day, also for the live
+    day: a change on one day reaches all days that share a key or message with it, as it was or as it is. What a day
+    shares with which others is kept as its links.
+
     A day's rows lie in a partition named by the day and a version. The state, one row a day, says which version counts. It
     is written last, whole, under the next number, so that readers see a refresh entirely or not at all; what an
     interrupted one leaves behind is not named by any state and goes with the next ``vacuum``.
@@ -62,7 +98,7 @@ class DayStore:
 
     def __init__(self, spark: SparkSession, path: str, tz: str = "UTC", boundary: int = 0):
         self.spark, self.path, self.tz, self.boundary = spark, path.rstrip("/"), tz, boundary
-        self.mode = f"{tz}/{boundary}"
+        self.mode = f"{tz}/{boundary}/{_LAYOUT}"
 
     def _versions(self) -> list[int]:
         return folders.complete(self.spark, f"{self.path}/{STATE}", "v=")
@@ -87,7 +123,7 @@ class DayStore:
     def read(self, table: str, first: str | None = None, before: str | None = None) -> DataFrame | None:
         """Rows of the stored days from ``first`` to ``before``, exclusive; only those partitions are read. None if nothing is stored."""
         parts = self._parts(lambda day: (first is None or day >= first) and (before is None or day < before))
-        if not folders.exists(self.spark, f"{self.path}/{table}"):
+        if not any(n.startswith("part=") for n in folders.children(self.spark, f"{self.path}/{table}")):
             return None
         return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("part").isin(parts) if parts else F.lit(False)).drop("part")
 
@@ -95,32 +131,57 @@ class DayStore:
         """Finished days whose stored fingerprint is missing or different."""
         return dependencies.where(F.col("local_date") < today).join(self.state().select("local_date", "fingerprint"), ["local_date", "fingerprint"], "left_anti")
 
-    def refresh(self, build: Callable[[int, int], DataFrame], dependencies: DataFrame, today: str) -> list[str]:
-        """Rebuilds the stale days, forgets those without any input, and gives both.
+    def refresh(self, build: Callable[[Sequence[tuple[int, int]]], DataFrame], dependencies: DataFrame, seen: DataFrame, today: str) -> list[str]:
+        """Rebuilds the stale days and those that share a request with them, forgets those without any input, and gives all of them.
 
-        ``build(start, end)`` gives unfiltered facts, so that one store serves every filter, of at least the seconds from
-        ``start`` to ``end``: the stale days and one on either side, as the two observers' times of a request may differ.
+        ``build(ranges)`` gives unfiltered facts, so that one store serves every filter, merged from the inputs of all the
+        ranges of seconds. ``seen`` are the ``observations``. Only days that have changed are read for them; of other days the stored
+        hashes are compared.
         """
         known = {r.local_date: r for r in self.state().collect()}
-        current = {r.local_date: r.fingerprint for r in dependencies.where(F.col("local_date") < today).collect()}
-        due = sorted(d for d, f in current.items() if d not in known or known[d].fingerprint != f)
-        gone = sorted(d for d in known if d < today and d not in current)
+        # a live day has no facts here; its mark keeps it from passing for built once it is over
+        current = {r.local_date: r.fingerprint if r.local_date < today else f"live:{r.fingerprint}" for r in dependencies.collect() if r.local_date is not None}
+        due = {d for d, f in current.items() if d not in known or known[d].fingerprint != f}
+        gone = {d for d in known if d not in current}
         if not due and not gone:
             return []
         version = (self._versions() or [0])[-1] + 1
-        if due:
-            one = timedelta(days=1)
-            start = business_day_bounds(date.fromisoformat(due[0]) - one, self.tz, self.boundary)[0]
-            end = business_day_bounds(date.fromisoformat(due[-1]) + one, self.tz, self.boundary)[1]
-            part = F.concat_ws(".", "local_date", F.lit(version))
-            dated = self.dated(build(start, end)).where(F.col("local_date").isin(due)).withColumn("part", part)
+        stored = self._seen(known.values())
+        fresh = seen.where(F.col("local_date").isin(sorted(due))).distinct()
+        moved = fresh.select("h").unionByName(stored.where(F.col("local_date").isin(sorted(due | gone))).select("h")).distinct()
+        others = stored.where(~F.col("local_date").isin(sorted(due | gone)))
+        reached = {r.local_date for r in others.join(moved, "h", "left_semi").select("local_date").distinct().collect()}
+        again = sorted(due | reached)
+        part = F.concat_ws(".", "local_date", F.lit(version))
+        if again:
+            self._write(fresh.unionByName(others.where(F.col("local_date").isin(sorted(reached)))).withColumn("part", part), SEEN)
+            now = self.spark.read.schema(_SEEN).parquet(f"{self.path}/{SEEN}").where(F.col("part").isin([f"{d}.{version}" for d in again])).select("local_date", "h")
+            every = now.unionByName(others.where(~F.col("local_date").isin(again))).select(F.col("local_date").alias("other"), "h")
+            links = now.join(every, "h").where("local_date <> other").select("local_date", "other").distinct()
+            self._write(links.withColumn("part", part), LINKS)
+            linked = {r.other for r in self.spark.read.schema(_LINKS).parquet(f"{self.path}/{LINKS}").where(F.col("part").isin([f"{d}.{version}" for d in again if d < today])).select("other").distinct().collect()}
+        whole = [d for d in again if d < today]
+        if whole:
+            dated = self.dated(build(ranges_of({*whole, *linked}, self.tz, self.boundary))).where(F.col("local_date").isin(whole)).withColumn("part", part)
             self._write(dated, FACTS)
-            fresh = self.spark.read.parquet(f"{self.path}/{FACTS}").where(F.col("part").isin([f"{d}.{version}" for d in due]))
-            self._write(daily_summary(fresh).withColumn("part", part), DAYS)
-            self._write(self.cells_of(fresh).withColumn("part", part), CELLS)
-        kept = [(d, r.fingerprint, r.version, self.mode) for d, r in known.items() if d not in due and d not in gone]
-        self._put(self.spark.createDataFrame(kept + [(d, current[d], version, self.mode) for d in due], _STATE))
-        return due + gone
+            made = self.spark.read.schema(dated.schema).parquet(f"{self.path}/{FACTS}").where(F.col("part").isin([f"{d}.{version}" for d in whole]))
+            self._write(daily_summary(made).withColumn("part", part), DAYS)
+            self._write(self.cells_of(made).withColumn("part", part), CELLS)
+        kept = [(d, r.fingerprint, r.version, self.mode) for d, r in known.items() if d not in again and d not in gone]
+        self._put(self.spark.createDataFrame(kept + [(d, current[d], version, self.mode) for d in again], _STATE))
+        return whole + sorted(d for d in gone if d < today)
+
+    def _seen(self, states: Sequence) -> DataFrame:
+        """(local_date, h) of the days of some states."""
+        if not folders.exists(self.spark, f"{self.path}/{SEEN}"):
+            return self.spark.createDataFrame([], "local_date string, h long")
+        parts = [f"{r.local_date}.{r.version}" for r in states]
+        return self.spark.read.schema(_SEEN).parquet(f"{self.path}/{SEEN}").where(F.col("part").isin(parts) if parts else F.lit(False)).select("local_date", "h")
+
+    def linked(self, today: str) -> list[str]:
+        """The finished days that share requests with the live one, as of the last refresh."""
+        links = self.read(LINKS, today)
+        return [] if links is None else sorted(r.other for r in links.where(F.col("other") < today).select("other").distinct().collect())
 
     def _write(self, rows: DataFrame, table: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{table}")
@@ -141,33 +202,37 @@ class DayStore:
         """Forgets all days."""
         self._put(self.spark.createDataFrame([], _STATE))
 
-    def rebuild(self, build: Callable[[int, int], DataFrame], dependencies: DataFrame, today: str) -> list[str]:
+    def rebuild(self, build: Callable[[Sequence[tuple[int, int]]], DataFrame], dependencies: DataFrame, seen: DataFrame, today: str) -> list[str]:
         """All days anew, whatever is stored."""
         self.clear()
-        done = self.refresh(build, dependencies, today)
+        done = self.refresh(build, dependencies, seen, today)
         self.vacuum()
         return done
 
     def vacuum(self) -> None:
         """Removes what no state names any more. Nobody may be reading or refreshing."""
         live = {f"part={p}" for p in self._parts()}
-        for table in (FACTS, DAYS, CELLS):
+        for table in (FACTS, DAYS, CELLS, SEEN, LINKS):
             for name in folders.children(self.spark, f"{self.path}/{table}"):
                 if name.startswith("part=") and name not in live:
                     folders.remove(self.spark, f"{self.path}/{table}/{name}")
 
-    def _with_live(self, table: str, live: DataFrame, today: str, first: str | None) -> DataFrame:
+    def _with_live(self, table: str, live: DataFrame, today: str, first: str | None, before: str | None = None) -> DataFrame:
+        if before is not None and before <= today:
+            # nothing of the live day is asked for: nothing is merged
+            cold = self.read(table, first, before)
+            return live.where(F.lit(False)) if cold is None else cold.select(live.columns)
         live = live.where(F.col("local_date") >= today)
         cold = self.read(table, first, today)
         return live if cold is None else cold.select(live.columns).unionByName(live)
 
-    def facts(self, hot: DataFrame, today: str, first: str | None = None) -> DataFrame:
-        """Stored days from ``first`` on and the live one."""
-        return self._with_live(FACTS, self.dated(hot), today, first)
+    def facts(self, hot: DataFrame, today: str, first: str | None = None, before: str | None = None) -> DataFrame:
+        """Stored days from ``first`` on and the live one, up to ``before``, exclusive."""
+        return self._with_live(FACTS, self.dated(hot), today, first, before)
 
-    def cells(self, hot: DataFrame, today: str, first: str | None = None) -> DataFrame:
-        """Cells of stored days from ``first`` on, and of the live one."""
-        return self._with_live(CELLS, self.cells_of(self.dated(hot)), today, first)
+    def cells(self, hot: DataFrame, today: str, first: str | None = None, before: str | None = None) -> DataFrame:
+        """Cells of stored days from ``first`` on, and of the live one, up to ``before``, exclusive."""
+        return self._with_live(CELLS, self.cells_of(self.dated(hot)), today, first, before)
 
     def model_days(self, hot: DataFrame, today: str) -> DataFrame:
         """Metrics by day and model, with a map of requests by status: stored ones, and those of the live day."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.calendar import epoch
 from meterlake.operators import maintenance as M
 from meterlake.plans.commands import Context, Usage
-from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies
+from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies, observations
 from meterlake.queries import bindings as B
 from meterlake.streaming.blocks import live_blocks
 from meterlake.streaming.capture import EVENTS, captured, folded, hourly_windows, recent_largest, recent_unique
@@ -189,7 +189,7 @@ def test_day_store(spark, tmp_path):
     assert total(store.facts(f, today)) == total(f)
     # another boundary: nothing that is stored counts
     assert DayStore(spark, store.path, boundary=4).state().count() == 0
-    assert len(store.rebuild(usage.merged, deps, today)) == 19 and total(store.facts(f, today)) == total(f)
+    assert len(store.rebuild(usage.merged, deps, observations(p, mine, other), today)) == 19 and total(store.facts(f, today)) == total(f)
     assert [can_use_summaries(86_400, None, None), can_use_summaries(3600, None, None), can_use_summaries(86_400, "codex", None)] == [True, False, False]
 
 
@@ -242,3 +242,45 @@ def test_a_dropped_device_leaves_its_days_out_of_date(spark, tmp_path):
     assert [r.timestamp_sec for r in usage.timeline(c).collect()] == [B_DAY + 86_400]
     assert usage.drop_device(c, None) == ["2024-01-06"]
     assert usage.session_of_message("1").count() == 0
+
+
+def test_requests_seen_on_two_days(spark, tmp_path):
+    """A transcript row that comes late, or goes, moves its request between days: stored days are what one merge gives."""
+    from meterlake.schemas import LOCAL, PRICES, PROXY, SESSIONS
+
+    table = lambda rows, schema: spark.createDataFrame([dict.fromkeys(schema.names) | r for r in rows], schema)
+    counts = {"input_tokens": 5, "output_tokens": 5, "cache_create_tokens": 0, "cache_read_tokens": 0}
+    seen = lambda at, key=None, m="1", session="s": {"timestamp": at * 1000, "message_id": m, "canonical_request_key": key, "client_tool": "t", "session_id": session, "model": "m", "status_code": 200, "estimated_cost": 0.0, "cost_locked": True} | counts
+    told = lambda at, key=None, m="1", session="s": {"timestamp": at, "message_id": m, "request_key": key, "tool": "t", "session_id": session, "model": "m", "total_tokens": 10, "request_count": 1} | counts
+    before, after, now = B_DAY + 86_399, B_DAY + 86_401, B_DAY + 6 * 86_400
+    far, late, fill = told(B_DAY + 4 * 86_400, "far", "9"), told(after), told(after, m="3", session="known")
+    today = told(now, m="2")
+    p = [seen(before), seen(B_DAY, "far", "8"), seen(B_DAY + 5 * 86_400 + 86_399, m="2"), seen(B_DAY + 2 * 86_400, "own", "3", "")]
+    steps = [
+        (p, []),
+        (p, [late]),  # the request moves from one finished day to the next
+        (p, [late, far]),  # or four days on
+        (p, [far]),  # back, as its transcript row goes
+        (p, [far, today]),  # yesterday's moves to the live day
+        (p[1:], [far, today, late]),
+        (p, [far, today, late, fill]),  # a message of one day names the session of a record of another
+        (p[:1] + p[2:], [today, late, fill]),
+        ([], [late]),
+        (p, []),
+        ([], []),
+    ]
+    store, c = DayStore(spark, str(tmp_path / "d")), Context(now + 3600)
+    shown = lambda d: sorted(tuple(r) for r in d.select("canonical_request_key", "session_id", "timestamp_sec", "coverage_origin").collect())
+    empty = lambda s: spark.createDataFrame([], s)
+    for theirs, mine in steps:
+        args = table(theirs, PROXY), table(mine, LOCAL), empty(SESSIONS), empty(PRICES), empty(LOCAL)
+        stored = Usage(*args, store)
+        stored.refresh_store(c)
+        assert shown(stored.facts(c)) == shown(Usage(*args).facts(c)), (theirs, mine)
+        assert stored.refresh_store(c) == []
+    # the live day, once it is over, is built though nothing of it has changed
+    args = table(p, PROXY), table([today], LOCAL), empty(SESSIONS), empty(PRICES), empty(LOCAL)
+    stored = Usage(*args, store)
+    stored.refresh_store(c)
+    assert "2024-01-11" in stored.refresh_store(Context(now + 90_000))
+    assert shown(stored.facts(Context(now + 90_000))) == shown(Usage(*args).facts(c))
