@@ -41,6 +41,23 @@ class Context:
         return cal.window_start(window, self.as_of, self.tz, self.boundary)
 
 
+class Report(dict):
+    """Parts of a report by name, over one frame that is held until ``release``, or to the end of a ``with``."""
+
+    def __init__(self, parts: dict[str, DataFrame], held: DataFrame):
+        super().__init__(parts)
+        self.held = held
+
+    def release(self) -> None:
+        self.held.unpersist()
+
+    def __enter__(self) -> Report:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
 @dataclass
 class Usage:
     """Observations, dimensions and, where there is one, the store of finished days."""
@@ -110,10 +127,10 @@ class Usage:
         found = self.store.cells(self._hot(c), c.today(), c.day_of(start), self._day_after(c, end)).where(in_range(F.col("bucket_start"), start, end))
         return found if c.include_errors else found.where(visible_in_store(F.col("status_code")))
 
-    def statistics_summary(self, c: Context, start: int, end: int, step: int = cal.HOUR, metric: str = "tokens") -> dict[str, DataFrame]:
-        """All parts of the report, from one small frame of cells that is held while they are shown."""
+    def statistics_summary(self, c: Context, start: int, end: int, step: int = cal.HOUR, metric: str = "tokens") -> Report:
+        """All parts of the report, from one small frame of cells that is held while they are shown; release it then."""
         f = self._cells(c, start, end, step).persist()
-        return {
+        parts = {
             "totals": statistics.totals(f),
             "trend": statistics.trend(f, start, end, step, c.tz),
             "models": statistics.model_table(f),
@@ -124,6 +141,7 @@ class Usage:
             "coverage": metrics.coverage(f),
             "insights": statistics.insights(f, step, metric, c.tz),
         }
+        return Report(parts, f)
 
     def daily_models(self, c: Context) -> DataFrame | None:
         """Day and model metrics from the store, if the report may use them."""

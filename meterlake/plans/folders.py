@@ -35,3 +35,11 @@ def complete(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """Numbers behind ``prefix`` of the folders that were written to the end, in order."""
     found = [int(n.removeprefix(prefix)) for n in children(spark, path) if n.startswith(prefix)]
     return [n for n in found if exists(spark, f"{path}/{prefix}{n:012d}/_SUCCESS")]
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """A path that is removed when the application ends, whatever it holds then."""
+    fs, place = _place(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path

@@ -11,19 +11,20 @@ from meterlake.functions.keys import storage_key
 from meterlake.functions.numbers import first_number, window_name
 from meterlake.operators.quota import lowest_remaining, relay_tiers
 from meterlake.operators import maintenance, statistics
+from meterlake.plans import folders
 from meterlake.plans.commands import Context, Usage
 from meterlake.plans.materialize import DayStore
-from meterlake.queries.bindings import _PROXY, AS_OF, BASE_CTE, END, METRICS_SQL, START, _columns, facts, local, prices, proxy, read, remote, sessions
+from meterlake.queries.bindings import _LOCAL, _PROXY, _SEEN_LOCALLY, AS_OF, BASE_CTE, END, METRICS_SQL, START, _columns, _duck, _events, facts, local, prices, proxy, read, remote, sessions
 from meterlake.queries.registry import SQL, query, rounded
 from meterlake.queries.reports import _WINDOWS, WINDOWS
 from meterlake.sources.transcripts import nested_usage
-from meterlake.streaming.capture import folded, largest_per_key, session_totals
+from meterlake.streaming.capture import captured, folded, largest_per_key, session_totals
 from meterlake.streaming.ingest import RecordStore
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the warehouse, which a cluster shares."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_meterlake/{name}-{uuid.uuid4().hex}"
+    """A new folder in the warehouse, which a cluster shares; it goes when the application ends."""
+    return folders.gone_at_exit(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_meterlake/{name}-{uuid.uuid4().hex}")
 
 
 _ROUND = "CAST(min_ttft_ms AS DOUBLE) AS min_ttft_ms, CAST(max_ttft_ms AS DOUBLE) AS max_ttft_ms, round(cost + 1e-9, 4) AS cost, round(rate_sum, 4) AS rate_sum, round(min_rate, 4) AS min_rate, round(max_rate, 4) AS max_rate"
@@ -51,6 +52,23 @@ def materialized_status_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.daily_models(c).select("local_date", "model", F.explode("status_counts").alias("status_code", "requests"))
 
 
+#: Transcript rows that may be a day late, of which some vanish.
+_LATE, _STAYS = "event_id % 4 * 30000", f"({_SEEN_LOCALLY}) AND event_id % 17 <> 0"
+_LATE_CTE = BASE_CTE.replace(f"{_duck(_LOCAL.format(div='//', late=0))} FROM ev WHERE {_SEEN_LOCALLY}", f"{_duck(_LOCAL.format(div='//', late=_LATE))} FROM ev WHERE {_STAYS}")
+
+
+@query(_LATE_CTE + "SELECT strftime(make_timestamp(timestamp_sec * 1000000), '%Y-%m-%d') AS local_date, coverage_origin, count(*) AS facts, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(timestamp_ms % 1000000) AS BIGINT) AS times FROM facts GROUP BY ALL")
+def late_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days stored when half of the transcripts were there, and refreshed when the others had come and some had gone: most rows lie on another day than their record."""
+    told = _events(spark, sf_dir).where(_SEEN_LOCALLY).selectExpr(*_columns(_LOCAL.format(div="div", late=_LATE)))
+    store, c = DayStore(spark, _folder(spark, "days")), Context(AS_OF)
+    for rows in (told.where("event_id % 2 = 0"), told.where("event_id % 17 <> 0")):
+        usage = Usage(proxy(spark, sf_dir), rows, sessions(spark, sf_dir), prices(spark), remote(spark, sf_dir), store)
+        usage.refresh_store(c)
+    found = usage.facts(c).groupBy(F.timestamp_seconds("timestamp_sec").cast("date").cast("string").alias("local_date"), "coverage_origin")
+    return found.agg(F.count("*").alias("facts"), F.sum("total_tokens").alias("total_tokens"), F.sum(F.col("timestamp_ms") % 1_000_000).alias("times"))
+
+
 @query(SQL["window_usage"])
 def window_usage_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows from stored days, the facts of the days that they begin in, and the live day."""
@@ -127,16 +145,41 @@ SELECT CAST(conv_id AS VARCHAR) AS request_id, concat('msg_', conv_id) AS messag
 """
 
 
-@query(_SSE.replace("arg_max(n, turn) FILTER (turn > 0 OR last = 0)", "coalesce(arg_max(n, turn) FILTER (turn > 0 AND turn % 3 <> 1), 0)"))
-def captured_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SSE = _SSE.replace("arg_max(n, turn) FILTER (turn > 0 OR last = 0)", "coalesce(arg_max(n, turn) FILTER (turn > 0 AND turn % 3 <> 1), 0)")
+
+
+def _as_events(conversations: DataFrame, began_ms: int) -> DataFrame:
     """Conversations as event streams: the opening message, deltas of text, and counts that grow."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), F.length("text").alias("n"))
+    c = conversations.select("conv_id", F.col("turn").alias("seq"), F.length("text").alias("n"))
     opening = F.format_string('{"type":"message_start","message":{"id":"msg_%d","model":"m-1","usage":{"input_tokens":%d,"cache_read_input_tokens":%d}}}', "conv_id", "n", F.col("n") % 9)
     text = F.lit('{"type":"content_block_delta","delta":{"text":"x"}}')
     counts = F.format_string('{"type":"message_delta","usage":{"output_tokens":%d}}', "n")
     data = F.when(F.col("seq") == 0, opening).when(F.col("seq") % 3 == 1, text).otherwise(counts)
-    events = c.select(F.col("conv_id").cast("string").alias("request_id"), "seq", (F.col("seq") * 1000).alias("ts_ms"), data.alias("data"))
-    return folded(events).select("request_id", "message_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "duration_ms", F.coalesce("ttft_ms", F.lit(0)).cast("long").alias("first_ms"))
+    return c.select(F.col("conv_id").cast("string").alias("request_id"), "seq", (F.col("seq") * 1000 + began_ms).alias("ts_ms"), data.alias("data"))
+
+
+def _shown_usage(records: DataFrame) -> DataFrame:
+    return records.select("request_id", "message_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "duration_ms", F.coalesce("ttft_ms", F.lit(0)).cast("long").alias("first_ms"))
+
+
+@query(_SSE)
+def captured_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_usage(folded(_as_events(read(spark, sf_dir, "conversations"), 0)))
+
+
+@query(_SSE)
+def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream that begins in the last second of a day: each response is one record, though it goes on after midnight."""
+    midnight = START * 1000
+    table = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/conversations.parquet").schema).parquet(f"{sf_dir}/conversation[s].parquet")
+    events = _as_events(table, midnight - 1000)
+    # an event of two days later moves the watermark past all others
+    later = F.struct(F.lit("later").alias("request_id"), F.lit(0).cast("long").alias("seq"), F.lit(midnight + 172_800_000).alias("ts_ms"), F.lit("{}").alias("data"))
+    own = F.struct("request_id", "seq", "ts_ms", "data")
+    both = events.select(F.inline(F.when(F.col("seq") == 0, F.array(own, later)).otherwise(F.array(own))))
+    folder = _folder(spark, "captured")
+    captured(both).writeStream.format("parquet").option("path", f"{folder}/records").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return _shown_usage(spark.read.parquet(f"{folder}/records").where("request_id <> 'later'"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

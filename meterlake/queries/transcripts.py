@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.plans import folders
-from meterlake.queries.bindings import END, read
+from meterlake.queries.bindings import END, START, read
 from meterlake.queries.registry import query
 from meterlake.queries.stored import _folder
 from meterlake.sources import transcripts
@@ -126,11 +126,26 @@ def rescanned_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.read().groupBy("model").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"))
 
 
-@query(f"SELECT event_id FROM events WHERE epoch_ms(ts) >= {END * 1000}")
+@query(f"SELECT event_id, CASE WHEN epoch_ms(ts) >= {END * 1000} THEN 3 WHEN epoch_ms(ts) >= {START * 1000} THEN 2 ELSE 1 END AS read_no FROM events")
 def rows_behind_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of which what was there on a day has been read: the rows that have come since."""
+    """A table that grows while it is read: three reads, each of what has come since the one before, have every row once."""
     table = read(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    folder = _folder(spark, "growing")
     at = KeysetCheckpoint(spark, _folder(spark, "checkpoint"), "ms", "event_id")
-    before, _ = at.unread(table.where(F.col("ms") < END * 1000))
-    at.advance(before)
-    return at.unread(table)[0].select("event_id")
+    edges = [None, START * 1000, END * 1000, None]
+
+    def arrive(i: int) -> DataFrame:
+        lower, upper = edges[i], edges[i + 1]
+        new = table.where((F.lit(True) if lower is None else F.col("ms") >= lower) & (F.lit(True) if upper is None else F.col("ms") < upper))
+        new.write.mode("append").parquet(folder)
+        return spark.read.parquet(folder)
+
+    out, rows = None, arrive(0)
+    for i in range(3):
+        found = at.unread(rows)
+        if i < 2:
+            rows = arrive(i + 1)  # before what was found has been taken in
+        out_rows = found.rows.select("event_id", F.lit(i + 1).alias("read_no"))
+        out = out_rows if out is None else out.unionByName(out_rows)
+        at.advance(found)
+    return out

@@ -133,6 +133,16 @@ class ScanCache:
                 folders.remove(self.spark, f"{self.path}/requests/{name}")
 
 
+@dataclass(frozen=True)
+class Unread:
+    """Rows to take in; whether those are all that there are; the last (time, row) among all rows, None of an empty table; the table's shape."""
+
+    rows: DataFrame
+    whole: bool
+    end: tuple[int, str] | None
+    shape: str
+
+
 class KeysetCheckpoint:
     """How far a growing table of someone else's has been read: the last (time, row), and what the table looked like then. Rows are numbers or texts.
 
@@ -156,18 +166,25 @@ class KeysetCheckpoint:
     def _end(self, rows: DataFrame):
         return rows.agg(F.max(F.struct(F.col(self.time).cast("long").alias("t"), F.col(self.row).alias("r"))).alias("end")).first().end
 
-    def unread(self, rows: DataFrame) -> tuple[DataFrame, bool]:
-        """(rows to take in, whether those are all that there are)."""
+    def unread(self, rows: DataFrame) -> Unread:
+        """What is to be taken in, up to the end that the table has now: what arrives later is left to the next read, whenever the rows are read."""
         at, end = self.state(), self._end(rows)
-        whole = at is None or at.shape != rows.schema.simpleString() or at.reads % self.full_every == 0 or end is None or (end.t, end.r) < (at.last_time, type(end.r)(at.last_row))
-        return (rows, True) if whole else (rows.where(after_key(F.col(self.time).cast("long"), F.col(self.row), at.last_time, type(end.r)(at.last_row))), False)
-
-    def advance(self, rows: DataFrame) -> None:
-        """Once ``rows``, the table as it was read, have been taken in: the next read goes on behind them."""
-        end, at, have = self._end(rows), self.state(), self._numbers()
         if end is None:
+            return Unread(rows.where(F.lit(False)), True, None, rows.schema.simpleString())
+        time, row = F.col(self.time).cast("long"), F.col(self.row)
+        whole = at is None or at.shape != rows.schema.simpleString() or at.reads % self.full_every == 0 or (end.t, end.r) < (at.last_time, type(end.r)(at.last_row))
+        # rows without a time or a name lie before any end
+        found = rows.where(F.coalesce(~after_key(time, row, end.t, end.r), F.lit(True)))
+        if not whole:
+            found = found.where(after_key(time, row, at.last_time, type(end.r)(at.last_row)))
+        return Unread(found, whole, (end.t, str(end.r)), rows.schema.simpleString())
+
+    def advance(self, taken: Unread) -> None:
+        """Once the rows of a read have been taken in: the next read goes on behind the end that they were bounded by."""
+        at, have = self.state(), self._numbers()
+        if taken.end is None:
             return
-        new = self.spark.createDataFrame([(end.t, str(end.r), rows.schema.simpleString(), (at.reads if at else 0) + 1)], self._STATE)
+        new = self.spark.createDataFrame([(*taken.end, taken.shape, (at.reads if at else 0) + 1)], self._STATE)
         new.coalesce(1).write.mode("overwrite").json(f"{self.path}/v={(have or [0])[-1] + 1:012d}")
         for n in have[:-1]:
             folders.remove(self.spark, f"{self.path}/v={n:012d}")

@@ -6,13 +6,18 @@ complete requests and for a stream that updates each request as its events arriv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterlake.functions.numbers import first_number, rate_per_second, without_cache
 
 #: (request_id, seq, ts_ms, data): one server-sent event each; data is its JSON.
 EVENTS = "request_id string, seq long, ts_ms long, data string"
+_COUNTS = ("input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")
 
 
 def _json(path: str) -> Column:
@@ -61,10 +66,14 @@ def folded(events: DataFrame, *by: str | Column) -> DataFrame:
     return counted.drop("_plain", "_whole", "_cached", "_read")
 
 
-def captured(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """``folded`` on a stream, in update mode: a request's row grows while its events arrive, and its state goes when the watermark has passed."""
+def captured(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """``folded`` on a stream, for append mode: one record for each request, once nothing has come of it for ``gap`` and the watermark has passed.
+
+    A request is a session of its events, on whatever days they lie. Its state goes with its record. Events of one request that lie further apart than
+    ``gap`` make records of their own.
+    """
     timed = events.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
-    return folded(timed, F.window("event_time", "1 day").alias("day"))
+    return folded(timed, F.session_window("event_time", gap).alias("_session")).drop("_session")
 
 
 def recent_unique(records: DataFrame, key: str = "storage_dedupe_key", delay: str = "10 minutes", event_time: str = "event_time") -> DataFrame:
@@ -72,13 +81,31 @@ def recent_unique(records: DataFrame, key: str = "storage_dedupe_key", delay: st
     return records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def recent_largest(records: DataFrame, key: str = "storage_dedupe_key", delay: str = "10 minutes", event_time: str = "event_time", window: str = "1 day") -> DataFrame:
-    """For update mode: of one key's records in a window the one of most tokens so far, then the latest. A larger one that comes later replaces it."""
-    total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens")
-    others = [c for c in records.columns if c != key]
+def recent_largest(records: DataFrame, key: str = "storage_dedupe_key", delay: str = "10 minutes", event_time: str = "event_time", keep: str = "2 days") -> DataFrame:
+    """For update mode: of one key's records the one of most tokens so far, then the latest. A larger one that comes later replaces it, also after midnight.
+
+    What is remembered of a key, its total and time, goes when the watermark is ``keep`` behind the record shown.
+    """
+    kept_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def newest(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, row = state.get if state.exists else None, None
+        for frame in frames:
+            total = frame[list(_COUNTS)].fillna(0).sum(axis=1).astype("int64")
+            at = frame[event_time].astype("datetime64[us]").astype("int64")
+            for i, found in enumerate(zip(total.tolist(), at.tolist(), strict=True)):
+                if best is None or found > tuple(best):
+                    best, row = found, frame.iloc[[i]]
+        state.update(tuple(best))
+        state.setTimeoutTimestamp(max(best[1] // 1000 + kept_ms, state.getCurrentWatermarkMs() + 1))
+        if row is not None:
+            yield row
+
     timed = records.withWatermark(event_time, delay)
-    best = F.max_by(F.struct(*others), F.struct(total, event_time))
-    return timed.groupBy(key, F.window(event_time, window).alias("_w")).agg(best.alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in others))
+    return timed.groupBy(key).applyInPandasWithState(newest, records.schema, "total long, at long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def largest_per_key(records: DataFrame, key: str = "storage_dedupe_key") -> DataFrame:

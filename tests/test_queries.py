@@ -65,6 +65,14 @@ def test_matching_is_a_replay(spark):
     assert got == want
     assert {s for _, s in want.values()} == {"known", "ambiguous", "unmatched"} or len(want) == 120
     assert match_records(p.where(F.lit(False)), mine).count() == 0
+    # another total is another request; a row without a key is never used up
+    other = match_records(p, mine.withColumn("total_tokens", F.lit(99).cast("long")))
+    assert {r.state for r in other.collect()} == {"unmatched"}
+    keyless = mine.where("request_key = 'k0'").withColumn("request_key", F.lit(None).cast("string"))
+    near = p.where("message_id IN ('p0', 'p3')")
+    assert sorted((r.row, r.session_id, r.state) for r in match_records(near, keyless).collect()) == [("p0", "s0", "known"), ("p3", "s0", "known")]
+    once = mine.where("request_key = 'k0'")
+    assert sorted(r.state for r in match_records(near, once).collect()) == ["known", "unmatched"]
 
 
 def test_matching_holds_only_the_window():

@@ -62,20 +62,36 @@ def test_keyset_checkpoint(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "t long, id long")
     ids = lambda d: sorted(r.id for r in d.collect())
     table = rows((1, 1), (2, 9))
-    got, whole = at.unread(table)
-    assert whole and ids(got) == [1, 9]
-    at.advance(table)
+    got = at.unread(table)
+    assert got.whole and ids(got.rows) == [1, 9]
+    at.advance(got)
     table = rows((1, 1), (2, 9), (2, 10), (3, 2))
-    got, whole = at.unread(table)
-    assert not whole and ids(got) == [2, 10]
-    at.advance(table)
-    assert ids(at.unread(table)[0]) == []
-    assert at.unread(rows((1, 1)))[1], "the table has been set back"
-    assert at.unread(table.withColumn("more", F.lit(1)))[1], "another shape"
-    at.advance(table)
-    assert at.unread(table)[1], "every third read is of all rows"
-    at.advance(rows())
+    got = at.unread(table)
+    assert not got.whole and ids(got.rows) == [2, 10]
+    at.advance(got)
+    assert ids(at.unread(table).rows) == []
+    assert at.unread(rows((1, 1))).whole, "the table has been set back"
+    assert at.unread(table.withColumn("more", F.lit(1))).whole, "another shape"
+    at.advance(at.unread(table))
+    assert at.unread(table).whole, "every third read is of all rows"
+    at.advance(at.unread(rows()))
     assert at.state().last_time == 3
+    assert ids(at.unread(rows((5, 1), (None, 7))).rows) == [1, 7]
+
+
+def test_rows_that_arrive_during_a_read_come_with_the_next(spark, tmp_path):
+    at, folder = KeysetCheckpoint(spark, str(tmp_path / "at"), "t", "id"), str(tmp_path / "rows")
+    put = lambda *x: spark.createDataFrame(list(x), "t long, id string").write.mode("append").json(folder)
+    table = lambda: spark.read.schema("t long, id string").json(folder)
+    put((1, "a"))
+    first = at.unread(table())
+    put((1, "b"), (2, "c"))
+    again = KeysetCheckpoint(spark, str(tmp_path / "at"), "t", "id")
+    assert [r.id for r in first.rows.collect()] == ["a"]
+    at.advance(first)
+    second = again.unread(table())
+    assert sorted(r.id for r in second.rows.collect()) == ["b", "c"]
+    assert sorted(r.id for r in again.unread(table()).rows.collect()) == ["b", "c"], "a read that wasn't taken in comes again"
 
 
 def test_folder_project(spark):

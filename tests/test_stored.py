@@ -47,7 +47,13 @@ def run(stream, name, mode="update"):
 def test_streams(spark, tmp_path):
     events(spark).write.json(str(tmp_path / "in"))
     source = spark.readStream.schema(EVENTS).json(str(tmp_path / "in"))
-    assert {r.request_id: r.output_tokens for r in run(captured(source), "captured").collect()} == {"a": 20, "b": 6, "c": 5}
+    # nothing has come behind them: no request is known to be over
+    assert run(captured(source), "captured", "append").count() == 0
+    late = events(spark).withColumn("ts_ms", F.col("ts_ms") + 86_398_900)  # the first event before midnight, the others after it
+    late.unionByName(spark.createDataFrame([("end", 0, 3 * 86_400_000, "{}")], EVENTS)).write.json(str(tmp_path / "night"))
+    night = spark.readStream.schema(EVENTS).json(str(tmp_path / "night"))
+    got = {r.request_id: (r.input_tokens, r.output_tokens) for r in run(captured(night), "night", "append").collect()}
+    assert got == {"a": (10, 20), "b": (20, 6), "c": (5, 5)}
     records = spark.readStream.schema("storage_dedupe_key string, timestamp long, output_tokens long")
     spark.createDataFrame([("k", 1000, 1), ("k", 2000, 1), ("l", 3_700_000, 5)], "storage_dedupe_key string, timestamp long, output_tokens long").write.json(str(tmp_path / "rec"))
     unique = recent_unique(records.json(str(tmp_path / "rec")).withColumn("event_time", F.timestamp_millis("timestamp")))
@@ -107,6 +113,22 @@ def test_a_larger_record_replaces_one_on_the_stream(spark, tmp_path):
     assert {r.storage_dedupe_key: r.input_tokens for r in run(recent_largest(stream), "largest").collect()} == {"k": 9, "l": 1}
 
 
+def test_a_larger_record_of_the_next_day_replaces_one(spark, tmp_path):
+    schema = f"{RECORD}, note string"
+    batches = [[("k", 86_399_000, 5, 0, 0, 0, "first"), ("l", 1000, 1, 0, 0, 0, None)], [("k", 86_401_000, 9, 0, 0, 0, "larger")], [("k", 86_402_000, 2, None, 0, 0, "smaller")], [("z", 9 * 86_400_000, 1, 0, 0, 0, "much later")], [("k", 9 * 86_400_000, 1, 0, 0, 0, "anew")]]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("event_time", F.timestamp_millis("timestamp"))
+    shown = []
+    (tmp_path / "in").mkdir()
+
+    def take(batch, _):
+        shown.append(sorted(r.note or "" for r in batch.collect()))
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        recent_largest(stream).writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    assert [x for x in shown if x] == [["", "first"], ["larger"], ["much later"], ["anew"]]
+
+
 def test_change_feed(spark, tmp_path):
     feed = ChangeFeed(spark, str(tmp_path / "feed"), "key string, v long", ["key"], snapshot_every=2, keep=1)
     put = lambda seq, *rows: feed.publish(spark.createDataFrame(list(rows), "key string, v long"), seq)
@@ -258,15 +280,9 @@ def test_requests_seen_on_two_days(spark, tmp_path):
     p = [seen(before), seen(B_DAY, "far", "8"), seen(B_DAY + 5 * 86_400 + 86_399, m="2"), seen(B_DAY + 2 * 86_400, "own", "3", "")]
     steps = [
         (p, []),
-        (p, [late]),  # the request moves from one finished day to the next
-        (p, [late, far]),  # or four days on
-        (p, [far]),  # back, as its transcript row goes
-        (p, [far, today]),  # yesterday's moves to the live day
-        (p[1:], [far, today, late]),
-        (p, [far, today, late, fill]),  # a message of one day names the session of a record of another
-        (p[:1] + p[2:], [today, late, fill]),
-        ([], [late]),
-        (p, []),
+        (p, [late, far]),  # requests move from one finished day to the next, or four days on
+        (p[1:], [late, today]),  # a record goes, and a transcript row; yesterday's request moves to the live day
+        (p, [today, fill]),  # a message of one day names the session of a record of another
         ([], []),
     ]
     store, c = DayStore(spark, str(tmp_path / "d")), Context(now + 3600)
@@ -277,7 +293,7 @@ def test_requests_seen_on_two_days(spark, tmp_path):
         stored = Usage(*args, store)
         stored.refresh_store(c)
         assert shown(stored.facts(c)) == shown(Usage(*args).facts(c)), (theirs, mine)
-        assert stored.refresh_store(c) == []
+    assert stored.refresh_store(c) == []
     # the live day, once it is over, is built though nothing of it has changed
     args = table(p, PROXY), table([today], LOCAL), empty(SESSIONS), empty(PRICES), empty(LOCAL)
     stored = Usage(*args, store)
