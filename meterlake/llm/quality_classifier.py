@@ -93,9 +93,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_neighbours(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, key: str = "doc_id", text: str = "text", label: str = "quality") -> NeighbourModel:
-    """Latent vectors of about ``per_class`` labelled documents of each class, none of them held out."""
+    """Latent vectors of about ``per_class`` labelled documents of each class, none of them held out; the order in which they arrive doesn't matter."""
     sample, counts = labelled_sample(docs, labels, label, per_class, key, text)
-    rows = sample.mapInArrow(_sampled, "label int, cells binary, counts binary").toArrow()
+    rows = sample.mapInArrow(_sampled, "label int, cells binary, counts binary").toArrow().sort_by([("cells", "ascending"), ("counts", "ascending"), ("label", "ascending")])
     y = rows.column("label").to_numpy().astype(np.float32)
     x = np.zeros((len(y), CELLS), np.float32)
     for i, (a, c) in enumerate(zip(rows.column("cells").to_pylist(), rows.column("counts").to_pylist(), strict=True)):
@@ -121,8 +121,20 @@ def _votes(x: np.ndarray, model: NeighbourModel) -> np.ndarray:
     cosine = latent @ model.vectors.T
     k = min(NEIGHBOURS, len(model.labels))
     near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k :]
-    vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3).astype(float) ** SHARPNESS * model.weights[near]
-    return np.clip((vote * model.labels[near]).sum(axis=1) / vote.sum(axis=1), 0.0, 1.0)
+    found = np.take_along_axis(cosine, near, axis=1)
+    vote = _strength(found) * model.weights[near]
+    score = (vote * model.labels[near]).sum(axis=1) / vote.sum(axis=1)
+    least = found.min(axis=1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+        # those as near as the last share the places that are left, so that no order of the sample matters
+        tied, nearer = cosine[i] == least[i], cosine[i] > least[i]
+        vote = _strength(cosine[i]) * model.weights * (nearer + tied * ((k - nearer.sum()) / tied.sum()))
+        score[i] = (vote * model.labels).sum() / vote.sum()
+    return np.clip(score, 0.0, 1.0)
+
+
+def _strength(cosine: np.ndarray) -> np.ndarray:
+    return np.maximum(cosine, 1e-3).astype(float) ** SHARPNESS
 
 
 def _scorer(model: NeighbourModel, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -132,3 +132,22 @@ def test_samples_are_bounded_whatever_repeats(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     assert 0 < len(rows) <= 14 and len({r._text.split()[1] for r in rows}) == len(rows)
     assert sum(counts.values()) == sum(not held(i % 50) for i in range(500)) + (not held(3))
+
+
+def test_votes_do_not_depend_on_the_order_of_equally_near_rows():
+    import numpy as np
+
+    from meterlake.llm.quality_classifier import CELLS, NEIGHBOURS, NeighbourModel, _votes
+
+    rng = np.random.default_rng(1)
+    axes = np.linalg.qr(rng.standard_normal((CELLS, 4)))[0].astype(np.float32)
+    base = np.eye(4, dtype=np.float32)
+    vectors = np.concatenate([np.repeat(base[:1], NEIGHBOURS + 9, axis=0), np.repeat(base[1:2], 3, axis=0), base])
+    labels = rng.integers(0, 2, len(vectors)).astype(np.float32)
+    x = (rng.integers(0, 3, (20, CELLS))).astype(np.float32)
+    x[:5] = np.abs(axes[:, 0])
+    scores = []
+    for _ in range(4):
+        order = rng.permutation(len(vectors))
+        scores.append(_votes(x, NeighbourModel(np.ones(CELLS, np.float32), axes, vectors[order], labels[order], np.ones(len(vectors), np.float32))))
+    assert all(np.allclose(scores[0], s, atol=1e-6) for s in scores)
