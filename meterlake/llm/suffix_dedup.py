@@ -170,9 +170,14 @@ def _digest(*parts: Column) -> Column:
 
 
 def _keyed(members: DataFrame) -> DataFrame:
-    """With the context's key: a digest of core, ahead (its length first) and behind."""
+    """With the context's key for the core: the core, and some of a digest of core, ahead (its length first) and behind."""
     size = F.concat(F.length("ahead").cast("string"), F.lit(":")).cast("binary")
-    return members.withColumn("context", _digest(F.col("core"), size, F.col("ahead"), F.col("behind")))
+    own = F.substring(_digest(F.col("core"), size, F.col("ahead"), F.col("behind")), 1, 10)
+    return members.select("uid", "at", F.concat("core", own).alias("context"), "ahead", "behind")
+
+
+def _core() -> Column:
+    return F.substring("context", 1, 16)
 
 
 def _halved(members: DataFrame, step: int) -> DataFrame:
@@ -197,7 +202,7 @@ def _repeated(members: DataFrame, step: int, window: int, many: int) -> DataFram
     found = None
     while True:
         keyed = table(_keyed(members), "members")
-        contexts = table(keyed.groupBy("context").agg(F.first("core").alias("core"), F.first("ahead").alias("ahead"), F.first("behind").alias("behind"), F.count("*").alias("n")), "contexts")
+        contexts = table(keyed.groupBy("context").agg(F.first("ahead").alias("ahead"), F.first("behind").alias("behind"), F.count("*").alias("n")).withColumn("core", _core()), "contexts")
         cores = table(contexts.groupBy("core").agg(F.count("*").alias("_n"), F.sum("n").alias("n")).where("n > 1"), "cores")
         small = contexts.join(cores.where(F.col("_n") <= many).select("core", "_n"), "core")
         # a core's only context is repeated with all its windows if the core is
@@ -211,7 +216,7 @@ def _repeated(members: DataFrame, step: int, window: int, many: int) -> DataFram
         large = cores.where(F.col("_n") > many).select("core", "n")
         if step == 1 or not large.take(1):
             return found
-        members, step = _halved(looked_up(keyed.select("uid", "at", "core", "ahead", "behind"), large, "core", "n"), step), step // 2
+        members, step = _halved(looked_up(keyed.select("uid", "at", _core().alias("core"), "ahead", "behind"), large, "core", "n"), step), step // 2
 
 
 def _cut(window: int):
