@@ -21,6 +21,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def make(spark: SparkSession, path: str) -> None:
+    fs, place = _place(spark, path)
+    fs.mkdirs(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, place = _place(spark, path)
     fs.delete(place, True)

@@ -11,7 +11,7 @@ from meterlake.functions import calendar as cal
 from meterlake.operators import activity, maintenance, pricing, reconcile, survival
 from meterlake.operators import sessions as S
 from meterlake.operators.metrics import coverage as coverage_of
-from meterlake.queries.bindings import AS_OF, BASE_CTE, END, START, facts, local, prices, proxy, read, remote, sessions, sources
+from meterlake.queries.bindings import AS_OF, BASE_CTE, END, START, facts, local, prices, proxy, read, remote, sessions, sources, _columns
 from meterlake.queries.registry import query, rounded
 
 _T = ("input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")
@@ -194,9 +194,18 @@ def activity_with_hot_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(activity.with_hot_day(old, new, today).withColumn("day", F.col("day").cast("string")))
 
 
-@query("SELECT CAST(day AS VARCHAR) AS day, CAST((dayofmonth(day) - 1 + isodow(date_trunc('month', day)) - 1) // 7 AS INTEGER) AS week_row, CAST(isodow(day) - 1 AS INTEGER) AS weekday, CAST(isodow(date_trunc('month', day)) - 1 AS INTEGER) AS blanks_before, CAST((13 - isodow(last_day(day))) % 7 + 0 AS INTEGER) AS blanks_after FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS day)".replace("(13 - isodow(last_day(day))) % 7 + 0", "7 - isodow(last_day(day))"))
+@query("""
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders),
+s AS (SELECT CAST(unnest(generate_series(m, last_day(m), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT date_trunc('month', day) AS m FROM o))
+SELECT CAST(s.day AS VARCHAR) AS day, CAST((dayofmonth(s.day) - 1 + isodow(date_trunc('month', s.day)) - 1) // 7 AS INTEGER) AS week_row, CAST(isodow(s.day) - 1 AS INTEGER) AS weekday, CAST(isodow(date_trunc('month', s.day)) - 1 AS INTEGER) AS blanks_before, CAST(7 - isodow(last_day(s.day)) AS INTEGER) AS blanks_after, count(o.day) AS orders
+FROM s LEFT JOIN o USING (day) GROUP BY s.day
+""")
 def calendar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.calendar_grid(cal.date_spine(spark, date(2024, 1, 1), date(2024, 12, 31)).withColumn("day", F.col("day").cast("string")))
+    """The months that have orders, whole, on a grid with the orders of each day."""
+    own = read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("orders"))
+    month = F.trunc("day", "month")
+    spine = own.select(month.alias("m")).distinct().select(F.explode(F.sequence("m", F.last_day("m"))).alias("day"))
+    return activity.calendar_grid(spine.join(own, "day", "left").withColumn("orders", F.coalesce("orders", F.lit(0)))).withColumn("day", F.col("day").cast("string"))
 
 
 @query(BASE_CTE + "SELECT DISTINCT strftime(make_timestamp(timestamp_sec * 1000000), '%Y-%m-%d') AS day FROM facts WHERE session_id = 's7'")
@@ -263,14 +272,17 @@ def price_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.search(names, price_matches(F.col("model_id"), F.lit(None).cast("string"), " WID ") | price_matches(F.col("model_id"), F.col("model_id"), "blue"), 8, 2)
 
 
-@query(BASE_CTE + "SELECT model_id, display_name, source, last_updated FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY CASE source WHEN 'custom' THEN 0 ELSE 1 END) AS n FROM (SELECT model_id, display_name, source, last_updated FROM prices WHERE model_id NOT IN ('VIEW', 'cli') UNION ALL SELECT 'new', 'New', 'api', 9)) WHERE n = 1 AND model_id <> 'view' UNION ALL SELECT 'view', 'Synced', 'api', 7")
+#: Parts as stored prices, some of them custom, and as what a sync brings.
+_STORED = "SELECT concat('m', p_partkey) AS model_id, p_name AS display_name, CASE WHEN p_partkey % 3 = 0 THEN 'custom' ELSE 'api' END AS source, 1 AS last_updated FROM part WHERE p_partkey % 2 = 0"
+_SYNCED = "SELECT concat('m', p_partkey) AS model_id, 'Synced' AS display_name, 'api' AS source, 7 AS last_updated FROM part WHERE p_partkey % 5 <> 0"
+
+
+@query(f"SELECT model_id, coalesce(CASE WHEN s.source = 'custom' THEN s.display_name END, n.display_name, s.display_name) AS display_name, CASE WHEN s.source = 'custom' THEN 'custom' ELSE 'api' END AS source, CASE WHEN s.source = 'custom' OR n.model_id IS NULL THEN 1 ELSE 7 END AS last_updated FROM ({_STORED}) s FULL JOIN ({_SYNCED}) n USING (model_id)")
 def price_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sync replaces synced prices and adds new ones, and leaves custom ones alone."""
-    cols = ["model_id", "display_name", "source", "last_updated"]
-    stored = prices(spark).where("model_id NOT IN ('VIEW', 'cli')").select(*cols)
-    stored = stored.where("NOT (model_id = 'error' AND source = 'api')")
-    synced = spark.createDataFrame([("view", "Synced", "api", 7), ("click", "Synced", "api", 7), ("error", "Synced", "api", 7), ("new", "New", "api", 9)], stored.schema)
-    return pricing.upserted(stored, synced).select(*cols)
+    parts = read(spark, sf_dir, "part")
+    stored, synced = (parts.where(x.split(" WHERE ")[1]).selectExpr(*_columns(x.split("SELECT ")[1].split(" FROM part")[0])) for x in (_STORED, _SYNCED))
+    return pricing.upserted(stored, synced)
 
 
 @query(BASE_CTE + "SELECT strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS day, model, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_create_tokens) AS BIGINT) AS cache_create_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, round(sum(estimated_cost) + 1e-9, 4) AS cost, count(*) FILTER (status_code BETWEEN 200 AND 299) AS success_requests, count(*) FILTER (status_code >= 400) AS error_requests, count(DISTINCT session_id) AS sessions FROM proxy GROUP BY ALL")
@@ -303,10 +315,15 @@ def new_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.new_sources(proxy(spark, sf_dir), sources(spark))
 
 
-@query("SELECT 'src-b' AS id, 'sk-1,sk-2' AS prefixes UNION ALL SELECT 'src-a', 'sk-0,sk-1'")
+@query("""
+WITH p AS (SELECT DISTINCT CASE c_nationkey WHEN 2 THEN 1 ELSE c_nationkey END AS n, concat('sk-', c_custkey % 50) AS prefix FROM customer)
+SELECT concat('src-', n) AS id, string_agg(prefix, ',' ORDER BY prefix) AS prefixes FROM p GROUP BY n
+""")
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third source has the second's url and joins it; the first doesn't."""
-    done = maintenance.merged_sources(maintenance.merged_sources(sources(spark), "src-b", "src-c"), "src-b", "src-a")
+    """A source for each nation, of one url for five of them: the second joins the first, whose url it has; the seventh doesn't."""
+    own = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("sk-"), (F.col("c_custkey") % 50).cast("string")))).alias("api_key_prefixes"))
+    known = own.select(F.concat(F.lit("src-"), F.col("c_nationkey").cast("string")).alias("id"), "api_key_prefixes", F.concat(F.lit("https://r"), F.expr("c_nationkey div 5").cast("string")).alias("base_url"))
+    done = maintenance.merged_sources(maintenance.merged_sources(known, "src-1", "src-2"), "src-1", "src-7")
     return done.select("id", F.array_join("api_key_prefixes", ",").alias("prefixes"))
 
 

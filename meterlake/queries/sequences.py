@@ -48,16 +48,17 @@ def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("filter"), F.col(n).alias("n")) for n in passes))).alias("x")).select("x.*")
 
 
-_NAMES = "VALUES ('OpenAI/GPT-5.4-2026-03-05'), ('vendor/Model-X-20240101'), ('MiniMax-M2.5'), (' Plain '), ('unknown'), (''), ('Custom_Model'), ('2026-03-05'), ('a-2026-03-05'), ('x-12345678')"
+#: Names as tools write them: with a path, with a date of either form, opaque, in any case.
+_RAW = "CASE p_partkey % 6 WHEN 0 THEN concat('Vendor/', p_name, '-2024-03-05') WHEN 1 THEN concat(p_name, '-20240101') WHEN 2 THEN concat(' ', p_name, ' ') WHEN 3 THEN 'Custom_Model' WHEN 4 THEN '-2024-03-05' ELSE concat('a/b/', upper(p_name)) END"
 
 
 @query(
-    f"""SELECT m AS raw, lower(regexp_replace(m, '[^A-Za-z0-9]', '', 'g')) AS id, lower(regexp_replace(m, '^.*/', '')) AS base, CASE WHEN lower(trim(m)) IN ('', 'unknown', 'custom_model') THEN 'Qoder CLI' ELSE trim(m) END AS bucket,
-CASE m WHEN 'OpenAI/GPT-5.4-2026-03-05' THEN 'gpt-5.4' WHEN 'vendor/Model-X-20240101' THEN 'model-x' WHEN 'a-2026-03-05' THEN 'a' WHEN 'x-12345678' THEN 'x' ELSE lower(trim(m)) END AS dated FROM ({_NAMES}) t(m)"""
+    rf"""SELECT p_partkey, raw, lower(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g')) AS id, lower(regexp_replace(raw, '^.*/', '')) AS base, CASE WHEN lower(trim(raw)) IN ('', 'unknown', 'custom_model') THEN 'Qoder CLI' ELSE trim(raw) END AS bucket,
+regexp_replace(regexp_replace(regexp_replace(lower(trim(raw)), '^.*/', ''), '^(.+)-\d{{4}}-\d{{2}}-\d{{2}}$', '\1'), '^(.+)-\d{{8}}$', '\1') AS dated FROM (SELECT p_partkey, {_RAW} AS raw FROM part)"""
 )
 def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.sql(f"SELECT * FROM ({_NAMES}) AS t(raw)")
-    return raw.select("raw", models.model_id(F.col("raw")).alias("id"), models.base_model(F.col("raw")).alias("base"), models.model_bucket(F.lit("qoder_cli"), F.col("raw")).alias("bucket"), models.dated_model(F.col("raw")).alias("dated"))
+    raw = read(spark, sf_dir, "part").select("p_partkey", F.expr(_RAW).alias("raw"))
+    return raw.select("p_partkey", "raw", models.model_id(F.col("raw")).alias("id"), models.base_model(F.col("raw")).alias("base"), models.model_bucket(F.lit("qoder_cli"), F.col("raw")).alias("bucket"), models.dated_model(F.col("raw")).alias("dated"))
 
 
 @query(
@@ -90,16 +91,16 @@ def spread_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).select("o_orderkey", "i", numbers.share_of(t, i, n).alias("part"), numbers.spread_between(F.lit(1000).cast("long"), F.lit(10_000).cast("long"), i, n).alias("at"))
 
 
-@query(BASE_CTE + "SELECT message_id, input_tokens - least(cache_read_tokens, input_tokens) AS clamped_input, least(cache_read_tokens, input_tokens) AS clamped_read, greatest(input_tokens - cache_read_tokens, 0) AS plain_input, cache_read_tokens AS plain_read, round(100.0 * cache_read_tokens / nullif(input_tokens + cache_create_tokens + cache_read_tokens, 0), 4) AS hit, input_tokens + cache_read_tokens AS display FROM proxy WHERE input_tokens > 0")
+@query(BASE_CTE + "SELECT message_id, input_tokens - least(cache_read_tokens, input_tokens) AS clamped_input, least(cache_read_tokens, input_tokens) AS clamped_read, greatest(input_tokens - cache_read_tokens, 0) AS plain_input, cache_read_tokens AS plain_read, round(coalesce(100.0 * cache_read_tokens / nullif(input_tokens + cache_create_tokens + cache_read_tokens, 0), 0), 4) AS hit, input_tokens + cache_read_tokens AS display FROM proxy")
 def cache_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, c, r = (F.col(x) for x in ("input_tokens", "cache_create_tokens", "cache_read_tokens"))
     a, b = numbers.without_cache(i, r, True), numbers.without_cache(i, r, False)
-    return rounded(proxy(spark, sf_dir).where("input_tokens > 0").select("message_id", a["input"].alias("clamped_input"), a["cache_read"].alias("clamped_read"), b["input"].alias("plain_input"), b["cache_read"].alias("plain_read"), numbers.cache_hit_percent(i, c, r).alias("hit"), presentation.display_input(i, r).alias("display")))
+    return rounded(proxy(spark, sf_dir).select("message_id", a["input"].alias("clamped_input"), a["cache_read"].alias("clamped_read"), b["input"].alias("plain_input"), b["cache_read"].alias("plain_read"), numbers.cache_hit_percent(i, c, r).alias("hit"), presentation.display_input(i, r).alias("display")))
 
 
-@query(BASE_CTE + "SELECT message_id, round(estimated_cost * 0.9 + 1e-9, 4) AS eur, round(estimated_cost + 1e-9, 4) AS xyz, round(estimated_cost * input_tokens / nullif(input_tokens + output_tokens, 0) + 1e-9, 4) AS input_cost, CASE WHEN status_code BETWEEN 200 AND 299 THEN '2xx' WHEN status_code BETWEEN 400 AND 499 THEN '4xx' WHEN status_code >= 500 THEN '5xx' ELSE 'other' END AS class, CASE WHEN n >= 1000000000 THEN concat((n + 50000000) // 1000000000, '.', (n + 50000000) // 100000000 % 10, 'B') WHEN n >= 1000000 THEN concat((n + 50000) // 1000000, '.', (n + 50000) // 100000 % 10, 'M') WHEN n >= 1000 THEN concat((n + 50) // 1000, '.', (n + 50) // 100 % 10, 'K') ELSE CAST(n AS VARCHAR) END AS shown, CASE WHEN ms >= 1000 THEN concat((ms + 50) // 1000, '.', (ms + 50) // 100 % 10, 's') ELSE concat(ms, 'ms') END AS took FROM (SELECT *, input_tokens * output_tokens * event_id AS n, duration_ms * 5 AS ms FROM proxy) WHERE input_tokens + output_tokens > 0")
+@query(BASE_CTE + "SELECT message_id, round(estimated_cost * 0.9 + 1e-9, 4) AS eur, round(estimated_cost + 1e-9, 4) AS xyz, round(coalesce(estimated_cost * input_tokens / nullif(input_tokens + output_tokens, 0), 0) + 1e-9, 4) AS input_cost, CASE WHEN status_code BETWEEN 200 AND 299 THEN '2xx' WHEN status_code BETWEEN 400 AND 499 THEN '4xx' WHEN status_code >= 500 THEN '5xx' ELSE 'other' END AS class, CASE WHEN n >= 1000000000 THEN concat((n + 50000000) // 1000000000, '.', (n + 50000000) // 100000000 % 10, 'B') WHEN n >= 1000000 THEN concat((n + 50000) // 1000000, '.', (n + 50000) // 100000 % 10, 'M') WHEN n >= 1000 THEN concat((n + 50) // 1000, '.', (n + 50) // 100 % 10, 'K') ELSE CAST(n AS VARCHAR) END AS shown, CASE WHEN ms >= 1000 THEN concat((ms + 50) // 1000, '.', (ms + 50) // 100 % 10, 's') ELSE concat(ms, 'ms') END AS took FROM (SELECT *, input_tokens * output_tokens * event_id AS n, duration_ms * 5 AS ms FROM proxy)")
 def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = proxy(spark, sf_dir).where("input_tokens + output_tokens > 0")
+    p = proxy(spark, sf_dir)
     usd, i, o = F.col("estimated_cost"), F.col("input_tokens"), F.col("output_tokens")
     rates = {"USD": 1.0, "EUR": 0.9}
     return rounded(p.select("message_id", numbers.converted(usd, rates, F.lit("EUR")).alias("eur"), numbers.converted(usd, rates, F.lit("XYZ")).alias("xyz"), numbers.split_cost(usd, i, o)["input_cost"].alias("input_cost"), numbers.status_class(F.col("status_code")).alias("class"), numbers.short_number(i * o * F.col("event_id")).alias("shown"), numbers.short_duration(F.col("duration_ms") * 5).alias("took")))

@@ -24,7 +24,8 @@ from meterlake.streaming.ingest import RecordStore
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the warehouse, which a cluster shares; it goes when the application ends."""
-    return folders.gone_at_exit(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_meterlake/{name}-{uuid.uuid4().hex}")
+    held = folders.gone_at_exit(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_meterlake/{uuid.uuid4().hex}")
+    return f"{held}/{name}"
 
 
 _ROUND = "CAST(min_ttft_ms AS DOUBLE) AS min_ttft_ms, CAST(max_ttft_ms AS DOUBLE) AS max_ttft_ms, round(cost + 1e-9, 4) AS cost, round(rate_sum, 4) AS rate_sum, round(min_rate, 4) AS min_rate, round(max_rate, 4) AS max_rate"
@@ -197,24 +198,42 @@ def window_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", window_name(s).alias("name"))
 
 
-_BODIES = [
-    ("kimi", '{"usage":{"limit":"100","remaining":"74","resetTime":"2026-01-08"},"limits":[{"window":{"duration":300,"timeUnit":"TIME_UNIT_MINUTE"},"detail":{"limit":"50","remaining":"40","resetTime":"2026-01-02"}}]}'),
-    ("zhipu", '{"data":{"limits":[{"type":"TOKENS_LIMIT","percentage":12.5,"nextResetTime":"1"}]}}'),
-    ("minimax", '{"model_remains":[{"model_name":"m","current_interval_total_count":200,"current_interval_usage_count":50}]}'),
-    ("zenmux", '{"data":{"remaining":30,"quota":40}}'),
-    ("deepseek", '{"balance_infos":[{"total_balance":"12.5"}]}'),
-    ("stepfun", '{"balance": 7}'),
-    ("siliconflow", '{"data":{"totalBalance":"3.5"}}'),
-    ("openrouter", '{"data":{"total_credits":20,"total_usage":5}}'),
-    ("novita", '{"availableBalance":"9"}'),
-    ("other", "not json"),
-]
-
-
-@query("VALUES ('kimi', 'five_hour', 20.0, 10.0, 50.0), ('kimi', 'weekly_limit', 26.0, 26.0, 100.0), ('zhipu', 'TOKENS_LIMIT', 12.5, 12.5, 100.0), ('minimax', 'm', 25.0, 50.0, 200.0), ('zenmux', 'balance', 25.0, 10.0, 40.0), ('deepseek', 'balance', 0.0, 0.0, 12.5), ('stepfun', 'balance', 0.0, 0.0, 7.0), ('siliconflow', 'balance', 0.0, 0.0, 3.5), ('openrouter', 'balance', 25.0, 5.0, 20.0), ('novita', 'balance', 0.0, 0.0, 9.0)".replace("VALUES", "SELECT provider, name, CAST(utilization AS DOUBLE) AS utilization, CAST(used AS DOUBLE) AS used, CAST(quota AS DOUBLE) AS quota FROM (VALUES", 1) + ") t(provider, name, utilization, used, quota)")
+#: What services answer, with an order's numbers: granted q, left r of it.
+_BODY = {
+    "kimi": '{"usage":{"limit":"%1$d","remaining":"%2$d"},"limits":[{"window":{"duration":300,"timeUnit":"TIME_UNIT_MINUTE"},"detail":{"limit":"%1$d","remaining":"%2$d"}}]}',
+    "minimax": '{"model_remains":[{"model_name":"m","current_interval_total_count":%1$d,"current_interval_usage_count":%2$d}]}',
+    "zenmux": '{"data":{"remaining":%2$d,"quota":%1$d}}',
+    "deepseek": '{"balance_infos":[{"total_balance":"%2$d"}]}',
+    "stepfun": '{"balance":%2$d}',
+    "siliconflow": '{"data":{"totalBalance":"%2$d"}}',
+    "openrouter": '{"data":{"total_credits":%1$d,"total_usage":%2$d}}',
+    "novita": '{"availableBalance":"%2$d"}',
+    "zhipu": '{"data":{"limits":[{"type":"TOKENS_LIMIT","percentage":%2$d}]}}',
+    "other": "not json %1$d %2$d",
+}
+_QUOTA = "SELECT o_orderkey, o_orderkey % 10 AS k, o_custkey + 100 AS q, o_orderkey % 100 AS r FROM orders"
+_LEFT = "100.0 * (q - r) / q AS utilization, q - r AS used, q AS quota"
+
+
+@query(f"""
+WITH o AS ({_QUOTA})
+SELECT o_orderkey, provider, name, round(CAST(utilization AS DOUBLE) + 1e-9, 4) AS utilization, CAST(used AS DOUBLE) AS used, CAST(quota AS DOUBLE) AS quota FROM (
+  SELECT o_orderkey, 'kimi' AS provider, unnest(['five_hour', 'weekly_limit']) AS name, {_LEFT} FROM o WHERE k = 0
+  UNION ALL SELECT o_orderkey, 'minimax', 'm', 100.0 * r / q, r, q FROM o WHERE k = 1
+  UNION ALL SELECT o_orderkey, 'zenmux', 'balance', {_LEFT} FROM o WHERE k = 2
+  UNION ALL SELECT o_orderkey, ['deepseek', 'stepfun', 'siliconflow', '', 'novita'][k - 2], 'balance', 0, 0, r FROM o WHERE k IN (3, 4, 5, 7)
+  UNION ALL SELECT o_orderkey, 'openrouter', 'balance', 100.0 * r / q, r, q FROM o WHERE k = 6
+  UNION ALL SELECT o_orderkey, 'zhipu', 'TOKENS_LIMIT', r, r, 100 FROM o WHERE k = 8
+)""")
 def relay_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = spark.createDataFrame(_BODIES, "provider string, body string")
-    return bodies.select("provider", F.explode(relay_tiers(F.col("provider"), F.col("body"))).alias("t")).select("provider", "t.name", "t.utilization", "t.used", "t.quota")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 10).alias("k"), (F.col("o_custkey") + 100).alias("q"), (F.col("o_orderkey") % 100).alias("r"))
+    kinds = [(F.lit(name), F.format_string(body, "q", "r")) for name, body in _BODY.items()]
+    name, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (provider, body) in enumerate(kinds):
+        name, text = F.when(F.col("k") == i, provider).otherwise(name), F.when(F.col("k") == i, body).otherwise(text)
+    bodies = o.select("o_orderkey", name.alias("provider"), text.alias("body"))
+    tiers = bodies.select("o_orderkey", "provider", F.explode(relay_tiers(F.col("provider"), F.col("body"))).alias("t"))
+    return rounded(tiers.select("o_orderkey", "provider", "t.name", "t.utilization", "t.used", "t.quota"))
 
 
 @query("SELECT family, arg_min(model, (f, model)) AS model, round(min(f), 6) AS remaining_fraction, round(100 * (1 - min(f)), 4) AS utilization FROM (SELECT p_name AS model, p_size / 100.0 AS f, CASE WHEN contains(p_name, 'large') THEN 'x-flash-lite' WHEN contains(p_name, 'small') THEN 'x-flash' ELSE 'x-pro' END AS m, CASE WHEN contains(p_name, 'large') THEN 'flash_lite' WHEN contains(p_name, 'small') THEN 'flash' ELSE 'pro' END AS family FROM part) GROUP BY family")

@@ -96,16 +96,15 @@ def exported_editor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.editor_messages(known, rows).select("message_id", "timestamp", "input_tokens", "output_tokens", "cache_read_tokens")
 
 
-@query(f"SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS requests, CAST(sum(n) - least(sum(n), sum(n // 4)) AS BIGINT) AS input_tokens, CAST(sum(n % 6) AS BIGINT) AS output_tokens, CAST(least(sum(n), sum(n // 4)) AS BIGINT) AS cache_read_tokens, min(ts) AS first FROM ({_TURNS}) GROUP BY conv_id HAVING min(n) > 3")
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS session_id, least(count(*), greatest(sum(n) - sum(n // 4), sum(n % 6), sum(n // 4))) AS requests, CAST(sum(n) - least(sum(n), sum(n // 4)) AS BIGINT) AS input_tokens, CAST(sum(n % 6) AS BIGINT) AS output_tokens, CAST(least(sum(n), sum(n // 4)) AS BIGINT) AS cache_read_tokens, min(ts) AS first FROM ({_TURNS}) GROUP BY conv_id HAVING sum(n) > 0")
 def read_shutdown_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals that a session ends with, dealt out to its requests: none is lost, and the first is where the session begins."""
     t = _turns(spark, sf_dir)
     start = t.select("conv_id", "turn", F.format_string('{"sessionId":"%d","timestamp":%d,"type":"assistant.message","data":{"outputTokens":1}}', "conv_id", "at").alias("line"))
-    sums = t.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"), F.max("at").alias("at"), F.count("*").alias("k"), F.min("n").alias("least"), F.sum("n").alias("n"), F.sum(F.expr("n div 4")).alias("c"), F.sum(F.col("n") % 6).alias("o"))
+    sums = t.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"), F.max("at").alias("at"), F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.expr("n div 4")).alias("c"), F.sum(F.col("n") % 6).alias("o"))
     end = F.format_string('{"sessionId":"%d","timestamp":%d,"type":"session.shutdown","data":{"modelMetrics":{"m":{"requests":{"count":%d},"usage":{"inputTokens":%d,"outputTokens":%d,"cacheReadTokens":%d,"cacheWriteTokens":0}}}}}', "conv_id", "at", "k", "n", "o", "c")
-    # a request of no tokens at all is none: sessions with turns as short as that stay out
-    long = sums.where("least > 3")
-    lines = start.join(long.select("conv_id"), "conv_id", "left_semi").unionByName(long.select("conv_id", "turn", end.alias("line")))
+    # totals that don't go round leave requests without any token, which are none
+    lines = start.unionByName(sums.select("conv_id", "turn", end.alias("line")))
     found = transcripts.shutdown_totals(spark, _files(spark, lines, ".jsonl"))
     return found.groupBy("session_id").agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens")), F.min("timestamp").alias("first"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,70 +12,132 @@ from meterlake.operators.maintenance import latest_versions
 from meterlake.plans import folders
 
 DAY_MS = 86_400_000
-KEY_BUCKETS = 64
+KEY_BUCKETS = 16
+_TOKENS = ("input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")
 
 
 class RecordStore:
-    """Records partitioned by UTC day; a record replaces the stored one of its key, whatever its day, if it has at least as many tokens.
+    """Records by key; one replaces the stored one of its key, whatever its day, if it has at least as many tokens.
 
-    Beside them lies a log of (key, day), dealt by a hash of the key, which says where a key is stored. It is narrow, only
-    grows by keys that are new or have moved, and is searched for a batch's keys alone.
+    A batch is appended as a run of its own, dealt by a hash of the key and with a Bloom filter of the keys in each file: it
+    writes what it holds, and nothing that is stored is rewritten for it. Readers merge the runs. Once ``fanout`` runs of a
+    size stand at the end they become one of the next size, so that a row is rewritten as often as the logarithm of the
+    number of batches. A run is named by the first and last batch in it; one that lies within another doesn't count, so
+    that readers see a merge entirely or not at all.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "storage_dedupe_key"):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
-        self.keys = f"{self.path}__keys"
+    def __init__(self, spark: SparkSession, path: str, key: str = "storage_dedupe_key", fanout: int = 8):
+        self.spark, self.path, self.key, self.fanout = spark, path.rstrip("/"), key, fanout
+
+    def runs(self) -> list[tuple[int, int]]:
+        """(first, last) of the runs that count, in order."""
+        names = [n.removeprefix("run=") for n in folders.children(self.spark, f"{self.path}/runs") if n.startswith("run=")]
+        found = sorted(tuple(map(int, n.split("-"))) for n in names if folders.exists(self.spark, f"{self.path}/runs/run={n}/_SUCCESS"))
+        return [r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found)]
+
+    def _folder(self, run: tuple[int, int]) -> str:
+        return f"{self.path}/runs/run={run[0]:012d}-{run[1]:012d}"
+
+    def _rows(self, runs: Sequence[tuple[int, int]]) -> DataFrame:
+        """All rows of some runs, with the number of the run's last batch."""
+        read = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/runs").parquet(*map(self._folder, runs))
+        return read.withColumn("_seq", F.substring_index(F.col("run").cast("string"), "-", -1).cast("long")).drop("run")
+
+    def _largest(self, rows: DataFrame, *newest: str) -> DataFrame:
+        total = sum((F.col(c) for c in _TOKENS[1:]), F.col(_TOKENS[0]))
+        order = Window.partitionBy(self.key).orderBy(F.desc(total), *map(F.desc, newest), F.desc("timestamp"))
+        return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
     def read(self) -> DataFrame | None:
-        if not folders.exists(self.spark, self.path):
-            return None
-        return self.spark.read.option("mergeSchema", "true").parquet(self.path).withColumn("day", F.col("day").cast("string"))
-
-    def _days_of(self, keys: DataFrame) -> list[str]:
-        """Days that the keys may be stored on: one for each key, or several if it has moved."""
-        if not folders.exists(self.spark, self.keys):
-            return []
-        buckets = [r[0] for r in keys.select("bucket").distinct().collect()]
-        log = self.spark.read.schema("key string, day string, bucket int").parquet(self.keys).where(F.col("bucket").isin(buckets))
-        return [r[0] for r in log.join(keys.select("key"), "key", "left_semi").select("day").distinct().collect()]
-
-    def upsert(self, batch: DataFrame, batch_id: int = 0, on_days: Callable[[list[str]], None] | None = None) -> None:
-        """For ``foreachBatch``: rewrites only the days of the batch and of what it replaces, so that a repeated batch changes nothing.
-
-        ``on_days`` gets the days touched: what was derived from them is out of date. Columns that are new are added.
+        """One row for each key, with the ``day`` that it lies on."""
+        runs = self.runs()
+        return self._dated(self._largest(self._rows(runs), "_seq").drop("_seq", "bucket")) if runs else None
+
+    @staticmethod
+    def _dated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("day", F.timestamp_millis("timestamp").cast("date").cast("string"))
+
+    def _write(self, rows: DataFrame, run: tuple[int, int]) -> None:
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(KEY_BUCKETS)).cast("int"))
+        dealt.repartition("bucket").sortWithinPartitions("bucket", self.key).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.key}", "true").partitionBy("bucket").parquet(self._folder(run))
+
+    def _applied(self, source: str) -> dict[int, int]:
+        """The run of each batch of a source that is on record: of the last batches, as older ones never come again."""
+        found = (n.split("-") for n in folders.children(self.spark, f"{self.path}/applied/{source}"))
+        return {int(batch): int(run) for batch, run in found}
+
+    def _days_of(self, keys: DataFrame) -> set[str]:
+        """Days that any stored row of the keys lies on; only their buckets are read, and only keys and times."""
+        runs = self.runs()
+        if not runs:
+            return set()
+        buckets = [r.bucket for r in keys.select("bucket").distinct().collect()]
+        stored = self._rows(runs).where(F.col("bucket").isin(buckets)).select(self.key, "timestamp")
+        return {r.day for r in self._dated(stored.join(keys.select(self.key), self.key, "left_semi")).select("day").distinct().collect()}
+
+    def upsert(self, batch: DataFrame, batch_id: int = 0, on_days: Callable[[list[str]], None] | None = None, source: str = "batches") -> None:
+        """For ``foreachBatch``: appends a run; a batch that comes again takes its own run's place, or changes nothing if that is merged.
+
+        Batches of a ``source`` are numbered upwards. ``on_days`` gets the days of the batch and of all rows that its keys
+        had: what was derived from them is out of date. Columns that are new are added.
         """
-        new = batch.withColumn("day", F.timestamp_millis("timestamp").cast("date").cast("string")).withColumn("_new", F.lit(1)).persist()
-        aside = f"{self.path}__batch_{batch_id}"
+        new = batch.persist()
         try:
-            own = F.col(self.key).cast("string")
-            keys = new.select(own.alias("key"), F.pmod(F.xxhash64(own), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")).distinct()
-            days = {r[0] for r in new.select("day").distinct().collect()}
+            days = {r.day for r in self._dated(new).select("day").distinct().collect()}
             if not days:
                 return
-            days |= set(self._days_of(keys))
-            stored = self.read()
-            both = new if stored is None else new.unionByName(stored.where(F.col("day").isin(sorted(days))).withColumn("_new", F.lit(0)), allowMissingColumns=True)
-            total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens")
-            order = Window.partitionBy(self.key).orderBy(F.desc(total), F.desc("_new"), F.desc("timestamp"))
-            kept = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
-            # the days are read and replaced: what replaces them is written aside first
-            kept.write.mode("overwrite").partitionBy("day").parquet(aside)
-            done = self.spark.read.option("mergeSchema", "true").parquet(aside).withColumn("day", F.col("day").cast("string"))
-            done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
-            left = {n.removeprefix("day=") for n in folders.children(self.spark, aside) if n.startswith("day=")}
-            for day in days - left:  # all that was there has moved
-                folders.remove(self.spark, f"{self.path}/day={day}")
-            placed = done.select(F.col(self.key).cast("string").alias("key"), "day").join(keys, "key")
-            placed.select("key", "day", "bucket").write.mode("append").partitionBy("bucket").parquet(self.keys)
+            keys = new.select(self.key, F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")).distinct()
+            days |= self._days_of(keys)
+            applied, runs = self._applied(source), self.runs()
+            if not applied or batch_id > max(applied):
+                seq = max([r[1] for r in runs] + self._reserved(), default=0) + 1
+                folders.make(self.spark, f"{self.path}/applied/{source}/{batch_id}-{seq}")
+                for old, at in applied.items():
+                    folders.remove(self.spark, f"{self.path}/applied/{source}/{old}-{at}")
+                applied = {batch_id: seq}
+            seq = applied.get(batch_id)
+            if seq is not None and not any(a <= seq <= b and a < b for a, b in runs):
+                self._write(self._largest(new), (seq, seq))
         finally:
             new.unpersist()
-            folders.remove(self.spark, aside)
         if on_days:
             on_days(sorted(days))
+        self.compact()
+
+    def _reserved(self) -> list[int]:
+        return [at for s in folders.children(self.spark, f"{self.path}/applied") for at in self._applied(s).values()]
+
+    def compact(self) -> None:
+        """Merges the runs at the end while there are ``fanout`` of one size, and removes what lies within a merged one."""
+        while True:
+            runs = self.runs()
+            size = [self._level(b - a + 1) for a, b in runs]
+            # of one size, and without a number between them that a batch has taken but not written yet
+            same = 1
+            while same < len(runs) and size[-same - 1] == size[-1] and runs[-same - 1][1] + 1 == runs[-same][0]:
+                same += 1
+            if len(runs) < self.fanout or same < self.fanout:
+                break
+            last = runs[-same:]
+            whole = (last[0][0], last[-1][1])
+            self._write(self._largest(self._rows(last), "_seq").drop("_seq", "bucket"), whole)
+        live = {f"run={a:012d}-{b:012d}" for a, b in runs}
+        for name in folders.children(self.spark, f"{self.path}/runs"):
+            a, b = map(int, name.removeprefix("run=").split("-"))
+            if name not in live and any(x <= a and b <= y for x, y in runs):
+                folders.remove(self.spark, f"{self.path}/runs/{name}")
+
+    def _level(self, batches: int) -> int:
+        level = 0
+        while batches >= self.fanout:
+            batches //= self.fanout
+            level += 1
+        return level
 
     def start(self, stream: DataFrame, checkpoint: str, on_days: Callable[[list[str]], None] | None = None):
         """Everything that is there now, then stops; a restart goes on where the checkpoint ends."""
-        return stream.writeStream.foreachBatch(lambda b, i: self.upsert(b, i, on_days)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        return stream.writeStream.foreachBatch(lambda b, i: self.upsert(b, i, on_days, source)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class ChangeFeed:

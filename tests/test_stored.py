@@ -101,11 +101,30 @@ def test_records_replace_their_key_across_days(spark, tmp_path):
         for _ in range(2):  # a repeated batch changes nothing
             store.upsert(batch, i, on_days)
     assert sorted((r.storage_dedupe_key, r.input_tokens, r.day) for r in store.read().collect()) == [("k", 9, "1970-01-02"), ("l", 2, "1970-01-04")]
-    assert not (tmp_path / "r/day=1970-01-01").exists() and not list(tmp_path.glob("r__batch*"))
+    assert len(list((tmp_path / "r/runs").iterdir())) == 5, "a run for each batch, however often it comes"
     assert ["1970-01-01", "1970-01-02"] in touched and touched[-1][-1] == "1970-01-04"
     assert {r.fingerprint for r in days.state().collect()} == {""}
 
 
+def test_runs_are_merged(spark, tmp_path):
+    """What is read is the same however runs are merged; a batch writes its own rows alone, and a late repeat changes nothing."""
+    store, days = RecordStore(spark, str(tmp_path / "r"), fanout=2), []
+    put = lambda i, source, *rows: store.upsert(spark.createDataFrame(list(rows), f"{RECORD}, extra int" if len(rows[0]) > 6 else RECORD), i, days.extend, source)
+    got = lambda: sorted((r.storage_dedupe_key, r.input_tokens, r.timestamp) for r in store.read().collect())
+    put(0, "a", ("k", 1000, 5, 0, 0, 0), ("l", 1, 1, 0, 0, 0))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "r/runs").rglob("*.parquet")}
+    put(0, "b", ("k", 2000, 5, 0, 0, 0))
+    assert store.runs() == [(1, 2)] and before and got() == [("k", 5, 2000), ("l", 1, 1)]
+    put(1, "a", ("k", 3000, 4, 0, 0, 0, 7))
+    assert store.runs() == [(1, 2), (3, 3)] and "extra" in store.read().columns
+    for _ in range(2):
+        put(0, "b", ("k", 2000, 5, 0, 0, 0))  # again, after its run has been merged
+        assert got() == [("k", 5, 2000), ("l", 1, 1)] and store.runs() == [(1, 2), (3, 3)]
+    put(1, "b", ("m", 86_400_000, 1, 0, 0, 0))
+    assert store.runs() == [(1, 4)] and [p.name for p in (tmp_path / "r/runs").iterdir()] == ["run=000000000001-000000000004"]
+    assert got() == [("k", 5, 2000), ("l", 1, 1), ("m", 1, 86_400_000)] and set(days) == {"1970-01-01", "1970-01-02"}
+
+
 def test_a_larger_record_replaces_one_on_the_stream(spark, tmp_path):
     rows = [("k", 1000, 5, 0, 0, 0), ("k", 2000, 9, 0, 0, 0), ("k", 3000, 1, 0, 0, 0), ("l", 1, 1, 0, 0, 0)]
     spark.createDataFrame(rows, RECORD).write.json(str(tmp_path / "in"))
