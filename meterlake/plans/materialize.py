@@ -148,9 +148,11 @@ class DayStore:
         version = (self._versions() or [0])[-1] + 1
         stored = self._seen(known.values())
         fresh = seen.where(F.col("local_date").isin(sorted(due))).distinct()
-        moved = fresh.select("h").unionByName(stored.where(F.col("local_date").isin(sorted(due | gone))).select("h")).distinct()
         others = stored.where(~F.col("local_date").isin(sorted(due | gone)))
-        reached = {r.local_date for r in others.join(moved, "h", "left_semi").select("local_date").distinct().collect()}
+        reached = set()
+        if any(d not in due and d not in gone for d in known):
+            moved = fresh.select("h").unionByName(stored.where(F.col("local_date").isin(sorted(due | gone))).select("h")).distinct()
+            reached = {r.local_date for r in others.join(moved, "h", "left_semi").select("local_date").distinct().collect()}
         again = sorted(due | reached)
         part = F.concat_ws(".", "local_date", F.lit(version))
         if again:
