@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.keys import is_blank, project_key, project_name
@@ -140,16 +140,78 @@ def session_candidates(requests: DataFrame, sessions: DataFrame, row: str, secon
     return met[0].where(_in_session(F.col("_at"), grace)).select(row, "session_id").unionByName(met[1].where(_in_session(F.col("_at"), grace)).select(row, "session_id")).distinct()
 
 
-def resolved_sessions(requests: DataFrame, sessions: DataFrame, row: str, seconds: str, model: str = "model") -> DataFrame:
-    """(row, session_id, state): known with a single candidate, else ambiguous or unmatched."""
-    found = session_candidates(requests, sessions, row, seconds, model).groupBy(row).agg(F.count("*").alias("_n"), F.min("session_id").alias("_s"))
-    state = F.when(F.col("_n") == 1, "known").when(F.col("_n") > 1, "ambiguous").otherwise("unmatched")
-    return requests.select(row).join(found, row, "left").select(row, F.when(F.col("_n") == 1, F.col("_s")).alias("session_id"), state.alias("state"))
+#: Seconds of an hour, within which sums run in one task.
+SLOT = 3600
+
+
+def _lone_and_repeated(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions with an id, those that have one row and those that have several."""
+    known = sessions.where(~is_blank(F.col("session_id")))
+    several = known.groupBy("session_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("session_id")
+    return known.join(several, "session_id", "left_anti"), known.join(several, "session_id", "left_semi")
+
+
+def _spans(sessions: DataFrame, grace: int) -> DataFrame:
+    """(session_id, kind, lo, hi): the seconds of each session, once for each of its models, or once for all models if it has none."""
+    start = F.when(F.col("start_time") > 0, F.col("start_time")).otherwise(F.col("last_modified") - 15)
+    end = F.greatest("end_time", "last_modified")
+    names = F.when(F.size("models") > 0, F.array_distinct(F.transform("models", lambda m: F.concat(F.lit("model "), model_id(m))))).otherwise(F.array(F.lit("any")))
+    spans = sessions.select("session_id", F.explode(names).alias("kind"), (start - grace).alias("lo"), (F.when(end > 0, end).otherwise(start + 15) + grace).alias("hi"))
+    return spans.where("lo <= hi")
+
 
+def _swept(events: DataFrame, sums: list[str]) -> DataFrame:
+    """``events`` (kind, t, step, ...) with running sums over each kind by time, then step.
 
-def unresolved_per_session(requests: DataFrame, sessions: DataFrame, row: str, seconds: str, model: str = "model") -> DataFrame:
-    """How many unresolved requests may belong to each session."""
-    return session_candidates(requests, sessions, row, seconds, model).groupBy("session_id").agg(F.count("*").alias("unresolved"))
+    A kind's sums are carried from hour to hour, and run within an hour: a kind that many events share lies in many tasks.
+    """
+    hour = F.expr(f"t div {SLOT}")
+    dealt = events.withColumn("_slot", hour)
+    totals = dealt.groupBy("kind", "_slot").agg(*(F.sum(c).alias(f"_t{c}") for c in sums))
+    before = Window.partitionBy("kind").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("kind", "_slot", *(F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_c{c}") for c in sums))
+    inside = Window.partitionBy("kind", "_slot").orderBy("t", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.join(carried, ["kind", "_slot"]).select(*events.columns, *((F.sum(c).over(inside) + F.col(f"_c{c}")).alias(f"sum_{c}") for c in sums))
+
+
+def _asked(requests: DataFrame, row: str, seconds: str, model: str) -> DataFrame:
+    """(row, t, kind): each request under its model, and under all."""
+    kinds = F.array(F.concat(F.lit("model "), model_id(F.col(model))), F.lit("any"))
+    return requests.where(F.col(seconds).isNotNull()).select(F.col(row).alias("row"), F.col(seconds).cast("long").alias("t"), F.explode(kinds).alias("kind"))
+
+
+def resolved_sessions(requests: DataFrame, sessions: DataFrame, row: str, seconds: str, model: str = "model", grace: int = MATCH_SECONDS) -> DataFrame:
+    """(row, session_id, state): known with a single candidate, else ambiguous or unmatched. ``row`` names a request once.
+
+    Nothing lists the candidates: sessions open and close along the time, and each request reads how many are open and the sum of their hashed ids,
+    which is that of the only one if there is one. Only sessions of several rows, which must not count twice, are met in pairs.
+    """
+    lone, repeated = _lone_and_repeated(sessions)
+    h = {"a": F.xxhash64("session_id").cast("decimal(38,0)"), "b": F.xxhash64(F.lit("b"), "session_id").cast("decimal(38,0)")}
+    spans = _spans(lone, grace).withColumns({"n": F.lit(1).cast("long"), **h})
+    opens = spans.select("kind", F.col("lo").cast("long").alias("t"), F.lit(0).alias("step"), F.lit(None).cast(requests.schema[row].dataType).alias("row"), "n", "a", "b")
+    closes = spans.select("kind", F.col("hi").cast("long").alias("t"), F.lit(2).alias("step"), F.lit(None).cast(requests.schema[row].dataType).alias("row"), *((-F.col(c)).alias(c) for c in ("n", "a", "b")))
+    nothing = F.lit(0).cast("decimal(38,0)")
+    reads = _asked(requests, row, seconds, model).select("kind", "t", F.lit(1).alias("step"), "row", F.lit(0).cast("long").alias("n"), nothing.alias("a"), nothing.alias("b"))
+    swept = _swept(opens.unionByName(reads).unionByName(closes), ["n", "a", "b"]).where("step = 1").select("row", F.col("sum_n").alias("n"), F.col("sum_a").cast("decimal(38,0)").alias("a"), F.col("sum_b").cast("decimal(38,0)").alias("b"))
+    paired = session_candidates(requests, repeated, row, seconds, model, grace).select(F.col(row).alias("row"), F.lit(1).cast("long").alias("n"), h["a"].alias("a"), h["b"].alias("b"))
+    found = swept.unionByName(paired).groupBy(F.col("row").alias(row)).agg(F.sum("n").alias("_n"), *(F.sum(c).cast("decimal(38,0)").alias(f"_{c}") for c in ("a", "b")))
+    ids = sessions.where(~is_blank(F.col("session_id"))).select("session_id").distinct().select(F.col("session_id").alias("_s"), h["a"].alias("_a"), h["b"].alias("_b"))
+    named = found.join(ids, ["_a", "_b"], "left")
+    state = F.when(F.col("_n") == 1, "known").when(F.col("_n") > 1, "ambiguous").otherwise("unmatched")
+    return requests.select(row).join(named, row, "left").select(row, F.when(F.col("_n") == 1, F.col("_s")).alias("session_id"), state.alias("state"))
+
+
+def unresolved_per_session(requests: DataFrame, sessions: DataFrame, row: str, seconds: str, model: str = "model", grace: int = MATCH_SECONDS) -> DataFrame:
+    """How many unresolved requests may belong to each session: those up to its end less those before its start, of its models."""
+    lone, repeated = _lone_and_repeated(sessions)
+    spans = _spans(lone, grace)
+    none = F.lit(None).cast(sessions.schema["session_id"].dataType)
+    edges = [spans.select("kind", F.col(c).cast("long").alias("t"), F.lit(step).alias("step"), "session_id", F.lit(sign).cast("long").alias("sign"), F.lit(0).cast("long").alias("n")) for c, step, sign in (("lo", 0, -1), ("hi", 2, 1))]
+    asked = _asked(requests, row, seconds, model).select("kind", "t", F.lit(1).alias("step"), none.alias("session_id"), F.lit(0).cast("long").alias("sign"), F.lit(1).cast("long").alias("n"))
+    swept = _swept(edges[0].unionByName(edges[1]).unionByName(asked), ["n"]).where("step <> 1").groupBy("session_id").agg(F.sum(F.col("sign") * F.col("sum_n")).alias("unresolved"))
+    paired = session_candidates(requests, repeated, row, seconds, model, grace).groupBy("session_id").agg(F.count("*").alias("unresolved"))
+    return swept.where("unresolved > 0").unionByName(paired)
 
 
 def session_coverage(sessions: DataFrame, rolled: DataFrame, unresolved: DataFrame) -> DataFrame:

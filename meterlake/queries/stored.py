@@ -18,7 +18,7 @@ from meterlake.queries.bindings import _LOCAL, _PROXY, _SEEN_LOCALLY, AS_OF, BAS
 from meterlake.queries.registry import SQL, query, rounded
 from meterlake.queries.reports import _WINDOWS, WINDOWS
 from meterlake.sources.transcripts import nested_usage
-from meterlake.streaming.capture import captured, folded, largest_per_key, session_totals
+from meterlake.streaming.capture import captured, folded, hourly_windows, largest_per_key, session_totals
 from meterlake.streaming.ingest import RecordStore
 
 
@@ -183,6 +183,20 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_usage(spark.read.parquet(f"{folder}/records").where("request_id <> 'later'"))
 
 
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS requests, CAST(sum(floor(value)) AS BIGINT) AS output_tokens FROM events GROUP BY 1")
+def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling hours of a stream, each given out once the watermark has passed it."""
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    own = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.floor("value").cast("long").alias("output_tokens"))
+    # an event of 40 days later moves the watermark past all others; its own hour stays open
+    later = F.struct((own["timestamp"] + 40 * 86_400_000).alias("timestamp"), F.lit(None).cast("long").alias("output_tokens"))
+    both = stream.select(F.inline(F.when(F.col("event_id") == 0, F.array(own, later)).otherwise(F.array(own))))
+    folder = _folder(spark, "hours")
+    hourly_windows(both).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/rows").where("output_tokens IS NOT NULL")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "requests", "output_tokens")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A usage object at any depth of a JSON text."""

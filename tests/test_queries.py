@@ -95,3 +95,32 @@ def test_matching_holds_only_the_window():
         settled += len(out)
         assert settled >= len(read) - 3
     assert settled == 500
+
+
+def test_sessions_are_met_without_listing_pairs(spark):
+    """Sweeps against all pairs: sessions without a model, without times, of several rows, and requests at their edges."""
+    import random
+
+    from meterlake.operators import sessions as S
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(80):
+        start = rng.choice([None, 0, rng.randrange(1000, 40_000)])
+        rows.append((rng.choice([f"s{i}", f"s{i % 9}", "", None]) if rng.random() < 0.4 else f"s{i}", rng.choice([[], None, ["m"], ["M", "m", "other"], ["n/x"]]), start, rng.choice([None, 0, (start or 5) + rng.randrange(9000)]), rng.choice([None, rng.randrange(1000, 40_000)])))
+    known = spark.createDataFrame(rows, "session_id string, models array<string>, start_time long, end_time long, last_modified long")
+    edges = [t for r in rows for t in (r[2], r[3], r[4]) if t]
+    asked = [(f"r{i}", rng.choice([None, rng.choice(edges) + rng.choice([-61, -60, -15, 0, 15, 60, 61]), rng.randrange(45_000)]), rng.choice(["m", "other", "n/x", "", None, "zz"])) for i in range(400)]
+    requests = spark.createDataFrame(asked, "id string, at long, model string")
+    pairs = [tuple(r) for r in S.session_candidates(requests, known, "id", "at").collect()]
+    of = {}
+    for r, session in pairs:
+        of.setdefault(r, []).append(session)
+    want = {r: (c[0], "known") if len(c) == 1 else (None, "ambiguous" if c else "unmatched") for r, _, _ in asked for c in [of.get(r, [])]}
+    assert {r.id: (r.session_id, r.state) for r in S.resolved_sessions(requests, known, "id", "at").collect()} == want
+    count = {}
+    for _, session in pairs:
+        count[session] = count.get(session, 0) + 1
+    assert {r.session_id: r.unresolved for r in S.unresolved_per_session(requests, known, "id", "at").collect()} == count
+    assert {s for _, s in want.values()} == {"known", "ambiguous", "unmatched"}
+    assert S.resolved_sessions(requests.limit(0), known, "id", "at").count() == 0 and {r.state for r in S.resolved_sessions(requests, known.limit(0), "id", "at").collect()} == {"unmatched"}
