@@ -32,6 +32,15 @@ def _files(spark: SparkSession, lines: DataFrame, suffix: str) -> str:
     return path
 
 
+def _renamed(spark: SparkSession, path: str, suffix: str = ".jsonl") -> str:
+    """The text files in the folders of a folder, under another suffix."""
+    for folder in folders.children(spark, path):
+        for name in folders.children(spark, f"{path}/{folder}") if "=" in folder else ():
+            if name.endswith(".txt"):
+                folders.rename(spark, f"{path}/{folder}/{name}", f"{path}/{folder}/{name.removesuffix('.txt')}{suffix}")
+    return path
+
+
 def _id() -> Column:
     return F.col("id").cast("string")
 
@@ -57,6 +66,19 @@ def read_agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.agent_lines(spark, _files(spark, change.unionByName(t.select("conv_id", "turn", usage.alias("line"))), ".jsonl.archived")).select(*_SHOWN[1:])
 
 
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'own' || conv_id % 4 ELSE 'p' || conv_id % 7 END AS project_name, count(*) AS request_count, min(ts) AS start_time, max(ts) AS end_time FROM ({_TURNS}) GROUP BY conv_id")
+def read_folder_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in folders that are named for the project's path; some state their working folder themselves."""
+    t = _turns(spark, sf_dir)
+    cwd = F.when(F.col("conv_id") % 3 == 0, F.format_string(',"cwd":"/w/own%d"', F.col("conv_id") % 4)).otherwise("")
+    line = F.concat(F.format_string('{"sessionId":"%d","timestamp":%d,"role":"assistant"', "conv_id", "at"), cwd, F.lit("}"))
+    path = f"{_folder(spark, 'transcripts')}/projects"
+    folder = F.concat(F.lit("-home-u-p"), (F.col("conv_id") % 7).cast("string"))
+    t.select(folder.alias("of"), line.alias("line")).repartition(4, "of").write.partitionBy("of").text(path)
+    found = transcripts.folder_sessions(spark, _renamed(spark, path))
+    return found.select("session_id", "project_name", "request_count", "start_time", "end_time")
+
+
 @query(f"SELECT ts AS timestamp, n AS input_tokens, n % 13 AS output_tokens, n + n % 13 AS total_tokens FROM ({_TURNS}) WHERE n > 0")
 def read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log text in which some lines hold the final counts of a message."""

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.functions.keys import is_blank
+from meterlake.functions.keys import is_blank, project_name
 from meterlake.functions.models import base_model, dated_model
 from meterlake.functions.numbers import first_number, first_time, share_of, spread_between, without_cache
 from meterlake.operators.sequences import after_fork, carried, counter_deltas, keep_largest, numbered
 from meterlake.schemas import LOCAL, conform
-from meterlake.sources.files import documents, file_stem, lines, root_session
+from meterlake.sources.files import documents, file_stem, folder_project, lines, root_session
 
 
 def _json(path: str, column: str = "line") -> Column:
@@ -293,6 +293,16 @@ def transcript_sessions(spark: SparkSession, path: str | Sequence[str], tool: st
     )
 
 
+def folder_sessions(spark: SparkSession, path: str | Sequence[str], tool: str = "qoder_cli") -> DataFrame:
+    """Sessions of line files that lie in a folder for each project: the working folder that a line states first, else the project that the folder's name stands for."""
+    at = lines(spark, path).withColumns({"session_id": F.coalesce(_json("$.sessionId"), root_session(F.col("path"))), "_cwd": _json("$.cwd"), "_ts": first_time(F.col("line"), ["$.timestamp"])})
+    stated = F.min_by("_cwd", F.when(~is_blank(F.col("_cwd")), F.struct("path", "line_no")))
+    rolled = at.groupBy("session_id").agg(
+        stated.alias("cwd"), F.min("path").alias("file_path"), F.min("_ts").alias("start_time"), F.max("_ts").alias("end_time"), F.max("modified").alias("last_modified"), F.count_if(F.coalesce(_json("$.role"), _json("$.type")) == "assistant").alias("request_count")
+    )
+    return rolled.select("session_id", F.lit(tool).alias("tool"), "cwd", F.coalesce(project_name(F.col("cwd")), folder_project(F.col("file_path"))).alias("project_name"), "file_path", "start_time", "end_time", "last_modified", "request_count")
+
+
 def workspace_vote(paths: DataFrame, by: str = "session_id", path: str = "path", least_depth: int = 4) -> DataFrame:
     """(by, workspace): the folder most files lie under, of equal ones the deepest, then the smaller name."""
     parts = F.split(F.translate(path, "\\", "/"), "/")

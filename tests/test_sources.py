@@ -94,6 +94,18 @@ def test_sessions_and_sidecars(spark, tmp_path):
     assert transcripts.workspace_vote(votes).first().workspace == "/a/b/c"
 
 
+def test_sessions_of_project_folders(spark, tmp_path):
+    base = tmp_path / "projects"
+    for folder in ("-home-u-shop", "-w-a-b"):
+        (base / folder / "x" / "subagents").mkdir(parents=True)
+    pad = {"pad": "x" * 200}
+    write(base / "-home-u-shop/x.jsonl", {"type": "user", "timestamp": 1700000005, **pad}, {"type": "assistant", "timestamp": 1700000007})
+    write(base / "-home-u-shop/x/subagents/y.jsonl", {"type": "assistant", "timestamp": 1700000009, **pad})
+    write(base / "-w-a-b/z.jsonl", {"type": "assistant", "timestamp": 1700000001, "cwd": "/w/a-b", **pad}, {"type": "assistant", "cwd": "/elsewhere"})
+    got = {r.session_id: (r.project_name, r.cwd, r.request_count, r.start_time, r.end_time) for r in transcripts.folder_sessions(spark, str(base)).collect()}
+    assert got == {"x": ("shop", None, 2, 1700000005, 1700000009), "z": ("a-b", "/w/a-b", 2, 1700000001, 1700000001)}
+
+
 def test_foreign_tables(spark, tmp_path):
     with sqlite3.connect(tmp_path / "x.db") as db:
         db.execute("CREATE TABLE sessions (id TEXT, model TEXT, started_at INTEGER, ended_at INTEGER, message_count INTEGER, input_tokens INTEGER, output_tokens INTEGER, cache_read_tokens INTEGER, cache_write_tokens INTEGER, estimated_cost_usd REAL, actual_cost_usd REAL)")
