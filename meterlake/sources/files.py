@@ -15,14 +15,14 @@ def lines(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.jsonl"
 
     Line numbers come from the whole file's text, so that they don't depend on how a file is split.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(paths if isinstance(paths, str) else list(paths))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.unix_timestamp("_metadata.file_modification_time").alias("modified"), "value").where(F.col("size") >= least_bytes)
     return named.select("path", "size", "modified", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
 def documents(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.json") -> DataFrame:
     """(path, size, modified, body) of whole files."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(paths if isinstance(paths, str) else list(paths))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.unix_timestamp("_metadata.file_modification_time").alias("modified"), F.col("value").alias("body"))
 
 

@@ -296,7 +296,7 @@ def transcript_sessions(spark: SparkSession, path: str | Sequence[str], tool: st
 def folder_sessions(spark: SparkSession, path: str | Sequence[str], tool: str = "qoder_cli") -> DataFrame:
     """Sessions of line files that lie in a folder for each project: the working folder that a line states first, else the project that the folder's name stands for."""
     at = lines(spark, path).withColumns({"session_id": F.coalesce(_json("$.sessionId"), root_session(F.col("path"))), "_cwd": _json("$.cwd"), "_ts": first_time(F.col("line"), ["$.timestamp"])})
-    stated = F.min_by("_cwd", F.when(~is_blank(F.col("_cwd")), F.struct("path", "line_no")))
+    stated = F.min(F.when(~is_blank(F.col("_cwd")), F.struct("path", "line_no", "_cwd")))["_cwd"]
     rolled = at.groupBy("session_id").agg(
         stated.alias("cwd"), F.min("path").alias("file_path"), F.min("_ts").alias("start_time"), F.max("_ts").alias("end_time"), F.max("modified").alias("last_modified"), F.count_if(F.coalesce(_json("$.role"), _json("$.type")) == "assistant").alias("request_count")
     )
