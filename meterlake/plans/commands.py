@@ -13,7 +13,8 @@ from meterlake.operators import activity, maintenance, metrics, pricing, statist
 from meterlake.operators import sessions as S
 from meterlake.operators.filters import UNKNOWN_SOURCE, in_range, price_matches, repriced, source_filter, tool_in, visible_in_store
 from meterlake.operators.merge import merge_facts, message_sessions
-from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies, observations, ranges_of
+from meterlake.plans.inputs import FiledInput
+from meterlake.plans.materialize import DayStore, can_use_summaries, day_dependencies, fingerprints, observations, ranges_of
 
 WINDOWS = ("5h", "24h", "7d", "30d", "today", "current_month")
 
@@ -60,7 +61,11 @@ class Report(dict):
 
 @dataclass
 class Usage:
-    """Observations, dimensions and, where there is one, the store of finished days."""
+    """Observations, dimensions and, where there is one, the store of finished days.
+
+    With ``files`` (by side: proxy, local, remote) the store is refreshed from an index of files, and days are merged from the
+    files that reach into them.
+    """
 
     proxy: DataFrame
     local: DataFrame
@@ -68,6 +73,15 @@ class Usage:
     prices: DataFrame
     remote: DataFrame | None = None
     store: DayStore | None = None
+    files: dict[str, FiledInput] | None = None
+
+    @classmethod
+    def of_files(cls, files: dict[str, FiledInput], sessions: DataFrame, prices: DataFrame, store: DayStore) -> Usage:
+        """Usage of what lies in files; reports come from the store."""
+        for f in files.values():
+            f.refresh()
+        whole = {side: f.in_ranges([(0, None)]) for side, f in files.items()}
+        return cls(whole["proxy"], whole["local"], sessions, prices, whole.get("remote"), store, files)
 
     def facts(self, c: Context, start: int | None = None, end: int | None = None) -> DataFrame:
         """Facts of a range that pass the context's filters. The range restricts the inputs of the merge, never its result."""
@@ -103,22 +117,40 @@ class Usage:
     def merged(self, ranges: Sequence[tuple[int, int | None]]) -> DataFrame:
         """Facts merged from inputs of ranges of seconds: what a store builds days from."""
 
-        def cut(rows: DataFrame | None, unit: int) -> DataFrame | None:
+        def cut(side: str, rows: DataFrame | None, unit: int) -> DataFrame | None:
             if rows is None:
                 return None
+            if self.files is not None:
+                rows = self.files[side].in_ranges(ranges)
             inside = F.lit(False)
             for start, end in ranges:
                 inside = inside | in_range(F.col("timestamp"), start * unit, None if end is None else end * unit)
             return rows.where(inside)
 
-        return merge_facts(cut(self.proxy, 1000), cut(self.local, 1), cut(self.remote, 1), self.sessions, self.prices, True)
+        return merge_facts(cut("proxy", self.proxy, 1000), cut("local", self.local, 1), cut("remote", self.remote, 1), self.sessions, self.prices, True)
 
     def refresh_store(self, c: Context) -> list[str]:
         """Builds the finished days that are missing or out of date, and gives them."""
+        if self.files is not None:
+            return self._refresh_from_files(c)
         depends = day_dependencies(self.proxy, self.local, self.remote, c.tz, c.boundary, self.sessions, self.prices)
         seen = observations(self.proxy, self.local, self.remote, c.tz, c.boundary)
         return self.store.refresh(self.merged, depends, seen, c.today())
 
+    def _refresh_from_files(self, c: Context) -> list[str]:
+        for f in self.files.values():
+            f.refresh()
+        met = None
+        for f in self.files.values():
+            met = f.seen_sessions() if met is None else met.unionByName(f.seen_sessions())
+        depends = fingerprints({side: f.days() for side, f in self.files.items()}, met.distinct(), self.sessions, self.prices)
+
+        def seen(days: Sequence[str]) -> DataFrame:
+            rows = {side: f.on_days(days) for side, f in self.files.items()}
+            return observations(rows["proxy"], rows["local"], rows.get("remote"), c.tz, c.boundary)
+
+        return self.store.refresh(self.merged, depends, seen, c.today())
+
     def _cells(self, c: Context, start: int, end: int, step: int) -> DataFrame:
         """The report's cells: from stored days where they answer it, else from facts."""
         whole = c.boundary == 0 and cal.business_day_bounds(cal.date.fromisoformat(c.day_of(start)), c.tz)[0] == start and (end > c.as_of or cal.business_day_bounds(cal.date.fromisoformat(c.day_of(end)), c.tz)[0] == end)

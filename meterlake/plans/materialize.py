@@ -22,41 +22,47 @@ _SEEN, _LINKS = "local_date string, h long, part string", "local_date string, ot
 _STATE = "local_date string, fingerprint string, version long, mode string"
 
 
-def _content(rows: DataFrame) -> Column:
+def content(rows: DataFrame) -> Column:
     """A sum over rows, in whatever order, that changes with any of their values."""
     return F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))
 
 
-def day_dependencies(proxy: DataFrame, local: DataFrame, remote: DataFrame | None = None, tz: str = "UTC", boundary: int = 0, sessions: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
-    """(local_date, fingerprint): number and content of each input by day, of the sessions seen on it, and of all prices.
+def fingerprints(sums: dict[str, DataFrame], seen: DataFrame, sessions: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
+    """(local_date, fingerprint) of the sums of each side by day (local_date, n, s), of the sessions seen on a day, and of all prices.
 
-    Equal fingerprints: nothing to do. Any value that changes in an input row, in a session of the day or in a price makes
-    another fingerprint.
+    ``seen`` are distinct (local_date, session_id).
     """
-
-    def of(rows: DataFrame, seconds: Column, name: str) -> DataFrame:
-        day = business_date(seconds, tz, boundary).cast("string").alias("local_date")
-        return rows.groupBy(day).agg(F.count("*").alias("n"), _content(rows).alias("s")).select("local_date", F.lit(name).alias("side"), "n", "s")
-
-    sides = [("proxy", proxy, F.expr("timestamp div 1000")), ("local", local, F.col("timestamp"))] + ([] if remote is None else [("remote", remote, F.col("timestamp"))])
-    parts = of(sides[0][1], sides[0][2], "proxy")
-    for name, rows, seconds in sides[1:]:
-        parts = parts.unionByName(of(rows, seconds, name))
+    parts = None
+    for side, days in sums.items():
+        own = days.select("local_date", F.lit(side).alias("side"), "n", "s")
+        parts = own if parts is None else parts.unionByName(own)
     if sessions is not None:
-        meta = sessions.groupBy("session_id").agg(_content(sessions).alias("_s"))
-        seen = None
-        for _, rows, seconds in sides:
-            own = rows.select(business_date(seconds, tz, boundary).cast("string").alias("local_date"), "session_id")
-            seen = own if seen is None else seen.unionByName(own)
-        met = seen.distinct().join(meta, "session_id")
+        meta = sessions.groupBy("session_id").agg(content(sessions).alias("_s"))
+        met = seen.join(meta, "session_id")
         parts = parts.unionByName(met.groupBy("local_date").agg(F.count("*").alias("n"), F.sum("_s").cast("decimal(38,0)").alias("s")).select("local_date", F.lit("sessions").alias("side"), "n", "s"))
     days = parts.groupBy("local_date").agg(F.to_json(F.array_sort(F.collect_list(F.struct("side", "n", "s")))).alias("_own"))
     if prices is None:
         return days.select("local_date", F.sha2("_own", 256).alias("fingerprint"))
-    at = prices.agg(F.count("*").alias("_n"), _content(prices).alias("_p"))
+    at = prices.agg(F.count("*").alias("_n"), content(prices).alias("_p"))
     return days.join(F.broadcast(at), F.lit(True)).select("local_date", F.sha2(F.concat_ws("|", "_own", "_n", F.col("_p").cast("string")), 256).alias("fingerprint"))
 
 
+def day_dependencies(proxy: DataFrame, local: DataFrame, remote: DataFrame | None = None, tz: str = "UTC", boundary: int = 0, sessions: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
+    """(local_date, fingerprint): number and content of each input by day, of the sessions seen on it, and of all prices.
+
+    Equal fingerprints: nothing to do. Any value that changes in an input row, in a session of the day or in a price makes
+    another fingerprint. All rows are read; ``FiledInput`` gives the same of files without reading those that it knows.
+    """
+    sides = {"proxy": (proxy, F.expr("timestamp div 1000")), "local": (local, F.col("timestamp"))} | ({} if remote is None else {"remote": (remote, F.col("timestamp"))})
+    sums, seen = {}, None
+    for side, (rows, seconds) in sides.items():
+        day = business_date(seconds, tz, boundary).cast("string").alias("local_date")
+        sums[side] = rows.groupBy(day).agg(F.count("*").alias("n"), content(rows).alias("s"))
+        own = rows.select(day, "session_id")
+        seen = own if seen is None else seen.unionByName(own)
+    return fingerprints(sums, seen.distinct(), sessions, prices)
+
+
 def observations(proxy: DataFrame, local: DataFrame, remote: DataFrame | None = None, tz: str = "UTC", boundary: int = 0) -> DataFrame:
     """(local_date, h): the hashed request keys and message ids that any side has on a day.
 
@@ -131,12 +137,12 @@ class DayStore:
         """Finished days whose stored fingerprint is missing or different."""
         return dependencies.where(F.col("local_date") < today).join(self.state().select("local_date", "fingerprint"), ["local_date", "fingerprint"], "left_anti")
 
-    def refresh(self, build: Callable[[Sequence[tuple[int, int]]], DataFrame], dependencies: DataFrame, seen: DataFrame, today: str) -> list[str]:
+    def refresh(self, build: Callable[[Sequence[tuple[int, int]]], DataFrame], dependencies: DataFrame, seen: DataFrame | Callable[[Sequence[str]], DataFrame], today: str) -> list[str]:
         """Rebuilds the stale days and those that share a request with them, forgets those without any input, and gives all of them.
 
         ``build(ranges)`` gives unfiltered facts, so that one store serves every filter, merged from the inputs of all the
-        ranges of seconds. ``seen`` are the ``observations``. Only days that have changed are read for them; of other days the stored
-        hashes are compared.
+        ranges of seconds. ``seen`` are the ``observations``, or gives those of some days. Only days that have changed are read for
+        them; of other days the stored hashes are compared.
         """
         known = {r.local_date: r for r in self.state().collect()}
         # a live day has no facts here; its mark keeps it from passing for built once it is over
@@ -147,7 +153,7 @@ class DayStore:
             return []
         version = (self._versions() or [0])[-1] + 1
         stored = self._seen(known.values())
-        fresh = seen.where(F.col("local_date").isin(sorted(due))).distinct()
+        fresh = (seen(sorted(due)) if callable(seen) else seen).where(F.col("local_date").isin(sorted(due))).distinct()
         others = stored.where(~F.col("local_date").isin(sorted(due | gone)))
         reached = set()
         if any(d not in due and d not in gone for d in known):
@@ -204,7 +210,7 @@ class DayStore:
         """Forgets all days."""
         self._put(self.spark.createDataFrame([], _STATE))
 
-    def rebuild(self, build: Callable[[Sequence[tuple[int, int]]], DataFrame], dependencies: DataFrame, seen: DataFrame, today: str) -> list[str]:
+    def rebuild(self, build: Callable[[Sequence[tuple[int, int]]], DataFrame], dependencies: DataFrame, seen: DataFrame | Callable[[Sequence[str]], DataFrame], today: str) -> list[str]:
         """All days anew, whatever is stored."""
         self.clear()
         done = self.refresh(build, dependencies, seen, today)

@@ -13,6 +13,7 @@ from meterlake.operators.quota import lowest_remaining, relay_tiers
 from meterlake.operators import maintenance, statistics
 from meterlake.plans import folders
 from meterlake.plans.commands import Context, Usage
+from meterlake.plans.inputs import FiledInput
 from meterlake.plans.materialize import DayStore
 from meterlake.queries.bindings import _LOCAL, _PROXY, _SEEN_LOCALLY, AS_OF, BASE_CTE, END, METRICS_SQL, START, _columns, _duck, _events, facts, local, prices, proxy, read, remote, sessions
 from meterlake.queries.registry import SQL, query, rounded
@@ -70,6 +71,25 @@ def late_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("facts"), F.sum("total_tokens").alias("total_tokens"), F.sum(F.col("timestamp_ms") % 1_000_000).alias("times"))
 
 
+@query(SQL["late_transcripts"])
+def late_transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from files: some come, some go, and the second refresh opens the new ones and those of the days that they reach."""
+    at, c = _folder(spark, "files"), Context(AS_OF)
+    told = _events(spark, sf_dir).where(_SEEN_LOCALLY).selectExpr(*_columns(_LOCAL.format(div="div", late=_LATE)))
+    for side, rows in {"proxy/all": proxy(spark, sf_dir), "remote/all": remote(spark, sf_dir), "local/stay": told.where("event_id % 2 = 0 AND event_id % 17 <> 0"), "local/go": told.where("event_id % 34 = 0")}.items():
+        rows.repartitionByRange(8, "timestamp").write.parquet(f"{at}/{side}")
+    times = {"proxy": F.expr("timestamp div 1000"), "local": F.col("timestamp"), "remote": F.col("timestamp")}
+    files = {side: FiledInput(spark, f"{at}/index/{side}", [f"{at}/{side}"], lambda paths: spark.read.parquet(*paths), seconds) for side, seconds in times.items()}
+    store = DayStore(spark, f"{at}/days")
+    Usage.of_files(files, sessions(spark, sf_dir), prices(spark), store).refresh_store(c)
+    folders.remove(spark, f"{at}/local/go")
+    told.where("event_id % 2 = 1 AND event_id % 17 <> 0").repartitionByRange(8, "timestamp").write.parquet(f"{at}/local/come")
+    usage = Usage.of_files(files, sessions(spark, sf_dir), prices(spark), store)
+    usage.refresh_store(c)
+    found = usage.facts(c).groupBy(F.timestamp_seconds("timestamp_sec").cast("date").cast("string").alias("local_date"), "coverage_origin")
+    return found.agg(F.count("*").alias("facts"), F.sum("total_tokens").alias("total_tokens"), F.sum(F.col("timestamp_ms") % 1_000_000).alias("times"))
+
+
 @query(SQL["window_usage"])
 def window_usage_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows from stored days, the facts of the days that they begin in, and the live day."""
