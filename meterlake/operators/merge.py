@@ -71,13 +71,15 @@ def merge_facts(
     include_errors: bool = False,
     chosen: Column | None = None,
     keep_local_only: bool = True,
+    messages: DataFrame | None = None,
 ) -> DataFrame:
     """FACTS from both sides. Restrict the inputs to a time range beforehand: a filter on the result would change the join.
 
     ``chosen`` restricts proxy rows (by source, say) as visibility does: rows left out still keep local twins out.
-    A source filter has no local rows: pass ``keep_local_only=False``.
+    A source filter has no local rows: pass ``keep_local_only=False``. ``messages`` (message_id, session_id, timestamp) tell
+    the session of proxy rows without one; by default the local rows do.
     """
-    p_all = proxy_observations(proxy, local.select("message_id", "session_id", "timestamp"))
+    p_all = proxy_observations(proxy, (local if messages is None else messages).select("message_id", "session_id", "timestamp"))
     visible = F.lit(True) if include_errors else F.col("status_code").between(200, 299)
     p = p_all.withColumn("_seen", F.coalesce(visible & (chosen if chosen is not None else F.lit(True)), F.lit(False)))
     ours = local_observations(local, remote)

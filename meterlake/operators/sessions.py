@@ -44,14 +44,13 @@ def session_rollup(facts: DataFrame) -> DataFrame:
     return out.withColumns({"is_partial": partial, "success_requests": F.when(partial, 0).otherwise(F.col("_success")), "error_requests": F.when(partial, 0).otherwise(F.col("_errors"))}).drop("_success", "_errors")
 
 
-def metadata_only(sessions: DataFrame, rolled: DataFrame) -> DataFrame:
-    """Sessions that no fact belongs to, in the shape of ``session_rollup``."""
-    bare = sessions.join(rolled.select("session_id"), "session_id", "left_anti")
+def _from_metadata() -> list[Column]:
+    """A session's own columns in the shape of ``session_rollup``."""
     zero = F.lit(0).cast("long")
-    return bare.select(
-        "session_id",
-        "tool",
-        "project_name",
+    return [
+        F.col("session_id"),
+        F.col("tool"),
+        F.col("project_name"),
         F.col("cwd").alias("project_path"),
         F.coalesce("request_count", zero).alias("requests"),
         F.coalesce("request_count", zero).alias("weighted_requests"),
@@ -68,15 +67,28 @@ def metadata_only(sessions: DataFrame, rolled: DataFrame) -> DataFrame:
         F.lit(False).alias("is_partial"),
         zero.alias("success_requests"),
         zero.alias("error_requests"),
-    )
+    ]
+
+
+def metadata_only(sessions: DataFrame, rolled: DataFrame) -> DataFrame:
+    """Sessions that no fact belongs to, in the shape of ``session_rollup``."""
+    return sessions.join(rolled.select("session_id"), "session_id", "left_anti").select(*_from_metadata())
 
 
 def all_sessions(facts: DataFrame, sessions: DataFrame, with_metadata_only: bool = True) -> DataFrame:
-    """Every session, with facts or without; those without only where no source is filtered for."""
+    """Every session, with facts or without; those without only where no source is filtered for.
+
+    Facts are merged and rolled up once: sessions and their metadata meet in one full outer join.
+    """
     rolled = session_rollup(facts)
     if not with_metadata_only:
         return rolled.withColumn("has_facts", F.lit(True))
-    return rolled.withColumn("has_facts", F.lit(True)).unionByName(metadata_only(sessions, rolled).withColumn("has_facts", F.lit(False)))
+    bare = sessions.select(*_from_metadata()).select(*rolled.columns)
+    bare = bare.groupBy(F.col("session_id").alias("_id")).agg(F.collect_list(F.struct(*rolled.columns)).alias("_bare"))
+    both = rolled.withColumn("_rolled", F.lit(True)).join(bare, F.col("session_id") == F.col("_id"), "full_outer")
+    own = F.array(F.struct(*rolled.columns))
+    shown = both.select(F.explode(F.when(F.col("_rolled"), own).otherwise(F.col("_bare"))).alias("_s"), F.coalesce("_rolled", F.lit(False)).alias("has_facts"))
+    return shown.select("_s.*", "has_facts")
 
 
 def latest(sessions: DataFrame, limit: int, offset: int = 0) -> DataFrame:

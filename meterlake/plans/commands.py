@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions import calendar as cal
-from meterlake.operators import activity, maintenance, metrics, pricing, statistics, survival
+from meterlake.operators import activity, lookup, maintenance, metrics, pricing, statistics, survival
 from meterlake.operators import sessions as S
 from meterlake.operators.filters import UNKNOWN_SOURCE, in_range, price_matches, repriced, source_filter, tool_in, visible_in_store
 from meterlake.operators.merge import merge_facts, message_sessions
@@ -95,6 +95,11 @@ class Usage:
             found = found if start is None else found.where(in_range(F.col("timestamp_sec"), start, end))
         else:
             found = merge_facts(proxy, local, remote, self.sessions, self.prices, True)
+        return self._chosen_facts(c, found)
+
+    @staticmethod
+    def _chosen_facts(c: Context, found: DataFrame) -> DataFrame:
+        """Facts that pass the context's filters."""
         chosen = source_filter(F.col("api_key_prefix"), F.col("request_base_url"), list(c.sources), c.source)
         if not c.include_errors:
             found = found.where(visible_in_store(F.col("status_code")))
@@ -218,14 +223,24 @@ class Usage:
         return S.latest(S.all_sessions(self.facts(c), self.sessions.where(tool_in(F.col("tool"), c.tool)), bare), limit, offset)
 
     def session_detail(self, c: Context, session_id: str) -> DataFrame:
+        """One session. Stored days know the sessions of their facts; without them only the session's keys are merged."""
         one = F.col("session_id") == session_id
-        return S.all_sessions(self.facts(c).where(one), self.sessions.where(one))
+        if self.store is not None:
+            found = self.facts(c).where(one)
+        else:
+            found = self._chosen_facts(c, lookup.session_facts(session_id, self.proxy, self.local, self.remote, sessions=self.sessions.where(one), prices=self.prices, include_errors=True))
+        return S.all_sessions(found, self.sessions.where(one))
 
     def project_stats(self, c: Context) -> DataFrame:
         return S.nested_projects(self.facts(c), self.sessions)
 
     def recent_requests(self, c: Context, limit: int = 30, offset: int = 0) -> DataFrame:
-        return self.facts(c).orderBy(F.desc("timestamp_ms"), "canonical_request_key").offset(min(max(offset, 0), 200)).limit(min(max(limit, 1), 30))
+        """A page of at most 30 requests. Without stored days, the keys seen lately are merged, as far back as the page needs."""
+        limit, offset = min(max(limit, 1), 30), min(max(offset, 0), 200)
+        if self.store is not None:
+            return lookup.newest(self.facts(c), limit, offset)
+        found = lookup.newest_facts(limit + offset, lambda f: self._chosen_facts(c, f), self.proxy, self.local, self.remote, sessions=self.sessions, prices=self.prices, include_errors=True)
+        return lookup.newest(found, limit, offset)
 
     def timeline(self, c: Context, start: int | None = None, end: int | None = None) -> DataFrame:
         """Facts of a range from the first to the last."""

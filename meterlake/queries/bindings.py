@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.operators.merge import merge_facts
+from meterlake.plans.commands import Usage
 from meterlake.schemas import PRICES
 
 #: The moment that reports look back from, and a range of days.
@@ -122,6 +123,10 @@ def facts(spark: SparkSession, sf_dir: str, include_errors: bool = True) -> Data
     return merge_facts(proxy(spark, sf_dir), local(spark, sf_dir), remote(spark, sf_dir), sessions(spark, sf_dir), prices(spark), include_errors)
 
 
+def usage(spark: SparkSession, sf_dir: str) -> Usage:
+    """The reports' view of the same observations, without stored days."""
+    return Usage(proxy(spark, sf_dir), local(spark, sf_dir), sessions(spark, sf_dir), prices(spark), remote(spark, sf_dir))
+
 
 def _duck(text: str) -> str:
     """DuckDB divides whole numbers by ``//``, and decimals literals are made doubles."""

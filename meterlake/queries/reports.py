@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import calendar as cal
 from meterlake.operators import metrics, statistics
-from meterlake.queries.bindings import AS_OF, BASE_CTE, END, METRICS_SQL, START, facts, sources
+from meterlake.plans.commands import Context
+from meterlake.queries.bindings import AS_OF, BASE_CTE, END, METRICS_SQL, START, facts, sources, usage
 from meterlake.queries.registry import query, rounded
 
 _FACTS = "canonical_request_key, session_id, project_name, project_path, api_key_prefix, request_base_url, source_label, tool, timestamp_sec, timestamp_ms, model, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, total_tokens, request_count, round(estimated_cost + 1e-9, 6) AS estimated_cost, coverage_origin, status_code, CAST(duration_ms AS DOUBLE) AS duration_ms, round(output_tokens_per_second, 4) AS output_tokens_per_second, CAST(ttft_ms AS DOUBLE) AS ttft_ms"
@@ -207,4 +208,4 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE_CTE + "SELECT * FROM (SELECT canonical_request_key, timestamp_ms, model, tool, total_tokens, round(estimated_cost + 1e-9, 6) AS estimated_cost, status_code FROM facts ORDER BY timestamp_ms DESC, canonical_request_key LIMIT 30 OFFSET 60)")
 def recent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).select("canonical_request_key", "timestamp_ms", "model", "tool", "total_tokens", F.round(F.col("estimated_cost") + 1e-9, 6).alias("estimated_cost"), "status_code").orderBy(F.desc("timestamp_ms"), "canonical_request_key").offset(60).limit(30)
+    return usage(spark, sf_dir).recent_requests(Context(AS_OF), 30, 60).select("canonical_request_key", "timestamp_ms", "model", "tool", "total_tokens", F.round(F.col("estimated_cost") + 1e-9, 6).alias("estimated_cost"), "status_code")

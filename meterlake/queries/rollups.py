@@ -11,7 +11,8 @@ from meterlake.functions import calendar as cal
 from meterlake.operators import activity, maintenance, pricing, reconcile, survival
 from meterlake.operators import sessions as S
 from meterlake.operators.metrics import coverage as coverage_of
-from meterlake.queries.bindings import AS_OF, BASE_CTE, END, START, facts, local, prices, proxy, read, remote, sessions, sources, _columns
+from meterlake.plans.commands import Context
+from meterlake.queries.bindings import AS_OF, BASE_CTE, END, START, facts, local, prices, proxy, read, remote, sessions, sources, usage, _columns
 from meterlake.queries.registry import query, rounded
 
 _T = ("input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")
@@ -50,9 +51,8 @@ def sessions_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE_CTE + _ROLL + f"SELECT {_SHOWN} FROM every WHERE session_id = 's42'")
 def session_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts of one session are found first; nothing else is rolled up."""
-    one = F.col("session_id") == "s42"
-    return _flat(S.all_sessions(facts(spark, sf_dir).where(one), sessions(spark, sf_dir).where(one)))
+    """The keys of one session are found first; nothing else is merged or rolled up."""
+    return _flat(usage(spark, sf_dir).session_detail(Context(AS_OF), "s42"))
 
 
 _PROJECTS = """, pf AS (
