@@ -14,12 +14,13 @@ from meterlake.operators.merge import keyed_local, keyed_proxy
 from meterlake.operators.metrics import added_up, daily_summary, measures
 from meterlake.operators.statistics import cells
 from meterlake.plans import folders
+from meterlake.plans.migrations import Migrations, migrated, shape_number
 
 FACTS, DAYS, CELLS, SEEN, LINKS, STATE = "facts", "daily", "cells", "seen", "links", "state"
 #: Changes when partitions of another kind are needed: days that an older store holds are built anew.
 _LAYOUT = 2
 _SEEN, _LINKS = "local_date string, h long, part string", "local_date string, other string, part string"
-_STATE = "local_date string, fingerprint string, version long, mode string"
+_STATE = "local_date string, fingerprint string, version long, mode string, shape int"
 
 
 def content(rows: DataFrame) -> Column:
@@ -100,17 +101,22 @@ class DayStore:
     A day's rows lie in a partition named by the day and a version. The state, one row a day, says which version counts. It
     is written last, whole, under the next number, so that readers see a refresh entirely or not at all; what an
     interrupted one leaves behind is not named by any state and goes with the next ``vacuum``.
+
+    The state also says in which shape a day was written. Days of older shapes are read through the ``migrations`` of their table, and
+    written in today's shape whenever they are built again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tz: str = "UTC", boundary: int = 0):
+    def __init__(self, spark: SparkSession, path: str, tz: str = "UTC", boundary: int = 0, migrations: Migrations | None = None):
         self.spark, self.path, self.tz, self.boundary = spark, path.rstrip("/"), tz, boundary
+        self.migrations = migrations or {}
+        self.shape = shape_number(self.migrations)
         self.mode = f"{tz}/{boundary}/{_LAYOUT}"
 
     def _versions(self) -> list[int]:
         return folders.complete(self.spark, f"{self.path}/{STATE}", "v=")
 
     def state(self) -> DataFrame:
-        """(local_date, fingerprint, version, mode); days that were built in another time zone or with another boundary don't count."""
+        """(local_date, fingerprint, version, mode, shape); days that were built in another time zone or with another boundary don't count."""
         found = self._versions()
         if not found:
             return self.spark.createDataFrame([], _STATE)
@@ -122,16 +128,29 @@ class DayStore:
         for old in self._versions()[:-2]:
             folders.remove(self.spark, f"{self.path}/{STATE}/v={old:012d}")
 
-    def _parts(self, days: Callable[[str], bool] = lambda day: True) -> list[str]:
-        """Partitions that count: as many as there are days, whatever they hold."""
-        return [f"{r.local_date}.{r.version}" for r in self.state().collect() if days(r.local_date)]
-
     def read(self, table: str, first: str | None = None, before: str | None = None) -> DataFrame | None:
         """Rows of the stored days from ``first`` to ``before``, exclusive; only those partitions are read. None if nothing is stored."""
-        parts = self._parts(lambda day: (first is None or day >= first) and (before is None or day < before))
-        if not any(n.startswith("part=") for n in folders.children(self.spark, f"{self.path}/{table}")):
+        there = {n for n in folders.children(self.spark, f"{self.path}/{table}") if n.startswith("part=")}
+        if not there:
             return None
-        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("part").isin(parts) if parts else F.lit(False)).drop("part")
+        days = [r for r in self.state().collect() if f"part={r.local_date}.{r.version}" in there]
+        chosen = [r for r in days if (first is None or r.local_date >= first) and (before is None or r.local_date < before)]
+        if not chosen:
+            # no rows, but a shape
+            number, names = (days[-1].shape or 0, [f"part={days[-1].local_date}.{days[-1].version}"]) if days else (self.shape, [max(there)])
+            return self._of_shape(table, number, names).where(F.lit(False))
+        by_shape: dict[int, list[str]] = {}
+        for r in chosen:
+            by_shape.setdefault(r.shape or 0, []).append(f"part={r.local_date}.{r.version}")
+        *older, newest = (self._of_shape(table, number, names) for number, names in sorted(by_shape.items()))
+        for rows in older:
+            newest = newest.unionByName(rows)
+        return newest
+
+    def _of_shape(self, table: str, number: int, names: Sequence[str]) -> DataFrame:
+        """Partitions that were written in one shape, in today's."""
+        rows = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*(f"{self.path}/{table}/{n}" for n in names)).drop("part")
+        return migrated(rows, self.migrations.get(table, ()), number)
 
     def stale(self, dependencies: DataFrame, today: str) -> DataFrame:
         """Finished days whose stored fingerprint is missing or different."""
@@ -175,8 +194,8 @@ class DayStore:
             made = self.spark.read.schema(dated.schema).parquet(f"{self.path}/{FACTS}").where(F.col("part").isin([f"{d}.{version}" for d in whole]))
             self._write(daily_summary(made).withColumn("part", part), DAYS)
             self._write(self.cells_of(made).withColumn("part", part), CELLS)
-        kept = [(d, r.fingerprint, r.version, self.mode) for d, r in known.items() if d not in again and d not in gone]
-        self._put(self.spark.createDataFrame(kept + [(d, current[d], version, self.mode) for d in again], _STATE))
+        kept = [(d, r.fingerprint, r.version, self.mode, r.shape) for d, r in known.items() if d not in again and d not in gone]
+        self._put(self.spark.createDataFrame(kept + [(d, current[d], version, self.mode, self.shape) for d in again], _STATE))
         return whole + sorted(d for d in gone if d < today)
 
     def _seen(self, states: Sequence) -> DataFrame:
@@ -219,7 +238,7 @@ class DayStore:
 
     def vacuum(self) -> None:
         """Removes what no state names any more. Nobody may be reading or refreshing."""
-        live = {f"part={p}" for p in self._parts()}
+        live = {f"part={r.local_date}.{r.version}" for r in self.state().collect()}
         for table in (FACTS, DAYS, CELLS, SEEN, LINKS):
             for name in folders.children(self.spark, f"{self.path}/{table}"):
                 if name.startswith("part=") and name not in live:

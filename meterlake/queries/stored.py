@@ -15,6 +15,7 @@ from meterlake.plans import folders
 from meterlake.plans.commands import Context, Usage
 from meterlake.plans.inputs import FiledInput
 from meterlake.plans.materialize import DayStore
+from meterlake.plans.migrations import added, renamed, retyped
 from meterlake.queries.bindings import _LOCAL, _PROXY, _SEEN_LOCALLY, AS_OF, BASE_CTE, END, METRICS_SQL, START, _columns, _duck, _events, facts, local, prices, proxy, read, remote, sessions
 from meterlake.queries.registry import SQL, query, rounded
 from meterlake.queries.reports import _WINDOWS, WINDOWS
@@ -115,6 +116,34 @@ def facts_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.timeline(c, START, END).select("timestamp_sec", "tool", "model", "status_code", "input_tokens")
 
 
+#: Shapes of stored facts: tools had another name, then statuses were texts, then facts had no weight.
+_SHAPES = {"facts": (renamed(1, "client", "tool"), retyped(2, "status_code", "int"), added(3, "request_count", "long", 1))}
+
+
+def _as_of_old(spark: SparkSession, store: DayStore, path: str) -> DayStore:
+    """A copy of a store as a version before all of ``_SHAPES`` would have left it."""
+    for table in (t for t in ("daily", "cells", "seen", "links") if any(n.startswith("part=") for n in folders.children(spark, f"{store.path}/{t}"))):
+        spark.read.parquet(f"{store.path}/{table}").write.partitionBy("part").parquet(f"{path}/{table}")
+    first = spark.read.parquet(f"{store.path}/facts").withColumnRenamed("tool", "client").withColumn("status_code", F.col("status_code").cast("string")).drop("request_count")
+    first.write.partitionBy("part").parquet(f"{path}/facts")
+    store.state().drop("shape").coalesce(1).write.parquet(f"{path}/state/v={1:012d}")
+    return DayStore(spark, path, migrations=_SHAPES)
+
+
+@query(SQL["facts_in_time"])
+def facts_of_older_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same out of a store whose first days an older version wrote; the days that a refresh has added are of today's shape."""
+    sides, c = (proxy(spark, sf_dir), local(spark, sf_dir), remote(spark, sf_dir)), Context(AS_OF)
+    early, until = DayStore(spark, _folder(spark, "early")), (START + END) // 2
+    old = (rows.where(F.col("timestamp") < until * unit) for rows, unit in zip(sides, (1000, 1, 1), strict=True))
+    p, mine, theirs = old
+    Usage(p, mine, sessions(spark, sf_dir), prices(spark), theirs, early).refresh_store(c)
+    store = _as_of_old(spark, early, _folder(spark, "days"))
+    usage = Usage(sides[0], sides[1], sessions(spark, sf_dir), prices(spark), sides[2], store)
+    usage.refresh_store(c)
+    return usage.timeline(c, START, END).select("timestamp_sec", "tool", "model", "status_code", "input_tokens")
+
+
 @query(BASE_CTE + "SELECT strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d') AS day, count(*) FILTER (device = 1) AS gone, count(*) FILTER (device <> 1) AS stay FROM (SELECT timestamp, event_id % 3 AS device FROM remote) GROUP BY 1 HAVING count(*) FILTER (device = 1) > 0")
 def dropped_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days that a device's rows leave, with what goes and what stays on them."""
