@@ -124,6 +124,8 @@ class DayStore:
 
     def _put(self, state: DataFrame) -> None:
         n = (self._versions() or [0])[-1] + 1
+        if "shape" not in state.columns:
+            state = state.withColumn("shape", F.lit(None).cast("int"))  # days as an older version knows them
         state.select(*(c.split()[0] for c in _STATE.split(", "))).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{STATE}/v={n:012d}")
         for old in self._versions()[:-2]:
             folders.remove(self.spark, f"{self.path}/{STATE}/v={old:012d}")
