@@ -7,13 +7,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from meterlake.operators.filters import after_key
 from meterlake.operators.maintenance import changed_keys
 from meterlake.operators.pricing import newest_prices
-from meterlake.plans import folders
 from meterlake.sources import files, transcripts
+from meterlake.sources.growing import OPTIONS, GrowingTable
 
 _MODEL = "struct<id:string,name:string,cost:struct<input:double,output:double,cache_read:double,cache_write:double>,last_updated:string>"
 
@@ -62,7 +61,7 @@ class _Rows(DataSourceReader):
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("sqlite")`` with path, dbtable and a schema: tables of tools that keep a SQLite file on a shared path."""
+    """``spark.read.format("sqlite")`` or ``spark.readStream`` with path, dbtable and a schema: tables of tools that keep a SQLite file on a shared path."""
 
     @classmethod
     def name(cls) -> str:
@@ -71,45 +70,19 @@ class SqliteSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Rows(schema, dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return GrowingTable(schema, {given: self.options[given] for given in OPTIONS if given in self.options})
+
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, partitions: int = 1) -> DataFrame:
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite").schema(schema).option("path", path).option("dbtable", table).option("numPartitions", partitions).load()
 
 
-class KeysetReader:
-    """Rows of a growing table (time, row) that were not read before; how far that was lies in a folder and outlives the session.
-
-    Rows that are changed or removed in place are not seen so: every ``full_every`` commits all rows are read again.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, time: str = "time_created", row: str = "rowid", full_every: int = 50):
-        self.spark, self.path, self.time, self.row, self.full_every = spark, path.rstrip("/"), time, row, full_every
-
-    def _commits(self) -> list[int]:
-        return folders.complete(self.spark, self.path, "n=")
-
-    def last(self) -> tuple[int, int] | None:
-        """(time, row) of the last row that was committed, or none if all have to be read."""
-        done = self._commits()
-        if not done or done[-1] % self.full_every == 0:
-            return None
-        found = self.spark.read.schema("t long, r long").json(f"{self.path}/n={done[-1]:012d}").first()
-        return None if found is None else (found.t, found.r)
-
-    def new(self, rows: DataFrame) -> DataFrame:
-        at = self.last()
-        return rows if at is None else rows.where(after_key(F.col(self.time), F.col(self.row), *at))
-
-    def commit(self, rows: DataFrame) -> None:
-        """``rows``: what was read; its last row is where the next reading begins."""
-        before = self.last()
-        top = rows.agg(F.max(F.struct(F.col(self.time).cast("long").alias("t"), F.col(self.row).cast("long").alias("r"))).alias("x")).first().x
-        at = max(x for x in (before, None if top is None else (top.t, top.r), (0, 0)) if x is not None)
-        n = (self._commits() or [0])[-1] + 1
-        self.spark.createDataFrame([at], "t long, r long").coalesce(1).write.mode("overwrite").json(f"{self.path}/n={n:012d}")
-        for old in self._commits()[:-2]:
-            folders.remove(self.spark, f"{self.path}/n={old:012d}")
+def stream_sqlite(spark: SparkSession, path: str, table: str, schema: str, time: str = "time_updated", row: str = "id", rows_per_task: int = 100_000) -> DataFrame:
+    """The rows of a table that grows, as a stream: each batch has what has come since the one before."""
+    spark.dataSource.register(SqliteSource)
+    return spark.readStream.format("sqlite").schema(schema).options(path=path, dbtable=table, timeColumn=time, rowColumn=row, rowsPerTask=rows_per_task).load()
 
 
 def schema_mode(columns: Sequence[str]) -> str:

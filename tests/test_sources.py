@@ -3,6 +3,7 @@
 import json
 import sqlite3
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from meterlake.sources import catalogues, files, transcripts
@@ -121,6 +122,51 @@ def test_foreign_tables(spark, tmp_path):
     assert [catalogues.schema_mode(c) for c in (["id", "session_id", "time_created", "time_updated", "data"], ["id", "session_id", "data"], ["id"])] == ["full", "message_only", "incompatible"]
 
 
+def test_a_growing_table_as_a_stream(spark, tmp_path):
+    """Rows that arrive during a read come with the next, and a read that failed comes again as it was."""
+    file, batches, state = tmp_path / "g.db", [], {"fail": False, "arriving": []}
+
+    def put(*rows):
+        with sqlite3.connect(file) as db:
+            db.executemany("INSERT INTO m VALUES (?, ?)", rows)
+
+    with sqlite3.connect(file) as db:
+        db.execute("CREATE TABLE m (id TEXT, t INTEGER)")
+
+    def take(rows, number):
+        put(*state["arriving"])
+        state["arriving"] = []
+        if state["fail"]:
+            raise RuntimeError("lost")
+        batches.append((rows.rdd.getNumPartitions(), sorted((r.t or 0, r.id or "") for r in rows.collect())))
+
+    def run(arriving=(), fail=False):
+        state.update(fail=fail, arriving=list(arriving))
+        batches.clear()
+        stream = catalogues.stream_sqlite(spark, str(file), "m", "id string, t long", "t", "id", rows_per_task=2)
+        q = stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            assert fail
+        return [b for b in batches if b[1]]
+
+    assert run() == []
+    # one time is shared by more rows than a task has; two rows lack a part of the key
+    put((None, 1), ("x", None), *((i, 5) for i in "abcde"))
+    assert run([("f", 5), ("a", 6)]) == [(3, [(0, "x"), (1, ""), *((5, i) for i in "abcde")])]
+    assert run([("b", 6), ("a", 7)], fail=True) == []
+    assert run() == [(1, [(5, "f"), (6, "a")])], "with the ends that it had"
+    assert run() == [(1, [(6, "b"), (7, "a")])]
+    put(("late", 2))
+    assert run() == []
+    with sqlite3.connect(file) as db:
+        db.execute("DELETE FROM m WHERE t > 5")
+    assert run() == []
+    put(("z", 5), ("b", 6))
+    assert run() == [(1, [(5, "z"), (6, "b")])]
+
+
 def test_prices_and_rates(spark):
     body = json.dumps({"p1": {"models": {"a": {"id": "a", "name": "A", "cost": {"input": 1, "output": 2}, "last_updated": "2025-01-01"}, "free": {"id": "free", "cost": {"input": 0, "output": 0}}}}, "p2": {"models": {"a": {"id": "a", "name": "A2", "cost": {"input": 3, "output": 4, "cache_read": 0.1}, "last_updated": "2025-06-01"}}}})
     got = catalogues.price_catalogue(spark.createDataFrame([(body,)], "body string")).collect()
