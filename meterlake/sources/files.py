@@ -4,20 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEAST_BYTES = 100
 
 
+def _placed(spark: SparkSession, paths: str | Sequence[str], glob: str, least_bytes: int) -> DataFrame:
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths if isinstance(paths, str) else list(paths), lineSep="\n").where(F.col("_metadata.file_size") >= least_bytes)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.unix_timestamp("_metadata.file_modification_time").alias("modified"), place.alias("place"), "value")
+    return named.select("path", "size", "modified", "place", F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 def lines(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.jsonl", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(path, size, modified, line_no, line) of every line that isn't blank. Files below ``least_bytes`` hold nothing yet.
+    """(path, size, modified, place, line) of every line that isn't blank. Files below ``least_bytes`` hold nothing yet.
 
-    Line numbers come from the whole file's text, so that they don't depend on how a file is split.
+    A large file is read in splits by many tasks. Places put the lines of a file in order: the start of the split, and the
+    line's turn in it. They depend on how the file is cut and are good for nothing else.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.unix_timestamp("_metadata.file_modification_time").alias("modified"), "value").where(F.col("size") >= least_bytes)
-    return named.select("path", "size", "modified", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    return _placed(spark, paths, glob, least_bytes).where(F.trim("line") != "")
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.jsonl", least_bytes: int = LEAST_BYTES, wanted: Column | None = None) -> DataFrame:
+    """``lines`` that are ``wanted``, with line_no: the number of lines before it in its file, blank and unwanted ones too.
+
+    Lines are numbered in their split, and the counts of the splits before it are added. Of unwanted lines only the places
+    are shuffled; of a split's lines one task counts the places, and of a file's one the wanted lines.
+    """
+    keep = F.trim("line") != ""
+    rows = _placed(spark, paths, glob, least_bytes).withColumn("line", F.when(keep if wanted is None else keep & wanted, F.col("line")))
+    split = Window.partitionBy("path", F.col("place.block"))
+    rows = rows.withColumns({"_n": F.row_number().over(split.orderBy("place.at")) - 1, "_all": F.count("*").over(split)}).where("_n = 0 OR line IS NOT NULL")
+    earlier = Window.partitionBy("path").orderBy("place.block").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("_n") == 0, F.col("_all"))).over(earlier), F.lit(0))
+    return rows.withColumn("line_no", before + F.col("_n")).where("line IS NOT NULL").drop("_n", "_all")
 
 
 def documents(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.json") -> DataFrame:

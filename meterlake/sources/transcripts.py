@@ -13,7 +13,7 @@ from meterlake.functions.models import base_model, dated_model
 from meterlake.functions.numbers import first_number, first_time, share_of, spread_between, without_cache
 from meterlake.operators.sequences import after_fork, carried, counter_deltas, keep_largest, numbered
 from meterlake.schemas import LOCAL, conform
-from meterlake.sources.files import documents, file_stem, folder_project, lines, root_session
+from meterlake.sources.files import documents, file_stem, folder_project, lines, numbered_lines, root_session
 
 
 def _json(path: str, column: str = "line") -> Column:
@@ -71,7 +71,6 @@ def assistant_lines(spark: SparkSession, path: str | Sequence[str], tool: str =
         first_number(F.col("usage"), ["$.output_tokens", "$.outputTokens", "$.completion_tokens"]).alias("output_tokens"),
         first_number(F.col("usage"), ["$.cache_creation_input_tokens", "$.cacheCreationInputTokens"]).alias("cache_create_tokens"),
         first_number(F.col("usage"), ["$.cache_read_input_tokens", "$.cacheReadInputTokens"]).alias("cache_read_tokens"),
-        "line_no",
     )
     found = _requests(rows, tool)
     unnamed = found.where(is_blank(F.col("message_id")))
@@ -94,13 +93,13 @@ def rollout_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "c
         }
     )
     whole = Window.partitionBy("path")
-    events = carried(events, "model", "path", ["line_no"]).withColumns({"fork_start": F.max("fork_start").over(whole), "session_id": F.coalesce(F.max("session").over(whole), file_stem(F.col("path")))})
+    events = carried(events, "model", "path", ["place"]).withColumns({"fork_start": F.max("fork_start").over(whole), "session_id": F.coalesce(F.max("session").over(whole), file_stem(F.col("path")))})
     counts = events.where("is_count AND (total IS NOT NULL OR last IS NOT NULL)")
-    deltas = after_fork(counter_deltas(counts, "path", ["line_no"]), "ts", "fork_start")
+    deltas = after_fork(counter_deltas(counts, "path", ["place"]), "ts", "fork_start")
     rows = deltas.select(
         "session_id",
         "path",
-        "line_no",
+        "place",
         F.col("ts").alias("timestamp"),
         dated_model(F.col("model")).alias("model"),
         F.col("delta.input").alias("input_tokens"),
@@ -108,7 +107,7 @@ def rollout_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "c
         F.col("delta.cache_create").alias("cache_create_tokens"),
         F.col("delta.cache_read").alias("cache_read_tokens"),
     ).where("input_tokens + output_tokens + cache_create_tokens + cache_read_tokens > 0")
-    indexed = numbered(rows, "session_id", ["path", "line_no"])
+    indexed = numbered(rows, "session_id", ["path", "place"])
     return _requests(indexed.withColumn("message_id", F.concat_ws(":", F.lit(tool), "session_id", F.col("event_index").cast("string"))), tool)
 
 
@@ -160,7 +159,7 @@ def shutdown_totals(spark: SparkSession, path: str | Sequence[str], tool: str =
 
 def agent_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "openclaw") -> DataFrame:
     """Agent transcripts, archived ones too: input without what was cached, the model carried on, ids made from file and line."""
-    at = lines(spark, path, glob="*.jsonl*")
+    at = numbered_lines(spark, path, glob="*.jsonl*")
     rows = at.withColumn("model", F.coalesce(_json("$.message.model"), _json("$.modelId"), F.lit("")))
     rows = carried(rows, "model", "path", ["line_no"]).where(_json("$.message.role") == "assistant")
     usage = _json("$.message.usage")
@@ -183,7 +182,7 @@ def agent_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "ope
 
 def log_lines(spark: SparkSession, path: str | Sequence[str], tool: str = "qoder_work", marker: str = "stream_event") -> DataFrame:
     """Log text: after a marker, JSON between the first and the last brace; only final counts of a message matter. A leading [time] is the time."""
-    at = lines(spark, path, glob="*.log", least_bytes=1).where(F.col("line").contains(marker) & F.col("line").contains("message_delta"))
+    at = numbered_lines(spark, path, glob="*.log", least_bytes=1, wanted=F.col("line").contains(marker) & F.col("line").contains("message_delta"))
     body = F.regexp_extract("line", marker + r"[^{]*(\{.*\})", 1)
     seconds = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract("line", r"^\[([^\]]+)\]", 1)))
     rows = at.withColumns({"body": body, "ts": seconds}).where(F.coalesce(F.get_json_object("body", "$.type"), F.get_json_object("body", "$.event.type")) == "message_delta")
@@ -296,7 +295,7 @@ def transcript_sessions(spark: SparkSession, path: str | Sequence[str], tool: st
 def folder_sessions(spark: SparkSession, path: str | Sequence[str], tool: str = "qoder_cli") -> DataFrame:
     """Sessions of line files that lie in a folder for each project: the working folder that a line states first, else the project that the folder's name stands for."""
     at = lines(spark, path).withColumns({"session_id": F.coalesce(_json("$.sessionId"), root_session(F.col("path"))), "_cwd": _json("$.cwd"), "_ts": first_time(F.col("line"), ["$.timestamp"])})
-    stated = F.min(F.when(~is_blank(F.col("_cwd")), F.struct("path", "line_no", "_cwd")))["_cwd"]
+    stated = F.min(F.when(~is_blank(F.col("_cwd")), F.struct("path", "place", "_cwd")))["_cwd"]
     rolled = at.groupBy("session_id").agg(
         stated.alias("cwd"), F.min("path").alias("file_path"), F.min("_ts").alias("start_time"), F.max("_ts").alias("end_time"), F.max("modified").alias("last_modified"), F.count_if(F.coalesce(_json("$.role"), _json("$.type")) == "assistant").alias("request_count")
     )

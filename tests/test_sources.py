@@ -1,8 +1,10 @@
 """Readers on files like those that tools write."""
 
 import json
+import random
 import sqlite3
 
+import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -122,6 +124,29 @@ def test_foreign_tables(spark, tmp_path):
     assert [catalogues.schema_mode(c) for c in (["id", "session_id", "time_created", "time_updated", "data"], ["id", "session_id", "data"], ["id"])] == ["full", "message_only", "incompatible"]
 
 
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_lines_by_split(spark, tmp_path, split):
+    rng = random.Random(split)
+    texts = {f"{k}.log": "".join(rng.choice(["", "", " ", "x", "wanted é", "y" * 90]) + rng.choice(["\n", "\n", "\r\n"]) for _ in range(60)) + rng.choice(["", "wanted"]) for k in range(4)}
+    texts |= {"blank.log": "\n" * 40 + "wanted\n", "empty.log": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = sorted((name, i, line) for name, text in texts.items() for i, line in enumerate(text.replace("\r\n", "\n").split("\n")) if line.strip(" "))
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = files.numbered_lines(spark, str(tmp_path), "*.log", 1)
+        assert sorted(map(tuple, got.select(name, "line_no", "line").collect())) == want
+        some = files.numbered_lines(spark, str(tmp_path), "*.log", 1, F.col("line").contains("wanted"))
+        assert sorted(map(tuple, some.select(name, "line_no", "line").collect())) == [w for w in want if "wanted" in w[2]]
+        placed = files.lines(spark, str(tmp_path), "*.log", 1)
+        assert placed.rdd.getNumPartitions() > 1 or split > 64
+        in_order = [tuple(r) for r in placed.select(name.alias("name"), "place", "line").orderBy("name", "place").select("name", "line").collect()]
+        assert in_order == [(n, line) for n, _, line in want]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_a_growing_table_as_a_stream(spark, tmp_path):
     """Rows that arrive during a read come with the next, and a read that failed comes again as it was."""
     file, batches, state = tmp_path / "g.db", [], {"fail": False, "arriving": []}
