@@ -54,11 +54,17 @@ def with_messages(records: DataFrame, ids: DataFrame, key: str = "message_id") -
 
 
 def proxy_observations(proxy: DataFrame, messages: DataFrame | None = None) -> DataFrame:
-    """Proxy rows, keyed; of one key the latest stays. ``messages`` (message_id, session_id, timestamp) fills blank sessions."""
+    """Proxy rows, keyed; of one key the latest stays. ``messages`` (message_id, session_id, timestamp) fills blank sessions.
+
+    Only rows that lack a session and have a message are joined with messages, and only with those of theirs.
+    """
     own = keyed_proxy(proxy)
     if messages is not None:
-        known = message_sessions(messages).withColumnRenamed("session_id", "_session")
-        own = own.join(known, "message_id", "left").withColumn("session_id", F.when(is_blank(F.col("session_id")), F.col("_session")).otherwise(F.col("session_id"))).drop("_session")
+        lacks, asks = is_blank(F.col("session_id")), is_blank(F.col("session_id")) & ~is_blank(F.col("message_id"))
+        unnamed = own.where(asks)
+        known = message_sessions(with_messages(messages, unnamed)).withColumnRenamed("session_id", "_session")
+        filled = unnamed.join(known, "message_id", "left").withColumn("session_id", F.col("_session")).select(own.columns)
+        own = own.where(~asks).withColumn("session_id", F.when(~lacks, F.col("session_id"))).unionByName(filled)
     return first_per_key(own, F.desc("timestamp"), F.desc("duration_ms"), F.desc("output_tokens"))
 
 
@@ -84,7 +90,8 @@ def merge_facts(
     p = p_all.withColumn("_seen", F.coalesce(visible & (chosen if chosen is not None else F.lit(True)), F.lit(False)))
     ours = local_observations(local, remote)
     if prices is not None:
-        ours = with_cost(ours, prices, "_priced")
+        models = [conform(rows, LOCAL).select("model") for rows in (local, remote) if rows is not None]
+        ours = with_cost(ours, prices, "_priced", models=models[0] if remote is None else models[0].unionByName(models[1]))
     else:
         ours = ours.withColumn("_priced", F.lit(0.0))
     p, ours = (d.select(F.col("k").alias("k"), F.struct(*(c for c in d.columns if c != "k")).alias(name)) for d, name in ((p, "p"), (ours, "l")))

@@ -113,18 +113,24 @@ def coverage(facts: DataFrame, weighted: bool = False) -> DataFrame:
     return out.withColumn("is_partial", (F.col("proxy_backed") > 0) & (F.col("local_only") > 0))
 
 
+def stated_tokens() -> Column:
+    """Totals as facts state them, which needn't be the sums of their parts: what a daily summary needs besides cells."""
+    return F.sum("total_tokens").alias("stated_tokens")
+
+
 def daily_summary(dated: DataFrame, *by: str) -> DataFrame:
     """Facts with a local_date, by day: all, visible and successful requests, tokens and cost, coverage and models.
 
-    Success is a status below 400 here; visible is none or below 300.
+    Success is a status below 400 here; visible is none or below 300. Cells of the facts do too if they have their ``stated_tokens``.
     """
-    w, status = _weight(), F.col("status_code")
+    w, total, cost = (F.col("requests"), "stated_tokens", "cost") if is_measured(dated) else (_weight(), "total_tokens", "estimated_cost")
+    status = F.col("status_code")
     visible, success = status.isNull() | (status < 300), status < 400
     kinds = {"": None, "visible_": visible, "success_": success}
     local = F.col("coverage_origin") == LOCAL_ONLY
     sums = [_sum(w, when).alias(f"{k}requests") for k, when in kinds.items()]
-    sums += [_sum(F.col(c), when).alias(f"{k}{c}") for k, when in kinds.items() for c in ("total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")]
-    sums += [_sum(F.col("estimated_cost"), when, 0.0).alias(f"{k}cost") for k, when in kinds.items()]
+    sums += [_sum(F.col(total if c == "total_tokens" else c), when).alias(f"{k}{c}") for k, when in kinds.items() for c in ("total_tokens", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")]
+    sums += [_sum(F.col(cost), when, 0.0).alias(f"{k}cost") for k, when in kinds.items()]
     named = F.when(F.trim("model") != "", F.col("model"))
     out = dated.groupBy("local_date", *by).agg(
         *sums,

@@ -36,9 +36,12 @@ def priced_models(models: DataFrame, prices: DataFrame, model: str = "model", ex
     return best.select(model, F.col("_p.model_id").alias("price_id"), *(F.col(f"_p.{c}").alias(c) for c in _PRICE_COLUMNS))
 
 
-def with_cost(rows: DataFrame, prices: DataFrame, name: str = "cost", model: str = "model", exact: bool = False) -> DataFrame:
-    """``rows`` with their cost at the best price of their model, 0 without one. The priced models, one row each, join back."""
-    best = priced_models(rows, prices, model, exact)
+def with_cost(rows: DataFrame, prices: DataFrame, name: str = "cost", model: str = "model", exact: bool = False, models: DataFrame | None = None) -> DataFrame:
+    """``rows`` with their cost at the best price of their model, 0 without one. The priced models, one row each, join back.
+
+    ``models`` holds all models of the rows, maybe more: what ``rows`` are computed from, so that they aren't computed twice.
+    """
+    best = priced_models(rows if models is None else models, prices, model, exact)
     named = best.select(F.col(model).alias("_model"), *(F.col(c).alias(f"_{c}") for c in _PRICE_COLUMNS))
     value = cost(*(F.col(c) for c in ("input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")), *(F.col(f"_{c}") for c in ("input_price", "output_price", "cache_read_price", "cache_write_price")))
     return rows.join(named, F.col(model) == F.col("_model"), "left").select(*rows.columns, value.alias(name))

@@ -6,6 +6,8 @@ follows without going over the facts again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ METRIC = {"tokens": "total_tokens", "cost": "cost", "requests": "requests"}
 TREND_MODELS, DISTRIBUTION_MODELS, INSIGHTS = 6, 5, 4
 
 
-def cells(facts: DataFrame, step: int, tz: str = "UTC", *by: str) -> DataFrame:
-    """Metrics, and the number of facts, by bucket, model, status and coverage: a report's whole input, whatever the number of facts."""
-    return _bucketed(facts, step, tz).groupBy(*by, "bucket_start", "model", "status_code", "coverage_origin").agg(*fact_metrics(), F.count("*").alias("facts"))
+def cells(facts: DataFrame, step: int, tz: str = "UTC", *by: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Metrics, and the number of facts, by bucket, model, status and coverage: a report's whole input, whatever the number of facts. ``more`` are further aggregates."""
+    return _bucketed(facts, step, tz).groupBy(*by, "bucket_start", "model", "status_code", "coverage_origin").agg(*fact_metrics(), F.count("*").alias("facts"), *more)
 
 
 def _bucketed(rows: DataFrame, step: int, tz: str) -> DataFrame:

@@ -11,21 +11,28 @@ from pyspark.sql import functions as F
 from meterlake.functions.calendar import DAY, business_date, business_day_bounds
 from meterlake.functions.keys import is_blank
 from meterlake.operators.merge import keyed_local, keyed_proxy
-from meterlake.operators.metrics import added_up, daily_summary, measures
+from meterlake.operators.metrics import added_up, daily_summary, measures, stated_tokens
 from meterlake.operators.statistics import cells
 from meterlake.plans import folders
 from meterlake.plans.migrations import Migrations, migrated, shape_number
 
 FACTS, DAYS, CELLS, SEEN, LINKS, STATE = "facts", "daily", "cells", "seen", "links", "state"
 #: Changes when partitions of another kind are needed: days that an older store holds are built anew.
-_LAYOUT = 2
+_LAYOUT = 3
+_PIECE = (1 << 22) - 1
 _SEEN, _LINKS = "local_date string, h long, part string", "local_date string, other string, part string"
 _STATE = "local_date string, fingerprint string, version long, mode string, shape int"
 
 
 def content(rows: DataFrame) -> Column:
-    """A sum over rows, in whatever order, that changes with any of their values."""
-    return F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))
+    """A sum over rows, in whatever order, that changes with any of their values.
+
+    The hashes are summed in three pieces of 22 bits or fewer, as whole numbers are added up much faster than decimals.
+    """
+    h = F.xxhash64(*sorted(rows.columns))
+    low, middle, high = F.sum(h.bitwiseAND(_PIECE)), F.sum(F.shiftright(h, 22).bitwiseAND(_PIECE)), F.sum(F.shiftright(h, 44))
+    high, middle = (s.cast("decimal(20,0)") * F.lit(n).cast("decimal(14,0)") for s, n in ((high, 1 << 44), (middle, 1 << 22)))
+    return (high + middle + low.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def fingerprints(sums: dict[str, DataFrame], seen: DataFrame, sessions: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
@@ -57,26 +64,37 @@ def day_dependencies(proxy: DataFrame, local: DataFrame, remote: DataFrame | Non
     sides = {"proxy": (proxy, F.expr("timestamp div 1000")), "local": (local, F.col("timestamp"))} | ({} if remote is None else {"remote": (remote, F.col("timestamp"))})
     sums, seen = {}, None
     for side, (rows, seconds) in sides.items():
-        day = business_date(seconds, tz, boundary).cast("string").alias("local_date")
-        sums[side] = rows.groupBy(day).agg(F.count("*").alias("n"), content(rows).alias("s"))
+        day, named = business_date(seconds, tz, boundary).alias("_day"), F.col("_day").cast("string").alias("local_date")
+        sums[side] = rows.groupBy(day).agg(F.count("*").alias("n"), content(rows).alias("s")).select(named, "n", "s")
         own = rows.select(day, "session_id")
         seen = own if seen is None else seen.unionByName(own)
-    return fingerprints(sums, seen.distinct(), sessions, prices)
+    return fingerprints(sums, seen.distinct().select(named, "session_id"), sessions, prices)
 
 
 def observations(proxy: DataFrame, local: DataFrame, remote: DataFrame | None = None, tz: str = "UTC", boundary: int = 0) -> DataFrame:
-    """(local_date, h): the hashed request keys and message ids that any side has on a day.
+    """Distinct (local_date, h): the hashed request keys and message ids that any side has on a day.
 
     Requests with a key in common become one fact, and a message lends its session to records that lack one: days that
     share a hash depend on each other. Hashes that collide only link days that need not be.
+
+    Most keys are ``tool:message``: whoever shares such a key shares the message, so that the message's hash is enough, if neither
+    part has a colon. Keys of other rows are hashed too, and what stands behind their only colon (if they have just one): those may be
+    equal to a key of the first kind, whose message that is then.
     """
     sides = [(keyed_proxy(proxy), F.expr("timestamp div 1000")), (keyed_local(local), F.col("timestamp"))] + ([] if remote is None else [(keyed_local(remote), F.col("timestamp"))])
     out = None
     for rows, seconds in sides:
-        message = F.when(~is_blank(F.col("message_id")), F.xxhash64(F.lit("message"), F.col("message_id")))
-        own = rows.select(business_date(seconds, tz, boundary).cast("string").alias("local_date"), F.explode(F.array_compact(F.array(F.xxhash64(F.lit("key"), F.col("k")), message))).alias("h"))
+        k, message, tool = F.col("k"), F.col("message_id"), F.col("client_tool" if "client_tool" in rows.columns else "tool")
+        explicit = F.col("canonical_request_key" if "canonical_request_key" in rows.columns else "request_key")
+        has = ~is_blank(message)
+        plain = is_blank(explicit) & has & tool.isNotNull() & ~F.coalesce(tool, F.lit("")).contains(":") & ~F.coalesce(message, F.lit("")).contains(":")
+        of_message = F.xxhash64(F.lit("message"), message)
+        rest = F.when(F.length(k) - F.length(F.replace(k, F.lit(":"), F.lit(""))) == 1, F.xxhash64(F.lit("message"), F.substring_index(k, ":", -1)))
+        others = F.array_compact(F.array(F.xxhash64(F.lit("key"), k), F.when(has, of_message), rest))
+        day = business_date(seconds, tz, boundary).alias("_day")
+        own = rows.select(day, F.explode(F.when(plain, F.array(of_message)).otherwise(others)).alias("h"))
         out = own if out is None else out.unionByName(own)
-    return out
+    return out.distinct().select(F.col("_day").cast("string").alias("local_date"), "h")
 
 
 def ranges_of(days: Sequence[str], tz: str = "UTC", boundary: int = 0) -> list[tuple[int, int]]:
@@ -162,7 +180,7 @@ class DayStore:
         """Rebuilds the stale days and those that share a request with them, forgets those without any input, and gives all of them.
 
         ``build(ranges)`` gives unfiltered facts, so that one store serves every filter, merged from the inputs of all the
-        ranges of seconds. ``seen`` are the ``observations``, or gives those of some days. Only days that have changed are read for
+        ranges of seconds. ``seen`` are the ``observations``, distinct, or gives those of some days. Only days that have changed are read for
         them; of other days the stored hashes are compared.
         """
         known = {r.local_date: r for r in self.state().collect()}
@@ -174,7 +192,7 @@ class DayStore:
             return []
         version = (self._versions() or [0])[-1] + 1
         stored = self._seen(known.values())
-        fresh = (seen(sorted(due)) if callable(seen) else seen).where(F.col("local_date").isin(sorted(due))).distinct()
+        fresh = (seen(sorted(due)) if callable(seen) else seen).where(F.col("local_date").isin(sorted(due)))
         others = stored.where(~F.col("local_date").isin(sorted(due | gone)))
         reached = set()
         if any(d not in due and d not in gone for d in known):
@@ -194,8 +212,10 @@ class DayStore:
             dated = self.dated(build(ranges_of({*whole, *linked}, self.tz, self.boundary))).where(F.col("local_date").isin(whole)).withColumn("part", part)
             self._write(dated, FACTS)
             made = self.spark.read.schema(dated.schema).parquet(f"{self.path}/{FACTS}").where(F.col("part").isin([f"{d}.{version}" for d in whole]))
-            self._write(daily_summary(made).withColumn("part", part), DAYS)
-            self._write(self.cells_of(made).withColumn("part", part), CELLS)
+            found = cells(made, DAY, self.tz, "local_date", more=[stated_tokens()]).persist()
+            self._write(daily_summary(found).withColumn("part", part), DAYS)
+            self._write(found.drop("stated_tokens").withColumn("part", part), CELLS)
+            found.unpersist()
         kept = [(d, r.fingerprint, r.version, self.mode, r.shape) for d, r in known.items() if d not in again and d not in gone]
         self._put(self.spark.createDataFrame(kept + [(d, current[d], version, self.mode, self.shape) for d in again], _STATE))
         return whole + sorted(d for d in gone if d < today)
@@ -213,7 +233,8 @@ class DayStore:
         return [] if links is None else sorted(r.other for r in links.where(F.col("other") < today).select("other").distinct().collect())
 
     def _write(self, rows: DataFrame, table: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{table}")
+        # rows of a day are brought together, so that a day has files for its size and not one from every task
+        rows.hint("rebalance", F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{table}")
 
     def dated(self, facts: DataFrame) -> DataFrame:
         return facts.withColumn("local_date", business_date(F.col("timestamp_sec"), self.tz, self.boundary).cast("string"))
