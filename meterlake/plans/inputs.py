@@ -70,8 +70,8 @@ class FiledInput:
     def _opened(self, files: DataFrame, paths: list[str], run: int) -> DataFrame:
         """Index rows of files that are read now. What they hold by session is written on the way."""
         rows = self.load(paths)
-        marked = rows.select("*", _name(F.input_file_name()).alias("_file"), business_date(self.seconds, self.tz, self.boundary).cast("string").alias("_day"), self.seconds.cast("long").alias("_at"))
-        held = marked.groupBy(F.col("_file").alias("file"), F.col("_day").alias("local_date"), "session_id").agg(F.count("*").alias("n"), content(rows).alias("s"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+        marked = rows.select("*", _name(F.input_file_name()).alias("_file"), business_date(self.seconds, self.tz, self.boundary).alias("_day"), self.seconds.cast("long").alias("_at"))
+        held = marked.groupBy(F.col("_file").alias("file"), "_day", "session_id").agg(F.count("*").alias("n"), content(rows).alias("s"), F.min("_at").alias("first"), F.max("_at").alias("last")).withColumn("local_date", F.col("_day").cast("string")).drop("_day")
         held.write.mode("overwrite").parquet(f"{self.path}/held/run={run}")
         kept = self.spark.read.schema(_HELD).parquet(f"{self.path}/held/run={run}")
         if not kept.join(files, "file", "left_anti").isEmpty():

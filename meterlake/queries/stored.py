@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.keys import storage_key
@@ -72,19 +72,24 @@ def late_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("facts"), F.sum("total_tokens").alias("total_tokens"), F.sum(F.col("timestamp_ms") % 1_000_000).alias("times"))
 
 
+def _by_day(rows: DataFrame, seconds: Column) -> DataFrame:
+    """Rows of a day brought together, for files of whole days or, of large ones, of parts of a day: their number grows with the rows."""
+    return rows.withColumn("_day", F.timestamp_seconds(seconds).cast("date")).hint("rebalance", F.col("_day")).drop("_day")
+
+
 @query(SQL["late_transcripts"])
 def late_transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from files: some come, some go, and the second refresh opens the new ones and those of the days that they reach."""
     at, c = _folder(spark, "files"), Context(AS_OF)
     told = _events(spark, sf_dir).where(_SEEN_LOCALLY).selectExpr(*_columns(_LOCAL.format(div="div", late=_LATE)))
-    for side, rows in {"proxy/all": proxy(spark, sf_dir), "remote/all": remote(spark, sf_dir), "local/stay": told.where("event_id % 2 = 0 AND event_id % 17 <> 0"), "local/go": told.where("event_id % 34 = 0")}.items():
-        rows.repartitionByRange(8, "timestamp").write.parquet(f"{at}/{side}")
     times = {"proxy": F.expr("timestamp div 1000"), "local": F.col("timestamp"), "remote": F.col("timestamp")}
+    for side, rows in {"proxy/all": proxy(spark, sf_dir), "remote/all": remote(spark, sf_dir), "local/stay": told.where("event_id % 2 = 0 AND event_id % 17 <> 0"), "local/go": told.where("event_id % 34 = 0")}.items():
+        _by_day(rows, times[side.split("/")[0]]).write.parquet(f"{at}/{side}")
     files = {side: FiledInput(spark, f"{at}/index/{side}", [f"{at}/{side}"], lambda paths: spark.read.parquet(*paths), seconds) for side, seconds in times.items()}
     store = DayStore(spark, f"{at}/days")
     Usage.of_files(files, sessions(spark, sf_dir), prices(spark), store).refresh_store(c)
     folders.remove(spark, f"{at}/local/go")
-    told.where("event_id % 2 = 1 AND event_id % 17 <> 0").repartitionByRange(8, "timestamp").write.parquet(f"{at}/local/come")
+    _by_day(told.where("event_id % 2 = 1 AND event_id % 17 <> 0"), times["local"]).write.parquet(f"{at}/local/come")
     usage = Usage.of_files(files, sessions(spark, sf_dir), prices(spark), store)
     usage.refresh_store(c)
     found = usage.facts(c).groupBy(F.timestamp_seconds("timestamp_sec").cast("date").cast("string").alias("local_date"), "coverage_origin")

@@ -79,3 +79,17 @@ def test_models_are_priced_from_what_is_given(spark):
     """The window over keyed rows is planned once for each side, not again for the names of models."""
     plan = merge_facts(B.proxy(spark, SF), B.local(spark, SF), B.remote(spark, SF), None, B.prices(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [row_number()") == 2
+
+
+def test_inputs_have_more_files_as_they_grow(spark, tmp_path):
+    """Whatever the number of rows, 8 files were written before; and no file holds more than its share of days."""
+    from meterlake.queries.stored import _by_day
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        _by_day(B.local(spark, SF).repartition(4), F.col("timestamp")).write.parquet(str(tmp_path / "f"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = spark.read.parquet(str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").glob("*.parquet"))) > 1 and rows.columns == B.local(spark, SF).columns
+    assert rows.exceptAll(B.local(spark, SF)).isEmpty() and rows.count() == B.local(spark, SF).count()
